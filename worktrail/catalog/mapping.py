@@ -255,7 +255,7 @@ SQL = {
     "ev": _cte("ev", (
         "SELECT *, concat('u', user_id, '-w', CAST(floor(ts_ms / 604800000) AS BIGINT)) AS session_id FROM ("
         "SELECT event_id, user_id, event_type, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k, "
-        "epoch_ms(ts) AS ts_ms FROM events)"
+        "epoch_us(ts) // 1000 AS ts_ms FROM events)"
     )),
     "messages": _cte("messages", f"SELECT {_select(MESSAGE_COLUMNS)} FROM ev"),
     "tool_calls": _cte("tool_calls", f"SELECT {_select(CALL_COLUMNS)} FROM ev WHERE event_type = 'view'"),
@@ -277,7 +277,7 @@ SQL = {
         for d, k, n in facet_count_parts()
     )),
     "order_sessions": _cte("order_sessions", (
-        "SELECT o_custkey % 50 AS owner, o_orderkey AS session_id, epoch_ms(o_orderdate) AS start_ms, "
+        "SELECT o_custkey % 50 AS owner, o_orderkey AS session_id, epoch_us(o_orderdate) // 1000 AS start_ms, "
         "o_totalprice / 1000 AS cost, o_orderkey % 37 AS errors, o_orderpriority AS model FROM orders"
     )),
 }
