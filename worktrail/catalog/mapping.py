@@ -300,7 +300,8 @@ def with_tables(names: list[str], *ctes: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join([*(SQL[n] for n in wanted), *ctes]) + "\n"
+    recursive = any(c.startswith("walk") for c in ctes)
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join([*(SQL[n] for n in wanted), *ctes]) + "\n"
 
 
 def r4(x: str) -> str:

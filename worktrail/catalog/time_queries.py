@@ -11,6 +11,7 @@ from worktrail.catalog.session_queries import DELIVERED
 from worktrail.functions.text import names_review
 from worktrail.functions.waits import command_family, is_heavy_model, wait_kind
 from worktrail.operators import activity, timerollup, timesplit
+from worktrail.session import materialise
 
 # --- T1, T2, J4: where intervals come from ----------------------------------------
 
@@ -35,7 +36,7 @@ query("c3_command_family", "session_id:s seq:l family:s", "SELECT session_id, se
     lambda s, d: m.tool_calls(s, d).withColumn(
         "family", command_family(F.col("tool"), F.when(F.col("tool") == "bash", F.col("command")).when(F.col("tool") == "eval", F.col("code")).otherwise(""), F.col("language"))))
 query("c2_whole_word_review", "doc_id:l n:l",
-      "SELECT doc_id, CASE WHEN len(list_filter(regexp_extract_all(concat(text, ' ', tag), '([A-Z]*[a-z]+|[A-Z]+|[0-9]+)', 1), x -> lower(x) IN ('review', 'reviewer', 'approve'))) > 0 THEN 1 ELSE 0 END AS n "
+      "SELECT doc_id, CASE WHEN list_has_any(regexp_extract_all(concat(text, ' ', tag), '([A-Z]*[a-z]+|[A-Z]+|[0-9]+)', 1), ['review', 'Review', 'reviewer', 'approve', 'Approve']) THEN 1 ELSE 0 END AS n "
       "FROM (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'PreviewPane' WHEN 1 THEN 'ReviewMR188' WHEN 2 THEN 'auto_approve' ELSE 'x' END AS tag FROM documents)")(
     lambda s, d: m.table(s, d, "documents").select("doc_id", names_review(F.concat_ws(" ", "text", F.expr(
         "CASE doc_id % 4 WHEN 0 THEN 'PreviewPane' WHEN 1 THEN 'ReviewMR188' WHEN 2 THEN 'auto_approve' ELSE 'x' END"))).alias("n")))
@@ -205,8 +206,8 @@ MOVED = SPLIT + ELSE + (
 )
 
 
-def rollup(spark, d):
-    return timerollup.time_rollup(moved_time(spark, d), [TEAM])
+def rollup(spark, d, moved=None):
+    return timerollup.time_rollup(moved_time(spark, d) if moved is None else moved, [TEAM])
 
 
 query("t7_corpus_rollup", "team:l bucket:s seconds:d share:d sessions:l active_sec:d", "SELECT team, bucket, seconds, coalesce(share, 0) AS share, sessions, active_sec FROM rollup2",
@@ -226,15 +227,15 @@ query("t9_unrecognised_waiting", "team:l unrecognised_sec:d share:d",
     lambda s, d: timerollup.unrecognised_waiting(families(s, d), rollup(s, d), [TEAM]))
 
 
-def team_levers(spark, d):
+def team_levers(spark, d, moved=None):
     cost = with_team(m.usage_events(spark, d)).groupBy(TEAM, "model").agg(F.sum("cost").alias("cost"))
     sub = with_team(intervals(spark, d)).where("background").groupBy(TEAM).agg(F.sum((F.col("end_ms") - F.col("start_ms")) / 1000.0).alias("busy_sec"))
-    return timerollup.levers(rollup(spark, d), families(spark, d), cost, sub, [TEAM])
+    return timerollup.levers(rollup(spark, d, moved), families(spark, d), cost, sub, [TEAM])
 
 
 LEVERS = MOVED + FAM + (
     ", topf AS (SELECT team, arg_max(family, busy_sec) AS family, max(busy_sec) AS fsec FROM fam WHERE family NOT LIKE 'polling: generic' GROUP BY 1), "
-    "topm AS (SELECT user_id % 10 AS team, model, sum(cost) AS c FROM usage_events GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id % 10 ORDER BY sum(cost) DESC, model) = 1), "
+    "topm AS (SELECT user_id % 10 AS team, model, sum(cost) AS c FROM usage_events GROUP BY user_id % 10, model QUALIFY row_number() OVER (PARTITION BY user_id % 10 ORDER BY sum(cost) DESC, model) = 1), "
     "sub AS (SELECT user_id % 10 AS team, sum((end_ms - start_ms) / 1000.0) AS ssec FROM iv WHERE background GROUP BY 1), "
     "al AS (SELECT t.*, f.family, f.fsec, m.model AS mname, s.ssec FROM tot2 t LEFT JOIN topf f USING (team) LEFT JOIN topm m USING (team) LEFT JOIN sub s USING (team)), "
     "levers AS (SELECT team, 'command_family' AS lever, family AS subject, fsec AS seconds, fsec / active_sec AS share FROM al WHERE tools > 0 AND fsec / tools > 0.2 "
@@ -244,10 +245,15 @@ LEVERS = MOVED + FAM + (
     "UNION ALL SELECT team, 'review_waits', NULL, review, review / active_sec FROM al WHERE review / active_sec > 0.15)"
 )
 query("t8_levers", "team:l lever:s subject:s seconds:d share:d", "SELECT * FROM levers", ["messages", "usage_events"], [LEVERS])(team_levers)
+def lever_sessions(spark, d):
+    moved = materialise(moved_time(spark, d))
+    return timerollup.lever_evidence(team_levers(spark, d, moved), moved, families(spark, d, (TEAM, "session_id")), [TEAM])
+
+
 query("t8_lever_evidence", "team:l lever:s session_id:s value:d rank:l",
       "SELECT team, lever, session_id, value, row_number() OVER (PARTITION BY team, lever ORDER BY value DESC, session_id) AS rank FROM ("
       "SELECT s.team, l.lever, s.session_id, CASE l.lever WHEN 'waiting_on_you' THEN you WHEN 'slow_model' THEN model WHEN 'serial_agent_waits' THEN agents ELSE review END AS value "
       "FROM st s JOIN levers l USING (team) WHERE l.lever <> 'command_family' UNION ALL "
       f"SELECT user_id % 10, 'command_family', session_id, {dec('(end_ms - start_ms) / 1000.0')} FROM iv JOIN levers l ON l.team = user_id % 10 AND l.lever = 'command_family' AND l.subject = iv.family "
-      "WHERE bucket = 'tools' GROUP BY ALL) WHERE value > 0 QUALIFY rank <= 3", ["messages", "usage_events"], [LEVERS])(
-    lambda s, d: timerollup.lever_evidence(team_levers(s, d), moved_time(s, d), families(s, d, (TEAM, "session_id")), [TEAM]))
+      "WHERE bucket = 'tools' GROUP BY user_id % 10, session_id) WHERE value > 0 QUALIFY rank <= 3", ["messages", "usage_events"], [LEVERS])(
+    lever_sessions)

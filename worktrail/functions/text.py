@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +47,11 @@ WORD_BUDGETS = [
 WORDS = r"[A-Za-z0-9_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it many times in `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches_any(text: Column, patterns: Sequence[str], ignore_case: bool = True) -> Column:
     """True if any pattern is found; alternation keeps it one regex per row."""
     joined = "|".join(f"(?:{p})" for p in patterns)

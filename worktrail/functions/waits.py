@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from worktrail.functions.text import lookup, matches_any, names_review, trimmed
+from worktrail.functions.text import let, lookup, matches_any, names_review, trimmed
 
 # Command shapes that wait for a build or deployment. Each entry
 # is a list of words with the widest gap (in characters) before the next word.
@@ -76,42 +76,47 @@ def ci_patterns() -> list[str]:
 
 def waits_for(text: Column) -> Column:
     """struct(kind, target) of a wait, NULL kind for plain work."""
+    return let(text, _waits_for)
+
+
+def _waits_for(text: Column) -> Column:
     ci = matches_any(text, ci_patterns()) | (
         matches_any(text, [CLOUD_SUBMIT]) & ~matches_any(text, [CLOUD_SUBMIT_ASYNC])
     )
     labelled = text.rlike(POLL_LABEL)
     label = F.when(labelled, F.regexp_extract(text, POLL_LABEL, 1)).otherwise(text)
     is_poll = text.rlike(POLL_CALL) | labelled
-    poll = F.when(
-        is_poll,
-        F.when(names_review(label), "review")
-        .when(label.rlike(CI_LABEL), "ci")
-        .when(label.rlike(AGENT_LABEL), "agents")
-        .otherwise("polling"),
+    by_label = let(
+        label,
+        lambda x: F.when(names_review(x), "review").when(x.rlike(CI_LABEL), "ci")
+        .when(x.rlike(AGENT_LABEL), "agents").otherwise("polling"),
     )
+    poll = F.when(is_poll, by_label)
     blocking = matches_any(text, AGENT_BLOCKING)
     sleeping = text.rlike(SLEEP_CALL) & text.rlike(LOOP_WORD)
     term = F.lower(F.regexp_extract(text, AGENT_TERM, 1))
-    generic = F.coalesce(poll == "polling", F.lit(False)) | sleeping
-
-    kind = (
-        F.when(ci, "ci")
-        .when(poll.isin("review", "ci", "agents"), poll)
-        .when(blocking & names_review(text), "review")
-        .when(blocking, "agents")
-        .when(generic & (term != ""), "agents")
-        .when(generic, "polling")
+    parts = F.struct(
+        ci.alias("ci"), poll.alias("poll"), blocking.alias("blocking"), sleeping.alias("sleeping"),
+        names_review(text).alias("review"), term.alias("term"),
     )
-    target = (
-        F.when(ci, "ci")
-        .when(poll.isin("review", "ci"), poll)
-        .when(poll == "agents", F.when(term != "", term).otherwise(F.lit("agents")))
-        .when(blocking & names_review(text), "review")
-        .when(blocking, "orca")
-        .when(generic & (term != ""), term)
-        .when(generic, "generic")
+    return let(parts, _wait_of_parts)
+
+
+def _wait_of_parts(p: Column) -> Column:
+    """First rule that holds: build, labelled poll, blocking agent call, loop."""
+    named = p["term"] != ""
+    generic = F.coalesce(p["poll"] == "polling", F.lit(False)) | p["sleeping"]
+    answer = lambda kind, target: F.struct(kind.alias("kind"), target.alias("target"))
+    fixed = lambda kind, target=None: answer(F.lit(kind), F.lit(target or kind))
+    return (
+        F.when(p["ci"], fixed("ci"))
+        .when(p["poll"].isin("review", "ci"), answer(p["poll"], p["poll"]))
+        .when(p["poll"] == "agents", answer(F.lit("agents"), F.when(named, p["term"]).otherwise("agents")))
+        .when(p["blocking"] & p["review"], fixed("review"))
+        .when(p["blocking"], fixed("agents", "orca"))
+        .when(generic & named, answer(F.lit("agents"), p["term"]))
+        .when(generic, fixed("polling", "generic"))
     )
-    return F.struct(kind.alias("kind"), target.alias("target"))
 
 
 def wait_kind(tool: Column, text: Column) -> Column:
@@ -133,23 +138,29 @@ LOOP_BODY = r"(?is)\b(?:for|while|until)\b.*?\bdo\b(.*?)\bdone\b"
 
 def _loop_step(command: Column) -> Column:
     """First statement of a shell loop body, else the command itself."""
-    body = trimmed(F.regexp_extract(command, LOOP_BODY, 1))
-    first = trimmed(F.element_at(F.split(body, r";|&&"), 1))
-    return F.when(body == "", command).when(first == "", body).otherwise(first)
+    def step(body: Column) -> Column:
+        first = trimmed(F.element_at(F.split(body, r";|&&"), 1))
+        return F.when(body == "", command).when(first == "", body).otherwise(first)
+
+    return let(trimmed(F.regexp_extract(command, LOOP_BODY, 1)), step)
 
 
 def shell_family(command: Column) -> Column:
     """First one or two words of the command that does the work."""
     cmd = trimmed(command)
     for _ in range(3):
-        cmd = _loop_step(cmd)
+        cmd = let(cmd, _loop_step)
     cmd = F.regexp_replace(cmd, SETUP, "")
     cmd = F.regexp_replace(cmd, ENV, "")
     cmd = F.regexp_replace(trimmed(cmd), RUNNER, "")
     words = F.filter(F.split(cmd, r"\s+"), lambda w: w != "")
-    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    two = second.isNotNull() & ~second.startswith("-") & ~second.startswith("$")
-    return F.when(first.isNull(), "bash").when(two, F.concat_ws(" ", first, second)).otherwise(first)
+
+    def family(w: Column) -> Column:
+        first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+        two = second.isNotNull() & ~second.startswith("-") & ~second.startswith("$")
+        return F.when(first.isNull(), "bash").when(two, F.concat_ws(" ", first, second)).otherwise(first)
+
+    return let(words, family)
 
 
 SUBPROCESS = (
@@ -162,8 +173,14 @@ PYTHON_LOOK = r"(?m)^\s*(?:def\s+\w+\s*\(|import\s+\w|from\s+\w+\s+import\b|prin
 
 def command_family(tool: Column, text: Column, language: Column) -> Column:
     """Grouping key of a call for busy time by command."""
-    target = waits_for(text)["target"]
-    polling = F.concat(F.lit("polling: "), target)
+    return let(
+        F.struct(tool.alias("tool"), text.alias("text"), language.alias("language")),
+        lambda c: _family(c["tool"], c["text"], c["language"]),
+    )
+
+
+def _family(tool: Column, text: Column, language: Column) -> Column:
+    target = F.when(tool.isin("bash", "eval"), waits_for(text)["target"])
     inner = trimmed(F.concat(*[F.regexp_extract(text, SUBPROCESS, i) for i in (1, 2, 3)]))
     by_language = (
         F.when(language == "py", "eval: python")
@@ -171,16 +188,15 @@ def command_family(tool: Column, text: Column, language: Column) -> Column:
         .when(text.rlike(PYTHON_LOOK), "eval: python")
         .otherwise("eval: js")
     )
-    return (
-        F.when((tool == "bash") & target.isNotNull(), polling)
-        .when(tool == "bash", shell_family(text))
-        .when((tool == "eval") & target.isNotNull(), polling)
+    in_code = let(inner, lambda x: F.when(x != "", shell_family(x)).otherwise(by_language))
+    work = (
+        F.when(tool == "bash", shell_family(text))
         .when((tool == "eval") & text.rlike(BROWSER), "eval: browser")
-        .when((tool == "eval") & (inner != ""), shell_family(inner))
-        .when(tool == "eval", by_language)
+        .when(tool == "eval", in_code)
         .when(F.coalesce(tool, F.lit("")) == "", "unknown")
         .otherwise(tool)
     )
+    return F.coalesce(F.concat(F.lit("polling: "), target), work)
 
 
 def is_heavy_model(name: Column) -> Column:

@@ -78,10 +78,10 @@ def category_diff(previous: DataFrame, current: DataFrame, by: Sequence[str]) ->
 
 def evidence_links(items: DataFrame, sessions: DataFrame, item_keys: Sequence[str]) -> DataFrame:
     """Items' evidence ids with the path of their log; unknown ids drop out."""
-    ids = items.select(*item_keys, F.posexplode("evidence").alias("at", "session_id"))
+    ids = items.select(*item_keys, F.posexplode("evidence").alias("place", "session_id"))
     known = sessions.where("path <> ''").select("session_id", "path")
     return ids.join(known, "session_id").select(
-        *item_keys, "at", "session_id", "path", F.concat(F.lit("file://"), F.col("path")).alias("href")
+        *item_keys, "place", "session_id", "path", F.concat(F.lit("file://"), F.col("path")).alias("href")
     )
 
 
