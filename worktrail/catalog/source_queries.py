@@ -1 +1,247 @@
-"""Queries."""
+"""Queries over raw logs: JSON lines and file listings made from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from worktrail.catalog import mapping as m
+from worktrail.catalog.mapping import dec, table
+from worktrail.catalog.registry import query
+from worktrail.functions import numeric
+from worktrail.operators import forks, usage
+from worktrail.plans import refresh
+from worktrail.session import materialise
+from worktrail.sources import dialect_a, dialect_b, logs
+
+# --- files ---------------------------------------------------------------------------
+
+ROOT = "/logs"
+PATH = (
+    "CASE doc_id % 8 WHEN 0 THEN concat('/logs/p', doc_id % 5, '/2024_', doc_id // 16, '.jsonl') WHEN 1 THEN concat('/logs/p', doc_id % 5, '/plain', doc_id, '.jsonl') "
+    "WHEN 2 THEN concat('/logs/loose', doc_id, '.jsonl') WHEN 3 THEN concat('/logs/p', (doc_id - 3) % 5, '/2024_', (doc_id - 3) // 16, '/__advisor.jsonl') "
+    "WHEN 4 THEN concat('/logs/p', (doc_id - 4) % 5, '/2024_', (doc_id - 4) // 16, '/x', doc_id, '.jsonl') WHEN 5 THEN concat('/logs/p', (doc_id - 5) % 5, '/2024_', (doc_id - 5) // 16, '/x/x.nested', doc_id, '.jsonl') "
+    "ELSE concat('/logs/p', doc_id % 5, '/2024_', doc_id // 16, '/7.bash.log') END"
+)
+
+
+def listing(spark, d) -> DataFrame:
+    """Documents as a file listing (path, size, mtime)."""
+    return table(spark, d, "documents").select(
+        F.expr(PATH.replace(" // 16", " div 16")).alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") * 1000).alias("mtime_ms"))
+
+
+FILES = f"files AS (SELECT {PATH} AS path, n_chars AS size, doc_id * 1000 AS mtime_ms FROM documents)"
+PRIMARY = (
+    FILES + ", prim AS (SELECT *, regexp_extract(path, '^/logs/([^/]+)/', 1) AS project_dir, regexp_extract(path, '([^/]+)[.]jsonl$', 1) AS base FROM files WHERE regexp_matches(path, '^/logs/[^/]+/[^/]+[.]jsonl$')), "
+    "prim2 AS (SELECT *, CASE WHEN contains(base, '_') THEN substr(base, strpos(base, '_') + 1) ELSE base END AS session_id FROM prim), "
+    "side AS (SELECT *, regexp_extract(path, '^/logs/([^/]+)/', 1) AS project_dir, regexp_extract(path, '^/logs/[^/]+/([^/]+)/', 1) AS base, regexp_extract(path, '^/logs/[^/]+/[^/]+/(.+)[.]jsonl$', 1) AS sidecar_name, "
+    "CASE WHEN ends_with(path, '/__advisor.jsonl') THEN 'advisor' ELSE 'subagent' END AS kind FROM files WHERE regexp_matches(path, '^/logs/[^/]+/[^/]+/.+[.]jsonl$'))"
+)
+query("s02_primary_logs", "path:s project_dir:s session_id:s", "SELECT * FROM prim2", [], [PRIMARY])(lambda s, d: logs.primary_logs(listing(s, d), ROOT))
+query("s03_sidecar_logs", "path:s project_dir:s base:s sidecar_name:s kind:s", "SELECT * FROM side", [], [PRIMARY])(lambda s, d: logs.sidecar_logs(listing(s, d), ROOT))
+SIGNED = PRIMARY + (
+    ", ss AS (SELECT project_dir, base, string_agg(concat(sidecar_name, '=', size, ':', mtime_ms), '|' ORDER BY concat(sidecar_name, '=', size, ':', mtime_ms) COLLATE \"binary\") AS sig, count(*) FILTER (kind = 'advisor') AS advisor_logs, count(*) FILTER (kind = 'subagent') AS subagent_logs FROM side GROUP BY 1, 2), "
+    "signed AS (SELECT p.*, concat_ws('|', concat(size, ':', mtime_ms), sig) AS signature, coalesce(advisor_logs, 0) AS advisor_logs, coalesce(subagent_logs, 0) AS subagent_logs FROM prim2 p LEFT JOIN ss USING (project_dir, base))"
+).replace(' COLLATE "binary"', "")
+
+
+def signed(spark, d):
+    files = listing(spark, d)
+    return logs.with_signatures(logs.primary_logs(files, ROOT), logs.sidecar_logs(files, ROOT))
+
+
+query("s04_signatures", "path:s session_id:s signature:s advisor_logs:l subagent_logs:l", "SELECT * FROM signed", [], [SIGNED])(signed)
+query("s05_duplicate_logs", "session_id:s path:s size:l", "SELECT * FROM prim2 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY size DESC, path) = 1", [], [PRIMARY])(
+    lambda s, d: logs.drop_duplicate_logs(logs.primary_logs(listing(s, d), ROOT)))
+PREVIOUS = "CASE WHEN size % 3 = 0 THEN concat(signature, '|old') ELSE signature END"
+VERSION = "CASE WHEN size % 5 = 0 THEN 0 ELSE 1 END"
+
+
+def previous(spark, d):
+    kept = logs.drop_duplicate_logs(signed(spark, d))
+    return kept.where("size % 7 <> 0").select("session_id", F.expr(PREVIOUS).alias("signature"), F.expr(VERSION).alias("schema_version"))
+
+
+KEPT = SIGNED + ", kept AS (SELECT * FROM signed QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY size DESC, path) = 1)"
+query("s12_stale_logs", "session_id:s signature:s", "SELECT * FROM kept WHERE size % 7 = 0 OR size % 3 = 0 OR size % 5 = 0", [], [KEPT])(
+    lambda s, d: refresh.stale_logs(logs.drop_duplicate_logs(signed(s, d)), previous(s, d)))
+query("s12_refreshed_table", "session_id:s signature:s recomputed:l",
+      "SELECT session_id, signature, CASE WHEN size % 7 = 0 OR size % 3 = 0 OR size % 5 = 0 THEN 1 ELSE 0 END AS recomputed FROM kept", [], [KEPT])(
+    lambda s, d: refresh.refreshed(previous(s, d).withColumn("recomputed", F.lit(0)), refresh.stale_logs(logs.drop_duplicate_logs(signed(s, d)), previous(s, d)).select(
+        "session_id", "signature", F.lit(1).alias("recomputed")), logs.drop_duplicate_logs(signed(s, d))))
+EXCLUDED = "CASE WHEN size % 4 = 0 THEN 'not_substantive' WHEN size % 5 = 0 THEN 'by_since' END"
+query("s14_scan_summary", "measure:s n:l",
+      f"SELECT coalesce('excluded_' || x, 'included') AS measure, count(*) AS n FROM (SELECT {EXCLUDED} AS x FROM kept) GROUP BY 1 UNION ALL SELECT 'primary_logs', count(*) FROM kept UNION ALL SELECT 'advisor_logs', sum(advisor_logs) FROM kept UNION ALL SELECT 'subagent_logs', sum(subagent_logs) FROM kept", [], [KEPT])(
+    lambda s, d: logs.scan_summary(logs.drop_duplicate_logs(signed(s, d)), logs.drop_duplicate_logs(signed(s, d)).withColumn("exclusion", F.expr(EXCLUDED))))
+query("s13_manifest", "session_id:s path:s total_cost:d sidecars:l",
+      "SELECT k.session_id, k.path, k.size / 100.0 AS total_cost, coalesce(n, 0) AS sidecars FROM kept k LEFT JOIN (SELECT project_dir, base, count(DISTINCT path) AS n FROM side GROUP BY 1, 2) USING (project_dir, base)", [], [KEPT])(
+    lambda s, d: manifest_rows(s, d))
+
+
+def manifest_rows(spark, d):
+    kept = logs.drop_duplicate_logs(signed(spark, d))
+    rows = kept.select("session_id", F.col("mtime_ms").alias("start_ms"), (F.col("size") / 100.0).alias("total_cost"), F.lit(0.0).alias("cost_primary"), F.lit(0.0).alias("cost_advisor"), F.lit(0.0).alias("cost_subagent"))
+    side = logs.sidecar_logs(listing(spark, d), ROOT).join(kept.select("project_dir", "base", "session_id"), ["project_dir", "base"])
+    return refresh.manifest(rows, kept, side).withColumn("sidecars", F.when(F.col("sidecar_paths").isNull(), 0).otherwise(F.size("sidecar_paths")))
+
+
+query("j24_changed_sizes", "session_id:s recorded_size:l size:l",
+      "SELECT session_id, size AS recorded_size, CASE WHEN size % 6 = 0 THEN NULL ELSE size + CASE WHEN size % 2 = 0 THEN 1 ELSE 0 END END AS size FROM kept WHERE size % 2 = 0", [], [KEPT])(
+    lambda s, d: refresh.changed_sizes(logs.drop_duplicate_logs(signed(s, d)).select("session_id", "path", "signature"),
+                                       logs.drop_duplicate_logs(signed(s, d)).where("size % 6 <> 0").select("path", F.expr("size + CASE WHEN size % 2 = 0 THEN 1 ELSE 0 END").alias("size"))))
+
+# --- records -------------------------------------------------------------------------
+
+LINE = m.pick("doc_id % 4", ["A", "B", "C", "D"])
+
+
+def broken_lines(spark, d):
+    """Documents as log lines: whole, cut off, padded, not JSON."""
+    whole = F.to_json(F.struct("doc_id", "text"))
+    kind = F.col("doc_id") % 4
+    return table(spark, d, "documents").select("doc_id", F.when(kind == 0, whole).when(kind == 1, F.substr(whole, F.lit(1), F.length(whole) - 3)).when(kind == 2, F.concat(F.lit(" "), whole)).otherwise(F.col("text")).alias("line"))
+
+
+query("s01_valid_lines", "doc_id:l", "SELECT doc_id FROM documents WHERE doc_id % 4 = 0")(lambda s, d: logs.records_of_lines(broken_lines(s, d)))
+
+
+def a_lines(spark, d) -> DataFrame:
+    """The mapped messages written as dialect A lines, with bad usage and headers."""
+    x = m.messages(spark, d)
+    number = lambda c: F.col(c).cast("bigint")
+    usage_ = F.when(F.col("role") == "assistant", F.struct(
+        number("input").alias("input"), number("output").alias("output"), number("cache_read").alias("cacheRead"), number("cache_write").alias("cacheWrite"),
+        F.struct(F.col("cost").alias("total"), F.col("cost_input").alias("input"), F.col("cost_output").alias("output")).alias("cost")))
+    text_block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text"))))
+    message = F.struct(
+        "role", F.when(F.col("role") == "user", "user").alias("attribution"), F.when(F.col("is_human"), F.col("steering")).alias("steering"),
+        "model", "provider", F.col("ts_ms").alias("timestamp"), F.col("completed_ms").alias("completedAt"), F.col("ttft_ms").alias("ttft"), F.col("duration_ms").alias("duration"),
+        F.col("stop_reason").alias("stopReason"), F.col("error_message").alias("errorMessage"), F.col("tool").alias("toolName"), F.col("call_id").alias("toolCallId"), F.col("is_error").alias("isError"),
+        usage_.alias("usage"), F.col("text").alias("content"))
+    line = F.to_json(F.struct(F.lit("message").alias("type"), F.concat(F.lit("r"), "seq").alias("id"), F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), message.alias("message")))
+    # Content as a list of blocks on every third line, as text starting with a bracket on others.
+    blocks = F.when(F.col("seq") % 3 == 0, F.regexp_replace(line, r'"content":"((?:[^"\\]|\\.)*)"', '"content":[{"type":"text","text":"$1"}]')).otherwise(line)
+    # A number given as text reads as zero.
+    bad = F.when(F.col("seq") % 5 == 0, F.regexp_replace(blocks, r'"usage":\{"input":(\d+)', '"usage":{"input":"$1"')).otherwise(blocks)
+    owner = [F.lit("a").alias("source"), F.col("session_id"), F.lit("primary").alias("kind"), F.lit("").alias("sidecar_name")]
+    body = x.select(*owner, "seq", bad.alias("line"))
+    heads = x.groupBy("session_id").agg(F.min("ts_ms").alias("ts_ms"), F.min("user_id").alias("user_id")).select(
+        *owner, F.lit(-1).cast("bigint").alias("seq"),
+        F.to_json(F.struct(F.lit("session").alias("type"), F.col("session_id").alias("id"), F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.concat(F.lit("/home/p"), F.col("user_id")).alias("cwd"))).alias("line"))
+    return body.unionByName(heads)
+
+
+def a_tables(spark, d):
+    return dialect_a.normalise(a_lines(spark, d))
+
+
+query("s07_dialect_a_messages", "session_id:s seq:l ts_ms:l role:s text:s is_human:l steering:l model:s input:d cost:d completed_ms:l tool:s call_id:s is_error:l",
+      "SELECT session_id, seq, ts_ms, role, text, is_human, coalesce(steering, false) AS steering, model, CASE WHEN seq % 5 = 0 THEN 0 ELSE input END AS input, cost, completed_ms, tool, call_id, is_error FROM messages", ["messages"])(
+    lambda s, d: a_tables(s, d).messages)
+query("s07_dialect_a_usage", "session_id:s input:d output:d cost:d utility_cost:d",
+      f"SELECT session_id, {dec('CASE WHEN seq % 5 = 0 THEN 0 ELSE input END')} AS input, {dec('output')} AS output, {dec('cost')} AS cost, 0 AS utility_cost FROM messages WHERE role = 'assistant' GROUP BY 1", ["messages"])(
+    lambda s, d: usage.usage_totals(a_tables(s, d).usage_events, ["session_id"]))
+query("s09_dialect_a_header", "session_id:s record_session_id:s cwd:s first_ms:l end_ms:l",
+      "SELECT session_id, session_id AS record_session_id, concat('/home/p', min(user_id)) AS cwd, min(ts_ms) AS first_ms, max(ts_ms) AS end_ms FROM messages GROUP BY 1", ["messages"])(
+    lambda s, d: a_tables(s, d).header)
+
+# Dialect B: views are answers (several lines per request), clicks are tool calls.
+B_TYPE = "CASE event_type WHEN 'view' THEN 'assistant' WHEN 'click' THEN 'assistant' WHEN 'purchase' THEN 'cost-state' ELSE 'user' END"
+
+
+def b_lines(spark, d) -> DataFrame:
+    e = m.events(spark, d).withColumn("type", F.expr(B_TYPE))
+    block = F.when(F.col("event_type") == "click", F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("c"), F.col("k") % 7).alias("id"), F.expr(m.pick("k % 3", ["Bash", "Read", "Task"])).alias("name"),
+                                                     F.struct(F.lit("npm test").alias("command")).alias("input")))).when(
+        F.col("event_type") == "error", F.array(F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("c"), F.col("k") % 7).alias("name"), F.lit(None).cast("struct<command:string>").alias("input"))))
+    content = F.when(block.isNotNull(), F.to_json(block)).otherwise(F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("say "), F.col("k")).alias("text")))))
+    content = F.when(F.col("event_type") == "error", F.replace(content, F.lit('"name"'), F.lit('"tool_use_id"'))).otherwise(content)
+    use = F.when(F.col("event_type") == "view", F.struct(F.col("k").alias("input_tokens"), (F.col("k") * 2).alias("output_tokens"), F.lit(1).alias("cache_read_input_tokens")))
+    head = F.to_json(F.struct("type", F.col("session_id").alias("sessionId"), F.concat(F.lit("/b/"), "user_id").alias("cwd"), F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+                              F.when((F.col("k") % 3 != 0) & (F.col("event_type") == "view"), F.concat(F.lit("q"), F.col("k") % 4)).alias("requestId"), (F.col("k") % 9 == 0).alias("isSidechain"), (F.col("k") % 10 == 5).alias("isMeta"),
+                              F.when((F.col("type") == "cost-state") & (F.col("k") % 4 != 0), F.col("value")).alias("totalCostUSD"),
+                              F.when(F.col("type") == "cost-state", F.col("k") - 50).alias("totalLinesAdded"),
+                              F.when((F.col("type") == "cost-state") & (F.col("k") % 2 == 0), F.create_map(F.lit("big"), F.struct(F.col("k").alias("inputTokens"), F.col("value").alias("costUSD")), F.lit("small"), F.struct(F.lit(5).alias("inputTokens"), F.lit(0.0).alias("costUSD")))).alias("modelUsage")))
+    role = F.when(F.col("type") == "assistant", "assistant").otherwise("user")
+    message = F.concat(F.lit(',"message":{"role":"'), role, F.lit('","usage":'), F.coalesce(F.to_json(use), F.lit("null")), F.lit(',"content":'), content, F.lit("}}"))
+    line = F.when(F.col("type") == "cost-state", head).otherwise(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), message))
+    return e.select("session_id", F.col("event_id").alias("seq"), line.alias("line"))
+
+
+def b_tables(spark, d):
+    return dialect_b.normalise(b_lines(spark, d))
+
+
+B_HUMAN = "event_type = 'signup' AND k % 9 <> 0 AND k % 10 <> 5"
+query("s08_dialect_b_messages", "session_id:s seq:l role:s is_human:l has_results:l input:d",
+      f"SELECT session_id, event_id AS seq, {B_TYPE} AS role, {B_HUMAN} AS is_human, event_type = 'error' AS has_results, CASE WHEN event_type = 'view' THEN k ELSE 0 END AS input FROM ev WHERE event_type <> 'purchase'", ["ev"])(
+    lambda s, d: b_tables(s, d).messages)
+query("s08_session_identity", "session_id:s record_session_id:s cwd:s start_ms:l stop_ms:l uses_subagent:l",
+      "SELECT session_id, session_id AS record_session_id, concat('/b/', min(user_id)) AS cwd, min(ts_ms) AS start_ms, max(ts_ms) AS stop_ms, max(CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END) AS uses_subagent FROM ev GROUP BY 1", ["ev"])(
+    lambda s, d: dialect_b.session_identity(b_tables(s, d).records))
+ANCHORS = "am AS (SELECT session_id, event_id AS seq, ts_ms, event_type, max(CASE WHEN " + B_HUMAN + " OR event_type = 'error' THEN ts_ms END) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start_ms FROM ev)"
+query("j15_model_anchor", "session_id:s seq:l start_ms:l end_ms:l", "SELECT session_id, seq, start_ms, ts_ms AS end_ms FROM am WHERE event_type IN ('view', 'click') AND ts_ms > start_ms", ["ev"], [ANCHORS])(
+    lambda s, d: dialect_b.model_intervals(b_tables(s, d).messages))
+COUNTED = (
+    "ans AS (SELECT session_id, event_id, k, event_type, CASE WHEN event_type = 'view' AND k % 3 <> 0 THEN concat('q', k % 4) ELSE '' END AS rq FROM ev WHERE event_type IN ('view', 'click')), "
+    "cnt AS (SELECT * FROM ans WHERE rq = '' UNION ALL (SELECT * FROM ans WHERE rq <> '' QUALIFY row_number() OVER (PARTITION BY session_id, rq ORDER BY event_id) = 1))"
+)
+query("j17_counted_responses", "session_id:s seq:l", "SELECT session_id, event_id AS seq FROM cnt", ["ev"], [COUNTED])(lambda s, d: dialect_b.counted_responses(b_tables(s, d).messages))
+query("j16_superseding_cost", "session_id:s input:d output:d cost:d cost_recorded:l state_lines_added:l",
+      "SELECT s.session_id, CASE WHEN l.k % 2 = 0 THEN l.k + 5 ELSE coalesce(c.i, 0) END AS input, CASE WHEN l.k % 2 = 0 THEN 0 ELSE coalesce(c.o, 0) END AS output, CASE WHEN l.k % 4 <> 0 THEN l.value ELSE 0 END AS cost, CASE WHEN l.k % 4 <> 0 THEN 1 ELSE 0 END AS cost_recorded, "
+      "CASE WHEN l.k > 50 THEN l.k - 50 END AS state_lines_added FROM (SELECT DISTINCT session_id FROM ev) s LEFT JOIN (SELECT session_id, k, value FROM ev WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) = 1) l USING (session_id) "
+      "LEFT JOIN (SELECT session_id, sum(CASE WHEN event_type = 'view' THEN k ELSE 0 END) AS i, sum(CASE WHEN event_type = 'view' THEN 2 * k ELSE 0 END) AS o FROM cnt GROUP BY 1) c USING (session_id)", ["ev"], [COUNTED])(
+    lambda s, d: dialect_b.session_usage(b_tables(s, d).messages, b_tables(s, d).cost_states))
+query("s06_sources_apart", "source:s sessions:l records:l",
+      "SELECT 'a' AS source, count(DISTINCT session_id) AS sessions, count(*) + count(DISTINCT session_id) AS records FROM ev UNION ALL SELECT 'b', count(DISTINCT session_id), count(*) FROM ev", ["ev"])(
+    lambda s, d: a_lines(s, d).select("source", "session_id").unionByName(b_lines(s, d).select(F.lit("b").alias("source"), "session_id")).groupBy("source", "session_id").agg(F.count("*").alias("n")).groupBy("source").agg(
+        F.count("*").alias("sessions"), F.sum("n").alias("records")))
+
+# --- forks ---------------------------------------------------------------------------
+
+# Week w of a user forks week w-1 unless w % 3 = 0, and copies its even records.
+WEEK = "CAST(split_part(session_id, '-w', 2) AS BIGINT)"
+
+
+def fork_header(spark, d):
+    own = m.events(spark, d).select("session_id", "user_id").distinct().withColumn("w", F.expr(WEEK))
+    parent = F.concat(F.lit("u"), "user_id", F.lit("-w"), F.col("w") - 1)
+    path = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("/logs/p/2024_"), parent, F.lit(".jsonl"))).otherwise(parent)
+    return own.withColumn("parent_session", F.when(F.col("w") % 3 != 0, path))
+
+
+def fork_records(spark, d):
+    """Own records, and copies of the parent's (and grandparent's) even ones."""
+    e = m.events(spark, d).select("session_id", "user_id", "event_id", "value", "event_type").withColumn("w", F.expr(WEEK))
+    name = F.when(F.col("event_type") == "view", "x/y").otherwise("")
+    base = e.select("session_id", "user_id", "w", F.concat(F.lit("r"), "event_id").alias("rec_id"), name.alias("sidecar_name"), "value")
+    copy = lambda k: base.where(F.col("rec_id").rlike("[02468]$")).withColumn("session_id", F.concat(F.lit("u"), "user_id", F.lit("-w"), F.col("w") + k))
+    return base.unionByName(copy(1)).unionByName(copy(2)).drop("user_id", "w").join(base.select("session_id").distinct(), "session_id", "left_semi")
+
+
+FORKS = (
+    "ses AS (SELECT DISTINCT session_id, user_id, " + WEEK + " AS w FROM ev), "
+    "links AS (SELECT s.session_id, p.session_id AS parent FROM ses s JOIN ses p ON p.user_id = s.user_id AND p.w = s.w - 1 WHERE s.w % 3 <> 0), "
+    "walk AS (SELECT session_id, parent AS ancestor FROM links UNION SELECT w.session_id, l.parent FROM walk w JOIN links l ON l.session_id = w.ancestor)"
+)
+BASE = (
+    ", base AS (SELECT session_id, user_id, " + WEEK + " AS w, concat('r', event_id) AS rec_id, event_id, CASE WHEN event_type = 'view' THEN 'x/y' ELSE '' END AS sidecar_name, value FROM ev), "
+    "recs AS (SELECT * FROM (SELECT session_id, rec_id, sidecar_name, value FROM base UNION ALL SELECT concat('u', user_id, '-w', w + 1), rec_id, sidecar_name, value FROM base WHERE event_id % 2 = 0 "
+    "UNION ALL SELECT concat('u', user_id, '-w', w + 2), rec_id, sidecar_name, value FROM base WHERE event_id % 2 = 0) WHERE session_id IN (SELECT session_id FROM ses))"
+)
+
+
+def closure(spark, d):
+    return forks.ancestors(forks.parent_links(fork_header(spark, d)))
+
+
+query("j05_fork_ancestors", "session_id:s ancestor:s", "SELECT * FROM walk", ["ev"], ["walk_dummy AS (SELECT 1)", FORKS])(closure)
+KEEP = "SELECT r.* FROM recs r WHERE NOT EXISTS (SELECT 1 FROM walk w JOIN recs a ON a.session_id = w.ancestor WHERE w.session_id = r.session_id AND a.rec_id = r.rec_id AND a.sidecar_name = r.sidecar_name)"
+query("j05_fork_exclusion", "session_id:s rec_id:s value:d", KEEP + " AND r.sidecar_name = ''", ["ev"], ["walk_dummy AS (SELECT 1)", FORKS + BASE])(
+    lambda s, d: forks.drop_copied(materialise(fork_records(s, d).where("sidecar_name = ''")), closure(s, d)))
+query("j06_sidecar_fork_exclusion", "session_id:s sidecar_name:s records:l cost:d", f"SELECT session_id, sidecar_name, count(*) AS records, {dec('value')} AS cost FROM ({KEEP}) GROUP BY 1, 2", ["ev"], ["walk_dummy AS (SELECT 1)", FORKS + BASE])(
+    lambda s, d: forks.drop_copied(materialise(fork_records(s, d)), closure(s, d)).groupBy("session_id", "sidecar_name").agg(F.count("*").alias("records"), numeric.exact_sum(F.col("value")).alias("cost")))
+query("j24_reconciliation", "class:s reported:d recomputed:d matches:l",
+      f"SELECT kind AS class, {dec('cost')} AS reported, {dec('cost')} AS recomputed, 1 AS matches FROM usage_events GROUP BY 1", ["usage_events"])(
+    lambda s, d: refresh.reconcile(m.usage_events(s, d), usage.fold_sidecars(m.usage_events(s, d))))

@@ -102,27 +102,23 @@ def claim_incidents(items: DataFrame) -> DataFrame:
         items.select(*item, "section", F.posexplode("evidence").alias("at", "session_id"))
         .groupBy(*item, "section", "session_id").agg(F.min("at").alias("at"))
     )
-    undecided, settled = uses, []
+    undecided, claims = uses, uses.select(*slot, "item_no", "section").limit(0)
     while not undecided.isEmpty():
         first = undecided.groupBy(*slot).agg(F.min("item_no").alias("first_no"))
         accepted = materialise(
-            undecided.join(first, slot).groupBy(*item, "section")
-            .agg(F.min(F.col("item_no") == F.col("first_no")).alias("all_first")).where("all_first").drop("all_first")
+            undecided.join(first, slot).groupBy(*item)
+            .agg(F.min(F.col("item_no") == F.col("first_no")).alias("all_first")).where("all_first").select(*item)
         )
-        claims = materialise(undecided.join(accepted.select(*item), item, "left_semi").select(
-            *slot, F.col("item_no").alias("by_no"), F.col("section").alias("owner")
-        ))
-        touched = materialise(
-            undecided.join(claims, slot).where("item_no > by_no").groupBy(*item)
-            .agg(F.min_by("owner", "at").alias("owner"))
-        )
-        settled += [accepted.select(*item, F.lit(None).cast("string").alias("owner")), touched]
-        done = accepted.select(*item).union(touched.select(*item))
-        undecided = materialise(undecided.join(done, item, "left_anti"))
-    out = settled[0] if settled else uses.select(*item, F.lit(None).cast("string").alias("owner")).limit(0)
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return out
+        new = undecided.join(accepted, item, "left_semi").select(*slot, "item_no", "section")
+        claims = materialise(claims.unionByName(new))
+        left = undecided.join(accepted, item, "left_anti")
+        touched = left.join(claims.select(*slot), slot, "left_semi").select(*item).distinct()
+        undecided = materialise(left.join(touched, item, "left_anti"))
+    # An id has one claimant at most; the first claimed id in evidence order names the owner.
+    owners = claims.select(*slot, F.col("item_no").alias("by_no"), F.col("section").alias("owner"))
+    return uses.join(owners, slot, "left").groupBy(*item).agg(
+        F.min_by(F.when(F.col("by_no") != F.col("item_no"), F.col("owner")), F.when(F.col("by_no").isNotNull(), F.col("at"))).alias("owner")
+    )
 
 
 def title_key(title) -> object:
