@@ -133,7 +133,7 @@ def a_lines(spark, d) -> DataFrame:
 
 
 def a_tables(spark, d):
-    return dialect_a.normalise(a_lines(spark, d))
+    return dialect_a.normalise(materialise(a_lines(spark, d)))
 
 
 query("s07_dialect_a_messages", "session_id:s seq:l ts_ms:l role:s text:s is_human:l steering:l model:s input:d cost:d completed_ms:l tool:s call_id:s is_error:l",
@@ -170,7 +170,7 @@ def b_lines(spark, d) -> DataFrame:
 
 
 def b_tables(spark, d):
-    return dialect_b.normalise(b_lines(spark, d))
+    return dialect_b.normalise(materialise(b_lines(spark, d)))
 
 
 B_HUMAN = "event_type = 'signup' AND k % 9 <> 0 AND k % 10 <> 5"

@@ -114,10 +114,12 @@ def claim_incidents(items: DataFrame) -> DataFrame:
         left = undecided.join(accepted, item, "left_anti")
         touched = left.join(claims.select(*slot), slot, "left_semi").select(*item).distinct()
         undecided = materialise(left.join(touched, item, "left_anti"))
-    # An id has one claimant at most; the first claimed id in evidence order names the owner.
+    # An id has one claimant at most; the first id, in evidence order, that an
+    # earlier item claimed names the owner.
+    earlier = F.col("by_no") < F.col("item_no")
     owners = claims.select(*slot, F.col("item_no").alias("by_no"), F.col("section").alias("owner"))
     return uses.join(owners, slot, "left").groupBy(*item).agg(
-        F.min_by(F.when(F.col("by_no") != F.col("item_no"), F.col("owner")), F.when(F.col("by_no").isNotNull(), F.col("at"))).alias("owner")
+        F.min_by("owner", F.when(earlier, F.col("at"))).alias("owner")
     )
 
 

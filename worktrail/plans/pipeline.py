@@ -1,0 +1,174 @@
+"""From log lines to session tables to corpus tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import Protocol
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from worktrail.functions.numeric import medians
+from worktrail.functions.text import trimmed
+from worktrail.operators import activity, corpus, facts, filters, forks, labels, pairing, timerollup, timesplit, tools, trends, turns, usage
+from worktrail.session import materialise
+from worktrail.sources import dialect_a, logs
+from worktrail.sources.dialect_a import LogTables
+
+
+class LogDialect(Protocol):
+    """A log format: how to turn record lines into the typed tables."""
+
+    name: str
+    flat: bool
+
+    def normalise(self, lines: DataFrame) -> LogTables: ...
+
+
+@dataclass(frozen=True)
+class DialectA:
+    name: str = "a"
+    flat: bool = False
+    normaliser: Callable[[DataFrame], LogTables] = dialect_a.normalise
+
+    def normalise(self, lines: DataFrame) -> LogTables:
+        return self.normaliser(lines)
+
+
+def build_tables(spark: SparkSession, root: str, dialect: LogDialect | None = None) -> tuple[DataFrame, LogTables]:
+    """(log files, typed tables) of a folder, without self-generated sessions or fork copies."""
+    dialect = dialect or DialectA()
+    files, lines = logs.read_corpus(spark, root, dialect.name, dialect.flat)
+    lines = lines.drop("path")
+    first = dialect.normalise(lines)
+    links = forks.parent_links(first.header.where("kind = 'primary'"), files)
+    if links.isEmpty():
+        tables = first
+    else:
+        ids = first.records.select("session_id", "sidecar_name", "seq", F.col("r.id").alias("rec_id"))
+        copied = forks.copied_records(ids, forks.ancestors(links))
+        drop = ids.join(copied, ["session_id", "sidecar_name", "rec_id"]).select("session_id", "sidecar_name", "seq")
+        tables = dialect.normalise(lines.join(drop, ["session_id", "sidecar_name", "seq"], "left_anti"))
+    return files, tables
+
+
+def primary(df: DataFrame) -> DataFrame:
+    return df.where("kind = 'primary'")
+
+
+def session_tables(files: DataFrame, tables: LogTables) -> dict[str, DataFrame]:
+    """Every per-session table, keyed by name. All are lazy but the shared ones."""
+    msg, calls = primary(tables.messages), pairing.first_calls(primary(tables.tool_calls))
+    results, starts = msg.where("role = 'toolResult'"), primary(tables.tool_starts)
+    jobs, humans = primary(tables.async_jobs), msg.where("is_human")
+
+    timed = timesplit.tool_intervals(starts, results, primary(tables.tool_calls))
+    busy = materialise(timesplit.effective_calls(timed, timesplit.job_intervals(jobs, timed, primary(tables.tool_calls))))
+    intervals = timesplit.model_intervals(msg).unionByName(
+        busy.select("session_id", "start_ms", "end_ms", "bucket", "background")
+    )
+    times = msg.select("session_id", "ts_ms").unionByName(intervals.select("session_id", F.col("end_ms").alias("ts_ms"))).unionByName(
+        primary(tables.header).select("session_id", F.col("end_ms").alias("ts_ms"))
+    )
+    segments = timesplit.time_segments(intervals, timesplit.session_ranges(times, humans.where("ts_ms is not null")), humans.where("ts_ms is not null"))
+    gaps = materialise(timesplit.gap_pieces(segments))
+
+    turn = materialise(turns.turn_rollup(msg))
+    edits = tools.edit_rows(calls)
+    drives = (F.col("tool") == "eval") & F.coalesce(F.col("code").rlike(r"\bbrowser\s*\."), F.lit(False))
+    outcomes = materialise(pairing.call_outcomes(primary(tables.tool_calls).withColumn("drives_browser", drives), results))
+    aborts = turns.abort_events(msg, calls)
+    span = dialect_a.session_span(primary(tables.header), files)
+    counts = tools.tool_counts(calls)
+
+    wide = (
+        span.select("session_id", "start_ms", "stop_ms", "duration_minutes", F.coalesce("cwd", F.lit("")).alias("project_path"), "path")
+        .join(files.select("session_id", "signature", "advisor_logs", "subagent_logs"), "session_id", "left")
+        .join(message_counts(msg), "session_id", "left")
+        .join(usage.fold_sidecars(tables.usage_events), "session_id", "left")
+        .join(tools.edit_totals(edits), "session_id", "left")
+        .join(tools.git_counts(calls), "session_id", "left")
+        .join(tools.marker_counts(primary(tables.markers)), "session_id", "left")
+        .join(tools.tool_flags(counts), "session_id", "left")
+        .join(outcomes.groupBy("session_id").agg(F.count_if(F.col("outcome") == "error").alias("tool_errors")), "session_id", "left")
+        .join(turn.groupBy("session_id").agg(F.count("*").alias("turn_count")), "session_id", "left")
+        .join(medians(msg.where("ttft_ms > 0"), ["session_id"], "ttft_ms", "median_ttft_ms"), "session_id", "left")
+        .withColumnsRenamed({"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_tokens", "cache_write": "cache_write_tokens"})
+        .na.fill(0)
+        .na.fill(False)
+    )
+    return {
+        "sessions": wide, "turns": turn, "turn_percentiles": turns.turn_percentiles(turn), "worst_turns": turns.worst_turns(turn),
+        "abort_events": aborts, "reply_times": turns.reply_times(msg), "activity_runs": activity.activity_runs(msg.withColumn("ts_ms", F.col("entry_ms"))),
+        "tool_counts": counts, "tool_outcomes": pairing.tool_outcomes(outcomes, ["session_id"]), "outcomes": outcomes,
+        "tool_durations": tools.tool_durations(pairing.timed_calls(starts, results)), "languages": tools.language_counts(calls),
+        "session_files": tools.top_files(tools.edits_by_file(edits)), "failure_classes": tools.failure_classes(msg),
+        "session_time": timesplit.session_time(segments, gaps), "you_gaps": timesplit.you_gaps(segments, gaps),
+        "requests": timesplit.slowest_requests(timesplit.request_times(segments, gaps)),
+        "busy_by_tool": timesplit.busy_by(busy, "tool"), "busy_by_family": timesplit.busy_by(busy, "family"),
+        "usage_events": tables.usage_events, "humans": humans.select("session_id", "seq", "ts_ms", "is_human", "text"),
+    }
+
+
+def message_counts(msg: DataFrame) -> DataFrame:
+    aborted = (F.col("role") == "assistant") & (F.col("stop_reason") == "aborted")
+    first = F.min_by(F.substring(trimmed(F.col("text")), 1, 300), F.when(F.col("is_human"), F.col("seq")))
+    return msg.groupBy("session_id").agg(
+        F.count_if("is_human").alias("user_message_count"), F.count_if(F.col("role") == "assistant").alias("assistant_message_count"),
+        F.count_if(F.col("is_human") & F.col("steering")).alias("steering_messages"), F.count_if(aborted).alias("aborted_generations"),
+        F.count_if((F.col("role") == "assistant") & (F.col("stop_reason") == "error")).alias("error_generations"),
+        F.max_by(aborted.cast("int"), "seq").alias("aborted_at_session_end"), first.alias("first_prompt"),
+    )
+
+
+def corpus_tables(
+    parts: dict[str, DataFrame], basis: DataFrame, facet_rows: DataFrame | None = None, *, excluded_projects: Sequence[str] = (), **window,
+) -> dict[str, DataFrame]:
+    """The tables behind each report section over the sessions that stay."""
+    keep = materialise(filters.substantive(parts["sessions"], **window).withColumn(
+        "is_analysis", filters.is_analysis(F.col("project_path"), excluded_projects)
+    ))
+    ids = keep.select("session_id", "is_analysis", "project_path")
+    of = lambda name: parts[name].join(ids.select("session_id"), "session_id", "left_semi")
+    totals = corpus.interruption_rate(corpus.corpus_totals(keep))
+    events = of("usage_events")
+    providers = usage.cost_by_provider(events, basis)
+    elsewhere = activity.busy_elsewhere(of("you_gaps"), of("humans"))
+    time = materialise(timerollup.elsewhere_seconds(of("session_time"), elsewhere))
+    rollup = timerollup.time_rollup(time)
+    models = usage.list_price(usage.usage_by_model(events))
+    series = keep.where("is_analysis").join(
+        usage.primary_model(events.groupBy("session_id", "model").agg(F.sum("cost").alias("cost"), F.count("*").alias("message_count"))), "session_id", "left"
+    ).select(F.lit("all").alias("corpus"), "session_id", "start_ms", F.col("total_cost").alias("cost"), F.col("tool_errors").cast("double").alias("errors"), F.coalesce("model", F.lit("")).alias("model"))
+    series = materialise(series)
+    hours = activity.active_hours_by_day(of("activity_runs"))
+    out = {
+        "totals": totals, "cost_shares": corpus.cost_shares(totals), "cost_by_provider": providers, "billed": usage.billed_split(providers),
+        "models": usage.model_tiers(models), "tools": corpus.top_keys(corpus.merged_counts(of("tool_counts"), "tool"), "tool"),
+        "error_rates": corpus.error_rates(pairing.tool_outcomes(of("outcomes"), [])),
+        "tool_durations": corpus.pooled_tool_durations(materialise(of("tool_durations"))),
+        "turn_percentiles": corpus.pooled_percentiles(materialise(of("turn_percentiles").join(keep.select("session_id", "turn_count"), "session_id")), "metric", "turn_count"),
+        "worst_turns": corpus.worst_turns(parts["worst_turns"].drop("rank").join(ids, "session_id")),
+        "worst_cache": corpus.worst_cache_sessions(keep), "churned_files": corpus.churned_files(of("session_files").drop("rank")),
+        "calendar": corpus.calendar(keep), "projects": corpus.project_counts(keep), "active_hours": hours,
+        "overlaps": activity.overlap_summary(activity.interleavings(of("humans"))), "hour_histogram": activity.hour_histogram(of("humans")),
+        "reply_histogram": activity.reply_histogram(of("reply_times")), "time_rollup": rollup,
+        "slow_requests": usage.top_rows(of("requests").drop("rank"), [], [F.desc("active_sec"), F.asc("session_id"), F.asc("request_no")], 5),
+        "weeks": trends.week_summary(series, ["corpus"]), "trajectory": trends.trajectory(series, ["corpus"]),
+        "anomalies": trends.anomalies(series, ["corpus"]), "delta": trends.deltas(series, ["corpus"]),
+    }
+    if facet_rows is not None:
+        good = labels.valid_facets(facet_rows).join(ids, "session_id")
+        out["outcomes"] = labels.outcome_counts(good.where("is_analysis"))
+    out["facts"] = facts.total_facts(totals, []).unionByName(facts.named_facts(
+        [], models=models.join(F.broadcast(totals.select("total_cost"))), providers=providers, hours=hours, time_shares=rollup,
+        error_rates=out["error_rates"],
+    ))
+    return out
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """One parquet dataset per report section."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.functions.text import is_human_message
+from worktrail.session import materialise
 
 COST = "struct<input:double,output:double,cacheRead:double,cacheWrite:double,total:double>"
 USAGE = f"struct<input:double,output:double,cacheRead:double,cacheWrite:double,totalTokens:double,cost:{COST}>"
@@ -88,7 +89,8 @@ def parse_records(lines: DataFrame) -> DataFrame:
 
 def normalise(lines: DataFrame) -> LogTables:
     """Typed tables from record lines."""
-    records = parse_records(lines)
+    # Some ten selects read the records: parse each line once.
+    records = materialise(parse_records(lines))
     owner = [F.col(c) for c in OWNER]
     kind, custom = F.col("r.type"), F.col("r.customType")
 

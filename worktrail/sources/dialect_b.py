@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.operators.scan import SEQ_CHUNK, by_width, ordered_scan
+from worktrail.session import materialise
 from worktrail.sources.dialect_a import millis
 
 RECORD = (
@@ -54,7 +55,8 @@ def parse_records(lines: DataFrame) -> DataFrame:
 
 
 def normalise(lines: DataFrame) -> FlatTables:
-    records = parse_records(lines)
+    # Some ten selects read the records: parse each line once.
+    records = materialise(parse_records(lines))
     kind = F.col("r.type")
     is_user = (kind == "user") & F.col("r.message").isNotNull()
     side = F.coalesce(F.col("r.isSidechain"), F.lit(False))
