@@ -1,0 +1,116 @@
+"""Log folders to session and corpus tables."""
+
+import pytest
+from builders import T0, answer, call, human, result, session, start, write
+
+from worktrail.operators.usage import provider_basis
+from worktrail.plans import pipeline, refresh
+from worktrail.sources import logs
+
+MIN = 60_000
+
+
+def parent_records():
+    return [
+        session("p1", T0),
+        human("r1", T0 + MIN, "fix the parser"),
+        answer("r2", T0 + 2 * MIN, call("c1", "read", path="/src/a.py"), call("c2", "edit", input="[/src/a.py#0A1b]\nPUT 3.=5\n+x\n-y"), cost=1.0, ttft=500, duration=1500),
+        start("r3", T0 + 2 * MIN, "c1", "read"),
+        result("r4", T0 + 2 * MIN + 4000, "c1", "read"),
+        result("r5", T0 + 2 * MIN + 5000, "c2", "edit", "failed", error=True),
+        human("r6", T0 + 30 * MIN, "no, that is wrong"),
+        answer("r7", T0 + 31 * MIN, {"type": "text", "text": "sorry"}, cost=2.0, stopReason="aborted"),
+    ]
+
+
+@pytest.fixture(scope="module")
+def corpus_dir(tmp_path_factory):
+    root = tmp_path_factory.mktemp("logs")
+    write(root / "shop" / "2024_p1.jsonl", parent_records(), tail='{"type":"message","id":"cut')
+    write(root / "shop" / "2024_p1" / "__advisor.jsonl", [answer("a1", T0, cost=0.25)])
+    write(root / "shop" / "2024_p1" / "x" / "x.Sub.jsonl", [answer("b1", T0, call("z", "bash", command="ls"), cost=0.5)])
+    (root / "shop" / "2024_p1" / "7.bash.log").write_text("spill")
+    # A fork copies the parent's records and its sidecar, then goes on.
+    fork = [session("f1", T0 + 40 * MIN, parent=str(root / "shop" / "2024_p1.jsonl")), *parent_records()[1:],
+            human("n1", T0 + 41 * MIN, "go on"), human("n2", T0 + 50 * MIN, "and again"), answer("n3", T0 + 51 * MIN, cost=4.0)]
+    write(root / "shop" / "2024_f1.jsonl", fork)
+    write(root / "shop" / "2024_f1" / "x" / "x.Sub.jsonl", [answer("b1", T0, cost=0.5), answer("b2", T0, cost=0.125)])
+    # The smaller copy under another project and a loose file do not count.
+    write(root / "old" / "2024_p1.jsonl", parent_records()[:2])
+    write(root / "loose.jsonl", parent_records()[:2])
+    return str(root)
+
+
+@pytest.fixture(scope="module")
+def built(spark, corpus_dir):
+    files, tables = pipeline.build_tables(spark, corpus_dir)
+    return files, tables, pipeline.session_tables(files, tables)
+
+
+def rows(df, *keys):
+    return {tuple(r[k] for k in keys): r for r in df.collect()}
+
+
+def test_files(built):
+    files, _, _ = built
+    got = rows(files, "session_id")
+    assert set(got) == {("p1",), ("f1",)}
+    assert got[("p1",)].path.endswith("/shop/2024_p1.jsonl")
+    assert (got[("p1",)].advisor_logs, got[("p1",)].subagent_logs) == (1, 1)
+    assert got[("p1",)].signature.count("|") == 2
+
+
+def test_missing_root(spark, tmp_path):
+    assert logs.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_sessions_without_fork_copies(built):
+    got = rows(built[2]["sessions"], "session_id")
+    p, f = got[("p1",)], got[("f1",)]
+    assert (p.cost_primary, p.cost_advisor, p.cost_subagent, p.total_cost) == (3.0, 0.25, 0.5, 3.75)
+    assert (f.cost_primary, f.cost_subagent, f.total_cost) == (4.0, 0.125, 4.125)
+    assert (p.user_message_count, p.duration_minutes, p.tool_errors) == (2, 31, 1)
+    assert (p.lines_added, p.lines_removed, p.files_modified) == (1, 4, 1)
+    assert (p.aborted_generations, p.aborted_at_session_end, p.first_prompt) == (1, 1, "fix the parser")
+    assert f.user_message_count == 2
+
+
+def test_total_is_sum_of_classes(built):
+    for r in built[2]["sessions"].collect():
+        assert r.total_cost == pytest.approx(r.cost_primary + r.cost_advisor + r.cost_subagent)
+
+
+def test_reconciles(built):
+    _, tables, parts = built
+    assert all(r.matches for r in refresh.reconcile(tables.usage_events, parts["sessions"]).collect())
+
+
+def test_turns_and_time(built):
+    turn = rows(built[2]["turns"], "session_id", "turn_no")[("p1", 1)]
+    assert (turn.round_trips, turn.tool_calls, turn.exploration, turn.mutated) == (1, 2, 1, True)
+    time = rows(built[2]["session_time"], "session_id")[("p1",)]
+    # Two seconds of model time end where the four of the read call begin.
+    assert (time.model, time.tools) == (2.0, 4.0)
+    assert time.active_sec + time.idle == 30 * 60
+
+
+def test_corpus_tables(spark, built):
+    basis = provider_basis(spark.createDataFrame([("north", "api_key", 1)], "provider string, credential_type string, row_no int"))
+    out = pipeline.corpus_tables(built[2], basis, now_ms=T0 + 100 * MIN)
+    assert out["totals"].collect()[0].sessions == 2
+    assert out["billed"].collect()[0].billed_cost == pytest.approx(7.875)
+    ids = {r.fact_id for r in out["facts"].collect()}
+    assert {"total_cost", "model_cost.m-1", "time.share.model", "active_hours"} <= ids
+    for name, df in out.items():
+        df.count(), name
+
+
+def test_report_round_trip(spark, built, tmp_path):
+    pipeline.write_report({"turns": built[2]["turns"]}, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "turns")).count() == built[2]["turns"].count()
+
+
+def test_versions(spark, built, tmp_path):
+    sessions = built[2]["sessions"].select("session_id", "total_cost")
+    path = refresh.write_version(sessions, str(tmp_path / "s"), 3)
+    assert spark.read.parquet(path).count() == 2

@@ -13,7 +13,9 @@ from worktrail.operators.scan import by_magnitude, ordered_scan
 def round_half_up(x: Column, digits: int = 0) -> Column:
     """floor(x + 0.5) at `digits` decimals: halves go up, also below zero."""
     scale = float(10**digits)
-    out = F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double")
+    raised = x * F.lit(scale) + F.lit(0.5)
+    # floor gives a bigint; doubles beyond 2^53 have no fraction to round.
+    out = F.when(F.abs(raised) < 2.0**53, F.floor(raised).cast("double")).otherwise(raised)
     return out / F.lit(scale) if digits else out
 
 

@@ -60,7 +60,7 @@ def matches_any(text: Column, patterns: Sequence[str], ignore_case: bool = True)
 
 def trimmed(text: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def is_human_message(role: Column, attribution: Column, text: Column) -> Column:
@@ -138,24 +138,29 @@ def fit_words(text: Column, limit: Column | int, ellipsis: Column | bool = True)
     """
     limit = F.lit(limit) if isinstance(limit, int) else limit
     ellipsis = F.lit(ellipsis) if isinstance(ellipsis, bool) else ellipsis
-    marked = F.regexp_replace(trimmed(text), r"([.!?])\s+", "$1\u0001")
+    return let(trimmed(text), lambda body: F.when(word_count(body) <= limit, text).otherwise(
+        F.when(ellipsis, _whole_sentences(body, limit)).otherwise(first_words(body, limit))
+    ))
+
+
+def _whole_sentences(body: Column, limit: Column) -> Column:
+    """The longest run of leading sentences that fits, else the first words."""
+    marked = F.regexp_replace(body, r"([.!?])\s+", "$1\u0001")
     sentences = F.filter(F.transform(F.split(marked, "\u0001"), trimmed), lambda s: s != "")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-
-    def take(acc: Column, sentence: Column) -> Column:
-        n = acc["n"] + word_count(sentence)
-        fits = acc["open"] & (n <= limit)
-        joined = F.when(acc["out"] == "", sentence).otherwise(F.concat(acc["out"], F.lit(" "), sentence))
-        return F.struct(
-            F.when(fits, joined).otherwise(acc["out"]).alias("out"),
-            F.when(fits, n).otherwise(acc["n"]).alias("n"),
-            fits.alias("open"),
+
+    def fitting(parts: Column) -> Column:
+        # Running word count and number of sentences taken; NULL words: closed.
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("taken"))
+        step = lambda acc, n: F.struct(
+            F.when(acc["words"] + n <= limit, acc["words"] + n).alias("words"),
+            F.when(acc["words"] + n <= limit, acc["taken"] + 1).otherwise(acc["taken"]).alias("taken"),
         )
+        taken = F.aggregate(F.transform(parts, word_count), start, step)["taken"]
+        return let(taken, lambda k: F.when(k > 0, F.array_join(F.slice(parts, F.lit(1), k), " ")).otherwise(
+            F.concat(first_words(body, limit), F.lit("…"))
+        ))
 
-    whole = F.aggregate(sentences, start, take)["out"]
-    hard = first_words(text, limit)
-    cut = F.when(~ellipsis, hard).when(whole != "", whole).otherwise(F.concat(hard, F.lit("…")))
-    return F.when(word_count(text) <= limit, text).otherwise(cut)
+    return let(sentences, fitting)
 
 
 def last_segment(path: Column) -> Column:

@@ -175,7 +175,7 @@ def _points(intervals: DataFrame, ranges: DataFrame, humans: DataFrame) -> DataF
     work = live.select(
         "session_id", F.col("p.t").alias("t"), F.lit(0).alias("open"), no_mark,
         *[
-            F.when((F.col("bucket") == b) & (F.col("background") == g), F.col("p.d")).otherwise(0).alias(_counter(b, g))
+            F.expr(f"CASE WHEN bucket = '{b}' AND background = {str(g).lower()} THEN p.d ELSE 0 END").alias(_counter(b, g))
             for b, g in PRIORITY
         ],
     )
@@ -194,11 +194,10 @@ def _points(intervals: DataFrame, ranges: DataFrame, humans: DataFrame) -> DataF
     )
 
 
-def _owner(value) -> Column:
-    chain = F
-    for b, g in PRIORITY:
-        chain = chain.when(value(_counter(b, g)) > 0, b)
-    return chain.otherwise(None)
+def _owner(counter: str) -> Column:
+    """First bucket by priority whose counter is positive; `{c}` stands for its column."""
+    arms = " ".join(f"WHEN {counter.format(c=_counter(b, g))} > 0 THEN '{b}'" for b, g in PRIORITY)
+    return F.expr(f"CASE {arms} END")
 
 
 def time_segments(intervals: DataFrame, ranges: DataFrame, humans: DataFrame) -> DataFrame:
@@ -212,8 +211,7 @@ def time_segments(intervals: DataFrame, ranges: DataFrame, humans: DataFrame) ->
         },
         next_={"t2": F.col("t")},
     )
-    owner = _owner(lambda c: F.col(c))
-    before = _owner(lambda c: F.col(c) - F.col(f"d_{c}"))
+    owner, before = _owner("{c}"), _owner("({c} - d_{c})")
     was_inside = F.col("inside") - F.col("d_open") > 0
     return materialise(rows.select(
         "session_id", "t", "t2", "request_no", "mark", (F.col("inside") > 0).alias("inside"),

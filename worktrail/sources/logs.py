@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from worktrail.session import materialise
+
 ADVISOR_FILE = "__advisor.jsonl"  # fixed value: file name of an advisor sidecar
 PATH_SCHEMA = "path string, size bigint, mtime_ms bigint"
 
@@ -32,6 +39,64 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _open(path: str):
+    """(file system, plain path) for a Spark path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path if ":" in path else "file:" + path))
+
+
+def list_hidden(primary: DataFrame, name: str = ADVISOR_FILE) -> DataFrame:
+    """Files called `name` below the folder of each log.
+
+    Spark's readers skip names with a leading underscore, so tasks list these
+    folders themselves, each task those of its own logs.
+    """
+    from pyarrow import fs
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for folder in batch["folder"]:
+                system, plain = _open(folder)
+                infos = system.get_file_info(fs.FileSelector(plain, recursive=True, allow_not_found=True))
+                root = folder[: len(folder) - len(plain)] if folder.endswith(plain) else ""
+                found += [(root + i.path, i.size, i.mtime_ns // 1_000_000) for i in infos if i.is_file and i.base_name == name]
+            yield pd.DataFrame(found, columns=["path", "size", "mtime_ms"])
+
+    return primary.select(F.regexp_replace("path", r"\.jsonl$", "").alias("folder")).mapInPandas(look, PATH_SCHEMA)
+
+
+def read_ranges(files: DataFrame, width: int = 64 << 20, batch_lines: int = 20_000) -> DataFrame:
+    """Lines of files as (path, seq, line), read by byte ranges in tasks.
+
+    For files Spark's text reader skips. A line belongs to the range it starts
+    in; `seq` is its byte offset.
+    """
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, start in zip(batch["path"], batch["start"]):
+                system, plain = _open(path)
+                rows = []
+                with system.open_input_file(plain) as raw, io.BufferedReader(raw) as stream:
+                    at = 0
+                    if start:
+                        stream.seek(start - 1)
+                        at = start - 1 + len(stream.readline())
+                    while at < start + width and (line := stream.readline()):
+                        rows.append((path, at, line.rstrip(b"\r\n").decode("utf-8", "replace")))
+                        at += len(line)
+                        if len(rows) >= batch_lines:
+                            yield pd.DataFrame(rows, columns=["path", "seq", "line"])
+                            rows = []
+                yield pd.DataFrame(rows, columns=["path", "seq", "line"])
+
+    ranges = files.where("size > 0").select(
+        "path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(width).cast("bigint"))).alias("start")
+    )
+    return ranges.repartition("path", "start").mapInPandas(read, "path string, seq bigint, line string")
+
+
 def _inside(path: Column, root: str) -> Column:
     """Path relative to the root folder, ignoring the file system scheme."""
     plain = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
@@ -138,24 +203,25 @@ def read_corpus(spark: SparkSession, root: str, source: str, flat: bool = False)
     files = list_files(spark, root)
     primary = primary_logs(files, root)
     if flat:
+        side = None
         logs = primary.withColumn(
             "signature", F.concat(F.col("size"), F.lit(":"), F.col("mtime_ms"))
         ).withColumns({"advisor_logs": F.lit(0).cast("bigint"), "subagent_logs": F.lit(0).cast("bigint")})
     else:
-        logs = with_signatures(primary, sidecar_logs(files, root))
-    kept = drop_duplicate_logs(logs).withColumn("source", F.lit(source))
+        side = materialise(sidecar_logs(files.unionByName(list_hidden(primary)), root))
+        logs = with_signatures(primary, side)
+    kept = materialise(drop_duplicate_logs(logs).withColumn("source", F.lit(source)))
     owners = kept.select(
         "session_id", "path", F.lit("primary").alias("kind"), F.lit("").alias("sidecar_name")
     )
-    if not flat:
-        side = sidecar_logs(files, root).join(
-            kept.select("project_dir", "base", "session_id"), ["project_dir", "base"]
-        )
-        owners = owners.unionByName(side.select("session_id", "path", "kind", "sidecar_name"))
     try:
         lines = read_lines(spark, root)
     except AnalysisException:
         lines = spark.createDataFrame([], "path string, seq bigint, line string")
+    if side is not None:
+        owned = side.join(kept.select("project_dir", "base", "session_id"), ["project_dir", "base"])
+        owners = owners.unionByName(owned.select("session_id", "path", "kind", "sidecar_name"))
+        lines = lines.unionByName(read_ranges(owned.where("kind = 'advisor'").select("path", "size")))
     records = (
         lines.withColumn("path", _plain(F.col("path")))
         .join(owners.withColumn("path", _plain(F.col("path"))), "path")
