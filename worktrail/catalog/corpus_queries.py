@@ -300,12 +300,16 @@ def mean(c, cond):
 
 
 PCT = "floor(({a} - {b}) / (CASE WHEN {b} = 0 THEN 1 ELSE {b} END) * 100 + 0.5)"
+RAW_MEANS = (
+    f"SELECT owner, count(*) FILTER (pos > n - 20) AS recent_n, count(*) FILTER (pos <= n - 20) AS older_n, {mean('cost', 'pos > n - 20')} AS rc, {mean('cost', 'pos <= n - 20')} AS oc, "
+    f"{mean('errors', 'pos > n - 20')} AS re, {mean('errors', 'pos <= n - 20')} AS oe FROM rn GROUP BY 1"
+)
+# Both windows need 20 sessions; below that there is no trend and no figure.
 query("w2_trajectory", "owner:l recent_n:l older_n:l cost_trend:s errors_trend:s recent_mean_cost:d older_mean_cost:d cost_pct:d errors_pct:d",
-      "SELECT *, CASE WHEN recent_mean_cost > older_mean_cost * 1.2 THEN 'increasing' WHEN recent_mean_cost < older_mean_cost * 0.8 THEN 'decreasing' ELSE 'stable' END AS cost_trend, "
-      "CASE WHEN re > oe * 1.2 THEN 'increasing' WHEN re < oe * 0.8 THEN 'decreasing' ELSE 'stable' END AS errors_trend, "
-      + PCT.format(a="recent_mean_cost", b="older_mean_cost") + " AS cost_pct, " + PCT.format(a="re", b="oe") + " AS errors_pct FROM ("
-      f"SELECT owner, count(*) FILTER (pos > n - 20) AS recent_n, count(*) FILTER (pos <= n - 20) AS older_n, {mean('cost', 'pos > n - 20')} AS recent_mean_cost, {mean('cost', 'pos <= n - 20')} AS older_mean_cost, "
-      f"{mean('errors', 'pos > n - 20')} AS re, {mean('errors', 'pos <= n - 20')} AS oe FROM rn GROUP BY 1)", ["order_sessions"], [RN])(
+      "SELECT owner, recent_n, older_n, CASE WHEN NOT ok THEN 'insufficient' WHEN rc > oc * 1.2 THEN 'increasing' WHEN rc < oc * 0.8 THEN 'decreasing' ELSE 'stable' END AS cost_trend, "
+      "CASE WHEN NOT ok THEN 'insufficient' WHEN re > oe * 1.2 THEN 'increasing' WHEN re < oe * 0.8 THEN 'decreasing' ELSE 'stable' END AS errors_trend, "
+      "CASE WHEN ok THEN rc END AS recent_mean_cost, CASE WHEN ok THEN oc END AS older_mean_cost, CASE WHEN ok THEN " + PCT.format(a="rc", b="oc") + " END AS cost_pct, CASE WHEN ok THEN "
+      + PCT.format(a="re", b="oe") + f" END AS errors_pct FROM (SELECT *, recent_n >= 20 AND older_n >= 20 AS ok FROM ({RAW_MEANS}))", ["order_sessions"], [RN])(
     lambda s, d: trends.trajectory(m.order_sessions(s, d), ["owner"]))
 query("w3_anomalies", "owner:l session_id:l pos:l cost:d errors:l rank:l",
       "SELECT *, row_number() OVER (PARTITION BY owner ORDER BY cost DESC, pos) AS rank FROM (SELECT *, avg(cost) OVER w AS ac, avg(errors) OVER w AS ae FROM rn WINDOW w AS (PARTITION BY owner ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) "

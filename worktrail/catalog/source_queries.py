@@ -75,7 +75,7 @@ query("s14_scan_summary", "measure:s n:l",
       f"SELECT coalesce('excluded_' || x, 'included') AS measure, count(*) AS n FROM (SELECT {EXCLUDED} AS x FROM kept) GROUP BY 1 UNION ALL SELECT 'primary_logs', count(*) FROM kept UNION ALL SELECT 'advisor_logs', sum(advisor_logs) FROM kept UNION ALL SELECT 'subagent_logs', sum(subagent_logs) FROM kept", [], [KEPT])(
     lambda s, d: logs.scan_summary(logs.drop_duplicate_logs(signed(s, d)), logs.drop_duplicate_logs(signed(s, d)).withColumn("exclusion", F.expr(EXCLUDED))))
 query("s13_manifest", "session_id:s path:s total_cost:d sidecars:l",
-      "SELECT k.session_id, k.path, k.size / 100.0 AS total_cost, coalesce(n, 0) AS sidecars FROM kept k LEFT JOIN (SELECT project_dir, base, count(DISTINCT path) AS n FROM side GROUP BY 1, 2) USING (project_dir, base)", [], [KEPT])(
+      "SELECT k.session_id, k.path, k.size / 100.0 AS total_cost, coalesce(n, 0) AS sidecars FROM kept k LEFT JOIN (SELECT project_dir, base, count(*) AS n FROM side GROUP BY 1, 2) USING (project_dir, base)", [], [KEPT])(
     lambda s, d: manifest_rows(s, d))
 
 
@@ -83,7 +83,7 @@ def manifest_rows(spark, d):
     kept = logs.drop_duplicate_logs(signed(spark, d))
     rows = kept.select("session_id", F.col("mtime_ms").alias("start_ms"), (F.col("size") / 100.0).alias("total_cost"), F.lit(0.0).alias("cost_primary"), F.lit(0.0).alias("cost_advisor"), F.lit(0.0).alias("cost_subagent"))
     side = logs.sidecar_logs(listing(spark, d), ROOT).join(kept.select("project_dir", "base", "session_id"), ["project_dir", "base"])
-    return refresh.manifest(rows, kept, side).withColumn("sidecars", F.when(F.col("sidecar_paths").isNull(), 0).otherwise(F.size("sidecar_paths")))
+    return refresh.manifest(rows, kept, side)
 
 
 query("j24_changed_sizes", "session_id:s recorded_size:l size:l",

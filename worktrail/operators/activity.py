@@ -11,6 +11,7 @@ from worktrail.operators.scan import DAY_MS, HOUR_MS, by_width, covered_length,
 from worktrail.session import materialise
 
 GAP_MS = 15 * 60_000  # fixed value: a longer gap ends an activity run
+CORPUS_CHUNK_MS = 5 * 60_000  # messages of all sessions together: short chunks
 OVERLAP_MS = 30 * 60_000  # fixed value: messages this close may interleave
 
 
@@ -65,7 +66,7 @@ def _message_order(messages: DataFrame, by: Sequence[str]) -> DataFrame:
     keys = list(by) or ["_all"]
     rows = points if by else points.withColumn("_all", F.lit(1))
     here = F.struct(F.col("session_id").alias("sid"), F.col("ts_ms").alias("ts"))
-    every = materialise(ordered_scan(rows, keys, order, by_width("ts_ms", HOUR_MS), next_={"n": here}))
+    every = materialise(ordered_scan(rows, keys, order, by_width("ts_ms", CORPUS_CHUNK_MS), next_={"n": here}))
     own = F.struct(F.col("ts_ms").alias("ts"))
     return ordered_scan(
         every, [*keys, "session_id"], ["ts_ms", "seq"], by_width("ts_ms", HOUR_MS), next_={"own": own}
@@ -119,7 +120,7 @@ def busy_elsewhere(gaps: DataFrame, messages: DataFrame, by: Sequence[str] = ())
     add = (lambda d: d) if by else (lambda d: d.withColumn("_all", F.lit(1)))
     points = add(messages.where("is_human and ts_ms is not null").select(*by, "session_id", "seq", "ts_ms"))
     order = ["ts_ms", "session_id", "seq"]
-    chunk = by_width("ts_ms", HOUR_MS)
+    chunk = by_width("ts_ms", CORPUS_CHUNK_MS)
     prior = materialise(ordered_scan(points, keys, order, chunk, last={"p": F.col("session_id")}))
     starts = F.when(F.col("p").isNull() | (F.col("p") != F.col("session_id")), F.col("ts_ms"))
     nexts = materialise(ordered_scan(prior, keys, order, chunk, next_={"other_ms": starts}))
@@ -135,7 +136,7 @@ def busy_elsewhere(gaps: DataFrame, messages: DataFrame, by: Sequence[str] = ())
     # A gap sorts before messages of the same time, so its start is inclusive.
     met = ordered_scan(
         m.unionByName(g), keys, ["t", "is_message", "session_id", "seq"],
-        by_width("t", HOUR_MS), next_={"first": F.col("m")},
+        by_width("t", CORPUS_CHUNK_MS), next_={"first": F.col("m")},
     ).where("is_message = 0")
     foreign = F.when(F.col("first.sid") != F.col("session_id"), F.col("first.ts")).otherwise(F.col("first.other"))
     return met.where(foreign < F.col("end_ms")).select(*by, "session_id", F.col("t").alias("start_ms"), "end_ms")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.numeric import exact_sum, medians, percentiles, ratio, select_ranks
 from worktrail.functions.text import last_segment
-from worktrail.operators.usage import cache_hit_ratio, top_rows
+from worktrail.operators.usage import cache_hit_ratio, top_rows, with_row
 
 
 def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -88,7 +88,7 @@ def pooled_tool_durations(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         whole = sums.groupBy(*by).agg(exact_sum(F.col("total_sec")).alias("_whole"))
         withed = sums.join(whole, list(by))
     else:
-        withed = sums.join(F.broadcast(sums.agg(exact_sum(F.col("total_sec")).alias("_whole"))))
+        withed = with_row(sums, sums.agg(exact_sum(F.col("total_sec")).alias("_whole")))
     return withed.join(pooled, [*by, "tool"]).withColumn("share", ratio(F.col("total_sec"), F.col("_whole"))).drop("_whole")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from worktrail.functions.labels import FRICTION_LABELS, OUTCOME_WORDS
 from worktrail.functions.text import lookup
 from worktrail.operators.scan import DAY_MS
-from worktrail.operators.usage import top_rows
+from worktrail.operators.usage import top_rows, with_row
 
 HALF_LIFE_DAYS = 10  # fixed value: a label counts half after ten days
 LAMBDA = math.log(2) / (HALF_LIFE_DAYS * DAY_MS)
@@ -80,8 +80,7 @@ def decay_weights(sessions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         latest = sessions.groupBy(*by).agg(F.max("start_ms").alias("_latest"))
         rows = sessions.join(latest, list(by))
     else:
-        # The latest time is one number: a scalar aggregate, cross-joined as a literal row.
-        rows = sessions.join(F.broadcast(sessions.agg(F.max("start_ms").alias("_latest"))))
+        rows = with_row(sessions, sessions.agg(F.max("start_ms").alias("_latest")))
     age = F.col("_latest") - F.col("start_ms")
     return rows.withColumn("weight", F.exp(F.lit(-LAMBDA) * age)).drop("_latest")
 

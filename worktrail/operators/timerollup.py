@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from worktrail.functions.numeric import exact_sum, ratio
 from worktrail.functions.waits import is_heavy_model
 from worktrail.operators.timesplit import ACTIVE, BUCKETS
-from worktrail.operators.usage import top_rows
+from worktrail.operators.usage import top_rows, with_row
 
 UNRECOGNISED = ["polling: generic", "polling: polling"]  # fixed values: polling of unknown target
 
@@ -121,7 +121,7 @@ def unrecognised_waiting(families: DataFrame, rollup: DataFrame, by: Sequence[st
     unknown = F.col("family").isin(*UNRECOGNISED)
     sec = families.groupBy(*keys).agg(exact_sum(F.when(unknown, F.col("busy_sec"))).alias("unrecognised_sec"))
     tools = rollup.where("bucket = 'tools'").select(*keys, F.col("seconds").alias("tools_sec"))
-    joined = sec.join(tools, keys, "left") if keys else sec.join(F.broadcast(tools))
+    joined = sec.join(tools, keys, "left") if keys else with_row(sec, tools)
     return joined.withColumn("share", ratio(F.col("unrecognised_sec"), F.coalesce("tools_sec", F.lit(0.0))))
 
 

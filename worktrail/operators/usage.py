@@ -13,6 +13,11 @@ from worktrail.functions.numeric import exact_sum, nearest_rank, ratio, round_ha
 SUMS = ["input", "output", "cache_read", "cache_write", "cost", "cost_input", "cost_output"]
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate (a broadcast of exactly one row)."""
+    return df.withColumn("_row", F.lit(1)).join(F.broadcast(row.withColumn("_row", F.lit(1))), "_row").drop("_row")
+
+
 def usage_totals(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The seven sums, and the cost of out-of-band calls."""
     return events.groupBy(*keys).agg(

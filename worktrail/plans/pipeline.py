@@ -162,7 +162,7 @@ def corpus_tables(
         good = labels.valid_facets(facet_rows).join(ids, "session_id")
         out["outcomes"] = labels.outcome_counts(good.where("is_analysis"))
     out["facts"] = facts.total_facts(totals, []).unionByName(facts.named_facts(
-        [], models=models.join(F.broadcast(totals.select("total_cost"))), providers=providers, hours=hours, time_shares=rollup,
+        [], models=usage.with_row(models, totals.select("total_cost")), providers=providers, hours=hours, time_shares=rollup,
         error_rates=out["error_rates"],
     ))
     return out

@@ -37,12 +37,19 @@ def write_version(sessions: DataFrame, root: str, version: int) -> str:
 
 
 def manifest(sessions: DataFrame, logs: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """The exact session set behind a report, with paths and cost split."""
-    paths = sidecars.groupBy("session_id").agg(F.array_sort(F.collect_set("path")).alias("sidecar_paths"))
+    """The exact session set behind a report, with paths and cost split.
+
+    Sidecars are counted here; `manifest_sidecars` lists them, one per row.
+    """
+    paths = sidecars.groupBy("session_id").agg(F.count("*").alias("sidecars"))
     cost = ["total_cost", "cost_primary", "cost_advisor", "cost_subagent"]
     return sessions.select("session_id", "start_ms", *cost).join(
         logs.select("session_id", "path", "signature"), "session_id", "left"
-    ).join(paths, "session_id", "left")
+    ).join(paths, "session_id", "left").na.fill(0, ["sidecars"])
+
+
+def manifest_sidecars(sidecars: DataFrame) -> DataFrame:
+    return sidecars.select("session_id", "kind", "sidecar_name", "path", "size")
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
