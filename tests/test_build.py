@@ -4,7 +4,7 @@ import pytest
 from builders import T0, answer, call, human, result, session, start, write
 
 from worktrail.operators.usage import provider_basis
-from worktrail.plans import pipeline, refresh
+from worktrail.plans import build, refresh
 from worktrail.sources import logs
 
 MIN = 60_000
@@ -43,8 +43,8 @@ def corpus_dir(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def built(spark, corpus_dir):
-    files, tables = pipeline.build_tables(spark, corpus_dir)
-    return files, tables, pipeline.session_tables(files, tables)
+    files, tables = build.build_tables(spark, corpus_dir)
+    return files, tables, build.session_tables(files, tables)
 
 
 def rows(df, *keys):
@@ -96,7 +96,7 @@ def test_turns_and_time(built):
 
 def test_corpus_tables(spark, built):
     basis = provider_basis(spark.createDataFrame([("north", "api_key", 1)], "provider string, credential_type string, row_no int"))
-    out = pipeline.corpus_tables(built[2], basis, now_ms=T0 + 100 * MIN)
+    out = build.corpus_tables(built[2], basis, now_ms=T0 + 100 * MIN)
     assert out["totals"].collect()[0].sessions == 2
     assert out["billed"].collect()[0].billed_cost == pytest.approx(7.875)
     ids = {r.fact_id for r in out["facts"].collect()}
@@ -106,7 +106,7 @@ def test_corpus_tables(spark, built):
 
 
 def test_report_round_trip(spark, built, tmp_path):
-    pipeline.write_report({"turns": built[2]["turns"]}, str(tmp_path))
+    build.write_report({"turns": built[2]["turns"]}, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "turns")).count() == built[2]["turns"].count()
 
 

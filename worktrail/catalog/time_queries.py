@@ -116,7 +116,7 @@ def split(spark, d):
     """(segments, gaps) of the mapped intervals."""
     ranges = timesplit.session_ranges(m.messages(spark, d), humans(spark, d))
     segments = timesplit.time_segments(intervals(spark, d), ranges, humans(spark, d))
-    return segments, timesplit.gap_pieces(segments)
+    return segments, materialise(timesplit.gap_pieces(segments))
 
 
 PRIO = ("CASE WHEN background THEN CASE bucket WHEN 'ci' THEN 0.505 WHEN 'review' THEN 0.504 WHEN 'agents' THEN 0.503 ELSE 0.502 END ELSE "

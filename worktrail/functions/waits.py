@@ -7,36 +7,24 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.text import let, lookup, matches_any, names_review, trimmed
 
-# Command shapes that wait for a build or deployment. Each entry
-# is a list of words with the widest gap (in characters) before the next word.
-CI_SHAPES = [
-    ["glab", 15, "api", 60, "(?:pipelines|jobs)"],
-    ["gh", 15, "api", 80, "(?:actions/runs|check-runs|statuses)"],
-    ["circleci", 15, "(?:pipeline|workflow)"],
-    ["bk", 15, "build", 15, "(?:view|watch)"],
-    ["az", 15, "pipelines", 20, "(?:run|runs\\s+show)"],
-    ["az", 15, "build", 15, "show"],
-    ["kubectl", 15, "rollout", 15, "status"],
-    ["argocd", 15, "app", 15, "wait"],
-    ["netlify", 15, "watch"],
-    ["aws", 15, "codebuild", 15, "batch-get-builds"],
-    ["aws", 15, "codepipeline", 15, "get-pipeline-state"],
-]
-CI_FLAGGED = [
+# Command shapes that wait for a build or a deployment.
+CI_WAITS = [
+    r"\bglab\s+ci\b|\bgh\s+pr\s+checks\b|\bgh\s+run\s+(?:list|watch|view)\b|\bdeploy\s+status\b|\bvercel\s+inspect\b",
+    r"\bglab\b[\s\S]{0,15}\bapi\b[\s\S]{0,60}\b(?:pipelines|jobs)\b",
+    r"\bgh\b[\s\S]{0,15}\bapi\b[\s\S]{0,80}\b(?:actions/runs|check-runs|statuses)\b",
     r"\bjenkins-cli(?:\.jar)?\b[\s\S]{0,60}\bbuild\b[\s\S]{0,40}(?:-s\b|-w\b)",
     r"\bjava\s+-jar\s+jenkins-cli\.jar\b[\s\S]{0,60}\bbuild\b",
     r"\b(?:curl|wget)\b[\s\S]{0,80}/job/[\s\S]{0,120}\b(?:api/json|lastBuild)\b",
-    r"\bcircleci\.com/api/v2/(?:pipeline|workflow)\b",
-    r"\bapi\.buildkite\.com/v2/[\s\S]{0,80}/builds\b",
+    r"\bcircleci\b[\s\S]{0,15}\b(?:pipeline|workflow)\b|\bcircleci\.com/api/v2/(?:pipeline|workflow)\b",
+    r"\bbk\b[\s\S]{0,15}\bbuild\b[\s\S]{0,15}\b(?:view|watch)\b|\bapi\.buildkite\.com/v2/[\s\S]{0,80}/builds\b",
+    r"\baz\b[\s\S]{0,15}\bpipelines\b[\s\S]{0,20}\b(?:run\b|runs\s+show\b)|\baz\b[\s\S]{0,15}\bbuild\b[\s\S]{0,15}\bshow\b",
+    r"\bkubectl\b[\s\S]{0,15}\brollout\b[\s\S]{0,15}\bstatus\b|\bargocd\b[\s\S]{0,15}\bapp\b[\s\S]{0,15}\bwait\b",
     r"\bargocd\b[\s\S]{0,15}\bapp\b[\s\S]{0,15}\bsync\b[\s\S]{0,40}--wait\b",
     r"\bhelm\b[\s\S]{0,15}\b(?:upgrade|install)\b[\s\S]{0,80}--wait\b",
-    r"\b(?:flyctl|fly)\b[\s\S]{0,15}\bstatus\b[\s\S]{0,15}--watch\b",
+    r"\bnetlify\b[\s\S]{0,15}\bwatch\b|\b(?:flyctl|fly)\b[\s\S]{0,15}\bstatus\b[\s\S]{0,15}--watch\b",
     r"\bgcloud\b[\s\S]{0,15}\bbuilds\b[\s\S]{0,15}\blog\b[\s\S]{0,40}--stream\b",
-]
-# Words that must be adjacent (only white space between) rather than near.
-ADJACENT = [
-    r"\bglab\s+ci\b", r"\bgh\s+pr\s+checks\b", r"\bgh\s+run\s+(?:list|watch|view)\b",
-    r"\bdeploy\s+status\b", r"\bvercel\s+inspect\b",
+    r"\baws\b[\s\S]{0,15}\bcodebuild\b[\s\S]{0,15}\bbatch-get-builds\b",
+    r"\baws\b[\s\S]{0,15}\bcodepipeline\b[\s\S]{0,15}\bget-pipeline-state\b",
 ]
 CLOUD_SUBMIT = r"\bgcloud\b[\s\S]{0,15}\bbuilds\b[\s\S]{0,15}\bsubmit\b"
 CLOUD_SUBMIT_ASYNC = CLOUD_SUBMIT + r"[\s\S]{0,60}--async\b"
@@ -61,26 +49,13 @@ HEAVY_TIER = [
 ]
 
 
-def ci_patterns() -> list[str]:
-    """The build-wait rule table as regular expressions."""
-    near = []
-    for shape in CI_SHAPES:
-        words = shape[0::2]
-        gaps = shape[1::2]
-        text = rf"\b{words[0]}\b"
-        for gap, word in zip(gaps, words[1:]):
-            text += rf"[\s\S]{{0,{gap}}}\b{word}\b"
-        near.append(text)
-    return ADJACENT + near + CI_FLAGGED
-
-
 def waits_for(text: Column) -> Column:
     """struct(kind, target) of a wait, NULL kind for plain work."""
     return let(text, _waits_for)
 
 
 def _waits_for(text: Column) -> Column:
-    ci = matches_any(text, ci_patterns()) | (
+    ci = matches_any(text, CI_WAITS) | (
         matches_any(text, [CLOUD_SUBMIT]) & ~matches_any(text, [CLOUD_SUBMIT_ASYNC])
     )
     labelled = text.rlike(POLL_LABEL)
@@ -130,6 +105,7 @@ def bucket_of_wait(kind: Column) -> Column:
     return F.when(kind.isin("ci", "review", "agents"), kind).otherwise(F.lit("tools"))
 
 
+# What stands around the command that does the work.
 SETUP = r"^(?:(?:cd\s+\S+\s*&&\s*)|(?:set\s+[^;&\n]*(?:;|&&|\n)\s*))+"
 ENV = r"^(?:[A-Za-z_][A-Za-z0-9_]*=\S*\s+)+"
 RUNNER = r"^(?:npx|pnpm\s+exec|uv\s+run)(?:\s+|$)"
@@ -163,6 +139,7 @@ def shell_family(command: Column) -> Column:
     return let(words, family)
 
 
+# Code that runs a command, drives a browser or is Python.
 SUBPROCESS = (
     r"\b(?:sh|subprocess\.(?:run|call|check_output|check_call|Popen))\s*\(\s*['\"`]([^'\"`]+)['\"`]"
     r"|\bBun\.\$\s*(?:\(\s*['\"`]([^'\"`]+)['\"`]|`([^`]*)`)"

@@ -129,7 +129,7 @@ def busy_elsewhere(gaps: DataFrame, messages: DataFrame, by: Sequence[str] = ())
         F.struct(F.col("session_id").alias("sid"), F.col("ts_ms").alias("ts"), F.col("other_ms").alias("other")).alias("m"),
         F.lit(None).cast("bigint").alias("end_ms"),
     )
-    g = add(gaps).select(
+    g = add(materialise(gaps)).select(
         *keys, F.col("start_ms").alias("t"), F.lit(0).alias("is_message"), "session_id",
         F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("struct<sid:string,ts:bigint,other:bigint>").alias("m"), "end_ms",
     )

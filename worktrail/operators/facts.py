@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.numeric import ratio, round_half_up
 from worktrail.operators.scan import by_magnitude, ordered_scan
+from worktrail.session import materialise
 
 PERCENT_TOLERANCE = 1.0  # fixed values: how close a quoted figure must be
 DOLLAR_TOLERANCE = 0.01
 
+# How figures are written.
 NUMBER = r"(\d[\d,]*(?:\.\d+)?)"
 PERCENT = rf"{NUMBER}(?:\s*(?:-|to)\s*{NUMBER})?\s*%"
 DOLLAR = rf"\$\s?{NUMBER}\s*([kKmM]\b)?"
@@ -190,8 +192,9 @@ def unbacked_figures(quotes: DataFrame, facts: DataFrame, by: Sequence[str] = ()
         *keys, "value", F.lit(0).alias("is_quote"), F.lit(None).cast(q.schema["q"].dataType).alias("q")
     )
     known = F.when(F.col("is_quote") == 0, F.col("value"))
+    # The texts are searched once; the scan reads its input twice.
     rows = ordered_scan(
-        q.unionByName(f), keys, ["value", "is_quote", "q"], by_magnitude("value"), last={"lo": known}, next_={"hi": known}
+        materialise(q.unionByName(f)), keys, ["value", "is_quote", "q"], by_magnitude("value"), last={"lo": known}, next_={"hi": known}
     ).where("is_quote = 1")
     slack = lambda u: F.when(F.col("unit") == "pct", F.lit(PERCENT_TOLERANCE)).otherwise(
         F.greatest(u * DOLLAR_TOLERANCE, F.col("q.slack"))

@@ -63,7 +63,8 @@ def ordered_scan(
     sums, maxs, last = dict(sums or {}), dict(maxs or {}), dict(last or {})
     next_, totals = dict(next_ or {}), dict(totals or {})
     keys, order = list(keys), list(order)
-    position = F.struct(*[F.col(c) for c in order])
+    # A plain column keeps the summary in a hash aggregate; a struct would sort.
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     chunked = df.withColumn("_chunk", chunk)
 
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
@@ -79,7 +80,6 @@ def ordered_scan(
     )
 
     summary = chunked.groupBy(*keys, "_chunk").agg(
-        F.lit(1).alias("_one"),
         *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()],
         *[F.max(e).alias(f"_m_{n}") for n, e in maxs.items()],
         *[F.max_by(e, F.when(e.isNotNull(), position)).alias(f"_l_{n}") for n, e in last.items()],

@@ -164,7 +164,7 @@ COUNTERS = [_counter(b, g) for b, g in PRIORITY]
 def _points(intervals: DataFrame, ranges: DataFrame, humans: DataFrame) -> DataFrame:
     """One row per (session, time) with the change of every counter."""
     none = [F.lit(0).alias(c) for c in COUNTERS]
-    no_mark = F.lit(None).cast("struct<seq:bigint,prompt:string>").alias("mark")
+    no_mark = F.lit(None).cast("bigint").alias("mark")
     live = intervals.where("end_ms > start_ms").select(
         "session_id", "bucket", "background",
         F.explode(F.array(
@@ -187,7 +187,7 @@ def _points(intervals: DataFrame, ranges: DataFrame, humans: DataFrame) -> DataF
     ).select("session_id", "p.t", F.col("p.d").alias("open"), no_mark, *none)
     marks = humans.select(
         "session_id", F.col("ts_ms").alias("t"), F.lit(0).alias("open"),
-        F.struct(F.col("seq"), F.substring(trimmed(F.col("text")), 1, 120).alias("prompt")).alias("mark"), *none,
+        F.col("seq").alias("mark"), *none,
     )
     return work.unionByName(edges).unionByName(marks).groupBy("session_id", "t").agg(
         F.sum("open").alias("d_open"), F.max("mark").alias("mark"), *[F.sum(c).alias(f"d_{c}") for c in COUNTERS]
@@ -201,7 +201,11 @@ def _owner(counter: str) -> Column:
 
 
 def time_segments(intervals: DataFrame, ranges: DataFrame, humans: DataFrame) -> DataFrame:
-    """Stretches [t, t2) with their owner (NULL: nobody), state before, request number."""
+    """Stretches [t, t2) with their owner (NULL: nobody), state before, request number.
+
+    `mark` is the seq of the human message that opens a request at t. Points
+    hold numbers alone, so they combine in hash aggregates.
+    """
     points = materialise(_points(intervals, ranges, humans))
     rows = ordered_scan(
         points, ["session_id"], ["t"], by_width("t", HOUR_MS),
@@ -285,7 +289,7 @@ def request_times(
     """Wall time, active time and dominant bucket of every request."""
     wide = _shares(segments.where("request_no > 0"), gaps.where("request_no > 0"), ["session_id", "request_no"], "cut_ms", cap_ms)
     starts = segments.where("mark is not null").select(
-        "session_id", "request_no", F.col("t").alias("start_ms"), F.col("mark.prompt").alias("prompt")
+        "session_id", "request_no", F.col("t").alias("start_ms"), F.col("mark").alias("seq")
     )
     names = [b for b in BUCKETS if b != "elsewhere" and (idle_may_dominate or b != "idle")]
     ranked = F.array_sort(F.array(*[F.struct((-F.col(b)).alias("v"), F.lit(i).alias("i"), F.lit(b).alias("b")) for i, b in enumerate(names)]))
@@ -298,6 +302,12 @@ def request_times(
     )
 
 
+def with_prompts(requests: DataFrame, humans: DataFrame) -> DataFrame:
+    """Add the opening words of each request's message."""
+    said = humans.select("session_id", "seq", F.substring(trimmed(F.col("text")), 1, 120).alias("prompt"))
+    return requests.join(said, ["session_id", "seq"])
+
+
 def slowest_requests(requests: DataFrame, k: int = 5, by: str = "active_sec") -> DataFrame:
     return top_rows(requests, ["session_id"], [F.desc(by), F.asc("request_no")], k)
 

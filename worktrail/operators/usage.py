@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from worktrail.functions.numeric import exact_sum, nearest_rank, ratio, round_half_up, select_ranks
+from worktrail.session import materialise
 
 SUMS = ["input", "output", "cache_read", "cache_write", "cost", "cost_input", "cost_output"]
 
@@ -109,7 +110,8 @@ def list_price(model_usage: DataFrame) -> DataFrame:
 def model_tiers(priced: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Tier of each model from its price relative to the (upper middle) median."""
     keys = list(by) or ["_all"]
-    rows = priced if by else priced.withColumn("_all", F.lit(1))
+    # One row per model, read three times below.
+    rows = materialise(priced if by else priced.withColumn("_all", F.lit(1)))
     middle = select_ranks(
         rows.where("input_per_mtok > 0"), keys, "input_per_mtok",
         {"median_price": lambda n: nearest_rank(n, 50)},

@@ -105,7 +105,7 @@ def session_tables(files: DataFrame, tables: LogTables) -> dict[str, DataFrame]:
         "tool_durations": tools.tool_durations(pairing.timed_calls(starts, results)), "languages": tools.language_counts(calls),
         "session_files": tools.top_files(tools.edits_by_file(edits)), "failure_classes": tools.failure_classes(msg),
         "session_time": timesplit.session_time(segments, gaps), "you_gaps": timesplit.you_gaps(segments, gaps),
-        "requests": timesplit.slowest_requests(timesplit.request_times(segments, gaps)),
+        "requests": timesplit.with_prompts(timesplit.slowest_requests(timesplit.request_times(segments, gaps)), humans),
         "busy_by_tool": timesplit.busy_by(busy, "tool"), "busy_by_family": timesplit.busy_by(busy, "family"),
         "usage_events": tables.usage_events, "humans": humans.select("session_id", "seq", "ts_ms", "is_human", "text"),
     }
