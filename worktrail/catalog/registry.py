@@ -45,7 +45,12 @@ def query(name: str, spec: str, sql: str | None = None, tables: list[str] | None
     """Register a query. `sql` is a SELECT over `tables` and `ctes`."""
 
     def register(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: shaped(fn(spark, sf_dir), spec)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Days and hours of the tables are UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return shaped(fn(spark, sf_dir), spec)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_tables(tables or [], *(ctes or []), f"q AS ({sql})") + f"SELECT {shaped_sql(spec)} FROM q"
         return fn
