@@ -70,13 +70,16 @@ def ordered_scan(
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
-    after = inside.rowsBetween(1, W.unboundedFollowing)
+    # A frame of all later rows is evaluated afresh for each row; the same rows
+    # in reverse order are a growing frame, one step each.
+    reverse = W.partitionBy(*keys, "_chunk").orderBy(*[F.desc(c) for c in order])
+    after = reverse.rowsBetween(W.unboundedPreceding, -1)
     local = chunked.select(
         "*",
         *[F.coalesce(F.sum(e).over(upto), F.lit(0)).alias(f"_s_{n}") for n, e in sums.items()],
         *[F.max(e).over(before).alias(f"_m_{n}") for n, e in maxs.items()],
         *[F.last(e, ignorenulls=True).over(before).alias(f"_l_{n}") for n, e in last.items()],
-        *[F.first(e, ignorenulls=True).over(after).alias(f"_n_{n}") for n, e in next_.items()],
+        *[F.last(e, ignorenulls=True).over(after).alias(f"_n_{n}") for n, e in next_.items()],
     )
 
     summary = chunked.groupBy(*keys, "_chunk").agg(
@@ -88,7 +91,7 @@ def ordered_scan(
     )
     across = W.partitionBy(*keys).orderBy("_chunk")
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
-    later = across.rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     carry = summary.select(
         *keys,
@@ -96,7 +99,7 @@ def ordered_scan(
         *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_cs_{n}") for n in sums],
         *[F.max(f"_m_{n}").over(earlier).alias(f"_cm_{n}") for n in maxs],
         *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_cl_{n}") for n in last],
-        *[F.first(f"_n_{n}", ignorenulls=True).over(later).alias(f"_cn_{n}") for n in next_],
+        *[F.last(f"_n_{n}", ignorenulls=True).over(later).alias(f"_cn_{n}") for n in next_],
         *[F.sum(f"_t_{n}").over(whole).alias(f"_ct_{n}") for n in totals],
     )
     joined = local.join(carry, [*keys, "_chunk"])
