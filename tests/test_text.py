@@ -58,7 +58,7 @@ def test_review_words(spark):
     assert column(spark, ["ModelPreview", "ReviewMR188", "auto_approve", "reviewed!", "interview"], text.names_review) == [False, True, True, True, False]
 
 
-@pytest.mark.parametrize("name,heavy", [("a/claude-opus-5", True), ("o3-mini", False), ("gpt-5-pro", True), ("gpt-5-pro-mini", False), ("promax", False), ("grok-4-heavy", True), ("mistral-large", True)])
+@pytest.mark.parametrize("name,heavy", [("a/x-opus-5", True), ("o3-mini", False), ("gpt-5-pro", True), ("gpt-5-pro-mini", False), ("promax", False), ("grok-4-heavy", True), ("mistral-large", True)])
 def test_heavy_models(spark, name, heavy):
     assert column(spark, [name], waits.is_heavy_model) == [heavy]
 
