@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worktrail.session import ensure_checkpoint_dir
+
 # Fixed value: a word is a run of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -18,14 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty.
 
-    `lower` does just that on pure ASCII texts; others go through one byte
-    replacement per letter, which scans faster than a per-character table.
+    `lower` does just that on pure ASCII texts and is much faster than
+    `translate`, which the others need.
     """
     text = F.coalesce(text, F.lit(""))
-    replaced = text
-    for upper in string.ascii_uppercase:
-        replaced = F.replace(replaced, F.lit(upper), F.lit(upper.lower()))
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(replaced)
+    folded = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(folded)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,3 +37,16 @@ def held_out(doc_id: Column) -> Column:
 def input_bytes(df: DataFrame) -> int:
     """Size estimate of a plan's input as Spark's optimizer sees it."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet into the checkpoint folder and read it back.
+
+    For results that are read more than once: readers prune columns, see real
+    sizes, and don't depend on the executors that made it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
