@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.llm import bpe, exact_dedup, langid, simhash
+from worktrail.llm import bpe, exact_dedup, langid, simhash, substring
 from worktrail.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,26 @@ def op2_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_substring_dedup(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM words WHERE len(w) >= 50),
+windows AS (SELECT doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS h FROM starts),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM windows JOIN firsts USING (h) WHERE doc_id > first),
+gone AS (SELECT doc_id, list(i) AS gone FROM covered GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END AS k
+  FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
 @query
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
