@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.llm import bpe, exact_dedup, langid, simhash, substring
-from worktrail.llm.common import held_out, table
+from worktrail.llm import bpe, exact_dedup, langid, quality, simhash, substring
+from worktrail.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,14 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), ''))
 """
 
 
+@query
+def op7_quality(spark, sf_dir):
+    stats = stored(quality.document_statistics(table(spark, sf_dir, "documents")))
+    model = quality.fit(stats, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    score = F.col("score")
+    return quality.score(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score, (score >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
