@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.llm import bpe, exact_dedup, langid, quality, simhash, substring
+from worktrail.llm import bpe, exact_dedup, langid, mixing, quality, simhash, substring
 from worktrail.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,34 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), ''))
 """
 
 
+@query
+def op6_source_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op6_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS turn FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(no - 1) % 3 + 1] AS weight, 3 * s AS most, sum(s) OVER () AS total FROM s),
+o AS (
+  SELECT *, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left, total - coalesce(sum(most) OVER before, 0) AS words_left
+  FROM w WINDOW before AS (ORDER BY most::DOUBLE / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, most * weight_left < weight * words_left AS is_full FROM o),
+g AS (SELECT *, sum(CASE WHEN is_full THEN most ELSE 0 END) OVER () AS full_words, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () AS open_weight FROM f),
+t AS (
+  SELECT source, s AS source_size,
+    CASE WHEN is_full THEN most::DOUBLE ELSE (weight * (total - full_words))::DOUBLE / open_weight::DOUBLE END AS target FROM g),
+p AS (
+  SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS quota,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE quota // source_size * size + least(greatest(quota % source_size - off, 0), size) END::BIGINT AS taken
+FROM p
+"""
+
+
 @query
 def op7_quality(spark, sf_dir):
     stats = stored(quality.document_statistics(table(spark, sf_dir, "documents")))
