@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.llm import bpe, exact_dedup, langid, mixing, quality, simhash, substring
+from worktrail.llm import bpe, exact_dedup, langid, mixing, quality, simhash, substring, url_rules
 from worktrail.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,48 @@ def query(fn):
     return fn
 
 
+# The list rules of the contract.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+@query
+def op1_url_filter(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op1_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS args FROM cut),
+r(rule, action) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+fit AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM u JOIN r ON ('.' || host LIKE '%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY page_id),
+v AS (
+  SELECT page_id, host, path, rule, action, list_sort(list_distinct(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x)
+    || list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> ''), lambda x: 'p:' || x)
+    || list_transform(list_filter(list_transform(string_split(args, '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'q:' || x))) AS tokens
+  FROM u LEFT JOIN fit USING (page_id)),
+one AS (SELECT page_id, action, unnest(tokens) AS t FROM v),
+sets AS (
+  SELECT page_id, action, [t] AS w FROM one
+  UNION ALL SELECT a.page_id, a.action, [a.t, b.t] FROM one a JOIN one b ON a.page_id = b.page_id AND a.t < b.t
+  UNION ALL SELECT a.page_id, a.action, [a.t, b.t, c.t] FROM one a JOIN one b ON a.page_id = b.page_id AND a.t < b.t JOIN one c ON b.page_id = c.page_id AND b.t < c.t),
+mined AS (
+  SELECT w, count(*) AS n, count(*) FILTER (action = 'block') AS blocks, count(*) FILTER (action = 'allow') AS allows FROM sets WHERE action IS NOT NULL GROUP BY w),
+least AS (SELECT ceil(0.01::DOUBLE * count(*)) AS n FROM v WHERE action IS NOT NULL),
+best AS (
+  SELECT page_id,
+    coalesce(max(CASE WHEN blocks >= least.n AND blocks / mined.n >= 0.9::DOUBLE THEN blocks / mined.n END), 0) AS b,
+    coalesce(max(CASE WHEN allows >= least.n AND allows / mined.n >= 0.9::DOUBLE THEN allows / mined.n END), 0) AS a
+  FROM sets JOIN mined USING (w), least GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN b > a THEN 'block' ELSE 'allow' END) AS verdict FROM v LEFT JOIN best USING (page_id)
+"""
+
+
 @query
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
