@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.llm import bpe, exact_dedup, langid, mixing, quality, simhash, substring, url_rules
+from worktrail.llm import bpe, chat, exact_dedup, langid, mixing, quality, simhash, substring, url_rules
 from worktrail.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,29 @@ def op2_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_chat_rotation(spark, sf_dir):
+    span = lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))
+    rotated = chat.rotate(table(spark, sf_dir, "conversations"))
+    return rotated.withColumn("mask", F.array_join(F.transform("mask", span), ","))
+
+
+ORACLES["op3_chat_rotation"] = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text), role, text) - 1 AS position FROM t),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+p AS (
+  SELECT o.conv_id, speaker, position // 64 AS part, position, o.role = speaker AS own,
+    CASE WHEN o.role = speaker THEN '<|assistant|>' WHEN o.role = 'system' THEN '<|system|>' ELSE '<|user name=' || replace(o.role, '<|', '< |') || '|>' END || chr(10) AS head,
+    replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM o JOIN s ON o.conv_id IS NOT DISTINCT FROM s.conv_id),
+q AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p)
+SELECT conv_id, speaker, part, count(*)::INTEGER AS n_turns, string_agg(head || body, '' ORDER BY position) AS text,
+  coalesce(string_agg((start + length(head))::VARCHAR || '-' || (start + length(head) + length(body))::VARCHAR, ',' ORDER BY position) FILTER (own), '') AS mask
+FROM q GROUP BY conv_id, speaker, part
+"""
+
+
 @query
 def op4_substring_dedup(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
