@@ -27,19 +27,26 @@ HOT_SHARE = 4096
 LEADING = 32
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id (the group's largest id), group_size,
-    kept, text_sha256 (of the normalised text)."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _sorted(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows (id, norm, part, ...) range-partitioned by text, and the columns that
+    name a group; `part` is -1 but for hot texts."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     total = rows.count()
     # texts that are equal after folding A-Z are equal after `lower` too
     lower = F.lower("text")
-    keyed = rows.select("id", "text", F.xxhash64(lower).alias("h"), F.left(lower, F.lit(LEADING)).alias("leading"))
+    keyed = rows.select("*", F.xxhash64(lower).alias("h"), F.left(lower, F.lit(LEADING)).alias("leading"))
     counts = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     hot = counts.where(F.col("n") * HOT_SHARE > total).select("h", F.ceil(F.col("n") * HOT_SHARE / F.lit(max(total, 1))).alias("parts"))
     salted = keyed.join(F.broadcast(hot), "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(-1)))
     ranged = salted.repartitionByRange("leading", "h", "part").withColumn("norm", fold_ascii(F.col("text")))
-    same = Window.partitionBy("leading", "h", "part", "norm")
+    return ranged, ["leading", "h", "part", "norm"]
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, keep_id (the group's largest id), group_size,
+    kept, text_sha256 (of the normalised text)."""
+    ranged, group = _sorted(df, id_col, text_col, [])
+    same = Window.partitionBy(*group)
     compared = stored(ranged.select(
         "id", "part",
         F.max("id").over(same).alias("keep_id"),
@@ -57,3 +64,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("id").eqNullSafe(keep).alias("kept"),
         F.col("sha256").alias("text_sha256"),
     )
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df`, but of equal texts only one with the largest id."""
+    carried = [F.col(c).alias(f"own {i}") for i, c in enumerate(df.columns)]
+    ranged, group = _sorted(df, id_col, text_col, carried)
+    first = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("id"), F.xxhash64("text")))
+    kept = ranged.withColumn("place", first(group)).where("place = 1")
+    hot = kept.where("part >= 0").withColumn("place", first(["norm"])).where("place = 1")
+    return kept.where("part < 0").union(hot).select(*[F.col(f"own {i}").alias(c) for i, c in enumerate(df.columns)])

@@ -227,15 +227,22 @@ def predict_texts(texts: list[str | None], model: LanguageModel | None) -> tuple
     return langs, scores
 
 
-def predict(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row."""
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(id, lang_pred, score) of every row, with the columns in `carry` besides."""
+    kept = [id_col, *(carry or [])]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                langs, scores = predict_texts(part.column(1).to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
+                langs, scores = predict_texts(part.column(0).to_pylist(), model)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(F.col(text_col).alias("text to judge"), *kept).mapInArrow(run, schema)
+
+
+def drop_unknown(df: DataFrame, model: LanguageModel | None, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` whose text is in a known language with at least `least_score`."""
+    judged = predict(df, model, id_col, text_col, carry=[c for c in df.columns if c != id_col])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*df.columns)

@@ -43,7 +43,7 @@ GOLDEN = Decimal("0.618033988749894848")
 @dataclass
 class Mixture:
     sources: DataFrame  # source_no, source, source_size, weight, target, quota (words taken), blocks, slots, first_slot
-    rows: DataFrame  # id, source_no, size, off (of the first word in the source's order)
+    rows: DataFrame  # id, own (text hash), source_no, size, off (of the first word in the source's order)
     slots: DataFrame  # slot, source_no, block, first, last (words of the source's order)
     block_words: int
 
@@ -60,11 +60,11 @@ class Mixture:
         )
 
     def taken(self) -> DataFrame:
-        """(id, size, source_size, target, taken) of every row."""
+        """(id, own, size, source_size, target, taken) of every row."""
         sums = self.pieces().groupBy("source_no", "off").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
         rows = self.rows.where("size > 0").join(sums, ["source_no", "off"], "left").unionByName(self.rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
         return rows.join(self.sources.select("source_no", "source_size", "target"), "source_no").select(
-            "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+            "id", "own", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
         )
 
 
@@ -135,7 +135,7 @@ def mix(
     """The mix of all rows of `df`."""
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_PATTERN)).cast("long")
     turn = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = stored(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), turn.alias("turn")))
+    sized = stored(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), turn.alias("turn"), F.xxhash64(text_col).alias("own")))
     sources = source_targets(sized, weights, most_epochs)
     total = sized.agg(F.sum("size")).first()[0] or 0
     block_words = max(1, min(most_block_words, total // LEAST_SLOTS))
@@ -148,11 +148,31 @@ def mix(
     n_slots = sources.agg(F.sum("slots")).first()[0] or 0
 
     numbered = sized.join(sources.select(F.col("source").alias("name"), "source_no"), F.col("source").eqNullSafe(F.col("name"))).select(
-        "id", "source_no", "size", "turn", F.left("turn", F.lit(3)).alias("chunk"),
+        "id", "own", "source_no", "size", "turn", F.left("turn", F.lit(3)).alias("chunk"),
     )
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = numbered.groupBy("source_no", "chunk").agg(F.sum("size").alias("n")).select("source_no", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source_no", "chunk").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_no", "chunk").orderBy("turn", "id", "size", "own").rowsBetween(Window.unboundedPreceding, -1)
     rows = numbered.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(chunks, ["source_no", "chunk"])
-    rows = stored(rows.select("id", "source_no", "size", (F.col("before") + F.col("within")).alias("off")))
+    rows = stored(rows.select("id", "own", "source_no", "size", (F.col("before") + F.col("within")).alias("off")))
     return Mixture(sources, rows, _slots(sources, n_slots, block_words), block_words)
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """The rows of `df` as often as the mix takes them.
+
+    The one document of a source where the mix stops is cut to its first
+    words, joined by one space; `length_col` then gets its new length.
+    """
+    taken = mix(df, id_col, text_col, **options).taken().groupBy("id", "own", "size").agg(F.max("taken").alias("taken"))
+    rows = df.withColumn("own hash", F.xxhash64(text_col)).join(
+        taken.where("taken > 0"), F.col(id_col).eqNullSafe(F.col("id")) & (F.col("own hash") == F.col("own"))
+    )
+    words = F.least("size", F.col("taken") - F.col("size") * F.col("copy"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))))).withColumn("words", words)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD_PATTERN), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col(text_col))
+    out = rows.withColumn(text_col, text)
+    if length_col:
+        out = out.withColumn(length_col, F.when(F.col("words") < F.col("size"), F.char_length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.select(*df.columns)

@@ -127,7 +127,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 @query
 def op6_source_mix(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).taken().withColumnRenamed("id", "doc_id")
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("own").withColumnRenamed("id", "doc_id")
 
 
 ORACLES["op6_source_mix"] = r"""

@@ -129,3 +129,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     linked = members.join(component, "root").select("fingerprint", "of_component")
     ids = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("of_component", "least_id").alias("component_id"))
     return rows.join(ids, "fingerprint").select(id_col, hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most_bits: int = 3) -> DataFrame:
+    """The rows of `df`, but of each component only those of its smallest id.
+
+    Rows with a null id stay; rows that share an id stay or go together.
+    """
+    gone = near_groups(df, id_col, text_col, shingle, most_bits).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
+    return df.join(gone, F.col(id_col) == F.col("gone"), "left_anti").select(*df.columns)
