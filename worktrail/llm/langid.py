@@ -244,5 +244,8 @@ def predict(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
 
 def drop_unknown(df: DataFrame, model: LanguageModel | None, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` whose text is in a known language with at least `least_score`."""
-    judged = predict(df, model, id_col, text_col, carry=[c for c in df.columns if c != id_col])
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*df.columns)
+    names = {c: f"own {i}" for i, c in enumerate(df.columns)}
+    own = df.select(*[F.col(c).alias(n) for c, n in names.items()])
+    judged = predict(own, model, names[id_col], names[text_col], carry=[n for c, n in names.items() if c != id_col])
+    judged = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return judged.select(*[F.col(n).alias(c) for c, n in names.items()])
