@@ -6,9 +6,10 @@ import check_oracle
 import pytest
 
 import __spark_entry__ as entry
+from worktrail.catalog import load
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load()  # the corpus queries have tests of their own
 
 
 @pytest.fixture(scope="module")
