@@ -162,3 +162,28 @@ def test_transition_walks_back(spark):
     assert trends.trajectory(df, ["corpus"]).collect()[0].cost_trend == "increasing"
     short = df.where("session_id < 's30'")
     assert trends.trajectory(short, ["corpus"]).collect()[0].cost_trend == "insufficient"
+
+
+def test_many_tiny_costs_add_up(spark):
+    rows = spark.range(1_000_000).select(F.lit(1e-7).alias("cost"))
+    assert rows.agg(exact_sum(F.col("cost")).alias("s")).first().s == pytest.approx(0.1)
+    assert spark.range(3).select(F.lit(1e15).alias("cost")).agg(exact_sum(F.col("cost")).alias("s")).first().s == 3e15
+
+
+def test_first_call_says_whether_a_browser_is_driven(spark):
+    calls = spark.createDataFrame([("s", "c", 1, 0, False), ("s", "c", 5, 0, True)], "session_id string, call_id string, seq long, idx int, drives_browser boolean")
+    results = spark.createDataFrame([("s", "c", 9, "eval", False, "")], "session_id string, call_id string, seq long, tool string, is_error boolean, text string")
+    assert [r.rate_key for r in pairing.call_outcomes(calls, results).collect()] == ["eval"]
+
+
+def test_all_aborts_are_kept_and_ten_shown(spark):
+    records = [session("s1", T0), human("h", T0, "go"), *[answer(f"a{i}", T0 + i, stopReason="aborted") for i in range(15)]]
+    t = dialect_a.normalise(lines(spark, records))
+    events = turns.abort_events(t.messages, t.tool_calls)
+    assert (events.count(), turns.first_aborts(events).count()) == (15, 10)
+
+
+def test_async_submit_elsewhere_does_not_hide_a_blocking_one(spark):
+    text = "gcloud builds submit . && sleep 1 " + "x" * 80 + "; gcloud builds submit --async ."
+    row = spark.createDataFrame([(text,), ("gcloud builds submit --async .",)], "t string").select(waits.waits_for(F.col("t"))["kind"].alias("k")).collect()
+    assert [r.k for r in row] == ["ci", None]

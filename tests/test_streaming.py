@@ -1,6 +1,7 @@
 """Streams over several batches: late rows, timers, redelivery."""
 
 import os
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -68,3 +69,19 @@ def test_long_request_alerts(spark, stream):
     # Once per request; the aborted answer holds back until the timer.
     assert fired == {"busy": "tool_calls", "sorry": "correction", "quiet": "minutes", "cut": "minutes"}
     assert len(got) == 4
+
+
+@pytest.mark.parametrize("rows_per_batch", [7, 10_000])
+def test_alerts_do_not_depend_on_arrow_batches(spark, stream, rows_per_batch):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "session_id string, seq bigint, ts timestamp, is_human boolean, is_aborted boolean, is_correction boolean, tool_calls int"
+    rows = [("s", i, at(i), i % 40 == 0, False, False, 1) for i in range(200)]
+    random.Random(1).shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+    try:
+        got = live.run_once(live.long_requests(stream(schema, rows).withColumn("ts_ms", F.unix_millis("ts")))).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    # Five requests of forty minutes, each due after thirty.
+    assert sorted((r.fired_ms - r.start_ms) // 60_000 for r in got) == [30] * 5

@@ -41,7 +41,7 @@ def outcomes(spark, d):
 
 TITLE = "CASE tool WHEN 'bash' THEN 'Shell Failed' WHEN 'read' THEN 'Read Failed' WHEN 'eval' THEN 'Eval Failed' WHEN 'wait' THEN 'Wait Failed' WHEN 'mcp__srv_x' THEN 'MCP: srv' END"
 OUTCOMES = (
-    "first_call AS (SELECT session_id, call_id, min(seq) AS call_seq, max(CASE WHEN tool = 'eval' AND contains(code, 'browser.') THEN 1 ELSE 0 END) AS br "
+    "first_call AS (SELECT session_id, call_id, min(seq) AS call_seq, arg_min(CASE WHEN tool = 'eval' AND contains(code, 'browser.') THEN 1 ELSE 0 END, (seq, idx)) AS br "
     "FROM tool_calls GROUP BY 1, 2), "
     "known AS (SELECT r.session_id, r.tool, r.is_error, r.text, c.br FROM results r JOIN first_call c USING (session_id, call_id) "
     "WHERE c.call_seq < r.seq QUALIFY row_number() OVER (PARTITION BY r.session_id, r.call_id ORDER BY r.seq DESC) = 1), "
@@ -284,7 +284,7 @@ ABORTS = (
     "len(list_distinct(list_concat(" + WORDS.format(x="coalesce(ptext, '')") + ", " + WORDS.format(x="ntext") + "))) AS nu FROM ctx c JOIN cnt k USING (session_id, seq)), "
     "aborts AS (SELECT *, CASE WHEN regexp_matches(next_text, '(?i)^(no|nope|wait|stop|not that|instead|actually|hold on)\\b') THEN 'course_correction' "
     "WHEN tool_calls_before = 0 AND gap_sec < 60 AND nu > 0 AND ni::DOUBLE / nu >= 0.5 THEN 'user_rephrased' "
-    "WHEN gap_sec IS NULL OR gap_sec > 300 THEN 'abandoned' ELSE 'unknown' END AS label, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS abort_no FROM ab2 QUALIFY abort_no <= 10)"
+    "WHEN gap_sec IS NULL OR gap_sec > 300 THEN 'abandoned' ELSE 'unknown' END AS label FROM ab2)"
 )
 ABORT_SPEC = "session_id:s seq:l ts_ms:l tool_calls_before:l elapsed_sec:d partial_text:s next_text:s gap_sec:d label:s abort_no:l"
 
@@ -293,7 +293,8 @@ def abort_rows(spark, d):
     return turns.abort_events(m.messages(spark, d), first_calls(spark, d))
 
 
-query("a10_abort_events", ABORT_SPEC, "SELECT * FROM aborts", ["messages", "tool_calls"], [ABORTS])(abort_rows)
+query("a10_abort_events", ABORT_SPEC, "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS abort_no FROM aborts QUALIFY abort_no <= 10", ["messages", "tool_calls"], [ABORTS])(
+    lambda s, d: turns.first_aborts(abort_rows(s, d)))
 query("a10_ends_aborted", "session_id:s ends_aborted:l",
       "SELECT session_id, arg_max(CASE WHEN stop_reason = 'aborted' THEN 1 ELSE 0 END, seq) AS ends_aborted FROM messages GROUP BY 1", ["messages"])(
     lambda s, d: turns.ends_aborted(m.messages(s, d)))

@@ -20,8 +20,11 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
 
 
 def exact_sum(x: Column) -> Column:
-    """Sum as decimal, so the result does not depend on task order."""
-    return F.coalesce(F.sum(x.cast("decimal(18,6)")), F.lit(0)).cast("double")
+    """Sum as decimal, so the result does not depend on task order.
+
+    Twelve decimals keep costs of a single token; totals reach 10^26.
+    """
+    return F.coalesce(F.sum(x.cast("decimal(38,12)")), F.lit(0)).cast("double")
 
 
 def ratio(part: Column, whole: Column) -> Column:

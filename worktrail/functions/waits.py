@@ -22,12 +22,11 @@ CI_WAITS = [
     r"\bargocd\b[\s\S]{0,15}\bapp\b[\s\S]{0,15}\bsync\b[\s\S]{0,40}--wait\b",
     r"\bhelm\b[\s\S]{0,15}\b(?:upgrade|install)\b[\s\S]{0,80}--wait\b",
     r"\bnetlify\b[\s\S]{0,15}\bwatch\b|\b(?:flyctl|fly)\b[\s\S]{0,15}\bstatus\b[\s\S]{0,15}--watch\b",
+    r"\bgcloud\b[\s\S]{0,15}\bbuilds\b[\s\S]{0,15}\bsubmit\b(?![\s\S]{0,60}--async\b)",
     r"\bgcloud\b[\s\S]{0,15}\bbuilds\b[\s\S]{0,15}\blog\b[\s\S]{0,40}--stream\b",
-    r"\baws\b[\s\S]{0,15}\bcodebuild\b[\s\S]{0,15}\bbatch-get-builds\b",
-    r"\baws\b[\s\S]{0,15}\bcodepipeline\b[\s\S]{0,15}\bget-pipeline-state\b",
+    r"\baws\b[\s\S]{0,15}\bcodebuild\b[\s\S]{0,15}\bbatch-get-builds\b|\baws\b[\s\S]{0,15}\bcodepipeline\b[\s\S]{0,15}\bget-pipeline-state\b",
 ]
-CLOUD_SUBMIT = r"\bgcloud\b[\s\S]{0,15}\bbuilds\b[\s\S]{0,15}\bsubmit\b"
-CLOUD_SUBMIT_ASYNC = CLOUD_SUBMIT + r"[\s\S]{0,60}--async\b"
+# Marks of waiting for agents and of polling.
 AGENT_BLOCKING = [
     r"\borca\b[\s\S]{0,15}\borchestration\b[\s\S]{0,15}\bcheck\b[\s\S]{0,80}--wait\b",
     r"\borca\b[\s\S]{0,15}\bterminal\b[\s\S]{0,15}\bwait\b",
@@ -55,9 +54,7 @@ def waits_for(text: Column) -> Column:
 
 
 def _waits_for(text: Column) -> Column:
-    ci = matches_any(text, CI_WAITS) | (
-        matches_any(text, [CLOUD_SUBMIT]) & ~matches_any(text, [CLOUD_SUBMIT_ASYNC])
-    )
+    ci = matches_any(text, CI_WAITS)
     labelled = text.rlike(POLL_LABEL)
     label = F.when(labelled, F.regexp_extract(text, POLL_LABEL, 1)).otherwise(text)
     is_poll = text.rlike(POLL_CALL) | labelled

@@ -58,10 +58,10 @@ def call_outcomes(calls: DataFrame, results: DataFrame) -> DataFrame:
 
     A result whose id no earlier call carries is dropped. Rows: session_id,
     rate_key, outcome (ok, error, not_found), category.
-    `calls` needs first_seq per id and whether the call drives a browser.
+    `calls` needs whether each call drives a browser; the first call of an id says it.
     """
     per_call = calls.groupBy(*CALL).agg(
-        F.min("seq").alias("call_seq"), F.max("drives_browser").alias("drives_browser")
+        F.min("seq").alias("call_seq"), F.min_by("drives_browser", F.struct("seq", "idx")).alias("drives_browser")
     )
     body = ["seq", "tool", "is_error", "text"]
     # Results before the call do not count, so the call's seq joins first.

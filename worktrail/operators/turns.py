@@ -82,7 +82,7 @@ def worst_turns(turns: DataFrame, k: int = 5) -> DataFrame:
     return top_rows(turns, KEY, [F.desc("tool_calls"), F.asc("turn_no")], k)
 
 
-def abort_events(messages: DataFrame, calls: DataFrame, limit: int = 10) -> DataFrame:
+def abort_events(messages: DataFrame, calls: DataFrame) -> DataFrame:
     """Aborted answers with what came before and what the user said next.
 
     Calls are counted since the last human message; those of the aborted
@@ -125,8 +125,12 @@ def abort_events(messages: DataFrame, calls: DataFrame, limit: int = 10) -> Data
         .when(F.col("gap_sec").isNull() | (F.col("gap_sec") > 300), "abandoned")
         .otherwise("unknown")
     )
-    labelled = rows.withColumn("label", label).drop("prev_text")
-    return top_rows(labelled, KEY, [F.asc("seq")], limit, rank="abort_no")
+    return rows.withColumn("label", label).drop("prev_text")
+
+
+def first_aborts(events: DataFrame, k: int = 10) -> DataFrame:
+    """The first aborts of each session, for display."""
+    return top_rows(events, KEY, [F.asc("seq")], k, rank="abort_no")
 
 
 def abort_resolution(messages: DataFrame) -> DataFrame:

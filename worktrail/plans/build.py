@@ -69,6 +69,8 @@ def session_tables(files: DataFrame, tables: LogTables) -> dict[str, DataFrame]:
         busy.select("session_id", "start_ms", "end_ms", "bucket", "background")
     )
     times = msg.select("session_id", "ts_ms").unionByName(intervals.select("session_id", F.col("end_ms").alias("ts_ms"))).unionByName(
+        busy.where("background").select("session_id", F.col("start_ms").alias("ts_ms"))
+    ).unionByName(
         primary(tables.header).select("session_id", F.col("end_ms").alias("ts_ms"))
     )
     segments = timesplit.time_segments(intervals, timesplit.session_ranges(times, humans.where("ts_ms is not null")), humans.where("ts_ms is not null"))

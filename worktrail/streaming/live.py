@@ -40,7 +40,7 @@ def rolling_spend(events: DataFrame, keys: list[str], width: str = "1 hour", sli
     """Cost, calls and error rate per tumbling or sliding window."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     total = events.withWatermark("ts", late).groupBy(*keys, window.alias("w")).agg(
-        F.sum(F.col("cost").cast("decimal(18,6)")).cast("double").alias("cost"),
+        F.sum(F.col("cost").cast("decimal(38,12)")).cast("double").alias("cost"),
         F.count("*").alias("calls"), F.count_if("is_error").alias("errors"),
     )
     return total.select(
@@ -58,9 +58,10 @@ class LongRequest(StatefulProcessor):
     """Fire once per request: 30 minutes, 100 tool calls or a correction.
 
     State per session is one row: request start, calls, fired. A human message
-    starts a new request; records of a session arrive in order, and those older
-    than the request are skipped. An aborted answer holds a pending alert back
-    until the next record.
+    starts a new request. The records of a micro-batch are sorted together, in
+    six narrow columns, so Arrow's batch size does not matter; records older
+    than a request that an earlier micro-batch started are skipped. An aborted
+    answer holds a pending alert back until the next record.
     """
 
     STATE = "start_ms bigint, calls bigint, fired boolean"
@@ -77,18 +78,25 @@ class LongRequest(StatefulProcessor):
         held = self.state.get() if self.state.exists() else (None, 0, False)
         start, calls, fired = held[0], held[1], held[2]
         out = []
-        # One Arrow batch at a time: a busy session never sits in memory whole.
-        for frame in rows:
-            for row in frame.sort_values(["ts_ms", "seq"]).itertuples(index=False):
-                if row.is_human and (start is None or row.ts_ms >= start):
-                    start, calls, fired = row.ts_ms, 0, False
-                if start is None or row.ts_ms < start:
-                    continue
-                calls += int(row.tool_calls)
-                reason = self._reason(row, start, calls)
-                if reason and not fired and not row.is_aborted:
-                    out.append((key[0], int(start), int(row.ts_ms), int(calls), reason))
-                    fired = True
+        columns = ["ts_ms", "seq", "is_human", "is_aborted", "is_correction", "tool_calls"]
+        frame = pd.concat([f[columns] for f in rows]).sort_values(["ts_ms", "seq"], ignore_index=True)
+        if start is not None:
+            frame = frame[frame["ts_ms"] >= start]
+        # One pass per request: from each human message to the next.
+        for number, part in frame.groupby(frame["is_human"].cumsum()):
+            if number:
+                start, calls, fired = int(part["ts_ms"].iloc[0]), 0, False
+            if start is None:
+                continue
+            so_far = calls + part["tool_calls"].cumsum()
+            minutes = part["ts_ms"] - start >= self.min_ms
+            due = (part["is_correction"] | (so_far >= self.min_calls) | minutes) & ~part["is_aborted"]
+            if not fired and due.any():
+                at = due.idxmax()
+                reason = "correction" if part["is_correction"][at] else "tool_calls" if so_far[at] >= self.min_calls else "minutes"
+                out.append((key[0], int(start), int(part["ts_ms"][at]), int(so_far[at]), reason))
+                fired = True
+            calls = int(so_far.iloc[-1])
         if start is not None:
             self.state.update((int(start), int(calls), bool(fired)))
             if not fired:
@@ -109,15 +117,6 @@ class LongRequest(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _reason(self, row, start, calls) -> str | None:
-        if row.is_correction:
-            return "correction"
-        if calls >= self.min_calls:
-            return "tool_calls"
-        if row.ts_ms - start >= self.min_ms:
-            return "minutes"
-        return None
-
     @staticmethod
     def _frame(rows) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["session_id", "start_ms", "fired_ms", "calls", "reason"])
