@@ -6,7 +6,10 @@ import random
 import pytest
 from builders import T0, answer, call, human, iso, lines, record, result, session, start
 
-from worktrail.operators import activity, pairing, timesplit, trends
+from pyspark.sql import functions as F
+from worktrail.functions import waits
+from worktrail.functions.numeric import exact_sum
+from worktrail.operators import activity, pairing, timesplit, trends, turns
 from worktrail.sources import dialect_a, dialect_b
 
 SEC = 1000

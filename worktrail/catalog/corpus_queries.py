@@ -371,9 +371,10 @@ def user_totals(spark, d):
 
 def all_facts(spark, d):
     """Facts per user: totals, activity, outcomes, projects."""
-    total = facts.total_facts(user_totals(spark, d), ["user_id"])
+    totals = user_totals(spark, d)
+    total = facts.total_facts(totals, ["user_id"])
     named = facts.named_facts(
-        ["user_id"], hours=hours(spark, d), outcomes=labels.outcome_counts(m.facets(spark, d), ["user_id"]),
+        ["user_id"], hours=hours(spark, d).join(totals.select("user_id", "sessions"), "user_id"), outcomes=labels.outcome_counts(m.facets(spark, d), ["user_id"]),
     )
     return total.unionByName(named)
 
@@ -389,11 +390,11 @@ FACTS = (
     "UNION ALL SELECT user_id, 'interruptions.steered', steering_messages, 'count', user_message_count FROM fin "
     "UNION ALL SELECT user_id, 'interruption_rate', " + ONE.format(x="CASE WHEN user_message_count > 0 THEN intr::DOUBLE / user_message_count ELSE 0 END * 100") + ", 'pct', user_message_count FROM fin "
     "UNION ALL SELECT user_id, 'cache_hit_ratio', " + ONE.format(x="CASE WHEN input_tokens + cache_read_tokens > 0 THEN cache_read_tokens / (input_tokens + cache_read_tokens) ELSE 0 END * 100") + ", 'pct', sessions FROM fin "
-    "UNION ALL SELECT user_id, 'tool_errors', tool_errors, 'count', sessions FROM fin "
     "UNION ALL SELECT user_id, 'total_cost', " + TWO.format(x="total_cost") + ", 'usd', sessions FROM fin "
     "UNION ALL SELECT user_id, 'cost_per_session', " + TWO.format(x="total_cost / sessions") + ", 'usd', sessions FROM fin "
-    "UNION ALL SELECT user_id, concat('outcome_share.', outcome), " + ONE.format(x="share * 100") + ", 'pct', n FROM (SELECT user_id, outcome, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id) AS share FROM facets GROUP BY user_id, outcome) "
-    "UNION ALL SELECT user_id, 'active_hours', " + ONE.format(x="h") + ", 'hours', c FROM (SELECT user_id, sum(hours) AS h, count(*) AS c FROM hours GROUP BY 1) "
+    "UNION ALL SELECT user_id, concat('outcome_share.', outcome), " + ONE.format(x="share * 100") + ", 'pct', whole FROM (SELECT user_id, outcome, (sum(count(*)) OVER (PARTITION BY user_id))::BIGINT AS whole, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id) AS share FROM facets GROUP BY user_id, outcome) "
+    "UNION ALL SELECT user_id, 'success_rate', " + ONE.format(x="count(*) FILTER (outcome IN ('fully_achieved', 'mostly_achieved'))::DOUBLE / count(*) * 100") + ", 'pct', count(*) FROM facets GROUP BY user_id "
+    "UNION ALL SELECT user_id, 'active_hours', " + ONE.format(x="h") + ", 'hours', sessions FROM (SELECT user_id, sum(hours) AS h FROM hours GROUP BY 1) JOIN fin USING (user_id) "
     "UNION ALL SELECT user_id, 'active_hours_per_day', " + ONE.format(x="h / c") + ", 'hours', c FROM (SELECT user_id, sum(hours) AS h, count(*) AS c FROM hours GROUP BY 1))"
 )
 FACT_TABLES = ["messages", "facets"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.numeric import ratio, round_half_up
 from worktrail.operators.scan import by_magnitude, ordered_scan
+from worktrail.operators.usage import with_row
 from worktrail.session import materialise
 
 PERCENT_TOLERANCE = 1.0  # fixed values: how close a quoted figure must be
@@ -45,12 +46,23 @@ def percent_of(part: Column, whole: Column) -> Column:
     return ratio(part, whole) * 100
 
 
-def total_facts(totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Facts from the corpus totals row: all figures in one pass over it."""
+def total_facts(totals: DataFrame, by: Sequence[str], tool_outcomes: DataFrame | None = None, billed: DataFrame | None = None) -> DataFrame:
+    """Facts from the corpus totals row: all figures in one pass over it.
+
+    `tool_outcomes` (by, tool, calls) gives the tool calls that errors are out
+    of; `billed` (by, billed_cost, subscription_cost) what was paid.
+    """
+    by = list(by)
+    attach = lambda df, extra: df.join(extra, by, "left") if by else with_row(df, extra)
+    if tool_outcomes is not None:
+        totals = attach(totals, tool_outcomes.groupBy(*by).agg(F.sum(F.col("calls") + F.col("not_found")).alias("tool_calls"))).na.fill(0, ["tool_calls"])
+    if billed is not None:
+        totals = attach(totals, billed.select(*by, "billed_cost", "subscription_cost"))
     have = set(totals.columns)
+    calls = F.col("tool_calls")
     s, m = F.col("sessions"), F.col("user_message_count")
     specs = [
-        ("sessions", s, "count", "substantive sessions in the report", s, "sessions", "sessions"),
+        ("sessions", s, "count", "sessions that the report covers", s, "sessions", "sessions"),
         ("messages", m, "count", "human messages", s, "sessions", "user_message_count"),
         ("interruptions", F.col("interruptions"), "count", "aborts inside sessions + steering messages", m, "human messages", "interruptions"),
         ("interruptions.aborted", F.col("interruptions_aborted"), "count", "aborts not at session end", m, "human messages", "interruptions_aborted"),
@@ -58,8 +70,11 @@ def total_facts(totals: DataFrame, by: Sequence[str]) -> DataFrame:
         ("interruption_rate", F.col("interruption_rate") * 100, "pct", "interruptions / human messages", m, "human messages", "interruption_rate"),
         ("cache_hit_ratio", percent_of(F.col("cache_read_tokens"), F.col("cache_read_tokens") + F.col("input_tokens")), "pct",
          "cache read / (input + cache read) tokens", s, "sessions", "cache_read_tokens"),
-        ("tool_errors", F.col("tool_errors"), "count", "failed tool results", s, "sessions", "tool_errors"),
-        ("total_cost", F.col("total_cost"), "usd", "sum of recorded cost", s, "sessions", "total_cost"),
+        ("tool_errors", F.col("tool_errors"), "count", "tool results that failed", calls, "tool calls", "tool_calls"),
+        ("tool_error_rate", percent_of(F.col("tool_errors"), calls), "pct", "tool calls that failed, of all", calls, "tool calls", "tool_calls"),
+        ("billed_cost", F.col("billed_cost"), "usd", "cost on providers paid by use", s, "sessions", "billed_cost"),
+        ("subscription_cost", F.col("subscription_cost"), "usd", "list-price value of what plans cover", s, "sessions", "subscription_cost"),
+        ("total_cost", F.col("total_cost"), "usd", "all cost that logs record", s, "sessions", "total_cost"),
         ("cost_per_session", ratio(F.col("total_cost"), s), "usd", "total cost / sessions", s, "sessions", "total_cost"),
         ("cost.utility", F.col("utility_cost"), "usd", "cost of out-of-band calls", s, "sessions", "utility_cost"),
         ("subagent_session_share", percent_of(F.col("sessions_uses_subagent"), s), "pct", "sessions with subagents / sessions", s, "sessions", "sessions_uses_subagent"),
@@ -83,9 +98,14 @@ def named_facts(
     error_rates: DataFrame | None = None, outcomes: DataFrame | None = None, label_shares: DataFrame | None = None,
     worst_cache: DataFrame | None = None, flagged: DataFrame | None = None, turns: DataFrame | None = None,
     delta: DataFrame | None = None, trend: DataFrame | None = None, spikes: DataFrame | None = None,
-    hours: DataFrame | None = None, time_shares: DataFrame | None = None,
+    hours: DataFrame | None = None, time_shares: DataFrame | None = None, families: DataFrame | None = None, waste: DataFrame | None = None,
 ) -> DataFrame:
-    """Facts with a name in the id: per model, provider, project, tool, label, session."""
+    """Facts with a name in the id: per model, provider, project, tool, label, session.
+
+    providers and hours carry `sessions`, the corpus size, which is their n.
+    families: by, family, busy_sec; needs time_shares. waste: by,
+    estimated_waste, flagged.
+    """
     b, parts = list(by), []
     tag = lambda prefix, col: F.concat(F.lit(prefix + "."), F.col(col).cast("string"))
     short = lambda prefix: F.concat(F.lit(prefix + "."), F.substring("session_id", 1, 8))
@@ -102,13 +122,16 @@ def named_facts(
         add(priced, tag("list_price.input", "model"), F.col("input_per_mtok"), "usd", "implied price per million input tokens", n, "sessions using the model")
         add(priced, tag("list_price.output", "model"), F.col("output_per_mtok"), "usd", "implied price per million output tokens", n, "sessions using the model")
     if providers is not None:
-        add(providers, tag("cost_by_provider", "provider"), F.col("cost"), "usd", F.concat(F.lit("cost by basis: "), F.col("basis")), one, "providers")
+        add(providers, tag("cost_by_provider", "provider"), F.col("cost"), "usd", F.concat(F.lit("cost by basis: "), F.col("basis")), F.col("sessions"), "sessions")
     if projects is not None:
         add(projects, tag("project_share", "project"), percent_of(F.col("sessions"), F.col("total_sessions")), "pct", "sessions in the project / sessions", F.col("total_sessions"), "sessions")
     if error_rates is not None:
         add(error_rates, tag("tool_error_rate", "tool"), F.col("rate") * 100, "pct", "failed / calls of the tool", F.col("calls"), "calls")
     if outcomes is not None:
-        add(outcomes, tag("outcome_share", "outcome"), F.col("share") * 100, "pct", "sessions with the outcome (unweighted)", F.col("n"), "sessions with facets")
+        whole = outcomes.groupBy(*b).agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("outcome").isin("fully_achieved", "mostly_achieved"), F.col("n")).otherwise(0)).alias("good_n"))
+        add(whole, "success_rate", percent_of(F.col("good_n"), F.col("all_n")), "pct", "sessions that reached all or most of their goal, of those with an outcome", F.col("all_n"), "sessions with facets")
+        counted = outcomes.join(whole, b) if b else with_row(outcomes, whole)
+        add(counted, tag("outcome_share", "outcome"), F.col("share") * 100, "pct", "sessions with the outcome (unweighted)", F.col("all_n"), "sessions with facets")
     if label_shares is not None:
         add(label_shares, F.concat_ws(".", F.concat(F.col("dim"), F.lit("_share")), "key"), F.col("share") * 100, "pct", "decay-weighted share", F.col("facet_sessions"), "sessions with facets")
     if worst_cache is not None:
@@ -133,11 +156,20 @@ def named_facts(
     if spikes is not None:
         add(spikes, F.concat(F.lit("anomaly."), F.to_date(F.timestamp_millis("start_ms")).cast("string")), F.col("cost"), "usd", "cost of an outlier session", one, "session")
     if hours is not None:
-        h = hours.groupBy(*b).agg(F.sum("hours").alias("h"), F.count("*").alias("d"))
-        add(h, "active_hours", F.col("h"), "hours", "union of activity per day", F.col("d"), "active days")
+        h = hours.groupBy(*b).agg(F.sum("hours").alias("h"), F.count("*").alias("d"), F.max("sessions").alias("sessions"))
+        add(h, "active_hours", F.col("h"), "hours", "union of activity per day", F.col("sessions"), "sessions")
         add(h, "active_hours_per_day", ratio(F.col("h"), F.col("d")), "hours", "active hours / active days", F.col("d"), "active days")
     if time_shares is not None:
         add(time_shares, tag("time.share", "bucket"), F.col("share") * 100, "pct", "share of active time (idle: of active + idle)", F.col("sessions"), "sessions")
+        tools = time_shares.where("bucket = 'tools'")
+        add(tools, "time.active_sec", F.col("active_sec"), "count", "seconds in all buckets but idle", F.col("sessions"), "sessions")
+        if families is not None:
+            top = families.where("busy_sec > 0").groupBy(*b).agg(F.min_by(F.struct("family", "busy_sec"), F.struct((-F.col("busy_sec")).alias("s"), F.col("family"))).alias("top"))
+            led = tools.where("seconds > 0")
+            led = (led.join(top, b) if b else with_row(led, top)).select("*", "top.*")
+            add(led, tag("time.top_command_family", "family"), F.col("busy_sec") / F.col("seconds") * 100, "pct", "the family's part of tool time", F.col("sessions"), "sessions")
+    if waste is not None:
+        add(waste, "estimated_waste", F.col("estimated_waste"), "usd", "what flagged sessions may have cost too much", F.col("flagged"), "flagged sessions")
     return _union(parts)
 
 

@@ -142,12 +142,12 @@ def primary_model(session_models: DataFrame) -> DataFrame:
     ).select("session_id", "p.*")
 
 
-def model_mismatch(sessions: DataFrame, facets: DataFrame, session_models: DataFrame, tiers: DataFrame) -> DataFrame:
+def model_mismatch(sessions: DataFrame, facets: DataFrame, session_models: DataFrame, tiers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sessions whose model did not suit the task, with the estimated waste."""
     rows = (
         sessions.join(facets.select("session_id", "outcome", "session_type"), "session_id")
         .join(primary_model(session_models), "session_id")
-        .join(tiers.select("model", "tier"), "model", "left")
+        .join(tiers.select(*by, "model", "tier"), [*by, "model"], "left")
     )
     simple = F.col("session_type").isin("quick_question", "single_task") | (
         (F.col("user_message_count") <= 3) & (F.col("duration_minutes") < 5)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.functions.numeric import medians
+from worktrail.functions.numeric import exact_sum, medians
 from worktrail.functions.text import trimmed
 from worktrail.operators import activity, corpus, facts, filters, forks, labels, pairing, timerollup, timesplit, tools, trends, turns, usage
 from worktrail.session import materialise
@@ -37,7 +37,11 @@ class DialectA:
 
 
 def build_tables(spark: SparkSession, root: str, dialect: LogDialect | None = None) -> tuple[DataFrame, LogTables]:
-    """(log files, typed tables) of a folder, without self-generated sessions or fork copies."""
+    """(log files, typed tables) of a folder, without fork copies.
+
+    Sessions whose ids name no safe file, and those a report wrote about
+    itself, stay in the files with a `dropped` reason and leave the tables.
+    """
     dialect = dialect or DialectA()
     files, lines = logs.read_corpus(spark, root, dialect.name, dialect.flat)
     lines = lines.drop("path")
@@ -50,7 +54,25 @@ def build_tables(spark: SparkSession, root: str, dialect: LogDialect | None = No
         copied = forks.copied_records(ids, forks.ancestors(links))
         drop = ids.join(copied, ["session_id", "sidecar_name", "rec_id"]).select("session_id", "sidecar_name", "seq")
         tables = dialect.normalise(lines.join(drop, ["session_id", "sidecar_name", "seq"], "left_anti"))
-    return files, tables
+    # Markers stand in a session's first messages, so the first pass has them.
+    marked = mark_dropped(files, first)
+    return marked, without_dropped(marked, tables)
+
+
+def mark_dropped(files: DataFrame, tables: LogTables) -> DataFrame:
+    """Log files with `dropped`: unparsed, tooling or NULL."""
+    heads = primary(tables.header).select("session_id", F.col("record_session_id").alias("_record_id"), F.lit(True).alias("_read"))
+    own = filters.self_generated(primary(tables.messages)).withColumn("_own", F.lit(True))
+    reason = F.when(
+        F.col("_read").isNull() | filters.safe_session_id(F.col("_record_id"), F.col("session_id")).isNull(), "unparsed"
+    ).when(F.col("_own"), "tooling")
+    joined = files.join(heads, "session_id", "left").join(own, "session_id", "left")
+    return materialise(joined.withColumn("dropped", reason).drop("_record_id", "_read", "_own"))
+
+
+def without_dropped(files: DataFrame, tables: LogTables) -> LogTables:
+    gone = files.where("dropped is not null").select("session_id")
+    return replace(tables, **{f.name: getattr(tables, f.name).join(gone, "session_id", "left_anti") for f in fields(tables)})
 
 
 def primary(df: DataFrame) -> DataFrame:
@@ -97,6 +119,7 @@ def session_tables(files: DataFrame, tables: LogTables) -> dict[str, DataFrame]:
         .join(turn.groupBy("session_id").agg(F.count("*").alias("turn_count")), "session_id", "left")
         .join(medians(msg.where("ttft_ms > 0"), ["session_id"], "ttft_ms", "median_ttft_ms"), "session_id", "left")
         .withColumnsRenamed({"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_tokens", "cache_write": "cache_write_tokens"})
+        .withColumn("cost_unavailable", F.col("total_cost").isNull())
         .na.fill(0)
         .na.fill(False)
     )
@@ -105,14 +128,21 @@ def session_tables(files: DataFrame, tables: LogTables) -> dict[str, DataFrame]:
         "abort_events": aborts, "reply_times": turns.reply_times(msg), "activity_runs": activity.activity_runs(msg.withColumn("ts_ms", F.col("entry_ms"))),
         "tool_counts": counts, "tool_outcomes": pairing.tool_outcomes(outcomes, ["session_id"]), "outcomes": outcomes,
         "tool_durations": tools.tool_durations(pairing.timed_calls(starts, results)), "languages": tools.language_counts(calls),
-        "session_files": tools.top_files(tools.edits_by_file(edits)), "failure_classes": tools.failure_classes(msg),
+        "session_files": tools.edits_by_file(edits), "failure_classes": tools.failure_classes(msg),
         "session_time": timesplit.session_time(segments, gaps), "you_gaps": timesplit.you_gaps(segments, gaps),
         "requests": timesplit.with_prompts(timesplit.slowest_requests(timesplit.request_times(segments, gaps)), humans),
+        "subagent_busy": subagent_busy(tables.messages),
         "busy_by_tool": timesplit.busy_by(busy, "tool"), "busy_by_family": timesplit.busy_by(busy, "family"),
         "usage_events": tables.usage_events, "humans": humans.select("session_id", "seq", "ts_ms", "is_human", "text"),
     }
 
 
+def subagent_busy(messages: DataFrame) -> DataFrame:
+    """Active seconds of each session's subagents: the model time their logs record."""
+    sec = F.greatest(F.coalesce("duration_ms", F.lit(0.0)), F.lit(0.0)) / 1000.0
+    return messages.where("kind = 'subagent' and role = 'assistant'").groupBy("session_id").agg(exact_sum(sec).alias("busy_sec"))
+
+
 def message_counts(msg: DataFrame) -> DataFrame:
     aborted = (F.col("role") == "assistant") & (F.col("stop_reason") == "aborted")
     first = F.min_by(F.substring(trimmed(F.col("text")), 1, 300), F.when(F.col("is_human"), F.col("seq")))
@@ -125,51 +155,128 @@ def message_counts(msg: DataFrame) -> DataFrame:
 
 
 def corpus_tables(
-    parts: dict[str, DataFrame], basis: DataFrame, facet_rows: DataFrame | None = None, *, excluded_projects: Sequence[str] = (), **window,
+    parts: dict[str, DataFrame], basis: DataFrame, facet_rows: DataFrame | None = None, *, by: Sequence[str] = (), owners: DataFrame | None = None,
+    excluded_projects: Sequence[str] = (), goals: DataFrame | None = None, facet_counts: DataFrame | None = None, given_abort_labels: DataFrame | None = None,
+    prose: DataFrame | None = None, **window,
 ) -> dict[str, DataFrame]:
-    """The tables behind each report section over the sessions that stay."""
-    keep = materialise(filters.substantive(parts["sessions"], **window).withColumn(
-        "is_analysis", filters.is_analysis(F.col("project_path"), excluded_projects)
-    ))
-    ids = keep.select("session_id", "is_analysis", "project_path")
-    of = lambda name: parts[name].join(ids.select("session_id"), "session_id", "left_semi")
-    totals = corpus.interruption_rate(corpus.corpus_totals(keep))
-    events = of("usage_events")
-    providers = usage.cost_by_provider(events, basis)
-    elsewhere = activity.busy_elsewhere(of("you_gaps"), of("humans"))
+    """The tables behind each report section over the sessions that stay.
+
+    `by` names the corpus (user, team, project): columns of `owners`, which
+    has one row per session. Nothing crosses corpora. Without `by` all sessions
+    are the one corpus `all`; every table carries the column or columns.
+
+    facet_rows: one row per labelled session. facet_counts: session_id, dim
+    (goal, friction, satisfaction, ...), key, n. given_abort_labels:
+    session_id, ts_ms, label. prose: by, path, text to be checked.
+    """
+    sessions = parts["sessions"]
+    if by:
+        sessions = sessions.join(owners.select("session_id", *by), "session_id")
+    else:
+        by, sessions = ["corpus"], sessions.withColumn("corpus", F.lit("all"))
+    by = list(by)
+    reasons = sessions.withColumn("exclusion", filters.exclusion_reason(**window))
+    stay = reasons.where("exclusion is null").drop("exclusion")
+    if facet_counts is not None:
+        stay = filters.drop_warmup_only(stay, facet_counts.where("dim = 'goal'"))
+    keep = materialise(stay.withColumn("is_analysis", filters.is_analysis(F.col("project_path"), excluded_projects)))
+    ids = keep.select("session_id", *by, "is_analysis", "project_path", "start_ms")
+    own = ids.select("session_id", *by)
+    of = lambda name: parts[name].join(own, "session_id")
+
+    events = materialise(of("usage_events"))
+    humans, outcomes = of("humans"), of("outcomes")
+    totals = materialise(corpus.interruption_rate(corpus.corpus_totals(keep, by)))
+    providers = usage.cost_by_provider(events, basis, by)
+    billed = usage.billed_split(providers, by)
+    elsewhere = activity.busy_elsewhere(of("you_gaps"), humans, by)
     time = materialise(timerollup.elsewhere_seconds(of("session_time"), elsewhere))
-    rollup = timerollup.time_rollup(time)
-    models = usage.list_price(usage.usage_by_model(events))
-    series = keep.where("is_analysis").join(
-        usage.primary_model(events.groupBy("session_id", "model").agg(F.sum("cost").alias("cost"), F.count("*").alias("message_count"))), "session_id", "left"
-    ).select(F.lit("all").alias("corpus"), "session_id", "start_ms", F.col("total_cost").alias("cost"), F.col("tool_errors").cast("double").alias("errors"), F.coalesce("model", F.lit("")).alias("model"))
-    series = materialise(series)
-    hours = activity.active_hours_by_day(of("activity_runs"))
+    rollup = materialise(timerollup.time_rollup(time, by))
+    models = materialise(usage.list_price(usage.usage_by_model(events, by)))
+    tiers = materialise(usage.model_tiers(models, by))
+    session_models = events.groupBy("session_id", "model").agg(exact_sum(F.col("cost")).alias("cost"), F.count("*").alias("message_count"))
+    series = materialise(
+        keep.where("is_analysis").join(usage.primary_model(session_models), "session_id", "left").select(
+            *by, "session_id", "start_ms", F.col("total_cost").alias("cost"), F.col("tool_errors").cast("double").alias("errors"), F.coalesce("model", F.lit("")).alias("model"),
+        )
+    )
+    hours = activity.active_hours_by_day(of("activity_runs"), by)
+    tool_outcomes = materialise(pairing.tool_outcomes(outcomes, by))
+    error_rates = corpus.error_rates(tool_outcomes)
+    session_families = materialise(of("busy_by_family"))
+    families = materialise(session_families.groupBy(*by, "family").agg(exact_sum(F.col("busy_sec")).alias("busy_sec")))
+    found = materialise(timerollup.levers(rollup, families, models, of("subagent_busy").groupBy(*by).agg(exact_sum(F.col("busy_sec")).alias("busy_sec")), by))
+    worst_cache = corpus.worst_cache_sessions(keep, by)
+    delta, trend, spikes = trends.deltas(series, by), trends.trajectory(series, by), trends.anomalies(series, by)
+    projects = corpus.project_counts(keep, by)
+
     out = {
-        "totals": totals, "cost_shares": corpus.cost_shares(totals), "cost_by_provider": providers, "billed": usage.billed_split(providers),
-        "models": usage.model_tiers(models), "tools": corpus.top_keys(corpus.merged_counts(of("tool_counts"), "tool"), "tool"),
-        "error_rates": corpus.error_rates(pairing.tool_outcomes(of("outcomes"), [])),
-        "tool_durations": corpus.pooled_tool_durations(materialise(of("tool_durations"))),
-        "turn_percentiles": corpus.pooled_percentiles(materialise(of("turn_percentiles").join(keep.select("session_id", "turn_count"), "session_id")), "metric", "turn_count"),
-        "worst_turns": corpus.worst_turns(parts["worst_turns"].drop("rank").join(ids, "session_id")),
-        "worst_cache": corpus.worst_cache_sessions(keep), "churned_files": corpus.churned_files(of("session_files").drop("rank")),
-        "calendar": corpus.calendar(keep), "projects": corpus.project_counts(keep), "active_hours": hours,
-        "overlaps": activity.overlap_summary(activity.interleavings(of("humans"))), "hour_histogram": activity.hour_histogram(of("humans")),
-        "reply_histogram": activity.reply_histogram(of("reply_times")), "time_rollup": rollup,
-        "slow_requests": usage.top_rows(of("requests").drop("rank"), [], [F.desc("active_sec"), F.asc("session_id"), F.asc("request_no")], 5),
-        "weeks": trends.week_summary(series, ["corpus"]), "trajectory": trends.trajectory(series, ["corpus"]),
-        "anomalies": trends.anomalies(series, ["corpus"]), "delta": trends.deltas(series, ["corpus"]),
+        "scan": scan_counts(reasons, keep, by),
+        "totals": totals, "cost_shares": corpus.cost_shares(totals, by), "cost_by_provider": providers, "billed": billed,
+        "models": tiers, "tools": corpus.top_keys(corpus.merged_counts(of("tool_counts"), "tool", by), "tool", by),
+        "error_rates": error_rates, "tool_durations": corpus.pooled_tool_durations(materialise(of("tool_durations")), by),
+        "turn_percentiles": corpus.pooled_percentiles(
+            materialise(of("turn_percentiles").join(keep.select("session_id", "turn_count"), "session_id")), "metric", "turn_count", by
+        ),
+        "worst_turns": corpus.worst_turns(parts["worst_turns"].drop("rank").join(ids, "session_id"), by),
+        "worst_cache": worst_cache, "churned_files": corpus.churned_files(of("session_files"), by),
+        "calendar": corpus.calendar(keep, by), "projects": projects, "active_hours": hours,
+        "overlaps": activity.overlap_summary(activity.interleavings(humans, by), by), "hour_histogram": activity.hour_histogram(humans, by),
+        "responses": corpus.response_medians(of("reply_times"), keep, by), "reply_histogram": activity.reply_histogram(of("reply_times"), by),
+        "time_rollup": rollup, "levers": found, "lever_evidence": timerollup.lever_evidence(found, time, session_families, by),
+        "unrecognised_waiting": timerollup.unrecognised_waiting(families, rollup, by),
+        "slow_requests": usage.top_rows(of("requests").drop("rank"), by, [F.desc("active_sec"), F.asc("session_id"), F.asc("request_no")], 5),
+        "abort_events": of("abort_events"), "weeks": trends.week_summary(series, by), "trajectory": trend, "anomalies": spikes, "delta": delta,
     }
+    given = given_abort_labels if given_abort_labels is not None else parts["abort_events"].select("session_id", "ts_ms", F.lit("").alias("label")).where("false")
+    out["abort_labels"] = labels.abort_labels(of("abort_events"), given, by)
+    named = {}
     if facet_rows is not None:
-        good = labels.valid_facets(facet_rows).join(ids, "session_id")
-        out["outcomes"] = labels.outcome_counts(good.where("is_analysis"))
-    out["facts"] = facts.total_facts(totals, []).unionByName(facts.named_facts(
-        [], models=usage.with_row(models, totals.select("total_cost")), providers=providers, hours=hours, time_shares=rollup,
-        error_rates=out["error_rates"],
-    ))
+        good = materialise(labels.valid_facets(facet_rows).drop(*by, "start_ms").join(ids, "session_id"))
+        analysed = good.where("is_analysis")
+        out["outcomes"] = named["outcomes"] = materialise(labels.outcome_counts(analysed, by))
+        # session columns win over facet columns of the same name
+        mismatch = materialise(usage.model_mismatch(keep.where("is_analysis"), good.select("session_id", "outcome", "session_type"), session_models, tiers, by))
+        out["model_mismatch"] = named["flagged"] = mismatch
+        out["waste"] = named["waste"] = mismatch.groupBy(*by).agg(exact_sum(F.col("waste")).alias("estimated_waste"), F.count("*").alias("flagged"))
+        out["narratives"] = labels.narrative_lists(good, by)
+        if facet_counts is not None:
+            counts = facet_counts.drop(*by, "start_ms").join(ids, "session_id")
+            single = labels.single_labels(analysed.select("session_id", *by, "start_ms", "session_type"), ["session_type"])
+            label_rows = counts.where("is_analysis").select("session_id", *by, "start_ms", "dim", "key", F.col("n").cast("double").alias("n"))
+            weighted = materialise(labels.weighted_counts(label_rows.unionByName(single), by))
+            whole = weighted.groupBy(*by, "dim").agg(F.sum("n").alias("all_n"))
+            sample = analysed.groupBy(*by).agg(F.count("*").alias("facet_sessions"))
+            out["label_shares"] = named["label_shares"] = weighted.join(whole, [*by, "dim"]).join(sample, by).withColumn("share", F.col("n") / F.col("all_n"))
+            friction = label_rows.where("dim = 'friction'").drop("dim")
+            latest = keep.groupBy(*by).agg(F.max("start_ms").alias("latest_ms"))
+            current = weighted.where("dim = 'friction'").select(*by, "key", "n")
+            out["friction_status"] = labels.capped_friction(labels.friction_status(friction, latest, current, by, since_days=window.get("since_days")), by)
+    out["facts"] = materialise(facts.total_facts(totals, by, tool_outcomes=tool_outcomes, billed=billed).unionByName(facts.named_facts(
+        by, models=models.join(totals.select(*by, "total_cost"), by), providers=providers.join(totals.select(*by, "sessions"), by), hours=hours.join(totals.select(*by, "sessions"), by),
+        time_shares=rollup, families=families, error_rates=error_rates, worst_cache=worst_cache, delta=delta, trend=trend, spikes=spikes,
+        projects=projects.join(projects.groupBy(*by).agg(F.sum("sessions").alias("total_sessions")), by), **named,
+    )).join(corpus.calendar(keep, by).select(*by, F.concat_ws("..", "first_day", "last_day").alias("window")), by))
+    if prose is not None:
+        quotes = facts.quoted_figures(prose, [*by, "path"])
+        out["fact_flags"] = facts.unbacked_figures(quotes, out["facts"], by)
     return out
 
 
+def scan_counts(reasons: DataFrame, keep: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sessions scanned, left out by reason, kept, analysed and without cost; zeros included."""
+    why = lambda r: F.count_if(F.col("exclusion") == r).alias(f"excluded_{r}")
+    seen = reasons.groupBy(*by).agg(
+        F.count("*").alias("sessions_scanned"), *[why(r) for r in ("current", "not_substantive", "by_since", "other_session")],
+        F.count_if(F.col("exclusion").isNull()).alias("_open"),
+    )
+    stayed = keep.groupBy(*by).agg(
+        F.count("*").alias("included"), F.count_if("is_analysis").alias("analysed"), F.count_if("cost_unavailable").alias("cost_unavailable")
+    )
+    joined = seen.join(stayed, list(by), "left").na.fill(0, ["included", "analysed", "cost_unavailable"])
+    return joined.withColumn("excluded_warmup", F.col("_open") - F.col("included")).drop("_open")
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """One parquet dataset per report section."""
     for name, df in tables.items():
