@@ -8,10 +8,11 @@ intervals.
 Most windows occur once, and moving a row for each would cost several times
 the text. So each window first gets an anchor: the least hash of its
 `gram`-word runs, the same for equal windows wherever they stand. Anchors
-change once in about sixteen words. Windows below an anchor that only one
-document holds can't repeat; all others are counted in Spark, by an aggregate
-and a join that splits hot keys. The text is dealt by id once, and that exchange
-serves both the windows and the result.
+change once in about a dozen words. Windows below an anchor that only one text
+holds can't repeat; all others are counted in Spark, by an aggregate and a
+join that splits hot keys. Of equal texts only the one with the smallest id
+takes part: all windows of the others are in it. The text is dealt by id once,
+and that exchange serves both the windows and the result.
 
 Null texts have no words. Rows with a null id neither lose nor claim words.
 Rows that repeat an id are judged each by its own text, and don't count as
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from worktrail.llm.common import stored
 
 WINDOW = 50
-GRAM = 20
+GRAM = 25
 
 # Odd bases of the two rolling polynomials, and their inverses modulo 2^64.
 _BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
@@ -86,7 +87,7 @@ def window_anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 
 def anchors(df: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, id) for the distinct anchors of each text."""
+    """(anchor, own) for the distinct anchors of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,9 +95,9 @@ def anchors(df: DataFrame, window: int, gram: int) -> DataFrame:
                 part = batch.slice(start, 500)
                 found = [np.unique(window_anchors(word_hashes(text), window, gram)) for text in part.column(1).to_pylist()]
                 rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), part.column(0).take(pa.array(rows))], names=["anchor", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), part.column(0).take(pa.array(rows))], names=["anchor", "own"])
 
-    return df.select("id", "text").mapInArrow(run, T.StructType([T.StructField("anchor", T.LongType()), T.StructField("id", df.schema["id"].dataType)]))
+    return df.select("own", "text").mapInArrow(run, "anchor long, own long")
 
 
 def _windows(df: DataFrame, window: int, gram: int) -> DataFrame:
@@ -140,7 +141,7 @@ def intervals(positions: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def _cut(df: DataFrame, window: int) -> DataFrame:
-    """(id, n_words, n_removed, spans, kept_text, kept_sha256) of rows (id, text, positions)."""
+    """(id, n_words, n_removed, spans, kept_text, kept_sha256) of rows (id, text, positions, copy)."""
     schema = T.StructType([
         T.StructField("id", df.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType()),
@@ -151,9 +152,12 @@ def _cut(df: DataFrame, window: int) -> DataFrame:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 out = []
-                for text, positions in zip(part.column(1).to_pylist(), part.column(2)):
+                for text, positions, copy in zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist()):
                     words = (text or "").encode().split()
-                    spans = intervals(positions.values.to_numpy(zero_copy_only=False), window) if positions.is_valid else []
+                    if copy:
+                        spans = [(0, len(words))] if len(words) >= window else []
+                    else:
+                        spans = intervals(positions.values.to_numpy(zero_copy_only=False), window) if positions.is_valid else []
                     kept, last = [], 0
                     for a, b in spans:
                         kept += words[last:a]
@@ -166,7 +170,7 @@ def _cut(df: DataFrame, window: int) -> DataFrame:
                     names=schema.fieldNames(),
                 )
 
-    return df.select("id", "text", "positions").mapInArrow(run, schema)
+    return df.select("id", "text", "positions", "copy").mapInArrow(run, schema)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -174,17 +178,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     intervals), kept_text (words joined by one space), kept_sha256."""
     if not 1 <= gram <= window:
         raise ValueError("grams must fit in the window")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # an alias that renames nothing would hinder the reuse of the exchange
+    rows = df.select(*[F.col(c) if c == name else F.col(c).alias(name) for c, name in ((id_col, "id"), (text_col, "text"))])
     known = rows.where(F.col("id").isNotNull())
-    held = stored(anchors(known, window, gram))
-    shared = held.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    lists = stored(held.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_list("anchor").alias("shared")))
-    windows = _windows(known.join(lists, "id").withColumn("own", F.xxhash64("text")), window, gram)
+    texts = known.select("id", "text", F.xxhash64("text").alias("own"))
+    ids = stored(texts.select("id", "own", F.xxhash64("text", F.lit(1)).alias("own2")))
+    least = ids.groupBy("own", "own2").agg(F.min("id").alias("least"))
+    copies = ids.join(least, ["own", "own2"]).where("id > least").select("id", "own").distinct()
+
+    held = stored(anchors(texts, window, gram))
+    shared = held.groupBy("anchor").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a < b")
+    lists = held.join(shared, "anchor", "left_semi").groupBy("own").agg(F.collect_set("anchor").alias("shared"))
+    lists = lists.join(least, "own").groupBy(F.col("least").alias("id")).agg(F.collect_list(F.struct("own", "shared")).alias("of_texts"))
+    lists = stored(lists)
+    dealt = known.repartition("id")
+    of_text = F.get(F.filter("of_texts", lambda x: x["own"] == F.xxhash64("text")), F.lit(0))
+    listed = dealt.join(lists, "id").select("id", "text", F.xxhash64("text").alias("own"), of_text["shared"].alias("shared"))
+    windows = _windows(listed.where("shared is not null"), window, gram)
     firsts = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "g", "first")
     removed = windows.join(firsts, ["h", "g"]).where(F.col("id") > F.col("first"))
-    positions = removed.groupBy("id", "own").agg(F.collect_set("pos").alias("positions"))
-    by_id = positions.groupBy("id").agg(F.collect_list(F.struct("own", "positions")).alias("of_texts"))
-    own = F.filter("of_texts", lambda x: x["own"] == F.xxhash64("text"))
-    judged = known.join(by_id, "id", "left").select("id", "text", F.get(own, F.lit(0))["positions"].alias("positions"))
-    unknown = rows.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<int>").alias("positions"))
+    positions = removed.groupBy("id", "own").agg(F.collect_set("pos").alias("positions")).withColumn("copy", F.lit(False))
+    positions = positions.unionByName(copies.select("id", "own", F.array().cast("array<int>").alias("positions"), F.lit(True).alias("copy")))
+    by_id = positions.groupBy("id").agg(F.collect_list(F.struct("own", "positions", "copy")).alias("of_texts"))
+    judged = dealt.join(by_id, "id", "left").select("id", "text", of_text["positions"].alias("positions"), of_text["copy"].alias("copy"))
+    unknown = rows.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<int>").alias("positions"), F.lit(None).cast("boolean").alias("copy"))
     return _cut(judged.union(unknown), window).withColumnRenamed("id", id_col)
