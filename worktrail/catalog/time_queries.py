@@ -53,7 +53,7 @@ TIMED = DELIVERED + ", " + CALLS_PLUS + (
     "tcalls AS (SELECT v.session_id, v.call_id, v.tool, v.started_ms, v.ts_ms, v.seq, v.text, "
     "CASE WHEN v.tool = 'ask' THEN 'you' WHEN v.tool = 'wait' THEN 'agents' "
     "WHEN v.tool = 'task' THEN CASE WHEN dk % 4 = 0 OR dk % 3 = 0 THEN 'review' ELSE 'agents' END "
-    "WHEN v.tool IN ('bash', 'eval') AND dtool = v.tool AND dkind IN ('ci', 'review', 'agents') THEN dkind ELSE 'tools' END AS bucket, "
+    "WHEN v.tool IN ('bash', 'eval') AND dtool IN ('bash', 'eval') AND dkind IN ('ci', 'review', 'agents') THEN dkind ELSE 'tools' END AS bucket, "
     "CASE WHEN v.tool IN ('bash', 'eval') THEN CASE WHEN dtool = v.tool THEN dfamily END ELSE v.tool END AS family, "
     "greatest(0, v.ts_ms - v.started_ms) / 1000.0 AS busy_sec, "
     "CASE WHEN contains(v.text, 'Backgrounded as job') THEN regexp_extract(v.text, '(bg_[0-9]+)', 1) ELSE '' END AS job_id FROM delivered v JOIN det2 USING (session_id, call_id))"
@@ -64,12 +64,7 @@ def tool_intervals(spark, d):
     return timesplit.tool_intervals(m.tool_starts(spark, d), m.results(spark, d), m.tool_calls(spark, d))
 
 
-# Calls whose id changed tool between start and latest call have no mirror for the family.
-query("t2_tool_intervals", "session_id:s call_id:s tool:s started_ms:l ts_ms:l bucket:s busy_sec:d",
-      "SELECT * FROM (SELECT *, dtool FROM tcalls JOIN det2 USING (session_id, call_id)) WHERE tool = dtool OR tool NOT IN ('bash', 'eval')", ["tool_starts", "results", "tool_calls"], [TIMED])(
-    lambda s, d: tool_intervals(s, d).join(
-        m.tool_calls(s, d).groupBy("session_id", "call_id").agg(F.max_by("tool", "seq").alias("dtool")), ["session_id", "call_id"]
-    ).where("tool = dtool or tool not in ('bash', 'eval')"))
+query("t2_tool_intervals", "session_id:s call_id:s tool:s started_ms:l ts_ms:l bucket:s busy_sec:d", "SELECT * FROM tcalls", ["tool_starts", "results", "tool_calls"], [TIMED])(tool_intervals)
 
 query("j04_background_jobs", "session_id:s start_ms:l end_ms:l bucket:s job_type:s",
       "SELECT j.session_id, delivery_ms - duration_ms AS start_ms, delivery_ms AS end_ms, job_type, "
@@ -85,9 +80,9 @@ def busy_calls(spark, d):
     return timesplit.effective_calls(timed, timesplit.job_intervals(m.async_jobs(spark, d), timed, m.tool_calls(spark, d)))
 
 
-query("t5_busy_by_tool", "session_id:s tool:s busy_sec:d", f"SELECT session_id, tool, {dec('busy_sec')} AS busy_sec FROM tcalls WHERE tool <> 'bash' GROUP BY ALL",
+query("t5_busy_by_tool", "session_id:s tool:s busy_sec:d", f"SELECT session_id, tool, {dec('busy_sec')} AS busy_sec FROM tcalls GROUP BY ALL",
       ["tool_starts", "results", "tool_calls"], [TIMED])(
-    lambda s, d: timesplit.busy_by(tool_intervals(s, d).where("tool <> 'bash'"), "tool"))
+    lambda s, d: timesplit.busy_by(tool_intervals(s, d), "tool"))
 query("t5_busy_after_jobs", "family:s busy_sec:d")(
     lambda s, d: timesplit.busy_by(busy_calls(s, d), "family", ()))
 
