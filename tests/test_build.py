@@ -1,7 +1,7 @@
 """Log folders to session and corpus tables."""
 
 import pytest
-from builders import T0, answer, call, human, result, session, start, write
+from builders import T0, answer, call, human, iso, result, session, start, write
 
 from worktrail.operators.usage import provider_basis
 from worktrail.plans import build, refresh
@@ -114,3 +114,109 @@ def test_versions(spark, built, tmp_path):
     sessions = built[2]["sessions"].select("session_id", "total_cost")
     path = refresh.write_version(sessions, str(tmp_path / "s"), 3)
     assert spark.read.parquet(path).count() == 2
+
+
+def b_record(kind, ms, content=None, **fields):
+    out = {"type": kind, "sessionId": "b1", "cwd": "/home/b/app", "timestamp": iso(ms), **{k: v for k, v in fields.items() if k not in ("usage", "model")}}
+    if content is not None:
+        out["message"] = {"role": kind, "model": fields.get("model", "big-1"), "usage": fields.get("usage"), "content": content}
+    return out
+
+
+def b_call(call_id, name, **arguments):
+    return {"type": "tool_use", "id": call_id, "name": name, "input": arguments}
+
+
+@pytest.fixture(scope="module")
+def flat_built(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("flat")
+    use = {"input_tokens": 7, "output_tokens": 3, "cache_read_input_tokens": 2, "cache_creation_input_tokens": 1}
+    done = lambda i, ms, **k: b_record("user", ms, [{"type": "tool_result", "tool_use_id": i, **k}])
+    records = [
+        b_record("user", T0, "please build"),
+        b_record("assistant", T0 + 10_000, [b_call("c1", "Bash", command="git commit -m x && git push")], requestId="q1", usage=use),
+        b_record("assistant", T0 + 10_000, [b_call("c1", "Bash", command="git commit -m x && git push")], requestId="q1", usage=use),
+        done("c1", T0 + 16_000),
+        b_record("assistant", T0 + 18_000, [b_call("c2", "Edit", file_path="/x/a.py", old_string="a", new_string="b\nc"), b_call("c3", "Write", file_path="/x/b.ts", content="1\n2\n3")], requestId="q2", usage=use),
+        done("c2", T0 + 19_000, is_error=True), done("c3", T0 + 20_000),
+        b_record("user", T0 + 21_000, "side prompt", isSidechain=True), b_record("user", T0 + 22_000, "notice", isMeta=True),
+        b_record("user", T0 + 40 * MIN, "and now?"), b_record("assistant", T0 + 40 * MIN + 5000, [{"type": "text", "text": "done"}], requestId="q3", usage=use),
+        b_record("cost-state", T0 + 41 * MIN, totalCostUSD=9.0),
+        b_record("cost-state", T0 + 42 * MIN, totalCostUSD=1.5, totalLinesAdded=40, modelUsage={"big-1": {"inputTokens": 100, "outputTokens": 10, "costUSD": 1.25}}),
+    ]
+    write(root / "app" / "b1.jsonl", records)
+    free = [{**r, "sessionId": "b2"} for r in records[:-2]]
+    write(root / "app" / "b2.jsonl", free)
+    dialect = build.DialectB()
+    files, tables = build.build_tables(spark, str(root), dialect)
+    return build.session_tables(files, tables, dialect)
+
+
+def test_flat_sessions(flat_built):
+    got = rows(flat_built["sessions"], "session_id")
+    b1, b2 = got[("b1",)], got[("b2",)]
+    # The last cost record supersedes; without one the cost is not recorded.
+    assert (b1.total_cost, b1.input_tokens, b1.output_tokens, b1.cost_unavailable) == (1.5, 100, 10, False)
+    assert (b2.total_cost, b2.input_tokens, b2.cache_read_tokens, b2.cost_unavailable) == (0, 21, 6, True)
+    assert (b1.lines_added, b2.lines_added, b1.lines_removed, b1.files_modified) == (40, 5, 1, 2)
+    assert (b1.git_commits, b1.git_pushes, b1.tool_errors, b1.user_message_count) == (1, 1, 1, 2)
+    assert b1.uses_subagent and not b1.uses_mcp and b1.project_path == "/home/b/app" and b1.first_prompt == "please build"
+
+
+def test_flat_tools_and_time(flat_built):
+    assert {(r.tool, r.n) for r in flat_built["tool_counts"].where("session_id = 'b1'").collect()} == {("Bash", 1), ("Edit", 1), ("Write", 1)}
+    assert len(rows(flat_built["languages"].where("session_id = 'b1'"), "language")) == 2
+    busy = {r.tool: r.busy_sec for r in flat_built["busy_by_tool"].where("session_id = 'b1'").collect()}
+    assert busy == {"Bash": 6.0, "Edit": 1.0, "Write": 2.0}
+    assert {r.model: r.cost for r in flat_built["usage_events"].where("session_id = 'b1'").collect()} == {"big-1": 1.25, "unknown": 0.25}
+    time = rows(flat_built["session_time"], "session_id")[("b1",)]
+    assert (time.model, time.tools) == (10.0 + 2.0 + 5.0, 6.0 + 2.0)
+    slow = rows(flat_built["requests"].where("session_id = 'b1'"), "rank")[(1,)]
+    assert (slow.prompt, slow.dominant, slow.wall_sec) == ("please build", "idle", 2400.0)
+
+
+def test_flat_report(spark, flat_built):
+    basis = provider_basis(spark.createDataFrame([("north", "api_key", 1)], "provider string, credential_type string, row_no int"))
+    out = build.corpus_tables(flat_built, basis, now_ms=T0 + 100 * MIN)
+    assert (out["totals"].first().sessions, out["scan"].first().cost_unavailable) == (2, 1)
+
+
+def test_two_users_do_not_mix(spark, built):
+    """Each user's report is the one made of that user's sessions alone."""
+    basis = provider_basis(spark.createDataFrame([("north", "api_key", 1)], "provider string, credential_type string, row_no int"))
+    owners = spark.createDataFrame([("p1", "ann"), ("f1", "bob")], "session_id string, user string")
+    facets = spark.createDataFrame([("p1", "done", "fully_achieved", "single_task", "x"), ("f1", "half", "not_achieved", "multi_task", "")],
+                                   "session_id string, brief_summary string, outcome string, session_type string, friction_detail string")
+    counts = spark.createDataFrame([("p1", "friction", "wrong_approach", 2), ("p1", "goal", "fix", 1), ("f1", "goal", "warmup_minimal", 1)], "session_id string, dim string, key string, n int")
+    prose = spark.createDataFrame([("ann", "a.b", "cost was $3.75 and 77% of it went on"), ("bob", "a", "100% done")], "user string, path string, text string")
+    out = build.corpus_tables(built[2], basis, facets, by=["user"], owners=owners, facet_counts=counts, prose=prose, now_ms=T0 + 100 * MIN)
+    total = {r.user: (r.sessions, r.total_cost) for r in out["totals"].collect()}
+    # Bob's only session has the warm-up as its one goal.
+    assert total == {"ann": (1, 3.75)}
+    scan = {r.user: r for r in out["scan"].collect()}
+    assert (scan["ann"].included, scan["bob"].included, scan["bob"].excluded_warmup, scan["bob"].excluded_current) == (1, 0, 1, 0)
+    assert all(r.elsewhere == 0 for r in out["time_rollup"].groupBy("user").pivot("bucket").sum("seconds").collect())
+    assert {(r.user, r.dim, r.key) for r in out["label_shares"].collect()} == {("ann", "friction", "wrong_approach"), ("ann", "goal", "fix"), ("ann", "session_type", "single_task")}
+    assert [(r.user, r.value) for r in out["fact_flags"].collect() if r.user == "ann"] == [("ann", 77.0)]
+    assert {r.window for r in out["facts"].collect()} == {"2024-06-01..2024-06-01"}
+    assert {"success_rate", "tool_error_rate", "billed_cost", "time.active_sec"} <= {r.fact_id for r in out["facts"].collect()}
+    for name, df in out.items():
+        assert "user" in df.columns, name
+        df.count()
+
+
+def test_own_reports_and_bad_ids_leave(spark, tmp_path):
+    marker = build.filters.SELF_GENERATED_MARKERS[0]
+    write(tmp_path / "p" / "2024_own.jsonl", [session("own", T0), human("a", T0, f"x {marker}"), answer("b", T0 + 1, cost=9.0)])
+    write(tmp_path / "p" / "2024_ok.jsonl", [session("ok", T0), human("a", T0, "hello"), answer("b", T0 + 1, cost=1.0)])
+    (tmp_path / "p" / "2024_empty.jsonl").write_text("cut off {")
+    files, tables = build.build_tables(spark, str(tmp_path))
+    assert {r.session_id: r.dropped for r in files.collect()} == {"own": "tooling", "ok": None, "empty": "unparsed"}
+    assert [r.session_id for r in tables.usage_events.collect()] == ["ok"]
+
+
+def test_all_edited_files_count(spark, tmp_path):
+    calls = [call(f"c{i}", "write", path=f"/f{i}", content="x") for i in range(30)]
+    write(tmp_path / "p" / "2024_s.jsonl", [session("s", T0), human("a", T0, "go"), answer("b", T0 + 1, *calls), human("c", T0 + 5 * MIN, "more")])
+    parts = build.session_tables(*build.build_tables(spark, str(tmp_path)))
+    assert parts["session_files"].count() == 30

@@ -13,18 +13,36 @@ from worktrail.functions.numeric import exact_sum, medians
 from worktrail.functions.text import trimmed
 from worktrail.operators import activity, corpus, facts, filters, forks, labels, pairing, timerollup, timesplit, tools, trends, turns, usage
 from worktrail.session import materialise
-from worktrail.sources import dialect_a, logs
+from worktrail.sources import dialect_a, dialect_b, logs
 from worktrail.sources.dialect_a import LogTables
 
 
 class LogDialect(Protocol):
-    """A log format: how to turn record lines into the typed tables."""
+    """A log format: how to turn record lines into the typed tables.
+
+    `flat`: one log per session, no sidecars; idle time may then dominate a
+    request, and the slowest requests are those of longest wall time.
+    """
 
     name: str
     flat: bool
 
     def normalise(self, lines: DataFrame) -> LogTables: ...
 
+    def busy_calls(self, tables: LogTables) -> DataFrame:
+        """Calls and jobs with interval, bucket, busy seconds and command family."""
+
+    def edit_rows(self, calls: DataFrame) -> DataFrame: ...
+
+    def language_counts(self, calls: DataFrame) -> DataFrame: ...
+
+    def git_counts(self, calls: DataFrame) -> DataFrame: ...
+
+    def tool_flags(self, counts: DataFrame, tables: LogTables) -> DataFrame: ...
+
+    def recorded_totals(self, tables: LogTables) -> DataFrame | None:
+        """session_id, cost_recorded, state_added, state_removed where logs keep totals."""
+
 
 @dataclass(frozen=True)
 class DialectA:
@@ -35,6 +53,56 @@ class DialectA:
     def normalise(self, lines: DataFrame) -> LogTables:
         return self.normaliser(lines)
 
+    def busy_calls(self, tables: LogTables) -> DataFrame:
+        calls = primary(tables.tool_calls)
+        results = primary(tables.messages).where("role = 'toolResult'")
+        timed = timesplit.tool_intervals(primary(tables.tool_starts), results, calls)
+        return timesplit.effective_calls(timed, timesplit.job_intervals(primary(tables.async_jobs), timed, calls))
+
+    def edit_rows(self, calls: DataFrame) -> DataFrame:
+        return tools.edit_rows(calls)
+
+    def language_counts(self, calls: DataFrame) -> DataFrame:
+        return tools.language_counts(calls)
+
+    def git_counts(self, calls: DataFrame) -> DataFrame:
+        return tools.git_counts(calls)
+
+    def tool_flags(self, counts: DataFrame, tables: LogTables) -> DataFrame:
+        return tools.tool_flags(counts)
+
+    def recorded_totals(self, tables: LogTables) -> None:
+        return None
+
+
+@dataclass(frozen=True)
+class DialectB:
+    name: str = "b"
+    flat: bool = True
+
+    def normalise(self, lines: DataFrame) -> LogTables:
+        return dialect_b.log_tables(lines, self.name)
+
+    def busy_calls(self, tables: LogTables) -> DataFrame:
+        calls = tables.tool_calls.select("session_id", "call_id", "seq", "ts_ms", "tool", F.col("arguments").alias("input"))
+        results = tables.messages.where("role = 'toolResult'").select("session_id", "call_id", "seq", "ts_ms")
+        return timesplit.flat_call_intervals(calls, results)
+
+    def edit_rows(self, calls: DataFrame) -> DataFrame:
+        return dialect_b.edit_rows(calls)
+
+    def language_counts(self, calls: DataFrame) -> DataFrame:
+        return dialect_b.language_counts(calls)
+
+    def git_counts(self, calls: DataFrame) -> DataFrame:
+        return dialect_b.git_counts(calls)
+
+    def tool_flags(self, counts: DataFrame, tables: LogTables) -> DataFrame:
+        return dialect_b.tool_flags(counts, tables.header)
+
+    def recorded_totals(self, tables: LogTables) -> DataFrame:
+        return dialect_b.recorded_totals(tables)
+
 
 def build_tables(spark: SparkSession, root: str, dialect: LogDialect | None = None) -> tuple[DataFrame, LogTables]:
     """(log files, typed tables) of a folder, without fork copies.
@@ -46,8 +114,8 @@ def build_tables(spark: SparkSession, root: str, dialect: LogDialect | None = No
     files, lines = logs.read_corpus(spark, root, dialect.name, dialect.flat)
     lines = lines.drop("path")
     first = dialect.normalise(lines)
-    links = forks.parent_links(first.header.where("kind = 'primary'"), files)
-    if links.isEmpty():
+    links = None if dialect.flat else forks.parent_links(first.header.where("kind = 'primary'"), files)
+    if links is None or links.isEmpty():
         tables = first
     else:
         ids = first.records.select("session_id", "sidecar_name", "seq", F.col("r.id").alias("rec_id"))
@@ -79,14 +147,14 @@ def primary(df: DataFrame) -> DataFrame:
     return df.where("kind = 'primary'")
 
 
-def session_tables(files: DataFrame, tables: LogTables) -> dict[str, DataFrame]:
+def session_tables(files: DataFrame, tables: LogTables, dialect: LogDialect | None = None) -> dict[str, DataFrame]:
     """Every per-session table, keyed by name. All are lazy but the shared ones."""
+    dialect = dialect or DialectA()
     msg, calls = primary(tables.messages), pairing.first_calls(primary(tables.tool_calls))
     results, starts = msg.where("role = 'toolResult'"), primary(tables.tool_starts)
-    jobs, humans = primary(tables.async_jobs), msg.where("is_human")
+    humans = msg.where("is_human")
 
-    timed = timesplit.tool_intervals(starts, results, primary(tables.tool_calls))
-    busy = materialise(timesplit.effective_calls(timed, timesplit.job_intervals(jobs, timed, primary(tables.tool_calls))))
+    busy = materialise(dialect.busy_calls(tables))
     intervals = timesplit.model_intervals(msg).unionByName(
         busy.select("session_id", "start_ms", "end_ms", "bucket", "background")
     )
@@ -99,7 +167,7 @@ def session_tables(files: DataFrame, tables: LogTables) -> dict[str, DataFrame]:
     gaps = materialise(timesplit.gap_pieces(segments))
 
     turn = materialise(turns.turn_rollup(msg))
-    edits = tools.edit_rows(calls)
+    edits = dialect.edit_rows(calls)
     drives = (F.col("tool") == "eval") & F.coalesce(F.col("code").rlike(r"\bbrowser\s*\."), F.lit(False))
     outcomes = materialise(pairing.call_outcomes(primary(tables.tool_calls).withColumn("drives_browser", drives), results))
     aborts = turns.abort_events(msg, calls)
@@ -112,25 +180,32 @@ def session_tables(files: DataFrame, tables: LogTables) -> dict[str, DataFrame]:
         .join(message_counts(msg), "session_id", "left")
         .join(usage.fold_sidecars(tables.usage_events), "session_id", "left")
         .join(tools.edit_totals(edits), "session_id", "left")
-        .join(tools.git_counts(calls), "session_id", "left")
+        .join(dialect.git_counts(calls), "session_id", "left")
         .join(tools.marker_counts(primary(tables.markers)), "session_id", "left")
-        .join(tools.tool_flags(counts), "session_id", "left")
+        .join(dialect.tool_flags(counts, tables), "session_id", "left")
         .join(outcomes.groupBy("session_id").agg(F.count_if(F.col("outcome") == "error").alias("tool_errors")), "session_id", "left")
         .join(turn.groupBy("session_id").agg(F.count("*").alias("turn_count")), "session_id", "left")
         .join(medians(msg.where("ttft_ms > 0"), ["session_id"], "ttft_ms", "median_ttft_ms"), "session_id", "left")
         .withColumnsRenamed({"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_tokens", "cache_write": "cache_write_tokens"})
         .withColumn("cost_unavailable", F.col("total_cost").isNull())
-        .na.fill(0)
-        .na.fill(False)
     )
+    totals = dialect.recorded_totals(tables)
+    if totals is not None:
+        wide = wide.join(totals, "session_id", "left").withColumns({
+            "cost_unavailable": ~F.coalesce("cost_recorded", F.lit(False)),
+            "lines_added": F.coalesce("state_added", "lines_added"), "lines_removed": F.coalesce("state_removed", "lines_removed"),
+        }).drop("cost_recorded", "state_added", "state_removed")
+    wide = wide.na.fill(0).na.fill(False)
+    requests = timesplit.request_times(segments, gaps, idle_may_dominate=dialect.flat)
+    slowest = timesplit.slowest_requests(requests, by="wall_sec" if dialect.flat else "active_sec")
     return {
         "sessions": wide, "turns": turn, "turn_percentiles": turns.turn_percentiles(turn), "worst_turns": turns.worst_turns(turn),
         "abort_events": aborts, "reply_times": turns.reply_times(msg), "activity_runs": activity.activity_runs(msg.withColumn("ts_ms", F.col("entry_ms"))),
         "tool_counts": counts, "tool_outcomes": pairing.tool_outcomes(outcomes, ["session_id"]), "outcomes": outcomes,
-        "tool_durations": tools.tool_durations(pairing.timed_calls(starts, results)), "languages": tools.language_counts(calls),
+        "tool_durations": tools.tool_durations(pairing.timed_calls(starts, results)), "languages": dialect.language_counts(calls),
         "session_files": tools.edits_by_file(edits), "failure_classes": tools.failure_classes(msg),
         "session_time": timesplit.session_time(segments, gaps), "you_gaps": timesplit.you_gaps(segments, gaps),
-        "requests": timesplit.with_prompts(timesplit.slowest_requests(timesplit.request_times(segments, gaps)), humans),
+        "requests": timesplit.with_prompts(slowest, humans),
         "subagent_busy": subagent_busy(tables.messages),
         "busy_by_tool": timesplit.busy_by(busy, "tool"), "busy_by_family": timesplit.busy_by(busy, "family"),
         "usage_events": tables.usage_events, "humans": humans.select("session_id", "seq", "ts_ms", "is_human", "text"),

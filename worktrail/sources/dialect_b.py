@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.operators.scan import SEQ_CHUNK, by_width, ordered_scan
+from worktrail.operators.tools import language_of
 from worktrail.session import materialise
-from worktrail.sources.dialect_a import millis
+from worktrail.sources.dialect_a import OWNER, LogTables, millis
 
 RECORD = (
     "type string, sessionId string, cwd string, timestamp string, requestId string, uuid string, "
@@ -68,6 +69,7 @@ def normalise(lines: DataFrame) -> FlatTables:
         side.alias("is_sidechain"),
         human_turn(is_user, F.col("has_results"), side, meta, F.col("text")).alias("is_human"),
         F.coalesce(F.col("r.requestId"), F.lit("")).alias("request_id"),
+        F.coalesce(F.col("r.message.model"), F.lit("unknown")).alias("model"),
         zero(u["input_tokens"]).alias("input"), zero(u["output_tokens"]).alias("output"),
         zero(u["cache_read_input_tokens"]).alias("cache_read"),
         zero(u["cache_creation_input_tokens"]).alias("cache_write"),
@@ -169,3 +171,116 @@ def model_intervals(messages: DataFrame) -> DataFrame:
         "session_id", "seq", "start_ms", F.col("ts_ms").alias("end_ms"),
         F.lit("model").alias("bucket"), F.lit(False).alias("background"),
     )
+
+
+def log_tables(lines: DataFrame, source: str = "b") -> LogTables:
+    """The typed tables of flat logs in the shape every operator reads.
+
+    An answer's model time runs from the latest human or result time; a call
+    starts with its record. The last cost record gives usage per model where it
+    lists models, and the total; what its models leave of the total is booked
+    on `unknown`. Repeated calls of an id count once.
+    """
+    flat = normalise(lines)
+    own = [F.lit(source).alias("source"), F.col("session_id"), F.lit("primary").alias("kind"), F.lit("").alias("sidecar_name")]
+    none = lambda kind: F.lit(None).cast(kind)
+    first = F.min_by(F.struct("seq", "ts_ms", "tool", "input"), F.struct("seq", "idx"))
+    calls = materialise(flat.tool_calls.groupBy("session_id", "call_id").agg(first.alias("c"), F.min("idx").alias("idx")).select("session_id", "call_id", "idx", "c.*"))
+    arg = lambda name: F.col("input")[name]
+    text = lambda name: F.coalesce(arg(name), F.lit(""))
+    tool_calls = calls.select(
+        *own, "seq", "ts_ms", "idx", "call_id", "tool",
+        F.when(text("file_path") != "", arg("file_path")).otherwise(arg("path")).alias("path"), arg("content").alias("content"), none("string").alias("input"),
+        arg("command").alias("command"), none("string").alias("code"), none("string").alias("language"), arg("subagent_type").alias("agent"),
+        none("array<struct<name:string,agent:string>>").alias("tasks"), F.col("input").alias("arguments"),
+    )
+
+    began = model_intervals(flat.messages).select("session_id", "seq", (F.col("end_ms") - F.col("start_ms")).cast("double").alias("duration_ms"))
+    spoken = flat.messages.where("not (role = 'user' and has_results)").join(began, ["session_id", "seq"], "left").select(
+        "session_id", "seq", "ts_ms", "role", "text", "is_human", "model", "duration_ms", "input", "output", "cache_read", "cache_write",
+        F.lit("").alias("tool"), F.lit("").alias("call_id"), F.lit(False).alias("is_error"),
+    )
+    named = flat.tool_results.join(calls.select("session_id", "call_id", "tool"), ["session_id", "call_id"], "left")
+    zero = F.lit(0.0)
+    returned = named.select(
+        "session_id", "seq", "ts_ms", F.lit("toolResult").alias("role"), F.lit("").alias("text"), F.lit(False).alias("is_human"), F.lit("unknown").alias("model"),
+        none("double").alias("duration_ms"), *[zero.alias(c) for c in ("input", "output", "cache_read", "cache_write")], F.coalesce("tool", F.lit("")).alias("tool"), "call_id", "is_error",
+    )
+    messages = spoken.unionByName(returned).select(
+        *own, "seq", none("string").alias("rec_id"), "ts_ms", F.col("ts_ms").alias("entry_ms"), "role", "text", "is_human", F.lit(False).alias("steering"),
+        F.lit("").alias("stop_reason"), none("string").alias("error_message"), "model", F.lit("unknown").alias("provider"), none("double").alias("ttft_ms"), "duration_ms",
+        none("bigint").alias("completed_ms"), "input", "output", "cache_read", "cache_write", zero.alias("cost"), zero.alias("cost_input"), zero.alias("cost_output"), "tool", "call_id", "is_error",
+    )
+    starts = calls.where("ts_ms is not null").select(*own, "seq", "call_id", "tool", F.col("ts_ms").alias("started_ms"), F.lit(False).alias("has_intent"))
+
+    last = flat.cost_states.groupBy("session_id").agg(F.max("seq").alias("seq"), F.max_by(F.struct("total_cost", "model_usage"), F.col("seq")).alias("s"))
+    listed = materialise(last.select("session_id", "seq", F.explode("s.model_usage").alias("model", "u")))
+    amount = lambda c: F.coalesce(F.col(f"u.{c}"), zero)
+    use = ["input", "output", "cache_read", "cache_write", "cost"]
+    by_model = listed.select(
+        "session_id", "seq", "model", amount("inputTokens").alias("input"), amount("outputTokens").alias("output"), amount("cacheReadInputTokens").alias("cache_read"),
+        amount("cacheCreationInputTokens").alias("cache_write"), amount("costUSD").alias("cost"),
+    )
+    spent = by_model.groupBy("session_id").agg(F.sum("cost").alias("model_cost"))
+    rest = last.join(spent, "session_id", "left").select(
+        "session_id", "seq", F.lit("unknown").alias("model"), *[zero.alias(c) for c in use[:4]], (F.coalesce("s.total_cost", zero) - F.coalesce("model_cost", zero)).alias("cost"),
+    ).where("cost <> 0")
+    answers = counted_responses(flat.messages).join(listed.select("session_id").distinct(), "session_id", "left_anti").select("session_id", "seq", "model", *use[:4], zero.alias("cost"))
+    usage_events = by_model.unionByName(rest).unionByName(answers).select(
+        *own, "seq", "model", F.lit("unknown").alias("provider"), F.lit(False).alias("utility"), *use, zero.alias("cost_input"), zero.alias("cost_output"),
+    )
+
+    identity = session_identity(flat.records)
+    header = identity.select(
+        *own, F.col("stop_ms").alias("end_ms"), F.col("start_ms").alias("first_ms"), F.coalesce("record_session_id", "session_id").alias("record_session_id"),
+        F.date_format(F.timestamp_millis("start_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("start_iso"), "cwd", none("string").alias("parent_session"), "uses_subagent",
+    )
+    markers = flat.records.where("false").select(*own, "seq", F.lit("").alias("marker"), none("array<string>").alias("rules"))
+    jobs = flat.records.where("false").select(
+        *own, "seq", none("bigint").alias("delivery_ms"), F.lit(0).alias("job_no"), F.lit("").alias("job_id"), F.lit("").alias("job_type"), none("bigint").alias("duration_ms"), F.lit("").alias("label"),
+    )
+    return LogTables(flat.records, header, messages, tool_calls, starts, usage_events, markers, jobs)
+
+
+# Tools that read, write and change files.
+READERS, WRITERS = ["Read", "Write", "Edit", "NotebookEdit"], ["Write", "Edit", "NotebookEdit"]
+
+
+def edit_rows(calls: DataFrame) -> DataFrame:
+    """(session_id, path or NULL, added, removed) of each call that writes a file."""
+    lines = lambda c: F.length(F.coalesce(c, F.lit(""))) - F.length(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"))) + 1
+    new, old = F.col("arguments.new_string"), F.col("arguments.old_string")
+    added = F.when(F.col("tool") == "Write", lines(F.col("content"))).when(F.col("tool") == "Edit", lines(new)).otherwise(0)
+    return calls.where(F.col("tool").isin(*WRITERS)).select(
+        "session_id", F.when(F.coalesce("path", F.lit("")) != "", F.col("path")).alias("path"),
+        added.cast("bigint").alias("added"), F.when(F.col("tool") == "Edit", lines(old)).otherwise(0).cast("bigint").alias("removed"),
+    )
+
+
+def language_counts(calls: DataFrame) -> DataFrame:
+    rows = calls.where(F.col("tool").isin(*READERS)).select("session_id", language_of(F.coalesce("path", F.lit(""))).alias("language"))
+    return rows.where("language is not null").groupBy("session_id", "language").agg(F.count("*").alias("n"))
+
+
+def git_counts(calls: DataFrame) -> DataFrame:
+    return calls.where("tool = 'Bash'").groupBy("session_id").agg(
+        F.count_if(F.col("command").contains("git commit")).alias("git_commits"), F.count_if(F.col("command").contains("git push")).alias("git_pushes"),
+    )
+
+
+def tool_flags(counts: DataFrame, header: DataFrame) -> DataFrame:
+    """Subagents by their tool or a side chain; remote tool servers by name."""
+    side = header.select("session_id", F.col("uses_subagent").alias("_side"))
+    used = counts.groupBy("session_id").agg(F.max(F.col("tool") == "Task").alias("_task"), F.max(F.col("tool").startswith("mcp__")).alias("uses_mcp"))
+    either = F.coalesce("_side", F.lit(False)) | F.coalesce("_task", F.lit(False))
+    return side.join(used, "session_id", "full_outer").select("session_id", either.alias("uses_subagent"), F.coalesce("uses_mcp", F.lit(False)).alias("uses_mcp"))
+
+
+def recorded_totals(tables: LogTables) -> DataFrame:
+    """Per session: whether a cost is recorded, and the line totals that supersede edits."""
+    r = F.col("r")
+    last = tables.records.where(r["type"] == "cost-state").groupBy("session_id").agg(
+        F.max_by(F.struct(r["totalCostUSD"].alias("cost"), r["totalLinesAdded"].alias("added"), r["totalLinesRemoved"].alias("removed")), F.col("seq")).alias("s")
+    )
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c)).cast("bigint")
+    return last.select("session_id", F.col("s.cost").isNotNull().alias("cost_recorded"), positive("s.added").alias("state_added"), positive("s.removed").alias("state_removed"))
