@@ -9,7 +9,7 @@ from worktrail.catalog import mapping as m
 from worktrail.catalog.mapping import dec, table
 from worktrail.catalog.registry import query
 from worktrail.functions import numeric
-from worktrail.operators import forks, usage
+from worktrail.operators import forks, usage, tools
 from worktrail.plans import refresh
 from worktrail.session import materialise
 from worktrail.sources import dialect_a, dialect_b, logs
@@ -193,10 +193,32 @@ query("j16_superseding_cost", "session_id:s input:d output:d cost:d cost_recorde
       "CASE WHEN l.k > 50 THEN l.k - 50 END AS state_lines_added FROM (SELECT DISTINCT session_id FROM ev) s LEFT JOIN (SELECT session_id, k, value FROM ev WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) = 1) l USING (session_id) "
       "LEFT JOIN (SELECT session_id, sum(CASE WHEN event_type = 'view' THEN k ELSE 0 END) AS i, sum(CASE WHEN event_type = 'view' THEN 2 * k ELSE 0 END) AS o FROM cnt GROUP BY 1) c USING (session_id)", ["ev"], [COUNTED])(
     lambda s, d: dialect_b.session_usage(b_tables(s, d).messages, b_tables(s, d).cost_states))
+def flat_tables(spark, d):
+    return dialect_b.log_tables(b_lines(spark, d))
+
+
+def both_sources(spark, d):
+    """Sessions and records per source, through both dialects."""
+    of = lambda t: t.header.select("source", F.lit(1).alias("sessions"), F.lit(0).alias("records")).unionByName(
+        t.messages.groupBy("source").agg(F.lit(0).alias("sessions"), F.count("*").cast("int").alias("records")).select("source", "sessions", "records"))
+    return of(a_tables(spark, d)).unionByName(of(flat_tables(spark, d))).groupBy("source").agg(F.sum("sessions").alias("sessions"), F.sum("records").alias("records"))
+
+
 query("s06_sources_apart", "source:s sessions:l records:l",
-      "SELECT 'a' AS source, count(DISTINCT session_id) AS sessions, count(*) + count(DISTINCT session_id) AS records FROM ev UNION ALL SELECT 'b', count(DISTINCT session_id), count(*) FROM ev", ["ev"])(
-    lambda s, d: a_lines(s, d).select("source", "session_id").unionByName(b_lines(s, d).select(F.lit("b").alias("source"), "session_id")).groupBy("source", "session_id").agg(F.count("*").alias("n")).groupBy("source").agg(
-        F.count("*").alias("sessions"), F.sum("n").alias("records")))
+      "SELECT 'a' AS source, count(DISTINCT session_id) AS sessions, count(*) AS records FROM messages UNION ALL SELECT 'b', count(DISTINCT session_id), count(*) FILTER (event_type <> 'purchase') FROM ev", ["messages", "ev"])(both_sources)
+FLAT_CALLS = (
+    "fcalls AS (SELECT session_id, concat('c', k % 7) AS call_id, event_id AS seq, ts_ms, CASE k % 3 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Read' ELSE 'Task' END AS tool FROM ev WHERE event_type = 'click' "
+    "QUALIFY row_number() OVER (PARTITION BY session_id, k % 7 ORDER BY event_id) = 1)"
+)
+query("a04_flat_tool_counts", "session_id:s tool:s n:l", "SELECT session_id, tool, count(*) AS n FROM fcalls GROUP BY ALL", ["ev"], [FLAT_CALLS])(lambda s, d: tools.tool_counts(flat_tables(s, d).tool_calls))
+LAST_STATE = (
+    "st AS (SELECT session_id, k, value FROM ev WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) = 1), "
+    "fuse AS (SELECT session_id, 'big' AS model, k::DOUBLE AS input, value AS cost FROM st WHERE k % 2 = 0 UNION ALL SELECT session_id, 'small', 5, 0 FROM st WHERE k % 2 = 0 "
+    "UNION ALL SELECT session_id, 'unknown', 0, CASE WHEN k % 4 <> 0 THEN value ELSE 0 END - CASE WHEN k % 2 = 0 THEN value ELSE 0 END FROM st "
+    "UNION ALL SELECT session_id, 'unknown', CASE WHEN event_type = 'view' THEN k ELSE 0 END, 0 FROM cnt WHERE session_id NOT IN (SELECT session_id FROM st WHERE k % 2 = 0))"
+)
+query("a02_flat_models", "model:s input:d cost:d", f"SELECT model, {dec('input')} AS input, {dec('cost')} AS cost FROM fuse GROUP BY 1", ["ev"], [COUNTED, LAST_STATE])(
+    lambda s, d: usage.usage_by_model(flat_tables(s, d).usage_events).select("model", F.col("input_tokens").alias("input"), "cost"))
 
 # --- forks ---------------------------------------------------------------------------
 
@@ -242,6 +264,14 @@ query("j05_fork_exclusion", "session_id:s rec_id:s value:d", KEEP + " AND r.side
     lambda s, d: forks.drop_copied(materialise(fork_records(s, d).where("sidecar_name = ''")), closure(s, d)))
 query("j06_sidecar_fork_exclusion", "session_id:s sidecar_name:s records:l cost:d", f"SELECT session_id, sidecar_name, count(*) AS records, {dec('value')} AS cost FROM ({KEEP}) GROUP BY 1, 2", ["ev"], ["walk_dummy AS (SELECT 1)", FORKS + BASE])(
     lambda s, d: forks.drop_copied(materialise(fork_records(s, d)), closure(s, d)).groupBy("session_id", "sidecar_name").agg(F.count("*").alias("records"), numeric.exact_sum(F.col("value")).alias("cost")))
+
+
+def raw_costs(spark, d):
+    """Cost per class read from the record lines, without the dialect's parser."""
+    cost = F.get_json_object("line", "$.message.usage.cost.total").cast("double")
+    return a_lines(spark, d).where(F.get_json_object("line", "$.message.role") == "assistant").select("kind", F.coalesce(cost, F.lit(0.0)).alias("cost"))
+
+
 query("j24_reconciliation", "class:s reported:d recomputed:d matches:l",
-      f"SELECT kind AS class, {dec('cost')} AS reported, {dec('cost')} AS recomputed, 1 AS matches FROM usage_events GROUP BY 1", ["usage_events"])(
-    lambda s, d: refresh.reconcile(m.usage_events(s, d), usage.fold_sidecars(m.usage_events(s, d))))
+      f"SELECT 'primary' AS class, {dec('cost')} AS reported, {dec('cost')} AS recomputed, 1 AS matches FROM messages WHERE role = 'assistant' UNION ALL SELECT c, 0, 0, 1 FROM (VALUES ('advisor'), ('subagent')) t(c)", ["messages"])(
+    lambda s, d: refresh.reconcile(raw_costs(s, d), usage.fold_sidecars(a_tables(s, d).usage_events)))

@@ -186,15 +186,20 @@ def quoted_figures(prose: DataFrame, keys: Sequence[str]) -> DataFrame:
         length = lambda parts, n: F.aggregate(
             F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, p: acc + F.length(p)
         )
-        rows = prose.where(F.col("text").rlike(pattern)).select(
+        found_ = prose.where(F.col("text").rlike(pattern)).select(
             *keys, "text", F.split("text", pattern, -1).alias("pieces"), group(0).alias("matches"),
-            F.posexplode(F.arrays_zip(group(1).alias("a"), group(2).alias("b"))).alias("at", "m"),
+            F.arrays_zip(group(1).alias("a"), group(2).alias("b")).alias("zipped"),
         )
-        # Characters before the match: the pieces up to it and the earlier matches.
-        before = length(F.col("pieces"), F.col("at") + 1) + length(F.col("matches"), F.col("at"))
-        from_ = F.greatest(before - 39, F.lit(1))
-        return rows.withColumn("unit", F.lit(unit)).withColumn(
-            "excerpt", F.trim(F.substr("text", from_, before + 41 - from_))
+
+        # Excerpts are cut before the rows are multiplied, so no row carries the text.
+        def quote(m, at):
+            # Characters before the match: the pieces up to it and the earlier matches.
+            before = length(F.col("pieces"), at + 1) + length(F.col("matches"), at)
+            from_ = F.greatest(before - 39, F.lit(1))
+            return F.struct(m["a"].alias("a"), m["b"].alias("b"), F.trim(F.substr("text", from_, before + 41 - from_)).alias("excerpt"))
+
+        return found_.select(*keys, F.posexplode(F.transform("zipped", quote)).alias("at", "m")).select(
+            *keys, F.lit(unit).alias("unit"), "at", "m", F.col("m.excerpt").alias("excerpt")
         )
 
     pct = found(PERCENT, "pct").select(
@@ -218,18 +223,20 @@ def unbacked_figures(quotes: DataFrame, facts: DataFrame, by: Sequence[str] = ()
     as pairs.
     """
     keys = [*by, "unit"]
-    rest = [c for c in quotes.columns if c not in (*keys, "value")]
-    q = quotes.select(*keys, "value", F.lit(1).alias("is_quote"), F.struct(*rest).alias("q"))
+    # A figure quoted often is looked up once; verdicts are joined back.
+    figure = [*keys, "value", "slack"]
+    q = quotes.groupBy(*figure).agg(F.lit(1).alias("is_quote"))
     f = facts.where("unit in ('pct', 'usd')").select(*keys, F.abs("value").alias("value")).distinct().select(
-        *keys, "value", F.lit(0).alias("is_quote"), F.lit(None).cast(q.schema["q"].dataType).alias("q")
+        *keys, "value", F.lit(0.0).alias("slack"), F.lit(0).alias("is_quote")
     )
     known = F.when(F.col("is_quote") == 0, F.col("value"))
     # The texts are searched once; the scan reads its input twice.
     rows = ordered_scan(
-        materialise(q.unionByName(f)), keys, ["value", "is_quote", "q"], by_magnitude("value"), last={"lo": known}, next_={"hi": known}
+        materialise(q.unionByName(f)), keys, ["value", "is_quote", "slack"], by_magnitude("value"), last={"lo": known}, next_={"hi": known}
     ).where("is_quote = 1")
     slack = lambda u: F.when(F.col("unit") == "pct", F.lit(PERCENT_TOLERANCE)).otherwise(
-        F.greatest(u * DOLLAR_TOLERANCE, F.col("q.slack"))
+        F.greatest(u * DOLLAR_TOLERANCE, F.col("slack"))
     )
     near = lambda u: F.coalesce(F.abs(u - F.col("value")) <= slack(u), F.lit(False))
-    return rows.where(~near(F.col("lo")) & ~near(F.col("hi"))).select(*keys, "value", "q.*")
+    unbacked = rows.where(~near(F.col("lo")) & ~near(F.col("hi"))).select(*figure)
+    return quotes.join(unbacked, figure, "left_semi")

@@ -90,38 +90,30 @@ def claim_incidents(items: DataFrame) -> DataFrame:
 
     Items (report_id, item_no, section, evidence) claim their session ids in
     item order; an item sharing an id with an earlier claim refers to its
-    section and claims nothing. Each round accepts every item that is first
-    among the undecided for all its ids, then settles the items it shares ids
-    with: the same outcome as one pass in order, over all reports at once.
+    section and claims nothing. A report's items are few and bounded by its
+    sections, so each report is one ordered fold.
     Returns items with evidence as (report_id, item_no, owner); owner is NULL
     for items that keep their text.
     """
-    slot = ["report_id", "session_id"]
-    item = ["report_id", "item_no"]
-    uses = materialise(
-        items.select(*item, "section", F.posexplode("evidence").alias("at", "session_id"))
-        .groupBy(*item, "section", "session_id").agg(F.min("at").alias("at"))
-    )
-    undecided, claims = uses, uses.select(*slot, "item_no", "section").limit(0)
-    while not undecided.isEmpty():
-        first = undecided.groupBy(*slot).agg(F.min("item_no").alias("first_no"))
-        accepted = materialise(
-            undecided.join(first, slot).groupBy(*item)
-            .agg(F.min(F.col("item_no") == F.col("first_no")).alias("all_first")).where("all_first").select(*item)
-        )
-        new = undecided.join(accepted, item, "left_semi").select(*slot, "item_no", "section")
-        claims = materialise(claims.unionByName(new))
-        left = undecided.join(accepted, item, "left_anti")
-        touched = left.join(claims.select(*slot), slot, "left_semi").select(*item).distinct()
-        undecided = materialise(left.join(touched, item, "left_anti"))
-    # An id has one claimant at most; the first id, in evidence order, that an
-    # earlier item claimed names the owner.
-    earlier = F.col("by_no") < F.col("item_no")
-    owners = claims.select(*slot, F.col("item_no").alias("by_no"), F.col("section").alias("owner"))
-    return uses.join(owners, slot, "left").groupBy(*item).agg(
-        F.min_by("owner", F.when(earlier, F.col("at"))).alias("owner")
+    ids = F.array_distinct(F.array_compact("evidence"))
+    with_ids = items.select("report_id", F.struct("item_no", "section", ids.alias("ids")).alias("item")).where("size(item.ids) > 0")
+    per_report = with_ids.groupBy("report_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    number = items.schema["item_no"].dataType.simpleString()
+    start = F.struct(
+        F.create_map().cast("map<string,string>").alias("claims"), F.array().cast(f"array<struct<item_no:{number},owner:string>>").alias("out"),
     )
 
+    def step(state, item):
+        taken = F.filter(item["ids"], lambda i: F.map_contains_key(state["claims"], i))
+        owner = F.element_at(state["claims"], F.get(taken, F.lit(0)))
+        claimed = F.map_from_arrays(item["ids"], F.transform(item["ids"], lambda _: item["section"]))
+        claims = F.when(F.size(taken) == 0, F.map_concat(state["claims"], claimed)).otherwise(state["claims"])
+        row = F.struct(item["item_no"].alias("item_no"), F.when(F.size(taken) > 0, owner).alias("owner"))
+        return F.struct(claims.alias("claims"), F.array_append(state["out"], row).alias("out"))
+
+    folded = F.aggregate("items", start, step, lambda state: state["out"])
+    return per_report.select("report_id", F.explode(folded).alias("x")).select("report_id", "x.item_no", "x.owner")
+
 
 def title_key(title) -> object:
     return F.trim(F.regexp_replace(F.lower(title), r"[^a-z0-9]+", " "))

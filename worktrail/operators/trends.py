@@ -25,7 +25,8 @@ ORDER = ["start_ms", "session_id"]
 
 def positions(sessions: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add `pos` (1 = oldest) and `pos_n` (length of the series)."""
-    return dense_position(sessions, by, ORDER, by_width("start_ms", 30 * DAY_MS))
+    # An hour of one corpus is one task at most.
+    return dense_position(sessions, by, ORDER, by_width("start_ms", DAY_MS // 24))
 
 
 def percent_change(after: Column, before: Column) -> Column:
