@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from worktrail.functions import text, waits
 from worktrail.functions.labels import LABELS
 from worktrail.operators.facts import quoted_figures, unbacked_figures
+from worktrail.operators import filters, labels, timerollup
 from worktrail.operators.labels import normalise_keys
 from worktrail.operators.tools import language_of
 
@@ -94,3 +95,28 @@ def test_fact_check(spark):
     bad = {(r.unit, r.value): r.excerpt for r in unbacked_figures(quotes, facts).collect()}
     assert set(bad) == {("pct", 40.0), ("usd", 9000.5)}
     assert "$9,000.50" in bad[("usd", 9000.5)] and "40-61%" in bad[("pct", 40.0)]
+
+
+def test_report_fields_fit_their_budgets(spark):
+    long = " ".join(f"w{i}" for i in range(80)) + "."
+    rows = [("what_works", "impressive_workflows", "description", long), ("suggestions", "stop_doing", "title", long), ("interaction_style", None, "key_pattern", "short one"), ("other", None, "x", long)]
+    got = text.fit_report_fields(spark.createDataFrame(rows, "section string, list string, field string, text string")).collect()
+    assert [len(r.text.split()) for r in got] == [40, 10, 2, 80]
+
+
+def test_names_meet_their_own_corpus_only(spark):
+    candidates = spark.createDataFrame([("a", "deploy checker"), ("b", "deploy checker")], "team string, name string")
+    names = spark.createDataFrame([("a", "deploy-checker")], "team string, existing string")
+    assert [tuple(r) for r in filters.drop_near_duplicates(candidates, names, by=["team"]).collect()] == [("b", "deploy checker")]
+
+
+def test_instructions_in_start_order(spark):
+    facets = spark.createDataFrame([("u", "s2", 2, "", "", ["c"]), ("u", "s1", 1, "", "", ["a", "b"])], "user string, session_id string, start_ms long, brief_summary string, friction_detail string, instructions array<string>")
+    assert [r.entry for r in labels.narrative_lists(facets, ["user"]).orderBy("entry").collect()] == ["a", "b", "c"]
+
+
+def test_slowest_request_comes_last(spark):
+    found = spark.createDataFrame([("u", "review_waits", None, 5.0, 0.2), ("u", "waiting_on_you", None, 9.0, 0.4)], "user string, lever string, subject string, seconds double, share double")
+    slow = spark.createDataFrame([("u", "s1", 99.0, "model", 1), ("u", "s2", 9.0, "model", 2)], "user string, session_id string, active_sec double, dominant string, rank int")
+    got = timerollup.ranked_levers(found, slow, ["user"]).orderBy("place").collect()
+    assert [(r.lever, r.subject) for r in got] == [("waiting_on_you", None), ("review_waits", None), ("slowest_requests", "s1")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that name a review.
@@ -143,6 +143,17 @@ def fit_words(text: Column, limit: Column | int, ellipsis: Column | bool = True)
     ))
 
 
+def fit_report_fields(fields: DataFrame) -> DataFrame:
+    """Cut the text of report fields (section, list, field, text, ...) to their budgets."""
+    budgets = {"|".join((section, of or "", field)): (words, ellipsis) for section, of, field, words, ellipsis in WORD_BUDGETS}
+    key = F.concat_ws("|", "section", F.coalesce("list", F.lit("")), "field")
+    fitted = F.col("text")
+    for words, ellipsis in sorted(set(budgets.values())):
+        names = [k for k, v in budgets.items() if v == (words, ellipsis)]
+        fitted = F.when(key.isin(*names), fit_words(F.col("text"), words, ellipsis)).otherwise(fitted)
+    return fields.withColumn("text", fitted)
+
+
 def _whole_sentences(body: Column, limit: Column) -> Column:
     """The longest run of leading sentences that fits, else the first words."""
     marked = F.regexp_replace(body, r"([.!?])\s+", "$1\u0001")

@@ -176,6 +176,3 @@ def _family(tool: Column, text: Column, language: Column) -> Column:
 def is_heavy_model(name: Column) -> Column:
     lower = F.lower(name)
     return ~lower.rlike(FAST_TIER) & matches_any(lower, HEAVY_TIER, ignore_case=False)
-
-
-__all__ = ["waits_for", "wait_kind", "command_family", "shell_family", "is_heavy_model", "lookup"]

@@ -170,6 +170,3 @@ def reply_histogram(replies: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         low = high
     wide = replies.groupBy(*by).agg(*counts)
     return wide.select(*by, F.explode(F.array(*cells)).alias("x")).select(*by, "x.band", "x.n")
-
-
-__all__ = ["activity_runs", "active_hours_by_day", "interleavings", "busy_elsewhere", "DAY_MS"]

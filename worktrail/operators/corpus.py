@@ -152,7 +152,3 @@ def cost_shares(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return totals.select(*by, "total_cost", F.explode(cells).alias("x")).select(
         *by, "x.class", "x.cost", ratio(F.col("x.cost"), F.col("total_cost")).alias("share")
     )
-
-
-def positive(column: str) -> Column:
-    return F.col(column) > 0

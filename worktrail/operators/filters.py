@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from worktrail.functions.labels import SELF_GENERATED_MARKERS
-from worktrail.functions.text import matches_any
 
 SAFE_ID = r"^[A-Za-z0-9._-]{1,128}$"
 
@@ -103,41 +102,39 @@ def _name_tokens(text: Column) -> Column:
 
 
 def drop_near_duplicates(
-    candidates: DataFrame, names: DataFrame, candidate: str = "name", existing: str = "existing"
+    candidates: DataFrame, names: DataFrame, candidate: str = "name", existing: str = "existing", by: Sequence[str] = ()
 ) -> DataFrame:
     """Drop candidates close to an existing name.
 
     Close: the candidate holds the name (4 characters or more), or the two
     share at least half of the shorter side's telling words. Both tests are
     equi-joins: one on the shared word, one on every run of words of the
-    candidate that equals a name, so no candidate meets every name.
+    candidate that equals a name, so no candidate meets every name. With `by`
+    candidates meet the names of their own corpus only.
     """
-    left = candidates.select(candidate).distinct().withColumn("_a", _name_text(F.col(candidate)))
+    by = list(by)
+    left = candidates.select(*by, candidate).distinct().withColumn("_a", _name_text(F.col(candidate)))
     left = left.withColumn("_ta", _name_tokens(F.col("_a")))
-    right = names.select(F.col(existing)).distinct().withColumn("_b", _name_text(F.col(existing)))
-    right = right.where("_b <> ''").withColumn("_tb", _name_tokens(F.col("_b"))).select("_b", "_tb").distinct()
+    right = names.select(*by, F.col(existing)).distinct().withColumn("_b", _name_text(F.col(existing)))
+    right = right.where("_b <> ''").withColumn("_tb", _name_tokens(F.col("_b"))).select(*by, "_b", "_tb").distinct()
 
     shared = (
-        left.select(candidate, F.size("_ta").alias("na"), F.explode("_ta").alias("w"))
-        .join(right.select("_b", F.size("_tb").alias("nb"), F.explode("_tb").alias("w")), "w")
-        .groupBy(candidate, "_b")
+        left.select(*by, candidate, F.size("_ta").alias("na"), F.explode("_ta").alias("w"))
+        .join(right.select(*by, "_b", F.size("_tb").alias("nb"), F.explode("_tb").alias("w")), [*by, "w"])
+        .groupBy(*by, candidate, "_b")
         .agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         .where(F.col("k") >= F.least("na", "nb") * 0.5)
-        .select(candidate)
+        .select(*by, candidate)
     )
     # Every substring of the candidate with the length of some name: lengths
     # come from the name side per length class, as an equi-join on the text.
     lengths = right.where(F.length("_b") >= 4).select(F.length("_b").alias("len")).distinct()
     spans = left.join(F.broadcast(lengths), F.length("_a") >= F.col("len")).select(
-        candidate,
+        *by, candidate,
         F.explode(F.transform(
             F.sequence(F.lit(1), F.length("_a") - F.col("len") + 1), lambda i: F.substr("_a", i, F.col("len"))
         )).alias("_b"),
     )
-    held = spans.join(right.select("_b"), "_b", "left_semi").select(candidate)
+    held = spans.join(right.select(*by, "_b"), [*by, "_b"], "left_semi").select(*by, candidate)
     close = shared.union(held).distinct()
-    return candidates.join(close, candidate, "left_anti")
-
-
-def mentions(text: Column, words: Sequence[str]) -> Column:
-    return matches_any(text, [rf"\b{w}\b" for w in words])
+    return candidates.join(close, [*by, candidate], "left_anti")

@@ -72,11 +72,3 @@ def copied_records(records: DataFrame, closure: DataFrame) -> DataFrame:
 def drop_copied(records: DataFrame, closure: DataFrame) -> DataFrame:
     """Records without those copied from an ancestor; id-less records stay."""
     return records.join(copied_records(records, closure), ["session_id", "sidecar_name", "rec_id"], "left_anti")
-
-
-def session_chain(sessions: DataFrame, every: int = 3) -> DataFrame:
-    """Links for a numbered series of sessions: number n follows n-1 unless n % every = 0."""
-    scanned = ordered_scan(
-        sessions, ["owner"], ["number"], by_width("number", 65_536), last={"parent": F.col("session_id")}
-    )
-    return scanned.where(f"number % {every} <> 0 and parent is not null").select("session_id", "parent")

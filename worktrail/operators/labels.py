@@ -154,9 +154,15 @@ def capped_friction(status: DataFrame, by: Sequence[str], resolved: int = 5, ong
 
 
 def narrative_lists(facets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Last 50 summaries and first 20 friction details per `by`, in start order."""
+    """Last 50 summaries, first 20 friction details and, where facets have them,
+    first 15 instructions per `by`, in start order."""
     order = ["start_ms", "session_id"]
     tail = top_rows(facets.where("brief_summary <> ''"), by, [F.desc(c) for c in order], 50)
     head = top_rows(facets.where(F.trim("friction_detail") != ""), by, [F.asc(c) for c in order], 20)
     pick = lambda df, what, col: df.select(*by, F.lit(what).alias("list"), "session_id", F.trim(F.col(col)).alias("entry"))
-    return pick(tail, "summary", "brief_summary").unionByName(pick(head, "friction_detail", "friction_detail"))
+    lists = pick(tail, "summary", "brief_summary").unionByName(pick(head, "friction_detail", "friction_detail"))
+    if "instructions" in facets.columns:
+        each = facets.select(*by, *order, F.posexplode("instructions").alias("place", "instruction"))
+        asked = top_rows(each, by, [F.asc(c) for c in (*order, "place")], 15)
+        lists = lists.unionByName(pick(asked, "instruction", "instruction"))
+    return lists

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from worktrail.functions.numeric import exact_sum, ratio
 from worktrail.functions.waits import is_heavy_model
@@ -99,6 +100,18 @@ def levers(
     return r.select(*by, F.explode(F.array_compact(cells)).alias("x")).select(*by, "x.*")
 
 
+def ranked_levers(found: DataFrame, slowest: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Levers by share, largest first; the slowest request comes last.
+
+    slowest: by, session_id, active_sec, dominant, rank (1 is the slowest).
+    """
+    last = slowest.where("rank = 1").select(
+        *by, F.lit("slowest_requests").alias("lever"), F.col("session_id").alias("subject"), F.col("active_sec").alias("seconds"), F.lit(None).cast("double").alias("share"),
+    )
+    order = W.partitionBy(*by).orderBy(F.desc_nulls_last("share"), "lever")
+    return found.unionByName(last).withColumn("place", F.row_number().over(order))
+
+
 # Which session figure backs a lever.
 EVIDENCE = {"waiting_on_you": "you", "slow_model": "model", "serial_agent_waits": "agents", "review_waits": "review"}
 
@@ -123,7 +136,3 @@ def unrecognised_waiting(families: DataFrame, rollup: DataFrame, by: Sequence[st
     tools = rollup.where("bucket = 'tools'").select(*keys, F.col("seconds").alias("tools_sec"))
     joined = sec.join(tools, keys, "left") if keys else with_row(sec, tools)
     return joined.withColumn("share", ratio(F.col("unrecognised_sec"), F.coalesce("tools_sec", F.lit(0.0))))
-
-
-def visible_families(families: DataFrame) -> DataFrame:
-    return families.where(~F.col("family").isin(*UNRECOGNISED))

@@ -199,6 +199,3 @@ def delta_unavailable(sessions: DataFrame, found: DataFrame, by: Sequence[str])
     """Why a series has no comparison; the latest week is never empty."""
     missing = sessions.select(*by).distinct().join(found.select(*by), list(by), "left_anti")
     return missing.withColumn("reason", F.lit("No previous week inside this report window"))
-
-
-__all__ = ["trajectory", "anomalies", "transitions", "deltas", "ordered_scan", "SEQ_CHUNK"]

@@ -285,6 +285,8 @@ def corpus_tables(
     delta, trend, spikes = trends.deltas(series, by), trends.trajectory(series, by), trends.anomalies(series, by)
     projects = corpus.project_counts(keep, by)
 
+    slow = materialise(usage.top_rows(of("requests").drop("rank"), by, [F.desc("active_sec"), F.asc("session_id"), F.asc("request_no")], 5))
+
     out = {
         "scan": scan_counts(reasons, keep, by),
         "totals": totals, "cost_shares": corpus.cost_shares(totals, by), "cost_by_provider": providers, "billed": billed,
@@ -298,10 +300,11 @@ def corpus_tables(
         "calendar": corpus.calendar(keep, by), "projects": projects, "active_hours": hours,
         "overlaps": activity.overlap_summary(activity.interleavings(humans, by), by), "hour_histogram": activity.hour_histogram(humans, by),
         "responses": corpus.response_medians(of("reply_times"), keep, by), "reply_histogram": activity.reply_histogram(of("reply_times"), by),
-        "time_rollup": rollup, "levers": found, "lever_evidence": timerollup.lever_evidence(found, time, session_families, by),
+        "time_rollup": rollup, "levers": timerollup.ranked_levers(found, slow, by), "lever_evidence": timerollup.lever_evidence(found, time, session_families, by),
         "unrecognised_waiting": timerollup.unrecognised_waiting(families, rollup, by),
-        "slow_requests": usage.top_rows(of("requests").drop("rank"), by, [F.desc("active_sec"), F.asc("session_id"), F.asc("request_no")], 5),
+        "slow_requests": slow,
         "abort_events": of("abort_events"), "weeks": trends.week_summary(series, by), "trajectory": trend, "anomalies": spikes, "delta": delta,
+        "delta_unavailable": trends.delta_unavailable(series, delta, by),
     }
     given = given_abort_labels if given_abort_labels is not None else parts["abort_events"].select("session_id", "ts_ms", F.lit("").alias("label")).where("false")
     out["abort_labels"] = labels.abort_labels(of("abort_events"), given, by)
