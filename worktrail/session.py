@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,13 +65,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from there.
+    """Write `df` as Parquet into the checkpoint folder and read it back.
 
     For results that a plan reads more than once: without it each reader would
-    run the whole plan below again, doubling at every further scan.
+    run the whole plan below again, doubling at every further scan. Readers
+    prune columns and see real sizes, and no executor's loss replays the plan.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
