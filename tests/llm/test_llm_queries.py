@@ -85,7 +85,7 @@ def test_pipeline_stages(spark):
     columns, (names, stages) = docs.columns, zip(*corpus_pipeline.STAGES)
     kept = stored(stages[0](spark, docs, SF))
     judged = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
-    want = {i for i, r in judged.items() if r.lang_pred != "und" and r.score >= 0.5}
+    want = {i for i, r in judged.items() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
     assert {r.doc_id for r in kept.collect()} == want and want.isdisjoint({9001, 9002}) and kept.columns == columns
 
     rows = [(r.doc_id, r.text) for r in kept.collect()]

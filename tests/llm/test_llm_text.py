@@ -40,7 +40,8 @@ def test_round_trip(spark, reference):
     for i, text in enumerate(ODD):
         assert np.frombuffer(got[i].ids, "<u4").tolist() == reference.encode_ordinary(text or "")
         assert bytes(got[i].decoded) == (text or "").encode()
-    assert bpe.encode(frame(spark, []), JSON).collect() == []
+    assert sorted(map(tuple, bpe.round_trip(frame(spark, ODD), JSON, RANKS).collect())) == sorted(map(tuple, got.values()))
+    assert bpe.encode(frame(spark, []), JSON).collect() == [] and bpe.round_trip(frame(spark, []), JSON, RANKS).collect() == []
 
 
 def test_offsets_cover_split_characters(spark, reference):

@@ -3,7 +3,7 @@
 The `tokenizers` library runs inside tasks over Arrow batches. A match of the
 split pattern never crosses a place where a blank follows a non-blank, so
 texts are cut there, and each distinct piece is encoded once per worker and
-kept in a bounded cache. Ids leave as packed little-endian unsigned 32-bit
+kept in a cache of two generations of bounded size. Ids leave as packed little-endian unsigned 32-bit
 integers; decoding joins the bytes of each id, so characters split over
 several tokens come back whole.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000  # of both generations, in each worker
 GROUP = 1000
 
 # A blank inside a longer run of white space, where cutting is not safe.
@@ -32,13 +32,13 @@ _state: dict = {}
 
 
 def _tokenizer(path: str):
-    """The worker's tokenizer and piece cache of one vocabulary file."""
+    """The worker's tokenizer and piece caches (young, old) of one vocabulary file."""
     if path not in _state:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _state[path] = (tokenizer, {})
+        _state[path] = [tokenizer, {}, {}]
     return _state[path]
 
 
@@ -76,19 +76,22 @@ def _encode_pieces(tokenizer, pieces: list[str]) -> list[bytes]:
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Packed ids of each text."""
-    tokenizer, cache = _tokenizer(path)
-    out = []
+    state = _tokenizer(path)
+    tokenizer, out = state[0], []
     for start in range(0, len(texts), 100):
+        if len(state[1]) > CACHE_PIECES // 2:
+            state[1:] = [{}, state[1]]
+        young, old = state[1], state[2]
         cut = [pieces_of(text or "") for text in texts[start:start + 100]]
-        new = list({piece for pieces in cut for piece in pieces}.difference(cache))
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            new = list({piece for pieces in cut for piece in pieces})
+        missing = {piece for pieces in cut for piece in pieces}.difference(young)
+        known = missing.intersection(old)
+        young.update((piece, old[piece]) for piece in known)
+        new = list(missing - known)
         long = [piece for piece in new if len(piece) > 200]
         short = [piece for piece in new if len(piece) <= 200]
-        cache.update(zip(short, _encode_pieces(tokenizer, short)))
+        young.update(zip(short, _encode_pieces(tokenizer, short)))
         extra = dict(zip(long, _encode_pieces(tokenizer, long)))
-        get = cache.__getitem__ if not extra else lambda piece: extra[piece] if piece in extra else cache[piece]  # noqa: B023
+        get = young.__getitem__ if not extra else lambda piece: extra[piece] if piece in extra else young[piece]  # noqa: B023
         out += [b"".join(map(get, pieces)) for pieces in cut]
     return out
 
@@ -142,3 +145,19 @@ def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], names=[id_col, "ids", "decoded"])
 
     return df.select(id_col, ids_col).mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, tokenizer_path: str, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded) per row: `encode` and `decode` in one pass of one worker."""
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = token_bytes(rank_path).__getitem__
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
+                packed = encode_texts(part.column(1).to_pylist(), tokenizer_path)
+                decoded = [b"".join(map(get, np.frombuffer(ids, dtype="<u4").tolist())) for ids in packed]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())], names=schema.fieldNames())
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 SHARES = 1_000_000
 # Odd multipliers of the n-gram hash, one per place and length.
 _PLACES = [np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64) + np.uint64(2 * i) for i in range(3)]

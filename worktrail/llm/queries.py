@@ -178,9 +178,8 @@ FROM d JOIN g ON d.t = g.t
 def op9_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return bpe.decode(encoded, ranks).select(
+    paths = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *paths).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
