@@ -195,8 +195,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_text = F.get(F.filter("of_texts", lambda x: x["own"] == F.xxhash64("text")), F.lit(0))
     listed = dealt.join(lists, "id").select("id", "text", F.xxhash64("text").alias("own"), of_text["shared"].alias("shared"))
     windows = _windows(listed.where("shared is not null"), window, gram)
-    firsts = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "g", "first")
-    removed = windows.join(firsts, ["h", "g"]).where(F.col("id") > F.col("first"))
+    firsts = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    # Keys apart from the aggregate's, so that the join gets exchanges of its own and can split a hot passage.
+    key = F.bitwise_not("h")
+    firsts = firsts.select(key.alias("key"), F.col("g").alias("check"), "first")
+    removed = windows.join(firsts, (key == F.col("key")) & (F.col("g") == F.col("check")) & (F.col("id") > F.col("first")))
     positions = removed.groupBy("id", "own").agg(F.collect_set("pos").alias("positions")).withColumn("copy", F.lit(False))
     positions = positions.unionByName(copies.select("id", "own", F.array().cast("array<int>").alias("positions"), F.lit(True).alias("copy")))
     by_id = positions.groupBy("id").agg(F.collect_list(F.struct("own", "positions", "copy")).alias("of_texts"))
