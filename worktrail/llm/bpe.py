@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_PIECES = 300_000  # of both generations, in each worker
+CACHE_PIECES = 600_000  # of both generations, in each worker
 GROUP = 1000
 
 # A blank inside a longer run of white space, where cutting is not safe.
