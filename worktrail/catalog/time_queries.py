@@ -73,6 +73,20 @@ query("j04_background_jobs", "session_id:s start_ms:l end_ms:l bucket:s job_type
       "WHERE job_type = 'task'", ["async_jobs", "tool_calls"])(
     lambda s, d: timesplit.job_intervals(m.async_jobs(s, d), tool_intervals(s, d), m.tool_calls(s, d)).where("job_type = 'task'"))
 
+# Both kinds of job: a shell job waits for what the latest details of the call that was moved to it say, else for what its label says (nothing, as mapped).
+JOB_OWNERS = (
+    "moved AS (SELECT session_id, call_id, start_seq, max(seq) AS seq, max(CASE WHEN contains(text, 'Backgrounded as job') THEN regexp_extract(text, '(bg_[0-9]+)', 1) END) AS job_id FROM live GROUP BY ALL), "
+    "job_owners AS (SELECT session_id, job_id, arg_max(call_id, seq) AS call_id FROM moved WHERE job_id IS NOT NULL GROUP BY ALL), "
+    "job_agents AS (SELECT session_id, task_name AS job_id, arg_max(coalesce(task_agent, 'task'), seq) AS agent FROM tool_calls WHERE tool = 'task' GROUP BY ALL)"
+)
+query("j04_all_background_jobs", "session_id:s start_ms:l end_ms:l bucket:s job_type:s",
+      "SELECT j.session_id, delivery_ms - duration_ms AS start_ms, delivery_ms AS end_ms, job_type, "
+      "CASE WHEN job_type = 'task' THEN CASE WHEN a.agent = 'CodeReviewer' OR (a.agent IS NULL AND label = 'approve release') THEN 'review' ELSE 'agents' END "
+      "WHEN dtool IN ('bash', 'eval') AND dkind IN ('ci', 'review', 'agents') THEN dkind ELSE 'tools' END AS bucket "
+      "FROM async_jobs j LEFT JOIN job_agents a USING (session_id, job_id) LEFT JOIN job_owners o USING (session_id, job_id) "
+      "LEFT JOIN det2 c ON c.session_id = j.session_id AND c.call_id = o.call_id", ["async_jobs", "tool_starts", "results", "tool_calls"], [TIMED, JOB_OWNERS])(
+    lambda s, d: timesplit.job_intervals(m.async_jobs(s, d), tool_intervals(s, d), m.tool_calls(s, d)))
+
 
 def busy_calls(spark, d):
     """Calls after job replacement, with their own user."""
