@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.llm import bpe, chat, exact_dedup, langid, mixing, quality, simhash, substring, topk, url_rules
+from worktrail.llm import ann, bpe, chat, conversation, exact_dedup, langid, mixing, quality, simhash, substring, topk, url_rules, variants
 from worktrail.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,125 @@ def op9_byte_bpe(spark, sf_dir):
 @query
 def op10_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows as the contract damages them; `present` is false where a row is dropped."""
+    blank = F.lit(" ")
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), blank)
+    code = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), code.alias("code"))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        (F.col("code") != 0).alias("present"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("code") == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return conversation.summaries(rows, present=F.col("present")).withColumnRenamed("conv", "conv_id")
+
+
+def crc32_sql(points: str) -> str:
+    """CRC-32 of a list of bytes in SQL; `crc` is a row with the table of the byte steps."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {points}), lambda c, b: xor(c >> 8, crc.steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+CRC = (
+    "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), "
+    "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps)"
+)
+ASCII_BYTES = "list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)"
+
+
+def repair_sql() -> str:
+    """Cheapest edits by the costs and audits of whole beginnings, in a recursive query."""
+    add = lambda q, role: f"{{'c': {q}.c + 2, 'a': {q}.a || 'I', 'o': list_append({q}.o, '{role}:')}}"
+    least = lambda *xs: f"list_sort(list_filter([{', '.join(xs)}], lambda x: x.c IS NOT NULL))[1]"
+    # An added turn leads from states 0, 1 and 3 to 2, and from 2 to 3.
+    added = lambda: f"q0, q1, {least('q2', add('q0', 'user'), add('q1', 'user'), add('q3', 'user'))} AS q2, {least('q3', add('q2', 'assistant'))} AS q3"
+    drop = lambda q: f"{{'c': {q}.c + 3, 'a': {q}.a || 'D', 'o': {q}.o}}"
+    stay = lambda q, test: f"{{'c': CASE WHEN {test} AND NOT must THEN {q}.c + extra END, 'a': {q}.a || 'K', 'o': list_append({q}.o, role || ':' || text)}}"
+    name = lambda q, role: f"{{'c': CASE WHEN NOT must THEN {q}.c + extra + 2 END, 'a': {q}.a || 'R', 'o': list_append({q}.o, '{role}:' || text)}}"
+    to_user = [x for q in ("q0", "q1", "q3") for x in (stay(q, "first = 'u'"), name(q, "user"))]
+    typed = "{'c': NULL::BIGINT, 'a': ''::VARCHAR, 'o': []::VARCHAR[]}"
+    start = typed.replace("NULL::BIGINT", "0::BIGINT")
+    return f"""
+WITH RECURSIVE {CRC}, raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql(ASCII_BYTES.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))} % 20 AS code FROM conversations, crc),
+hurt AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE code <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM hurt),
+faulty AS (
+  SELECT *, substr(role, 1, 1) AS first, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+rows_ AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS must, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS extra FROM faulty),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {start} AS q0, {typed} AS q1, {typed} AS q2, {typed} AS q3 FROM convs
+  UNION ALL
+  SELECT w.conv_id, r.i, {drop('q0')} AS q0, {least(drop('q1'), stay('q0', "first = 's'"))} AS q1, {least(drop('q2'), *to_user)} AS q2,
+    {least(drop('q3'), stay('q2', "first = 'a'"), name('q2', 'assistant'))} AS q3
+  FROM (SELECT conv_id, i, {added()} FROM (SELECT conv_id, i, {added()} FROM walk)) w
+  JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1),
+ends AS (
+  SELECT conv_id, {least('q0', 'q3')} AS best FROM (
+    SELECT conv_id, i, {added()} FROM (SELECT conv_id, i, {added()} FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1))),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || first NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.c AS cost, best.a AS audit, sha256(array_to_string(best.o, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+ORACLES["op11_conversation_repair"] = repair_sql()
+
+
+def altered(doc_id: Column, word: Column) -> Column:
+    """The contract's change of a run: one code point goes where 97 divides the CRC-32."""
+    h = F.crc32(F.concat(doc_id, F.lit(":"), word).cast("binary"))
+    at = (h % F.char_length(word)).cast("int")
+    return F.when(h % 97 == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))).otherwise(word)
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"), alter=altered)
+
+
+# Letters are one or two bytes in UTF-8. Near words: the words, or a word and
+# the other, are the same without one letter.
+LETTER_BYTES = "flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))"
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE {CRC},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+distinct_ AS (SELECT id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32_sql(LETTER_BYTES.format("id || ':' || run"))} AS h FROM distinct_, crc),
+changed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT w.word, w.n, count(near.other) AS n_near, list_sort(list({{'r': -o.n, 'w': near.other}}) FILTER (near.other IS NOT NULL))[1] AS b
+  FROM words w LEFT JOIN near ON near.word = w.word LEFT JOIN words o ON o.word = near.other GROUP BY w.word, w.n),
+formed AS (SELECT word, n, n_near, CASE WHEN -b.r >= 2 * n THEN b.w END AS form, CASE WHEN -b.r >= 2 * n THEN -b.r END AS form_n FROM best),
+chain AS (SELECT word, word AS root FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM formed JOIN ends USING (word)
+"""
+
+
+@query
+def op13_nearest_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
