@@ -4,7 +4,7 @@ import pytest
 from builders import T0, answer, call, human, iso, result, session, start, write
 
 from worktrail.operators.usage import provider_basis
-from worktrail.plans import build, refresh
+from worktrail.plans import build, publish, refresh, store
 from worktrail.sources import logs
 
 MIN = 60_000
@@ -99,21 +99,35 @@ def test_corpus_tables(spark, built):
     out = build.corpus_tables(built[2], basis, now_ms=T0 + 100 * MIN)
     assert out["totals"].collect()[0].sessions == 2
     assert out["billed"].collect()[0].billed_cost == pytest.approx(7.875)
+    scan = out["scan"].first()
+    assert (scan.primary_logs, scan.duplicate_logs, scan.advisor_logs, scan.subagent_logs, scan.excluded_meta, scan.included) == (2, 1, 1, 2, 0, 2)
     ids = {r.fact_id for r in out["facts"].collect()}
     assert {"total_cost", "model_cost.m-1", "time.share.model", "active_hours"} <= ids
+    assert any(i.startswith("worst_turn.") for i in ids)
     for name, df in out.items():
         df.count(), name
 
 
-def test_report_round_trip(spark, built, tmp_path):
-    build.write_report({"turns": built[2]["turns"]}, str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "turns")).count() == built[2]["turns"].count()
-
-
-def test_versions(spark, built, tmp_path):
-    sessions = built[2]["sessions"].select("session_id", "total_cost")
-    path = refresh.write_version(sessions, str(tmp_path / "s"), 3)
-    assert spark.read.parquet(path).count() == 2
+def test_sidecars_fold_into_the_session(spark, tmp_path):
+    """Calls, failed results and active seconds of every sidecar; overlaps inside one count once."""
+    sec = 1000
+    side = [
+        answer("a1", T0 + 10 * sec, call("c1", "bash", command="make"), ttft=2000, duration=3000),
+        start("a2", T0 + 10 * sec, "c1", "bash"),
+        answer("a3", T0 + 14 * sec, call("c2", "read", path="/a"), duration=2000),
+        result("a4", T0 + 20 * sec, "c1", "bash", "no", error=True),
+        result("a5", T0 + 21 * sec, "c2", "read", "gone", error=True),
+    ]
+    write(tmp_path / "p" / "2024_s.jsonl", [session("s", T0), human("h", T0, "go"), answer("b", T0 + sec, cost=1.0)])
+    write(tmp_path / "p" / "2024_s" / "x.jsonl", side)
+    write(tmp_path / "p" / "2024_s" / "__advisor.jsonl", [answer("d1", T0 + 5 * sec, duration=5000, cost=2.0), answer("d2", T0 + 7 * sec, duration=1000)])
+    parts = build.session_tables(*build.build_tables(spark, str(tmp_path)))
+    row = parts["sessions"].first()
+    assert (row.sidecar_tool_calls, row.sidecar_tool_errors, row.cost_advisor) == (2, 2, 2.0)
+    # The subagent: model from second 5 to 10, then the command to 20, then a second of waiting;
+    # without a human message the range starts at the first record, which is at 10. The advisor:
+    # from its record at 5 to 7, the last of them model, the rest a gap.
+    assert parts["subagent_busy"].first().busy_sec == 11 + 2
 
 
 def b_record(kind, ms, content=None, **fields):

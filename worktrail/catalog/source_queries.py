@@ -9,7 +9,7 @@ from worktrail.catalog import mapping as m
 from worktrail.catalog.mapping import dec, table
 from worktrail.catalog.registry import query
 from worktrail.functions import numeric
-from worktrail.operators import forks, usage, tools
+from worktrail.operators import forks, tools, usage
 from worktrail.plans import refresh
 from worktrail.session import materialise
 from worktrail.sources import dialect_a, dialect_b, logs
@@ -254,16 +254,16 @@ BASE = (
 )
 
 
-def closure(spark, d):
-    return forks.ancestors(forks.parent_links(fork_header(spark, d)))
+def fork_links(spark, d):
+    return materialise(forks.parent_links(fork_header(spark, d)))
 
 
-query("j05_fork_ancestors", "session_id:s ancestor:s", "SELECT * FROM walk", ["ev"], ["walk_dummy AS (SELECT 1)", FORKS])(closure)
+query("j05_fork_ancestors", "session_id:s ancestor:s", "SELECT * FROM walk", ["ev"], ["walk_dummy AS (SELECT 1)", FORKS])(lambda s, d: forks.ancestors(fork_links(s, d)))
 KEEP = "SELECT r.* FROM recs r WHERE NOT EXISTS (SELECT 1 FROM walk w JOIN recs a ON a.session_id = w.ancestor WHERE w.session_id = r.session_id AND a.rec_id = r.rec_id AND a.sidecar_name = r.sidecar_name)"
 query("j05_fork_exclusion", "session_id:s rec_id:s value:d", KEEP + " AND r.sidecar_name = ''", ["ev"], ["walk_dummy AS (SELECT 1)", FORKS + BASE])(
-    lambda s, d: forks.drop_copied(materialise(fork_records(s, d).where("sidecar_name = ''")), closure(s, d)))
+    lambda s, d: forks.drop_copied(materialise(fork_records(s, d).where("sidecar_name = ''")), forks.fork_trees(fork_links(s, d))))
 query("j06_sidecar_fork_exclusion", "session_id:s sidecar_name:s records:l cost:d", f"SELECT session_id, sidecar_name, count(*) AS records, {dec('value')} AS cost FROM ({KEEP}) GROUP BY 1, 2", ["ev"], ["walk_dummy AS (SELECT 1)", FORKS + BASE])(
-    lambda s, d: forks.drop_copied(materialise(fork_records(s, d)), closure(s, d)).groupBy("session_id", "sidecar_name").agg(F.count("*").alias("records"), numeric.exact_sum(F.col("value")).alias("cost")))
+    lambda s, d: forks.drop_copied(materialise(fork_records(s, d)), forks.fork_trees(fork_links(s, d))).groupBy("session_id", "sidecar_name").agg(F.count("*").alias("records"), numeric.exact_sum(F.col("value")).alias("cost")))
 
 
 def raw_costs(spark, d):

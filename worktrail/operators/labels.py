@@ -18,9 +18,13 @@ HALF_LIFE_DAYS = 10  # fixed value: a label counts half after ten days
 LAMBDA = math.log(2) / (HALF_LIFE_DAYS * DAY_MS)
 
 
+def is_valid_facet() -> Column:
+    """An id, a summary and an outcome; rows without count as failures."""
+    return F.expr("coalesce(session_id <> '' and brief_summary <> '' and outcome <> '', false)")
+
+
 def valid_facets(facets: DataFrame) -> DataFrame:
-    """Rows with an id, a summary and an outcome; others count as failures."""
-    return facets.where("session_id <> '' and brief_summary <> '' and outcome <> ''")
+    return facets.where(is_valid_facet())
 
 
 def key_tokens(key: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 from typing import Protocol
 
@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from worktrail.functions.numeric import exact_sum, medians
 from worktrail.functions.text import trimmed
 from worktrail.operators import activity, corpus, facts, filters, forks, labels, pairing, timerollup, timesplit, tools, trends, turns, usage
-from worktrail.session import materialise
+from worktrail.session import materialise, ship_package
 from worktrail.sources import dialect_a, dialect_b, logs
 from worktrail.sources.dialect_a import LogTables
 
 
 class LogDialect(Protocol):
-    """A log format: how to turn record lines into the typed tables.
+    """A log format: how to parse record lines, and the typed tables of the records.
 
     `flat`: one log per session, no sidecars; idle time may then dominate a
     request, and the slowest requests are those of longest wall time.
@@ -27,7 +27,10 @@ class LogDialect(Protocol):
     name: str
     flat: bool
 
-    def normalise(self, lines: DataFrame) -> LogTables: ...
+    def parse(self, lines: DataFrame) -> DataFrame:
+        """A record per line, with session_id, seq and whatever `tables` reads."""
+
+    def tables(self, records: DataFrame) -> LogTables: ...
 
     def busy_calls(self, tables: LogTables) -> DataFrame:
         """Calls and jobs with interval, bucket, busy seconds and command family."""
@@ -48,10 +51,12 @@ class LogDialect(Protocol):
 class DialectA:
     name: str = "a"
     flat: bool = False
-    normaliser: Callable[[DataFrame], LogTables] = dialect_a.normalise
 
-    def normalise(self, lines: DataFrame) -> LogTables:
-        return self.normaliser(lines)
+    def parse(self, lines: DataFrame) -> DataFrame:
+        return dialect_a.parse_records(lines).drop("line")
+
+    def tables(self, records: DataFrame) -> LogTables:
+        return dialect_a.tables_of(records)
 
     def busy_calls(self, tables: LogTables) -> DataFrame:
         calls = primary(tables.tool_calls)
@@ -80,8 +85,11 @@ class DialectB:
     name: str = "b"
     flat: bool = True
 
-    def normalise(self, lines: DataFrame) -> LogTables:
-        return dialect_b.log_tables(lines, self.name)
+    def parse(self, lines: DataFrame) -> DataFrame:
+        return dialect_b.parse_records(lines).drop("line")
+
+    def tables(self, records: DataFrame) -> LogTables:
+        return dialect_b.tables_of(records, self.name)
 
     def busy_calls(self, tables: LogTables) -> DataFrame:
         calls = tables.tool_calls.select("session_id", "call_id", "seq", "ts_ms", "tool", F.col("arguments").alias("input"))
@@ -111,20 +119,31 @@ def build_tables(spark: SparkSession, root: str, dialect: LogDialect | None = No
     itself, stay in the files with a `dropped` reason and leave the tables.
     """
     dialect = dialect or DialectA()
+    ship_package(spark)
     files, lines = logs.read_corpus(spark, root, dialect.name, dialect.flat)
-    lines = lines.drop("path")
-    first = dialect.normalise(lines)
-    links = None if dialect.flat else forks.parent_links(first.header.where("kind = 'primary'"), files)
-    if links is None or links.isEmpty():
-        tables = first
-    else:
-        ids = first.records.select("session_id", "sidecar_name", "seq", F.col("r.id").alias("rec_id"))
-        copied = forks.copied_records(ids, forks.ancestors(links))
-        drop = ids.join(copied, ["session_id", "sidecar_name", "rec_id"]).select("session_id", "sidecar_name", "seq")
-        tables = dialect.normalise(lines.join(drop, ["session_id", "sidecar_name", "seq"], "left_anti"))
-    # Markers stand in a session's first messages, so the first pass has them.
+    # Each line is parsed once, forks or not.
+    records = materialise(dialect.parse(lines))
+    first = dialect.tables(records)
+    # Markers stand in a session's first messages, which a fork may have copied.
     marked = mark_dropped(files, first)
-    return marked, without_dropped(marked, tables)
+    trees = None if dialect.flat else fork_trees(forks.parent_links(first.header.where("kind = 'primary'"), files))
+    return marked, without_dropped(marked, dialect.tables(without_copies(records, trees)))
+
+
+def fork_trees(links: DataFrame) -> DataFrame | None:
+    """Labels of the fork trees; None without forks."""
+    links = materialise(links)
+    return None if links.isEmpty() else materialise(forks.fork_trees(links))
+
+
+def without_copies(records: DataFrame, trees: DataFrame | None) -> DataFrame:
+    """Records without those that forks copied from an ancestor."""
+    if trees is None:
+        return records
+    ids = records.select("session_id", "sidecar_name", "seq", F.col("r.id").alias("rec_id")).join(trees.select("session_id"), "session_id", "left_semi")
+    ids = materialise(ids)
+    drop = ids.join(forks.copied_records(ids, trees), ["session_id", "sidecar_name", "rec_id"], "left_semi").select("session_id", "sidecar_name", "seq")
+    return materialise(records.join(drop, ["session_id", "sidecar_name", "seq"], "left_anti"))
 
 
 def mark_dropped(files: DataFrame, tables: LogTables) -> DataFrame:
@@ -155,16 +174,8 @@ def session_tables(files: DataFrame, tables: LogTables, dialect: LogDialect | No
     humans = msg.where("is_human")
 
     busy = materialise(dialect.busy_calls(tables))
-    intervals = timesplit.model_intervals(msg).unionByName(
-        busy.select("session_id", "start_ms", "end_ms", "bucket", "background")
-    )
-    times = msg.select("session_id", "ts_ms").unionByName(intervals.select("session_id", F.col("end_ms").alias("ts_ms"))).unionByName(
-        busy.where("background").select("session_id", F.col("start_ms").alias("ts_ms"))
-    ).unionByName(
-        primary(tables.header).select("session_id", F.col("end_ms").alias("ts_ms"))
-    )
-    segments = timesplit.time_segments(intervals, timesplit.session_ranges(times, humans.where("ts_ms is not null")), humans.where("ts_ms is not null"))
-    gaps = materialise(timesplit.gap_pieces(segments))
+    segments, gaps = time_parts(msg, busy, primary(tables.header))
+    folded = materialise(sidecar_activity(tables, dialect))
 
     turn = materialise(turns.turn_rollup(msg))
     edits = dialect.edit_rows(calls)
@@ -179,6 +190,7 @@ def session_tables(files: DataFrame, tables: LogTables, dialect: LogDialect | No
         .join(files.select("session_id", "signature", "advisor_logs", "subagent_logs"), "session_id", "left")
         .join(message_counts(msg), "session_id", "left")
         .join(usage.fold_sidecars(tables.usage_events), "session_id", "left")
+        .join(folded.drop("busy_sec"), "session_id", "left")
         .join(tools.edit_totals(edits), "session_id", "left")
         .join(dialect.git_counts(calls), "session_id", "left")
         .join(tools.marker_counts(primary(tables.markers)), "session_id", "left")
@@ -206,16 +218,41 @@ def session_tables(files: DataFrame, tables: LogTables, dialect: LogDialect | No
         "session_files": tools.edits_by_file(edits), "failure_classes": tools.failure_classes(msg),
         "session_time": timesplit.session_time(segments, gaps), "you_gaps": timesplit.you_gaps(segments, gaps),
         "requests": timesplit.with_prompts(slowest, humans),
-        "subagent_busy": subagent_busy(tables.messages),
+        "subagent_busy": folded.select("session_id", "busy_sec"), "files": files,
         "busy_by_tool": timesplit.busy_by(busy, "tool"), "busy_by_family": timesplit.busy_by(busy, "family"),
         "usage_events": tables.usage_events, "humans": humans.select("session_id", "seq", "ts_ms", "is_human", "text"),
     }
 
 
-def subagent_busy(messages: DataFrame) -> DataFrame:
-    """Active seconds of each session's subagents: the model time their logs record."""
-    sec = F.greatest(F.coalesce("duration_ms", F.lit(0.0)), F.lit(0.0)) / 1000.0
-    return messages.where("kind = 'subagent' and role = 'assistant'").groupBy("session_id").agg(exact_sum(sec).alias("busy_sec"))
+def time_parts(msg: DataFrame, busy: DataFrame, header: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Owned stretches and gaps of each session's time."""
+    intervals = timesplit.model_intervals(msg).unionByName(busy.select("session_id", "start_ms", "end_ms", "bucket", "background"))
+    times = msg.select("session_id", "ts_ms").unionByName(intervals.select("session_id", F.col("end_ms").alias("ts_ms"))).unionByName(
+        busy.where("background").select("session_id", F.col("start_ms").alias("ts_ms"))
+    ).unionByName(header.select("session_id", F.col("end_ms").alias("ts_ms")))
+    humans = msg.where("is_human and ts_ms is not null")
+    segments = timesplit.time_segments(intervals, timesplit.session_ranges(times, humans), humans)
+    return segments, materialise(timesplit.gap_pieces(segments))
+
+
+def sidecar_activity(tables: LogTables, dialect: LogDialect) -> DataFrame:
+    """Per session with sidecars: their calls, failed results and active seconds.
+
+    Every sidecar, advisor or subagent, is a log of its own: its time is split
+    like a session's, so overlapping work inside it counts once.
+    """
+    if dialect.flat:
+        return tables.header.where("false").select("session_id", F.lit(0).cast("bigint").alias("sidecar_tool_calls"), F.lit(0).cast("bigint").alias("sidecar_tool_errors"), F.lit(0.0).alias("busy_sec"))
+    # A name can't hold a line break, so the two parts come apart again.
+    log = F.concat("session_id", F.lit("\n"), "sidecar_name")
+    side = lambda df: df.where("kind <> 'primary'").withColumn("session_id", log)
+    own = replace(tables, **{f.name: side(getattr(tables, f.name)).withColumn("kind", F.lit("primary")) for f in fields(tables)})
+    segments, gaps = time_parts(own.messages, materialise(dialect.busy_calls(own)), own.header)
+    back = F.substring_index("session_id", "\n", 1).alias("session_id")
+    active = timesplit.session_time(segments, gaps).groupBy(back).agg(exact_sum(F.col("active_sec")).alias("busy_sec"))
+    calls = own.tool_calls.groupBy(back).agg(F.count("*").alias("sidecar_tool_calls"))
+    errors = own.messages.where("role = 'toolResult' and is_error").groupBy(back).agg(F.count("*").alias("sidecar_tool_errors"))
+    return own.header.select(back).distinct().join(active, "session_id", "left").join(calls, "session_id", "left").join(errors, "session_id", "left").na.fill(0)
 
 
 def message_counts(msg: DataFrame) -> DataFrame:
@@ -244,12 +281,8 @@ def corpus_tables(
     (goal, friction, satisfaction, ...), key, n. given_abort_labels:
     session_id, ts_ms, label. prose: by, path, text to be checked.
     """
-    sessions = parts["sessions"]
-    if by:
-        sessions = sessions.join(owners.select("session_id", *by), "session_id")
-    else:
-        by, sessions = ["corpus"], sessions.withColumn("corpus", F.lit("all"))
-    by = list(by)
+    by = list(by) or ["corpus"]
+    sessions = with_corpus(parts["sessions"], owners, by)
     reasons = sessions.withColumn("exclusion", filters.exclusion_reason(**window))
     stay = reasons.where("exclusion is null").drop("exclusion")
     if facet_counts is not None:
@@ -284,18 +317,20 @@ def corpus_tables(
     worst_cache = corpus.worst_cache_sessions(keep, by)
     delta, trend, spikes = trends.deltas(series, by), trends.trajectory(series, by), trends.anomalies(series, by)
     projects = corpus.project_counts(keep, by)
+    worst_turns = materialise(corpus.worst_turns(parts["worst_turns"].drop("rank").join(ids.drop("start_ms"), "session_id"), by))
 
     slow = materialise(usage.top_rows(of("requests").drop("rank"), by, [F.desc("active_sec"), F.asc("session_id"), F.asc("request_no")], 5))
 
     out = {
-        "scan": scan_counts(reasons, keep, by),
+        "kept": keep.select(*by, "session_id", "is_analysis"),
+        "scan": scan_counts(with_corpus(parts["files"], owners, by), reasons, keep, by, facet_rows),
         "totals": totals, "cost_shares": corpus.cost_shares(totals, by), "cost_by_provider": providers, "billed": billed,
         "models": tiers, "tools": corpus.top_keys(corpus.merged_counts(of("tool_counts"), "tool", by), "tool", by),
         "error_rates": error_rates, "tool_durations": corpus.pooled_tool_durations(materialise(of("tool_durations")), by),
         "turn_percentiles": corpus.pooled_percentiles(
             materialise(of("turn_percentiles").join(keep.select("session_id", "turn_count"), "session_id")), "metric", "turn_count", by
         ),
-        "worst_turns": corpus.worst_turns(parts["worst_turns"].drop("rank").join(ids, "session_id"), by),
+        "worst_turns": worst_turns,
         "worst_cache": worst_cache, "churned_files": corpus.churned_files(of("session_files"), by),
         "calendar": corpus.calendar(keep, by), "projects": projects, "active_hours": hours,
         "overlaps": activity.overlap_summary(activity.interleavings(humans, by), by), "hour_histogram": activity.hour_histogram(humans, by),
@@ -332,7 +367,7 @@ def corpus_tables(
             out["friction_status"] = labels.capped_friction(labels.friction_status(friction, latest, current, by, since_days=window.get("since_days")), by)
     out["facts"] = materialise(facts.total_facts(totals, by, tool_outcomes=tool_outcomes, billed=billed).unionByName(facts.named_facts(
         by, models=models.join(totals.select(*by, "total_cost"), by), providers=providers.join(totals.select(*by, "sessions"), by), hours=hours.join(totals.select(*by, "sessions"), by),
-        time_shares=rollup, families=families, error_rates=error_rates, worst_cache=worst_cache, delta=delta, trend=trend, spikes=spikes,
+        time_shares=rollup, families=families, error_rates=error_rates, worst_cache=worst_cache, turns=worst_turns, delta=delta, trend=trend, spikes=spikes,
         projects=projects.join(projects.groupBy(*by).agg(F.sum("sessions").alias("total_sessions")), by), **named,
     )).join(corpus.calendar(keep, by).select(*by, F.concat_ws("..", "first_day", "last_day").alias("window")), by))
     if prose is not None:
@@ -341,9 +376,24 @@ def corpus_tables(
     return out
 
 
-def scan_counts(reasons: DataFrame, keep: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sessions scanned, left out by reason, kept, analysed and without cost; zeros included."""
+def with_corpus(df: DataFrame, owners: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    """Add the corpus columns; without owners all is one corpus."""
+    if owners is None:
+        return df.withColumns({c: F.lit("all") for c in by})
+    return df.join(owners.select("session_id", *by), "session_id")
+
+
+def scan_counts(files: DataFrame, reasons: DataFrame, keep: DataFrame, by: Sequence[str], facet_rows: DataFrame | None = None) -> DataFrame:
+    """What the scan saw: logs by kind and copies, sessions left out by reason,
+    kept, masked and without cost, labels read and failed; zeros included."""
+    by = list(by)
     why = lambda r: F.count_if(F.col("exclusion") == r).alias(f"excluded_{r}")
+    of = lambda r: F.count_if(F.col("dropped") == r)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    read = files.groupBy(*by).agg(
+        F.count("*").alias("primary_logs"), total("duplicate_logs"), total("advisor_logs"), total("subagent_logs"),
+        of("tooling").alias("excluded_meta"), of("unparsed").alias("excluded_unparsed"),
+    )
     seen = reasons.groupBy(*by).agg(
         F.count("*").alias("sessions_scanned"), *[why(r) for r in ("current", "not_substantive", "by_since", "other_session")],
         F.count_if(F.col("exclusion").isNull()).alias("_open"),
@@ -351,11 +401,24 @@ def scan_counts(reasons: DataFrame, keep: DataFrame, by: Sequence[str]) -> DataF
     stayed = keep.groupBy(*by).agg(
         F.count("*").alias("included"), F.count_if("is_analysis").alias("analysed"), F.count_if("cost_unavailable").alias("cost_unavailable")
     )
-    joined = seen.join(stayed, list(by), "left").na.fill(0, ["included", "analysed", "cost_unavailable"])
-    return joined.withColumn("excluded_warmup", F.col("_open") - F.col("included")).drop("_open")
-
-
-def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """One parquet dataset per report section."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+    joined = read.join(seen, by, "left").join(stayed, by, "left")
+    if facet_rows is not None:
+        mine = facet_rows.drop(*by, "start_ms").join(keep.select("session_id", *by), "session_id")
+        good = labels.is_valid_facet()
+        counted = mine.groupBy(*by).agg(F.count_if(good).alias("facets_analyzed"), F.count_if(~good).alias("facet_failures"))
+        joined = joined.join(counted, by, "left")
+    else:
+        joined = joined.withColumns({c: F.lit(0).cast("bigint") for c in ("facets_analyzed", "facet_failures")})
+    joined = joined.na.fill(0)
+    return joined.withColumns({"excluded_warmup": F.col("_open") - F.col("included"), "excluded_tooling": F.col("included") - F.col("analysed")}).drop("_open")
+
+
+def manifest(parts: dict[str, DataFrame], report: dict[str, DataFrame], owned: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The audit tables of a report: exact session set, sidecars, totals, facts and flags."""
+    cost = ["total_cost", "cost_primary", "cost_advisor", "cost_subagent"]
+    kept = report["kept"].select("session_id")
+    session_set = parts["sessions"].join(kept, "session_id", "left_semi").select("session_id", "path", "signature", "start_ms", *cost)
+    out = {"session_set": session_set, **{n: report[n] for n in ("scan", "totals", "facts", "fact_flags") if n in report}}
+    if owned is not None:
+        out["session_sidecars"] = owned.where("kind <> 'primary'").join(kept, "session_id", "left_semi").select("session_id", "kind", "sidecar_name", "path", "size")
+    return out

@@ -90,7 +90,11 @@ def parse_records(lines: DataFrame) -> DataFrame:
 def normalise(lines: DataFrame) -> LogTables:
     """Typed tables from record lines."""
     # Some ten selects read the records: parse each line once.
-    records = materialise(parse_records(lines))
+    return tables_of(materialise(parse_records(lines).drop("line")))
+
+
+def tables_of(records: DataFrame) -> LogTables:
+    """Typed tables from parsed records."""
     owner = [F.col(c) for c in OWNER]
     kind, custom = F.col("r.type"), F.col("r.customType")
 

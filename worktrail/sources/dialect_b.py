@@ -57,7 +57,10 @@ def parse_records(lines: DataFrame) -> DataFrame:
 
 def normalise(lines: DataFrame) -> FlatTables:
     # Some ten selects read the records: parse each line once.
-    records = materialise(parse_records(lines))
+    return flat_tables(materialise(parse_records(lines).drop("line")))
+
+
+def flat_tables(records: DataFrame) -> FlatTables:
     kind = F.col("r.type")
     is_user = (kind == "user") & F.col("r.message").isNotNull()
     side = F.coalesce(F.col("r.isSidechain"), F.lit(False))
@@ -174,6 +177,10 @@ def model_intervals(messages: DataFrame) -> DataFrame:
 
 
 def log_tables(lines: DataFrame, source: str = "b") -> LogTables:
+    return tables_of(materialise(parse_records(lines).drop("line")), source)
+
+
+def tables_of(records: DataFrame, source: str = "b") -> LogTables:
     """The typed tables of flat logs in the shape every operator reads.
 
     An answer's model time runs from the latest human or result time; a call
@@ -181,7 +188,7 @@ def log_tables(lines: DataFrame, source: str = "b") -> LogTables:
     lists models, and the total; what its models leave of the total is booked
     on `unknown`. Repeated calls of an id count once.
     """
-    flat = normalise(lines)
+    flat = flat_tables(records)
     own = [F.lit(source).alias("source"), F.col("session_id"), F.lit("primary").alias("kind"), F.lit("").alias("sidecar_name")]
     none = lambda kind: F.lit(None).cast(kind)
     first = F.min_by(F.struct("seq", "ts_ms", "tool", "input"), F.struct("seq", "idx"))

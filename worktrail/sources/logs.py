@@ -2,99 +2,60 @@
 
 from __future__ import annotations
 
-import io
-import re
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from worktrail.session import materialise
+from worktrail.session import ensure_checkpoint_dir, materialise, ship_package
+from worktrail.sources.scan import OWNER, SCHEMA, LogSource, open_store
 
 ADVISOR_FILE = "__advisor.jsonl"  # fixed value: file name of an advisor sidecar
 PATH_SCHEMA = "path string, size bigint, mtime_ms bigint"
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every *.jsonl under `root` with size and modification time.
-
-    The listing is Spark's own (parallel for many folders); no content is read.
-    A missing root gives no rows.
-    """
-    try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.jsonl")
-            .load(root)
-        )
-    except AnalysisException:
-        return spark.createDataFrame([], PATH_SCHEMA)
-    return files.select(
-        "path",
-        F.col("length").alias("size"),
-        F.unix_millis("modificationTime").alias("mtime_ms"),
-    )
-
-
-def _open(path: str):
-    """(file system, plain path) for a Spark path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path if ":" in path else "file:" + path))
+def _jsonl(infos) -> pd.DataFrame:
+    rows = [(i.path, i.size, i.mtime_ns // 1_000_000) for i in infos if i.is_file and i.base_name.endswith(".jsonl")]
+    return pd.DataFrame(rows, columns=["path", "size", "mtime_ms"])
 
 
-def list_hidden(primary: DataFrame, name: str = ADVISOR_FILE) -> DataFrame:
-    """Files called `name` below the folder of each log.
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every *.jsonl in a project folder of `root` or below, with size and time.
 
-    Spark's readers skip names with a leading underscore, so tasks list these
-    folders themselves, each task those of its own logs.
+    Each folder is listed once, hidden names included, and no content is read.
+    The driver sees the names of the project folders alone: tasks list these,
+    and other tasks the folders of sidecars found there. A missing root gives
+    no rows. Paths are those of the root's file system.
     """
     from pyarrow import fs
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for folder in batch["folder"]:
-                system, plain = _open(folder)
-                infos = system.get_file_info(fs.FileSelector(plain, recursive=True, allow_not_found=True))
-                root = folder[: len(folder) - len(plain)] if folder.endswith(plain) else ""
-                found += [(root + i.path, i.size, i.mtime_ns // 1_000_000) for i in infos if i.is_file and i.base_name == name]
-            yield pd.DataFrame(found, columns=["path", "size", "mtime_ms"])
+    system, plain = open_store(root)
+    scheme = root[: root.index("://") + 3] if "://" in root and not root.startswith("file:") else ""
+    projects = [i.path for i in system.get_file_info(fs.FileSelector(plain, allow_not_found=True)) if i.type == fs.FileType.Directory]
+    ship_package(spark)
 
-    return primary.select(F.regexp_replace("path", r"\.jsonl$", "").alias("folder")).mapInPandas(look, PATH_SCHEMA)
+    def below(recursive: bool):
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for folder in batch["folder"]:
+                    system, plain = open_store(scheme + folder)
+                    infos = system.get_file_info(fs.FileSelector(plain, recursive=recursive, allow_not_found=True))
+                    found = _jsonl(infos).assign(is_folder=False)
+                    folders = [] if recursive else [i.path for i in infos if i.type == fs.FileType.Directory]
+                    yield pd.concat([found, pd.DataFrame({"path": folders, "size": 0, "mtime_ms": 0, "is_folder": True})], ignore_index=True)
 
+        return look
 
-def read_ranges(files: DataFrame, width: int = 64 << 20, batch_lines: int = 20_000) -> DataFrame:
-    """Lines of files as (path, seq, line), read by byte ranges in tasks.
-
-    For files Spark's text reader skips. A line belongs to the range it starts
-    in; `seq` is its byte offset.
-    """
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, start in zip(batch["path"], batch["start"]):
-                system, plain = _open(path)
-                rows = []
-                with system.open_input_file(plain) as raw, io.BufferedReader(raw) as stream:
-                    at = 0
-                    if start:
-                        stream.seek(start - 1)
-                        at = start - 1 + len(stream.readline())
-                    while at < start + width and (line := stream.readline()):
-                        rows.append((path, at, line.rstrip(b"\r\n").decode("utf-8", "replace")))
-                        at += len(line)
-                        if len(rows) >= batch_lines:
-                            yield pd.DataFrame(rows, columns=["path", "seq", "line"])
-                            rows = []
-                yield pd.DataFrame(rows, columns=["path", "seq", "line"])
-
-    ranges = files.where("size > 0").select(
-        "path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(width).cast("bigint"))).alias("start")
-    )
-    return ranges.repartition("path", "start").mapInPandas(read, "path string, seq bigint, line string")
+    schema = PATH_SCHEMA + ", is_folder boolean"
+    asked = spark.createDataFrame([(p,) for p in projects], "folder string").repartition("folder")
+    seen = materialise(asked.mapInPandas(below(False), schema))
+    deeper = seen.where("is_folder").select(F.col("path").alias("folder")).repartition("folder").mapInPandas(below(True), schema)
+    files = seen.where("not is_folder").unionByName(deeper)
+    return materialise(files.select(F.concat(F.lit(scheme), "path").alias("path"), "size", "mtime_ms"))
 
 
 def _inside(path: Column, root: str) -> Column:
@@ -160,7 +121,7 @@ def drop_duplicate_logs(primary: DataFrame) -> DataFrame:
     """
     names = [c for c in primary.columns if c != "session_id"]
     best = F.min_by(F.struct(*names), F.struct((-F.col("size")).alias("s"), F.col("path")))
-    return primary.groupBy("session_id").agg(best.alias("b")).select("session_id", "b.*")
+    return primary.groupBy("session_id").agg(best.alias("b"), (F.count("*") - 1).alias("duplicate_logs")).select("session_id", "b.*", "duplicate_logs")
 
 
 def is_record(line: Column) -> Column:
@@ -173,66 +134,63 @@ def records_of_lines(lines: DataFrame) -> DataFrame:
     return lines.where(is_record(F.col("line")))
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of the given logs as (path, seq, line).
+def read_logs(owned: DataFrame, width: int = 64 << 20, open_cost: int = 1 << 20) -> DataFrame:
+    """Record lines of the given logs: source, session_id, kind, sidecar_name, seq, line.
 
-    Files are split as usual, so one very large log spreads over many tasks.
-    `seq` is split start + row number in the task: a line has at least one
-    byte, and a split of full size has a task of its own, so seq rises through
-    a file. It depends only on the file layout, so a lost task gives it again.
+    `owned` has a log per row: path, size and the owner columns. Logs are cut
+    into ranges of `width` bytes and packed to tasks of like size; the pack list
+    is a table that the tasks read, so the driver holds only pack numbers.
     """
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl")
-        .text(paths)
-    )
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.select(
-        F.col("_metadata.file_path").alias("path"),
-        (F.col("_metadata.file_block_start") + in_task).alias("seq"),
-        F.col("value").alias("line"),
-    )
-
-
-def read_corpus(spark: SparkSession, root: str, source: str, flat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(log_files, records) of a log folder.
-
-    `flat` is the layout without sidecars. Corpora of different sources are
-    never mixed: every table carries `source`.
+    spark = owned.sparkSession
+    ranges = owned.where("size > 0").select(
+        *OWNER, "path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(width).cast("bigint"))).alias("start")
+    ).withColumn("stop", F.least(F.col("start") + width, F.col("size"))).withColumn("cost", F.col("stop") - F.col("start") + open_cost)
+    total = ranges.agg(F.count("*").alias("n"), F.sum("cost").alias("cost")).first()
+    if not total["n"]:
+        return spark.createDataFrame([], SCHEMA)
+    room = min(width + open_cost, max(open_cost, total["cost"] // spark.sparkContext.defaultParallelism))
+    groups = -(-total["n"] // 20_000)
+    grouped = ranges.withColumn("group", F.pmod(F.xxhash64("path", "start"), F.lit(groups)).cast("int"))
+    upto = W.partitionBy("group").orderBy("path", "start").rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = grouped.withColumn("filled", F.floor((F.sum("cost").over(upto) - F.col("cost")) / room))
+    packed = filled.withColumn("pack", F.dense_rank().over(W.partitionBy("group").orderBy("filled")) - 1)
+    ensure_checkpoint_dir(spark)
+    plan = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    packed.select(*OWNER, "path", "start", "stop", "pack", "group").write.partitionBy("group").parquet(plan)
+    packs = {r["group"]: r["n"] for r in spark.read.parquet(plan).groupBy("group").agg((F.max("pack") + 1).alias("n")).collect()}
+    spark.dataSource.register(LogSource)
+    lines = spark.read.format(LogSource.name()).option("plan", plan).option("packs", json.dumps(packs)).load()
+    return records_of_lines(lines)
+
+
+def find_logs(files: DataFrame, root: str, source: str, flat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(log files, owned logs) of a listing.
+
+    Log files: one row per session, with signature and counts of its sidecars
+    and of the copies that were left out. Owned logs: a row per log to read,
+    with the owner columns. `flat` is the layout without sidecars. Corpora of
+    different sources are never mixed: every table carries `source`.
     """
-    files = list_files(spark, root)
     primary = primary_logs(files, root)
     if flat:
-        side = None
-        logs = primary.withColumn(
-            "signature", F.concat(F.col("size"), F.lit(":"), F.col("mtime_ms"))
-        ).withColumns({"advisor_logs": F.lit(0).cast("bigint"), "subagent_logs": F.lit(0).cast("bigint")})
+        logs = primary.withColumn("signature", F.concat(F.col("size"), F.lit(":"), F.col("mtime_ms"))).withColumns(
+            {"advisor_logs": F.lit(0).cast("bigint"), "subagent_logs": F.lit(0).cast("bigint")}
+        )
     else:
-        side = materialise(sidecar_logs(files.unionByName(list_hidden(primary)), root))
+        side = sidecar_logs(files, root)
         logs = with_signatures(primary, side)
     kept = materialise(drop_duplicate_logs(logs).withColumn("source", F.lit(source)))
-    owners = kept.select(
-        "session_id", "path", F.lit("primary").alias("kind"), F.lit("").alias("sidecar_name")
-    )
-    try:
-        lines = read_lines(spark, root)
-    except AnalysisException:
-        lines = spark.createDataFrame([], "path string, seq bigint, line string")
-    if side is not None:
-        owned = side.join(kept.select("project_dir", "base", "session_id"), ["project_dir", "base"])
-        owners = owners.unionByName(owned.select("session_id", "path", "kind", "sidecar_name"))
-        lines = lines.unionByName(read_ranges(owned.where("kind = 'advisor'").select("path", "size")))
-    records = (
-        lines.withColumn("path", _plain(F.col("path")))
-        .join(owners.withColumn("path", _plain(F.col("path"))), "path")
-        .where(is_record(F.col("line")))
-        .withColumn("source", F.lit(source))
-    )
-    return kept, records
+    owned = kept.select("source", "session_id", F.lit("primary").alias("kind"), F.lit("").alias("sidecar_name"), "path", "size")
+    if not flat:
+        own = side.join(kept.select("source", "project_dir", "base", "session_id"), ["project_dir", "base"])
+        owned = owned.unionByName(own.select(*OWNER, "path", "size"))
+    return kept, materialise(owned)
 
 
-def _plain(path: Column) -> Column:
-    return F.regexp_replace(path, r"^[a-z0-9]+:/*", "/")
+def read_corpus(spark: SparkSession, root: str, source: str, flat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(log files, records) of a log folder."""
+    kept, owned = find_logs(list_files(spark, root), root, source, flat)
+    return kept, read_logs(owned)
 
 
 def scan_summary(logs: DataFrame, reasons: DataFrame) -> DataFrame:
