@@ -177,7 +177,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, **fitted) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, **fitted) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each query row."""
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType
@@ -193,53 +193,68 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     queries = stored(rows.where("asks and id is not null").select("id", "v").distinct().withColumn("q", F.xxhash64("id", "v")))
     index = fit(indexed, k, **fitted)
 
-    # Buckets and the blocks that hold them.
-    hashed = indexed.mapInArrow(_hash_rows(index), T.StructType([T.StructField("t", T.IntegerType()), T.StructField("code", T.LongType()), *indexed.schema.fields]))
-    sizes = hashed.groupBy("t", "code").agg(F.count("*").alias("rows"))
-    full = stored(sizes.where(F.col("rows") > block_rows).select("t", "code", F.ceil(F.col("rows") / block_rows).cast("int").alias("parts")))
+    # A bucket lies in the block its key falls to; its further parts, where it has
+    # more rows than a block, in the blocks after that one.
     blocks = max(1, -(-len(index.projections) * lengths["rows"] // block_rows))
-    key = F.xxhash64("t", "code", "part")
-    block = F.pmod(key, F.lit(blocks)).alias("block")
-    split = lambda frame, part: frame.join(full, ["t", "code"], "left").withColumn("part", part)
-    one = F.coalesce("parts", F.lit(1))
-    held = split(hashed, F.pmod(F.xxhash64("id", "v"), one).cast("int")).select(block, key.alias("key"), F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("array<bigint>").alias("keys"))
-    visits = queries.select("q", "v").mapInArrow(_visit(index), "q bigint, t int, code bigint")
-    wanted = split(visits, F.explode(F.sequence(F.lit(0), one - 1))).select("q", block, key.alias("key")).groupBy("q", "block").agg(F.collect_set("key").alias("keys"))
+    hashed = indexed.mapInArrow(_hash_rows(index), T.StructType([T.StructField("key", T.LongType()), *indexed.schema.fields]))
+    sizes = hashed.groupBy("key").agg(F.count("*").alias("rows"))
+    full = stored(sizes.where(F.col("rows") > block_rows).select("key", F.ceil(F.col("rows") / block_rows).alias("parts")))
+    home = F.pmod("key", F.lit(blocks))
+    after = lambda block, part: F.pmod(block + part, F.lit(blocks)).alias("block")
+    wanted = queries.repartition(-(-lengths["rows"] // 5000), "q").mapInArrow(_visit(index, blocks), "q bigint, block bigint, keys array<bigint>")
+    if full.isEmpty():
+        placed = hashed.withColumn("block", home)
+    else:
+        parts = F.coalesce("parts", F.lit(1))
+        placed = hashed.join(full, "key", "left").withColumn("block", after(home, F.pmod(F.xxhash64("id", "v"), parts)))
+        more = wanted.select("q", F.explode("keys").alias("key")).join(full, "key").select("q", "key", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("parts") - 1)).alias("part"))
+        further = more.groupBy("q", after(home, F.col("part"))).agg(F.collect_set("key").alias("keys"))
+        wanted = wanted.unionByName(further).groupBy("q", "block").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    held = placed.select("block", "key", F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("array<bigint>").alias("keys"))
     asking = wanted.join(queries, "q").select("block", F.lit(0).cast("bigint").alias("key"), F.lit(True).alias("asks"), "id", "v", "keys")
     dealt = held.unionByName(asking).repartition(F.col("block")).sortWithinPartitions("block", "asks", "key", "id")
-    found = dealt.mapInArrow(_rank((k + 1) * len(index.projections), result), result)
+    found = dealt.mapInArrow(_rank(k, len(index.projections), result), result)
     merged = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return merged.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def bucket_keys(t: int, codes: np.ndarray) -> np.ndarray:
+    """A well mixed number of each bucket of a table."""
+    x = codes.astype(np.uint64) + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values: the splitmix64 finisher
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))).astype(np.int64)
+
+
 def _hash_rows(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, codes in enumerate(index.buckets(_matrix(batch.column("v")))) if batch.num_rows else ():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t, dtype=np.int32)), pa.array(codes), *batch.columns], names=["t", "code", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(t, codes)), *batch.columns], names=["key", *batch.schema.names])
 
     return run
 
 
-def _visit(index: Index, at_once: int = 256):
+def _visit(index: Index, blocks: int, at_once: int = 64):
+    """The buckets each query visits, a row for each block that holds some."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, at_once):
                 part = batch.slice(start, at_once)
-                found = index.probes(_matrix(part.column("v")))
-                counts = np.array([[len(codes) for codes in tables] for tables in found])
-                tables = np.tile(np.arange(counts.shape[1], dtype=np.int32), len(found))
-                yield pa.RecordBatch.from_arrays([
-                    part.column("q").take(pa.array(np.repeat(np.arange(len(found)), counts.sum(axis=1)))),
-                    pa.array(np.repeat(tables, counts.ravel())), pa.array(np.concatenate([c for t in found for c in t])),
-                ], names=["q", "t", "code"])
+                rows = []
+                for q, tables in zip(part.column("q").to_pylist(), index.probes(_matrix(part.column("v")))):
+                    keys = np.concatenate([bucket_keys(t, codes) for t, codes in enumerate(tables)])
+                    of = np.mod(keys, blocks)
+                    rows += [(q, int(block), keys[of == block]) for block in np.unique(of)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["q", "block", "keys"])
 
     return run
 
 
-def _rank(most: int, result: T.StructType, at_once: int = 256):
-    """The best rows of each query among the visited buckets of each block: `most`, and ties with the last."""
+def _rank(k: int, tables: int, result: T.StructType, at_once: int = 256):
+    """The best k rows of each query among the visited buckets of each block."""
+    most = (k + 1) * tables  # a row may lie in the block once for each table
 
     def best(block: tuple, queries: pa.RecordBatch) -> pa.RecordBatch:
         keys, ids, vectors = block
@@ -262,12 +277,14 @@ def _rank(most: int, result: T.StructType, at_once: int = 256):
                 # Products of matrices round by shape: keep what may tie.
                 least = np.partition(row[at], -most)[-most]
                 at = at[row[at] >= least - 1e-9 * (1.0 + abs(least))]
-            at = [j for j in at if names[j] != own]
-            out_q += [own] * len(at)
-            out_r += at
-            out_s.append(np.einsum("rc,c->r", vectors[at], asked[i]) if at else np.zeros(0))
+            scores = np.einsum("rc,c->r", vectors[at], asked[i]) if len(at) else np.zeros(0)
+            found = {(-s, names[j] is None, names[j]) for s, j in zip(scores.tolist(), at.tolist()) if names[j] != own}
+            ranked = sorted(found, key=lambda x: x if x[2] is not None else (x[0], True, 0))[:k]
+            out_q += [own] * len(ranked)
+            out_r += [x[2] for x in ranked]
+            out_s += [-x[0] for x in ranked]
         kind = ids.type
-        return pa.RecordBatch.from_arrays([pa.array(out_q, kind), pa.array([names[j] for j in out_r], kind), pa.array(np.concatenate(out_s))], names=result.fieldNames())
+        return pa.RecordBatch.from_arrays([pa.array(out_q, kind), pa.array(out_r, kind), pa.array(out_s, pa.float64())], names=result.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, block = None, [], None
