@@ -1,15 +1,20 @@
 """Streams over several batches: late rows, timers, redelivery."""
 
+import json
 import os
 import random
 import time
 from datetime import datetime, timedelta
 
+import builders
 import pytest
 from pyspark.sql import functions as F
 
+from worktrail.sources import dialect_a, logs
 from worktrail.streaming import live
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 DAY = datetime(2024, 6, 1)
 
 
@@ -85,3 +90,50 @@ def test_alerts_do_not_depend_on_arrow_batches(spark, stream, rows_per_batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     # Five requests of forty minutes, each due after thirty.
     assert sorted((r.fired_ms - r.start_ms) // 60_000 for r in got) == [30] * 5
+
+
+def test_latest_delivery_wins(spark, stream):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = "k string, v int, cost double, word string, ts timestamp"
+    rows = stream(
+        schema, [("a", 1, 1.0, "x", at(0)), ("a", 3, 3.0, "z", at(1)), ("b", 1, 1.5, None, at(0))],
+        [("a", 2, 2.0, "y", at(2)), ("b", 1, 9.0, "same", at(3))], [("b", 2, 0.5, "w", at(4)), ("c", 7, 7.0, "c", at(300))], [("a", 1, 4.0, "anew", at(310))],
+    )
+    latest = live.latest_deliveries(rows, ["k"], "v", ["cost", "word"], ttl=timedelta(minutes=60))
+    got = sorted((r.k, r.v, r.cost, r.word, r.replaced) for r in live.written(latest, "update").collect())
+    # A late older version and an equal one change nothing, a newer one replaces;
+    # five hours on the first key is forgotten, so any version of it is new.
+    assert got == [("a", 1, 4.0, "anew", False), ("a", 3, 3.0, "z", False), ("b", 1, 1.5, None, False), ("b", 2, 0.5, "w", True), ("c", 7, 7.0, "c", False)]
+
+
+def test_logs_that_grow(spark, tmp_path):
+    """Each record once, whole tails only, the rows of the batch build."""
+    root, place = tmp_path / "logs", str(tmp_path / "state")
+    one, two = root / "p" / "2024_s1.jsonl", root / "p" / "2024_s1" / "d" / "__advisor.jsonl"
+    records = [builders.human("r1", builders.T0, "hällo"), builders.answer("r2", builders.T0 + 1, builders.call("c", "read", path="/a"), cost=1.0), builders.human("r3", builders.T0 + 2, "more")]
+    whole = "".join(json.dumps(r) + "\n" for r in records)
+    builders.write(two, [builders.answer("d1", builders.T0, cost=0.5)])
+    cut = whole.index("r3") + 5
+    one.write_text(whole[:cut])
+
+    def run():
+        tables = live.live_tables(live.live_logs(spark, str(root), f"{place}/listings"))
+        for name in ("messages", "tool_calls", "usage_events"):
+            # One query per table, each with its own listings.
+            own = live.live_tables(live.live_logs(spark, str(root), f"{place}/listings-{name}"))[name]
+            query = own.writeStream.format("parquet").option("checkpointLocation", f"{place}/check-{name}").trigger(availableNow=True).start(f"{place}/out-{name}")
+            query.awaitTermination()
+        return {n: spark.read.schema(tables[n].schema).parquet(f"{place}/out-{n}") for n in ("messages", "tool_calls", "usage_events")}
+
+    seen = run()
+    assert sorted(r.rec_id for r in seen["messages"].collect()) == ["d1", "r1", "r2"]
+    one.write_text(whole)
+    builders.write(root / "p" / "2024_s2.jsonl", [builders.human("q1", builders.T0, "other")])
+    (root / "p" / "notes.txt").write_text("{}\n")
+    seen = run()
+    assert run()["messages"].count() == 5
+    _, lines = logs.read_corpus(spark, str(root), "a")
+    batch = dialect_a.normalise(lines)
+    for name, df in seen.items():
+        want = getattr(batch, name)
+        assert sorted(map(str, df.select(want.columns).collect())) == sorted(map(str, want.collect())), name

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from worktrail.functions.labels import SELF_GENERATED_MARKERS
+from worktrail.operators.usage import with_row
+from worktrail.session import materialise
 
 SAFE_ID = r"^[A-Za-z0-9._-]{1,128}$"
 
@@ -26,10 +28,6 @@ def self_generated(messages: DataFrame, markers: Sequence[str] = SELF_GENERATED_
     return first.where(hit).select("session_id").distinct()
 
 
-def drop_self_generated(df: DataFrame, messages: DataFrame, **kw) -> DataFrame:
-    return df.join(self_generated(messages, **kw), "session_id", "left_anti")
-
-
 def exclusion_reason(
     *, now_ms: int | Column, since_days: float | None = None,
     current_id: str | None = None, only_id: str | None = None,
@@ -101,40 +99,100 @@ def _name_tokens(text: Column) -> Column:
     )
 
 
-def drop_near_duplicates(
+def _seeds(names: DataFrame, by: list[str], size: int = 4) -> DataFrame:
+    """(by, _b, gram): of each name of `size` characters or more, the gram that fewest names hold."""
+    grams = names.where(F.length("_b") >= size).select(*by, "_b", F.explode(_grams(F.col("_b"), size)).alias("gram"))
+    held = grams.groupBy(*by, "gram").agg(F.count("*").alias("n"))
+    rarest = F.min_by("gram", F.struct("n", "gram")).alias("gram")
+    return grams.join(held, [*by, "gram"]).groupBy(*by, "_b").agg(rarest)
+
+
+def _grams(text: Column, size: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size))))
+
+
+def _rare_first(sets: DataFrame, keys: list[str], item: str, by: list[str], counts: DataFrame) -> DataFrame:
+    """(by, item, w, place, size): words of each item, the rarest first."""
+    words = sets.select(*by, item, F.size("_words").alias("size"), F.explode("_words").alias("w")).join(counts, [*by, "w"])
+    ranked = words.groupBy(*by, item, "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("x"))
+    return ranked.select(*by, item, "size", F.posexplode("x").alias("place", "x")).select(*by, item, "size", "place", F.col("x.w").alias("w"))
+
+
+def near_duplicate_names(
     candidates: DataFrame, names: DataFrame, candidate: str = "name", existing: str = "existing", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Drop candidates close to an existing name.
+    """(by, candidate) of the candidates close to an existing name.
+
+    Close: the candidate holds the name (4 characters or more), or the two share
+    at least half of the words of the one with fewer telling words.
 
-    Close: the candidate holds the name (4 characters or more), or the two
-    share at least half of the shorter side's telling words. Both tests are
-    equi-joins: one on the shared word, one on every run of words of the
-    candidate that equals a name, so no candidate meets every name. With `by`
-    candidates meet the names of their own corpus only.
+    Words: sets that share t of the m words of the smaller one share one of its
+    m - t + 1 rarest, so only those are looked up. Up to two words make t = 1,
+    where any shared word settles it and no pair is needed; so a word that all
+    names hold emits none. Held names: a candidate meets a name through the
+    name's rarest four characters only, and is then searched for it.
     """
     by = list(by)
-    left = candidates.select(*by, candidate).distinct().withColumn("_a", _name_text(F.col(candidate)))
-    left = left.withColumn("_ta", _name_tokens(F.col("_a")))
-    right = names.select(*by, F.col(existing)).distinct().withColumn("_b", _name_text(F.col(existing)))
-    right = right.where("_b <> ''").withColumn("_tb", _name_tokens(F.col("_b"))).select(*by, "_b", "_tb").distinct()
-
-    shared = (
-        left.select(*by, candidate, F.size("_ta").alias("na"), F.explode("_ta").alias("w"))
-        .join(right.select(*by, "_b", F.size("_tb").alias("nb"), F.explode("_tb").alias("w")), [*by, "w"])
-        .groupBy(*by, candidate, "_b")
-        .agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .where(F.col("k") >= F.least("na", "nb") * 0.5)
-        .select(*by, candidate)
-    )
-    # Every substring of the candidate with the length of some name: lengths
-    # come from the name side per length class, as an equi-join on the text.
-    lengths = right.where(F.length("_b") >= 4).select(F.length("_b").alias("len")).distinct()
-    spans = left.join(F.broadcast(lengths), F.length("_a") >= F.col("len")).select(
-        *by, candidate,
-        F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("_a") - F.col("len") + 1), lambda i: F.substr("_a", i, F.col("len"))
-        )).alias("_b"),
-    )
-    held = spans.join(right.select(*by, "_b"), [*by, "_b"], "left_semi").select(*by, candidate)
-    close = shared.union(held).distinct()
+    left = candidates.select(*by, F.col(candidate).alias("_c")).distinct().withColumn("_a", _name_text(F.col("_c"))).where("_a <> ''")
+    left = left.withColumn("_words", _name_tokens(F.col("_a")))
+    right = names.select(*by, F.col(existing).alias("_e")).distinct().withColumn("_b", _name_text(F.col("_e"))).where("_b <> ''")
+    right = right.select(*by, "_b").distinct().withColumn("_words", _name_tokens(F.col("_b")))
+    left, right = materialise(left), materialise(right)
+
+    counts = left.select(*by, F.explode("_words").alias("w")).unionByName(right.select(*by, F.explode("_words").alias("w"))).groupBy(*by, "w").agg(F.count("*").alias("n"))
+    a = materialise(_rare_first(left, by, "_c", by, counts))
+    b = materialise(_rare_first(right, by, "_b", by, counts))
+    # The smaller set has at most two words: one in common is enough.
+    smallest = lambda sets: sets.groupBy(*by, "w").agg(F.min("size").alias("least"))
+    met = a.join(smallest(b), [*by, "w"]).where("least <= 2 or size <= 2").select(*by, "_c")
+    # Three and more: look up the rarest words of the smaller, then count.
+    need = F.ceil(F.col("size") / 2)
+    prefix = lambda sets: sets.where(F.col("size") > 2).where(F.col("place") < F.col("size") - need + 1)
+    other = lambda sets, item: sets.select(*by, "w", F.col(item), F.col("size").alias("size2")).where("size2 > 2")
+    pairs = prefix(a).join(other(b, "_b"), [*by, "w"]).where("size2 >= size").select(*by, "_c", "_b").union(
+        prefix(b).join(other(a, "_c"), [*by, "w"]).where("size2 >= size").select(*by, "_c", "_b")
+    ).distinct()
+    whole = pairs.join(left.select(*by, "_c", F.col("_words").alias("ta")), [*by, "_c"]).join(right.select(*by, "_b", F.col("_words").alias("tb")), [*by, "_b"])
+    shared = whole.where(F.size(F.array_intersect("ta", "tb")) >= F.least(F.size("ta"), F.size("tb")) * 0.5).select(*by, "_c")
+
+    seeds = _seeds(right.select(*by, "_b"), by)
+    spots = left.where(F.length("_a") >= 4).select(*by, "_c", "_a", F.explode(_grams(F.col("_a"), 4)).alias("gram"))
+    held = spots.join(seeds, [*by, "gram"]).where(F.contains("_a", F.col("_b"))).select(*by, "_c")
+    return met.unionByName(shared).unionByName(held).distinct().withColumnRenamed("_c", candidate)
+
+
+def drop_near_duplicates(
+    candidates: DataFrame, names: DataFrame, candidate: str = "name", existing: str = "existing", by: Sequence[str] = ()
+) -> DataFrame:
+    """Drop candidates close to an existing name of their own corpus."""
+    close = near_duplicate_names(candidates, names, candidate, existing, by)
     return candidates.join(close, [*by, candidate], "left_anti")
+
+
+# Words of features, and the memory backends that can retain.
+LEARN_WORDS = r"(?i)\blearn tool\b|memory \(learn\)"
+MANAGE_WORDS = r"(?i)\bmanage_skill\b"
+RETAIN_WORDS = r"(?i)\bretain\b|\brecall\b|\breflect\b|\bmemory_edit\b"
+RETAINING_BACKENDS = ["hindsight", "mnemopi"]
+
+
+def names_unavailable(text: Column, autolearn: Column, backend: Column) -> Column:
+    """The text names a feature that the user's settings switch off."""
+    learns = autolearn & (backend != "off")
+    return (~learns & text.rlike(LEARN_WORDS)) | (~autolearn & text.rlike(MANAGE_WORDS)) | (~backend.isin(*RETAINING_BACKENDS) & text.rlike(RETAIN_WORDS))
+
+
+def filter_suggestions(suggestions: DataFrame, installed: DataFrame, settings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Suggestions that name no feature switched off and no skill already there.
+
+    suggestions: by, name, text. installed: by, skill. settings: one row per
+    `by`: autolearn, backend; missing ones count as off. Only names that speak
+    of a skill are compared with the installed ones.
+    """
+    by = list(by)
+    known = suggestions.join(settings.select(*by, "autolearn", "backend"), by, "left") if by else with_row(suggestions, settings.agg(F.max("autolearn").alias("autolearn"), F.max("backend").alias("backend")))
+    on, backend = F.coalesce("autolearn", F.lit(False)), F.coalesce("backend", F.lit("off"))
+    usable = known.where(~F.coalesce(names_unavailable(F.coalesce("text", F.lit("")), on, backend), F.lit(False))).drop("autolearn", "backend")
+    of_skills = suggestions.where(F.lower("name").contains("skill"))
+    close = near_duplicate_names(of_skills, installed, "name", "skill", by)
+    return usable.join(close, [*by, "name"], "left_anti")

@@ -17,6 +17,7 @@ stored records, without opening their logs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from worktrail.sources import logs
 
 SCHEMA_VERSION = 2
 IDENTITY = ["session_id", "path", "signature", "schema_version"]
+SessionTables = Callable[[DataFrame, build.LogTables, build.LogDialect], dict[str, DataFrame]]
 LEARNT = ["parent_session", "dropped", "read_batch", "built_batch"]
 
 
@@ -74,8 +76,12 @@ def current(spark: SparkSession, store: str) -> Version | None:
     return Version(number, kept, tables["owned"], parts | {"files": kept})
 
 
-def refresh(spark: SparkSession, root: str, store: str, dialect: build.LogDialect | None = None) -> Version:
-    """Bring the store up to date with a log folder."""
+def refresh(spark: SparkSession, root: str, store: str, dialect: build.LogDialect | None = None, tables_of_sessions: SessionTables = build.session_tables) -> Version:
+    """Bring the store up to date with a log folder.
+
+    `tables_of_sessions` makes the session tables that are kept: any tables with
+    a session_id whose rows depend on their session's records alone.
+    """
     dialect = dialect or build.DialectA()
     ship_package(spark)
     before = current(spark, store)
@@ -118,7 +124,7 @@ def refresh(spark: SparkSession, root: str, store: str, dialect: build.LogDialec
     files = new.join(touched, "session_id", "left_semi")
     records = _live(spark, _records(store), files, "read_batch")
     tables = build.without_dropped(files, dialect.tables(build.without_copies(records, trees)))
-    parts = build.session_tables(files, tables, dialect)
+    parts = tables_of_sessions(files, tables, dialect)
     for name, df in parts.items():
         if name != "files":
             df.write.mode("overwrite").parquet(f"{_part(store, name)}/batch={number}")

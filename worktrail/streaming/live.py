@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from worktrail.session import ensure_checkpoint_dir
-from worktrail.sources.logs import is_record
+from worktrail.session import ensure_checkpoint_dir, ship_package
+from worktrail.sources import dialect_a
+from worktrail.sources.logs import is_record, records_of_lines
+from worktrail.sources.scan import LogSource
 
 MIN_MINUTES = 30  # fixed values: a request this long, or with this many calls, is worth a note
 MIN_TOOL_CALLS = 100
@@ -23,6 +26,29 @@ def live_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFra
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).where(is_record(F.col("line")))
 
 
+def live_logs(spark: SparkSession, root: str, listings: str, source: str = "a", flat: bool = False) -> DataFrame:
+    """Record lines of logs that still grow, with their owner columns, as they are appended.
+
+    `listings` is a shared folder that belongs to the query like its
+    checkpoint: it holds how far each log was read. A line is read once its line
+    break is there.
+    """
+    ship_package(spark)
+    spark.dataSource.register(LogSource)
+    lines = spark.readStream.format(LogSource.name()).option("listings", listings).option("source", source).option("flat", str(flat).lower()).load(root)
+    return records_of_lines(lines)
+
+
+def live_tables(lines: DataFrame) -> dict[str, DataFrame]:
+    """The typed tables of a stream of dialect A lines, those that need no more than a line.
+
+    Rows are those of the batch build, `seq` included; forks and duplicates are
+    left to it.
+    """
+    tables = dialect_a.tables_of(dialect_a.parse_records(lines).drop("line"))
+    return {name: getattr(tables, name) for name in ("messages", "tool_calls", "tool_starts", "usage_events", "markers", "async_jobs")}
+
+
 def activity_runs(events: DataFrame, keys: list[str], gap: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
     """Closed activity runs: first and last time and rows per run.
 
@@ -54,6 +80,87 @@ def drop_redelivered(events: DataFrame, keys: list[str], late: str = "1 hour") -
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+class LatestDelivery(StatefulProcessor):
+    """Hold the newest version of each key; give it out whenever it changes.
+
+    State is one row per key, dropped when the watermark is `ttl_ms` past the
+    last delivery. Of the rows of a micro-batch only the newest is held,
+    whatever their number; of equal versions the first one stays.
+    """
+
+    def __init__(self, keys: list[str], order: str, columns: list[str], state: str, ttl_ms: int) -> None:
+        self.keys, self.order, self.columns, self.schema, self.ttl_ms = keys, order, columns, state, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due, *held = tuple(self.latest.get()) if self.latest.exists() else (None,)
+        if due is not None and due <= timerValues.getCurrentWatermarkInMs():
+            held = []  # timers run after the rows of a micro-batch
+        best, last = tuple(held), 0
+        for frame in rows:
+            row = frame.loc[frame[self.order].idxmax(), [self.order, *self.columns]]
+            last = max(last, int(frame["at_ms"].max()) + self.ttl_ms)
+            if not best or row[self.order] > best[0]:
+                best = tuple(x.item() if hasattr(x, "item") else x for x in row)
+        if due is None or last > due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = last
+            self.handle.registerTimer(due)
+        self.latest.update((due, *best))
+        if list(best) != held:
+            yield pd.DataFrame([(*key, *best, bool(held))], columns=[*self.keys, self.order, *self.columns, "replaced"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.latest.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def latest_deliveries(events: DataFrame, keys: list[str], order: str, columns: list[str], ts: str = "ts", late: str = "10 minutes", ttl: timedelta = timedelta(days=1)) -> DataFrame:
+    """The newest version of each key, and again each time a later delivery replaces it.
+
+    Columns: keys, order (a number that rises with each version), columns,
+    replaced. For sinks in update mode, keyed by `keys`; a key is forgotten
+    `ttl` of event time after its last delivery. Needs the RocksDB state store.
+    """
+    ship_package(events.sparkSession)
+    rows = events.withWatermark(ts, late).select(*keys, F.col(order).cast("bigint").alias(order), *columns, ts, F.unix_millis(F.col(ts)).alias("at_ms"))
+    kind = lambda names: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
+    version = f"`{order}` bigint, {kind(columns)}"
+    processor = LatestDelivery(keys, order, columns, f"due bigint, {version}", int(ttl.total_seconds() * 1000))
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, f"{kind(keys)}, {version}, replaced boolean", "Update", "EventTime")
+
+
+def written(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what its source holds now; every row it gave out.
+
+    For update mode, which file sinks lack: each micro-batch is a folder of its
+    own, so one that is repeated after a failure replaces itself.
+    """
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Last version of each key among rows given out, and how often it was."""
+    names = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), F.col(order)).alias("x"), F.count("*").alias("versions")).select(*keys, "x.*", "versions")
+
+
 class LongRequest(StatefulProcessor):
     """Fire once per request: 30 minutes, 100 tool calls or a correction.
 
@@ -131,6 +238,7 @@ def long_requests(messages: DataFrame, late: str = "10 minutes", **kw) -> DataFr
     Columns: session_id, seq, ts, ts_ms, is_human, is_aborted, is_correction,
     tool_calls. Needs the RocksDB state store.
     """
+    ship_package(messages.sparkSession)
     return (
         messages.withWatermark("ts", late).groupBy("session_id")
         .transformWithStateInPandas(LongRequest(**kw), ALERT, "Append", "EventTime")
