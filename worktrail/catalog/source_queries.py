@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.catalog import mapping as m
+from worktrail.catalog.log_files import new_folder, write_logs
 from worktrail.catalog.mapping import dec, table
 from worktrail.catalog.registry import query
 from worktrail.functions import numeric
 from worktrail.operators import forks, tools, usage
-from worktrail.plans import refresh
+from worktrail.plans import build, refresh, store
 from worktrail.session import materialise
 from worktrail.sources import dialect_a, dialect_b, logs
 
@@ -266,12 +267,99 @@ query("j06_sidecar_fork_exclusion", "session_id:s sidecar_name:s records:l cost:
     lambda s, d: forks.drop_copied(materialise(fork_records(s, d)), forks.fork_trees(fork_links(s, d))).groupBy("session_id", "sidecar_name").agg(F.count("*").alias("records"), numeric.exact_sum(F.col("value")).alias("cost")))
 
 
-def raw_costs(spark, d):
-    """Cost per class read from the record lines, without the dialect's parser."""
-    cost = F.get_json_object("line", "$.message.usage.cost.total").cast("double")
-    return a_lines(spark, d).where(F.get_json_object("line", "$.message.role") == "assistant").select("kind", F.coalesce(cost, F.lit(0.0)).alias("cost"))
+# --- log files -----------------------------------------------------------------------
+
+# Records of a session go to its log and two sidecars by seq; a user's weeks are
+# a chain of forks, each with a copy of the records of the week before.
+LOG_OF = "CASE seq % 5 WHEN 3 THEN 'advisor' WHEN 4 THEN 'subagent' ELSE 'primary' END"
+
+
+def tree_lines(spark, d) -> DataFrame:
+    """(path, session_id, kind, seq, line): the mapped messages as a tree of logs with forks and sidecars."""
+    own = a_lines(spark, d).where("seq >= 0").select("session_id", "seq", "line").withColumn("kind", F.expr(LOG_OF))
+    own = own.withColumn("user", F.split("session_id", "-w")[0]).withColumn("w", F.expr(WEEK))
+    copies = own.where("w % 3 <> 2 and kind <> 'advisor'").withColumn("w", F.col("w") + 1).withColumn("session_id", F.concat_ws("-w", "user", "w")).withColumn("copy", F.lit(0))
+    copies = copies.join(own.select("session_id").distinct(), "session_id", "left_semi")
+    body = own.withColumn("copy", F.lit(1)).unionByName(copies)
+    heads = own.select("session_id", "user", "w").distinct().withColumn("line", F.to_json(F.struct(
+        F.lit("session").alias("type"), F.col("session_id").alias("id"), F.concat(F.lit("/home/"), "user").alias("cwd"),
+        F.when(F.col("w") % 3 != 0, F.concat_ws("-w", "user", F.col("w") - 1)).alias("parentSession")))).select(
+        "session_id", F.lit("primary").alias("kind"), F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("copy"), "line")
+    rows = body.select("session_id", "kind", "seq", "copy", "line").unionByName(heads)
+    log = F.concat(F.lit("p/2024_"), "session_id")
+    path = F.when(F.col("kind") == "primary", F.concat(log, F.lit(".jsonl"))).when(F.col("kind") == "advisor", F.concat(log, F.lit("/__advisor.jsonl"))).otherwise(F.concat(log, F.lit("/x/x.Sub.jsonl")))
+    # Copies come first, as in a fork; seq alone orders a log's lines.
+    return rows.select("session_id", "kind", path.alias("path"), (F.col("copy") * (1 << 40) + F.col("seq")).alias("seq"), "line")
+
+
+def log_tree(spark, d) -> str:
+    root = new_folder(spark, "logs")
+    write_logs(tree_lines(spark, d), root)
+    return root
+
+
+TREE = (
+    f"owned AS (SELECT session_id, split_part(session_id, '-w', 1) AS usr, {WEEK} AS w, seq, role, is_error, cost, {LOG_OF} AS kind FROM messages), "
+    "copied AS (SELECT o.*, concat(usr, '-w', w + 1) AS fork FROM owned o WHERE w % 3 <> 2 AND kind <> 'advisor'), "
+    "held AS (SELECT session_id, kind, role, cost FROM owned UNION ALL SELECT fork, kind, role, cost FROM copied WHERE fork IN (SELECT session_id FROM owned)), "
+    # A copy of week w - 1 in week w is dropped where that week is the parent; it always is, as copies follow links.
+    "clean AS (SELECT * FROM owned)"
+)
+query("s01_log_scan", "session_id:s kind:s records:l", "SELECT session_id, kind, count(*) AS records FROM (SELECT session_id, kind FROM held UNION ALL SELECT DISTINCT session_id, 'primary' FROM owned) GROUP BY ALL", ["messages"], [TREE])(
+    lambda s, d: logs.read_corpus(s, log_tree(s, d), "a")[1].groupBy("session_id", "kind").agg(F.count("*").alias("records")))
+
+
+def session_costs(files, tables, dialect):
+    """The tables that the store query keeps: cost by class of each session."""
+    return {"sessions": usage.fold_sidecars(tables.usage_events), "files": files}
+
+
+def refreshed_store(spark, d) -> DataFrame:
+    """Costs after two refreshes: every seventh user's logs lack their last third at first."""
+    root, place = new_folder(spark, "logs"), new_folder(spark, "store")
+    lines = tree_lines(spark, d)
+    late = (F.crc32(F.split("session_id", "-w")[0].cast("binary")) % 7 == 0) & (F.col("seq") % 3 == 2)
+    write_logs(lines.where(~late), root)
+    store.refresh(spark, root, place, tables_of_sessions=session_costs)
+    again = lines.join(lines.where(late).select("path").distinct(), "path", "left_semi")
+    write_logs(again, root)
+    version = store.refresh(spark, root, place, tables_of_sessions=session_costs)
+    return version.parts["sessions"]
+
+
+CLASSES = ", ".join(f"coalesce({dec(f'CASE WHEN kind = {chr(39)}{k}{chr(39)} THEN cost ELSE 0 END')}, 0) AS cost_{k}" for k in ("primary", "advisor", "subagent"))
+query("s12_incremental_build", "session_id:s cost_primary:d cost_advisor:d cost_subagent:d total_cost:d",
+      f"SELECT session_id, {CLASSES}, {dec('cost')} AS total_cost FROM clean WHERE role = 'assistant' GROUP BY 1", ["messages"], [TREE])(refreshed_store)
+
+
+def raw_costs(spark, root) -> DataFrame:
+    """Cost by class summed straight from the files' lines, copies left out by the parents' lines.
+
+    Reads the text itself and shares neither scan, parser nor fork labels with
+    the build: one level of parents is looked up at a time.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root)
+    hidden = logs.read_logs(logs.find_logs(logs.list_files(spark, root), root, "a")[1].where("kind = 'advisor'"))
+    field = lambda c, p: F.get_json_object(c, "$." + p)
+    name = F.regexp_extract("path", r"/2024_([^/]+?)(?:\.jsonl|/)", 1)
+    seen = text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).select(
+        name.alias("session_id"), F.when(F.col("path").contains("/x/"), "subagent").otherwise("primary").alias("kind"), "line")
+    seen = materialise(seen.unionByName(hidden.select("session_id", "kind", "line")))
+    parents = seen.where(field("line", "type") == "session").select("session_id", field("line", "parentSession").alias("parent")).where("parent is not null")
+    costs = seen.where(field("line", "message.role") == "assistant").select("session_id", "kind", field("line", "id").alias("rec"), F.coalesce(field("line", "message.usage.cost.total").cast("double"), F.lit(0.0)).alias("cost"))
+    all_ids = seen.select(F.col("session_id").alias("parent"), "kind", field("line", "id").alias("rec")).where("rec is not null").distinct()
+    up = parents
+    for _ in range(3):  # chains of the mapping have three weeks
+        costs = costs.join(up.join(all_ids, "parent").select("session_id", "kind", "rec").distinct(), ["session_id", "kind", "rec"], "left_anti")
+        up = up.join(parents.select(F.col("session_id").alias("parent"), F.col("parent").alias("next")), "parent").select("session_id", F.col("next").alias("parent"))
+    return costs
+
+
+def reconciled(spark, d) -> DataFrame:
+    root = log_tree(spark, d)
+    _, tables = build.build_tables(spark, root)
+    return refresh.reconcile(raw_costs(spark, root), usage.fold_sidecars(tables.usage_events))
 
 
 query("j24_reconciliation", "class:s reported:d recomputed:d matches:l",
-      f"SELECT 'primary' AS class, {dec('cost')} AS reported, {dec('cost')} AS recomputed, 1 AS matches FROM messages WHERE role = 'assistant' UNION ALL SELECT c, 0, 0, 1 FROM (VALUES ('advisor'), ('subagent')) t(c)", ["messages"])(
-    lambda s, d: refresh.reconcile(raw_costs(s, d), usage.fold_sidecars(a_tables(s, d).usage_events)))
+      f"SELECT kind AS class, {dec('cost')} AS reported, {dec('cost')} AS recomputed, CASE WHEN abs({dec('cost')} - {dec('cost')}) < 1e-6 THEN 1 ELSE 0 END AS matches FROM clean WHERE role = 'assistant' GROUP BY 1", ["messages"], [TREE])(reconciled)
