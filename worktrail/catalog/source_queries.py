@@ -281,8 +281,8 @@ def tree_lines(spark, d) -> DataFrame:
     copies = own.where("w % 3 <> 2 and kind <> 'advisor'").withColumn("w", F.col("w") + 1).withColumn("session_id", F.concat_ws("-w", "user", "w")).withColumn("copy", F.lit(0))
     copies = copies.join(own.select("session_id").distinct(), "session_id", "left_semi")
     body = own.withColumn("copy", F.lit(1)).unionByName(copies)
-    heads = own.select("session_id", "user", "w").distinct().withColumn("line", F.to_json(F.struct(
-        F.lit("session").alias("type"), F.col("session_id").alias("id"), F.concat(F.lit("/home/"), "user").alias("cwd"),
+    heads = own.groupBy("session_id", "user", "w").agg(F.min(F.get_json_object("line", "$.timestamp")).alias("at")).withColumn("line", F.to_json(F.struct(
+        F.lit("session").alias("type"), F.col("session_id").alias("id"), F.col("at").alias("timestamp"), F.concat(F.lit("/home/"), "user").alias("cwd"),
         F.when(F.col("w") % 3 != 0, F.concat_ws("-w", "user", F.col("w") - 1)).alias("parentSession")))).select(
         "session_id", F.lit("primary").alias("kind"), F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("copy"), "line")
     rows = body.select("session_id", "kind", "seq", "copy", "line").unionByName(heads)
@@ -363,3 +363,44 @@ def reconciled(spark, d) -> DataFrame:
 
 query("j24_reconciliation", "class:s reported:d recomputed:d matches:l",
       f"SELECT kind AS class, {dec('cost')} AS reported, {dec('cost')} AS recomputed, CASE WHEN abs({dec('cost')} - {dec('cost')}) < 1e-6 THEN 1 ELSE 0 END AS matches FROM clean WHERE role = 'assistant' GROUP BY 1", ["messages"], [TREE])(reconciled)
+
+
+# What sidecars did: failed results, and active time by the partition of each
+# log of its own: covered stretches and the first quarter of an hour of gaps.
+SIDE_TIME = (
+    "sm AS (SELECT session_id, kind, ts_ms, is_human, coalesce(completed_ms, ts_ms) AS end_ms, coalesce(completed_ms, ts_ms) - CAST(coalesce(ttft_ms, 0) + coalesce(duration_ms, 0) AS BIGINT) AS start_ms, role, is_error "
+    f"FROM (SELECT *, {LOG_OF} AS kind FROM messages) WHERE kind <> 'primary'), "
+    "si AS (SELECT session_id, kind, start_ms, end_ms FROM sm WHERE role = 'assistant' AND end_ms > start_ms), "
+    "sr AS (SELECT session_id, kind, coalesce(min(CASE WHEN is_human THEN ts_ms END), min(first_ms)) AS lo, max(last_ms) AS hi, count(*) FILTER (role = 'toolResult' AND is_error) AS errors FROM "
+    "(SELECT session_id, kind, ts_ms, is_human, role, is_error, CASE WHEN role = 'assistant' AND end_ms > start_ms THEN least(ts_ms, end_ms) ELSE ts_ms END AS first_ms, CASE WHEN role = 'assistant' AND end_ms > start_ms THEN greatest(ts_ms, end_ms) ELSE ts_ms END AS last_ms FROM sm) GROUP BY 1, 2), "
+    "sc AS (SELECT i.session_id, i.kind, greatest(start_ms, lo) AS a, least(end_ms, greatest(hi, lo)) AS b FROM si i JOIN sr USING (session_id, kind) WHERE greatest(start_ms, lo) < least(end_ms, greatest(hi, lo))), "
+    "so AS (SELECT session_id, kind, a, b, max(b) OVER (PARTITION BY session_id, kind ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sc), "
+    # Gaps: before each covered stretch, and after the last one.
+    "sg AS (SELECT session_id, kind, greatest(b - greatest(a, coalesce(before, a)), 0) AS covered, greatest(a - coalesce(before, lo), 0) AS gap FROM so JOIN sr USING (session_id, kind) "
+    "UNION ALL SELECT session_id, kind, 0, greatest(hi, lo) - coalesce((SELECT max(b) FROM sc WHERE sc.session_id = sr.session_id AND sc.kind = sr.kind), lo) FROM sr), "
+    "sa AS (SELECT session_id, sum(covered + least(gap, 900000)) / 1000.0 AS busy_sec FROM sg GROUP BY 1)"
+)
+query("j07_sidecar_activity", "session_id:s sidecar_tool_calls:l sidecar_tool_errors:l busy_sec:d",
+      "SELECT session_id, 0 AS sidecar_tool_calls, errors AS sidecar_tool_errors, busy_sec FROM (SELECT session_id, sum(errors) AS errors FROM sr GROUP BY 1) JOIN sa USING (session_id)", ["messages"], [SIDE_TIME])(
+    lambda s, d: build.sidecar_activity(build.build_tables(s, log_tree(s, d))[1], build.DialectA()))
+
+
+def report_counts(spark, d) -> DataFrame:
+    """Scan accounting and totals of a whole report over written logs."""
+    from worktrail.operators.usage import provider_basis
+
+    basis = provider_basis(spark.createDataFrame([("none", "api_key", 1)], "provider string, credential_type string, row_no int"))
+    parts = build.session_tables(*build.build_tables(spark, log_tree(spark, d)))
+    report = build.corpus_tables(parts, basis, now_ms=2_000_000_000_000)
+    return report["scan"].join(report["totals"].select("corpus", "total_cost"), "corpus", "left")
+
+
+HEADS = (
+    "hd AS (SELECT session_id, min(ts_ms) AS first_ms, max(CASE WHEN kind = 'primary' THEN ts_ms END) AS last_ms, count(*) FILTER (kind = 'primary' AND is_human) AS humans, "
+    "max(CASE WHEN kind = 'advisor' THEN 1 ELSE 0 END) AS adv, " + dec("CASE WHEN role = 'assistant' THEN cost ELSE 0 END") + " AS cost FROM (SELECT *, " + LOG_OF + " AS kind FROM messages) GROUP BY 1), "
+    "subs AS (SELECT session_id FROM owned WHERE kind = 'subagent' UNION SELECT fork FROM copied WHERE kind = 'subagent' AND fork IN (SELECT session_id FROM owned)), "
+    "ok AS (SELECT *, humans >= 2 AND floor((greatest(last_ms, first_ms) - first_ms) / 60000.0 + 0.5) >= 1 AS good FROM hd)"
+)
+query("s15_report_counts", "primary_logs:l duplicate_logs:l advisor_logs:l subagent_logs:l excluded_meta:l excluded_unparsed:l sessions_scanned:l excluded_not_substantive:l included:l excluded_tooling:l facet_failures:l total_cost:d",
+      f"SELECT count(*) AS primary_logs, 0 AS duplicate_logs, sum(adv) AS advisor_logs, (SELECT count(*) FROM subs) AS subagent_logs, 0 AS excluded_meta, 0 AS excluded_unparsed, count(*) AS sessions_scanned, count(*) FILTER (NOT good) AS excluded_not_substantive, "
+      f"count(*) FILTER (good) AS included, 0 AS excluded_tooling, 0 AS facet_failures, {dec('CASE WHEN good THEN cost ELSE 0 END')} AS total_cost FROM ok", ["messages"], [TREE, HEADS])(report_counts)

@@ -223,6 +223,7 @@ def unbacked_figures(quotes: DataFrame, facts: DataFrame, by: Sequence[str] = ()
     as pairs.
     """
     keys = [*by, "unit"]
+    quotes = materialise(quotes)  # narrow; the texts are searched once
     # A figure quoted often is looked up once; verdicts are joined back.
     figure = [*keys, "value", "slack"]
     q = quotes.groupBy(*figure).agg(F.lit(1).alias("is_quote"))
@@ -230,7 +231,7 @@ def unbacked_figures(quotes: DataFrame, facts: DataFrame, by: Sequence[str] = ()
         *keys, "value", F.lit(0.0).alias("slack"), F.lit(0).alias("is_quote")
     )
     known = F.when(F.col("is_quote") == 0, F.col("value"))
-    # The texts are searched once; the scan reads its input twice.
+    # The scan reads its input twice.
     rows = ordered_scan(
         materialise(q.unionByName(f)), keys, ["value", "is_quote", "slack"], by_magnitude("value"), last={"lo": known}, next_={"hi": known}
     ).where("is_quote = 1")
