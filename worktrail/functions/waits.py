@@ -12,15 +12,12 @@ CI_WAITS = [
     r"\bglab\s+ci\b|\bgh\s+pr\s+checks\b|\bgh\s+run\s+(?:list|watch|view)\b|\bdeploy\s+status\b|\bvercel\s+inspect\b",
     r"\bglab\b[\s\S]{0,15}\bapi\b[\s\S]{0,60}\b(?:pipelines|jobs)\b",
     r"\bgh\b[\s\S]{0,15}\bapi\b[\s\S]{0,80}\b(?:actions/runs|check-runs|statuses)\b",
-    r"\bjenkins-cli(?:\.jar)?\b[\s\S]{0,60}\bbuild\b[\s\S]{0,40}(?:-s\b|-w\b)",
-    r"\bjava\s+-jar\s+jenkins-cli\.jar\b[\s\S]{0,60}\bbuild\b",
+    r"\bjenkins-cli(?:\.jar)?\b[\s\S]{0,60}\bbuild\b[\s\S]{0,40}(?:-s\b|-w\b)|\bjava\s+-jar\s+jenkins-cli\.jar\b[\s\S]{0,60}\bbuild\b",
     r"\b(?:curl|wget)\b[\s\S]{0,80}/job/[\s\S]{0,120}\b(?:api/json|lastBuild)\b",
     r"\bcircleci\b[\s\S]{0,15}\b(?:pipeline|workflow)\b|\bcircleci\.com/api/v2/(?:pipeline|workflow)\b",
     r"\bbk\b[\s\S]{0,15}\bbuild\b[\s\S]{0,15}\b(?:view|watch)\b|\bapi\.buildkite\.com/v2/[\s\S]{0,80}/builds\b",
     r"\baz\b[\s\S]{0,15}\bpipelines\b[\s\S]{0,20}\b(?:run\b|runs\s+show\b)|\baz\b[\s\S]{0,15}\bbuild\b[\s\S]{0,15}\bshow\b",
-    r"\bkubectl\b[\s\S]{0,15}\brollout\b[\s\S]{0,15}\bstatus\b|\bargocd\b[\s\S]{0,15}\bapp\b[\s\S]{0,15}\bwait\b",
-    r"\bargocd\b[\s\S]{0,15}\bapp\b[\s\S]{0,15}\bsync\b[\s\S]{0,40}--wait\b",
-    r"\bhelm\b[\s\S]{0,15}\b(?:upgrade|install)\b[\s\S]{0,80}--wait\b",
+    r"\bkubectl\b[\s\S]{0,15}\brollout\b[\s\S]{0,15}\bstatus\b|\bargocd\b[\s\S]{0,15}\bapp\b[\s\S]{0,15}\bwait\b|\bargocd\b[\s\S]{0,15}\bapp\b[\s\S]{0,15}\bsync\b[\s\S]{0,40}--wait\b|\bhelm\b[\s\S]{0,15}\b(?:upgrade|install)\b[\s\S]{0,80}--wait\b",
     r"\bnetlify\b[\s\S]{0,15}\bwatch\b|\b(?:flyctl|fly)\b[\s\S]{0,15}\bstatus\b[\s\S]{0,15}--watch\b",
     r"\bgcloud\b[\s\S]{0,15}\bbuilds\b[\s\S]{0,15}\bsubmit\b(?![\s\S]{0,60}--async\b)",
     r"\bgcloud\b[\s\S]{0,15}\bbuilds\b[\s\S]{0,15}\blog\b[\s\S]{0,40}--stream\b",
@@ -28,9 +25,7 @@ CI_WAITS = [
 ]
 # Marks of waiting for agents and of polling.
 AGENT_BLOCKING = [
-    r"\borca\b[\s\S]{0,15}\borchestration\b[\s\S]{0,15}\bcheck\b[\s\S]{0,80}--wait\b",
-    r"\borca\b[\s\S]{0,15}\bterminal\b[\s\S]{0,15}\bwait\b",
-    r"\borca\b[\s\S]{0,15}\borchestration\b[\s\S]{0,15}\bask\b",
+    r"\borca\b[\s\S]{0,15}\borchestration\b[\s\S]{0,15}\bcheck\b[\s\S]{0,80}--wait\b|\borca\b[\s\S]{0,15}\bterminal\b[\s\S]{0,15}\bwait\b|\borca\b[\s\S]{0,15}\borchestration\b[\s\S]{0,15}\bask\b",
 ]
 AGENT_TERM = r"(?i)\b(orca|worker|dispatch|agent|bg_\w+)\b"
 POLL_CALL = r"(?i)\bpoll\w*\s*\("

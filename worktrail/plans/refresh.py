@@ -1,4 +1,4 @@
-"""Incremental refresh, audit manifest and cost reconciliation."""
+"""Rows of a refresh, audit rows and cost reconciliation; `store` builds on disk."""
 
 from __future__ import annotations
 
@@ -29,17 +29,10 @@ def refreshed(previous: DataFrame, recomputed: DataFrame, logs: DataFrame, schem
     return still_valid(previous, logs, schema_version).unionByName(fresh, allowMissingColumns=True)
 
 
-def write_version(sessions: DataFrame, root: str, version: int) -> str:
-    """Write a table version to its own folder; readers of older ones are not disturbed."""
-    path = f"{root.rstrip('/')}/version={version}"
-    sessions.write.mode("errorifexists").parquet(path)
-    return path
-
-
 def manifest(sessions: DataFrame, logs: DataFrame, sidecars: DataFrame) -> DataFrame:
     """The exact session set behind a report, with paths and cost split.
 
-    Sidecars are counted here; `manifest_sidecars` lists them, one per row.
+    Sidecars are counted here; `build.manifest` lists them, one per row.
     """
     paths = sidecars.groupBy("session_id").agg(F.count("*").alias("sidecars"))
     cost = ["total_cost", "cost_primary", "cost_advisor", "cost_subagent"]
@@ -48,14 +41,6 @@ def manifest(sessions: DataFrame, logs: DataFrame, sidecars: DataFrame) -> DataF
     ).join(paths, "session_id", "left").na.fill(0, ["sidecars"])
 
 
-def manifest_sidecars(sidecars: DataFrame) -> DataFrame:
-    return sidecars.select("session_id", "kind", "sidecar_name", "path", "size")
-
-
-def write_manifest(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
-
-
 def reconcile(usage_events: DataFrame, sessions: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Re-sum raw cost by class and compare with the session rows.
 
