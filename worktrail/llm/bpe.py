@@ -52,6 +52,31 @@ def token_bytes(rank_path: str) -> list[bytes]:
     return table
 
 
+class Decoder:
+    """Bytes of packed ids, gathered from one flat table of all tokens."""
+
+    def __init__(self, rank_path: str, segment: int = 1 << 18) -> None:
+        table = token_bytes(rank_path)
+        self.data = np.frombuffer(b"".join(table), dtype=np.uint8)
+        self.lengths = np.array([len(b) for b in table], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.segment = segment  # ids gathered at once
+
+    def gather(self, ids: np.ndarray) -> bytes:
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        return self.data[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+    def decode(self, packed: list[bytes | None]) -> list[bytes]:
+        """Decoded bytes of each text."""
+        ids = [np.frombuffer(p or b"", dtype="<u4") for p in packed]
+        whole = np.concatenate(ids) if ids else np.zeros(0, dtype="<u4")
+        raw = b"".join(self.gather(whole[a:a + self.segment]) for a in range(0, len(whole), self.segment))
+        upto = np.r_[0, np.cumsum(self.lengths[whole])]
+        cuts = upto[np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int64)].tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def pieces_of(text: str) -> list[str]:
     """Cut `text` into pieces that encode independently; they join to `text`."""
     if not text:
@@ -84,7 +109,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
         young, old = state[1], state[2]
         cut = [pieces_of(text or "") for text in texts[start:start + 100]]
         missing = {piece for pieces in cut for piece in pieces}.difference(young)
-        known = missing.intersection(old)
+        known = {piece for piece in missing if piece in old}
         young.update((piece, old[piece]) for piece in known)
         new = list(missing - known)
         long = [piece for piece in new if len(piece) > 200]
@@ -137,11 +162,11 @@ def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str =
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = token_bytes(rank_path).__getitem__
+        decoder = Decoder(rank_path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                decoded = [b"".join(map(get, np.frombuffer(ids or b"", dtype="<u4").tolist())) for ids in part.column(1).to_pylist()]
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
+                decoded = decoder.decode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], names=[id_col, "ids", "decoded"])
 
     return df.select(id_col, ids_col).mapInArrow(run, schema)
@@ -152,12 +177,12 @@ def round_trip(df: DataFrame, tokenizer_path: str, rank_path: str, id_col: str =
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = token_bytes(rank_path).__getitem__
+        decoder = Decoder(rank_path)
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
                 part = batch.slice(start, 100)
                 packed = encode_texts(part.column(1).to_pylist(), tokenizer_path)
-                decoded = [b"".join(map(get, np.frombuffer(ids, dtype="<u4").tolist())) for ids in packed]
+                decoded = decoder.decode(packed)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())], names=schema.fieldNames())
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
