@@ -124,7 +124,7 @@ def best_by_force(rows, k):
     out = []
     for q, qv in sound:
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in sound if i != q)[:k]
+            scored = sorted((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(qv, v)))), i) for i, v in sound if i != q)[:k]
             out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -150,6 +150,19 @@ def test_search_few_and_none(spark):
     assert topk.search(frame.where("false"), F.col("vec_id") == 0).collect() == []
 
 
+@pytest.mark.parametrize("size", [1.0, 2.0**20, 2.0**35, 2.0**53])
+def test_search_with_large_components(spark, monkeypatch, size):
+    """Any finite component counts: scores past 2^53 need more than floating sums, past 2^63 more than 64 bits."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 1 << 20)
+    rng = np.random.default_rng(11)
+    rows = [(0, [1.0, 200000.0]), (1, [1.0, 200000.0]), (2, [-3.0, 5.0])]
+    rows += [(i, [float(x) for x in (rng.normal(size=4) * size * rng.choice([1e-3, 0.5])).tolist()]) for i in range(3, 260)]
+    rows += [(260, [size, -size, 1.0, 0.25]), (300, [size, size, 0.5, -1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = best_by_force(rows, 5)
+    assert sorted(map(tuple, topk.search(frame, F.col("vec_id") % 50 == 0).collect())) == want
+
+
 def test_index_stops_early_and_stays_exact():
     rng = np.random.default_rng(4)
     vectors = rng.integers(-60, 60, size=(3000, 16))

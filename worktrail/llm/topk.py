@@ -10,9 +10,14 @@ largest sum is proven out. Processing stops when the candidates not proven out
 are few, or at the end, and those are scored exactly. The best k of all blocks
 are ranked in Spark.
 
+Sums are floating numbers; what rounding can do to them is bounded and added to
+the rests, so nothing is ruled out by it. Where products might not fit 64 bits
+they are taken as integers of any size.
+
 Vectors that are null or hold null or non-finite components take no part, nor
-do null ids or components of 2^17 and more, whose scores might not fit. Shorter
-vectors count as ending in zeros. Rows with the query's id are not its
+do null ids, or components of 2^54 and more, which are no 64-bit integers once
+scaled. A score beyond 64 bits counts as the last number that fits, so such
+scores tie. Shorter vectors count as ending in zeros. Rows with the query's id are not its
 candidates; rows that repeat an id and vector count once; an id with several
 vectors is a query for each. Ties go to the smaller id. Other columns are left
 out.
@@ -31,6 +36,7 @@ SCALE = 256
 CANDIDATE_BLOCK = 16_384
 QUERY_BLOCK = 512
 LEVELS = 12
+FITS = 2**63
 
 
 class ImpactIndex:
@@ -39,6 +45,7 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        self.largest = int(np.abs(self.vectors).max(initial=0))
         by_value = np.argsort(self.vectors, axis=0, kind="stable")
         self.postings = np.ascontiguousarray(by_value.T)
         self.values = np.ascontiguousarray(np.take_along_axis(self.vectors, by_value, axis=0).T.astype(np.float64))
@@ -53,6 +60,9 @@ class ImpactIndex:
         least = np.where(weights > 0, self.values[:, 0], self.values[:, -1]) if n else weights
         spread = np.abs(weights) * (self.values[:, -1] - self.values[:, 0]) if n else weights
         top = spread.max(initial=0.0)
+        largest = np.maximum(np.abs(self.values[:, 0]), np.abs(self.values[:, -1])) if n else weights
+        base = float(weights @ least)
+        rounding = 2.0**-50 * max(1, len(used)) * float(np.abs(weights) @ largest)
         sums, done = np.where(own, -np.inf, 0.0), np.where(weights > 0, n, 0)
         possible = ~own
         for level in range(1, levels + 1):
@@ -83,10 +93,18 @@ class ImpactIndex:
             sums += np.bincount(np.concatenate(places), np.concatenate(impacts), n)
             if n > k:
                 floor = np.partition(sums, n - k)[n - k]
-                possible = ~own & (sums + rest * (1 + 1e-9) >= floor)
+                # Scores that don't fit tie, so none of them rules out another.
+                floor = min(floor, FITS - base) if floor + base > rounding - FITS else -np.inf
+                possible = ~own & (sums + rest * (1 + 1e-9) + rounding >= floor)
         members = np.flatnonzero(possible)
-        scores = self.vectors[members] @ query
-        best = np.lexsort((self.ids[members], -scores))[:k]
+        bound = len(query) * int(np.abs(query).max(initial=0)) * self.largest
+        if bound < FITS:
+            scores = self.vectors[members] @ query
+            best = np.lexsort((self.ids[members], -scores))[:k]
+        else:
+            whole = self.vectors[members].astype(object) @ query.astype(object)
+            scores = [max(-FITS, min(FITS - 1, int(s))) for s in whole]
+            best = sorted(range(len(members)), key=lambda i: (-scores[i], self.ids[members[i]]))[:k]
         return [(int(self.ids[members[i]]), int(scores[i])) for i in best]
 
 
@@ -115,7 +133,7 @@ def _search_block(k: int):
 def scaled(vector: Column) -> Column:
     """floor(256 x) of each component; null where the vector takes no part."""
     x = F.transform(vector, lambda c: c.cast("double"))
-    sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 2.0**17))
+    sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 2.0**54))
     return F.when(sound, F.transform(x, lambda c: F.floor(c * SCALE)))
 
 
