@@ -233,3 +233,27 @@ def test_mixed_rows_repeat_and_cut(spark):
     assert all(r.n_chars == len(r.text) for r in got.collect())
     assert mixing.mixed_rows(frame.where("false")).collect() == []
     assert mixing.mix(frame.where("size(split(text, 'zz')) > 9")).taken().collect() == []
+
+
+def test_mixed_rows_with_clashing_names_and_repeats(spark):
+    """Each repeated row gets its own count, so sources meet their targets to the word."""
+    schema = "doc_id long, text string, source string, n_chars long, id long, own string, size long, taken long, copy int, words string, off long, hash int, place int, nth int, gone long"
+    rows = [(i % 3, "one two three four", "a" if i < 3 else "b", 18) for i in range(9)] + [(None, "five six", None, 8)] * 4 + [(7, None, "a", 0), (8, "", None, 0)]
+    frame = spark.createDataFrame([(*r, 1, "o", 2, 3, 4, "w", 5, 6, 7, 8, 9) for r in rows], schema)
+    got = mixing.mixed_rows(frame, length_col="n_chars")
+    assert got.columns == frame.columns
+    rows_out = got.collect()
+    assert all(tuple(r)[4:] == (1, "o", 2, 3, 4, "w", 5, 6, 7, 8, 9) for r in rows_out)
+    words = Counter()
+    for r in rows_out:
+        words[r.source] += len(r.text.split())
+    sizes = {"a": 12, "b": 24, None: 8}
+    assert words == {s: math.floor(t + Fraction(1, 2)) for s, t in targets_by_force(sizes).items()}
+
+
+def test_near_copies_with_clashing_names(spark):
+    from worktrail.llm import overlap
+
+    text = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([(2, text, 1, "n"), (1, text + " end", 2, "n"), (3, "other words here now and then", 3, "n"), (None, text, 4, "n")], "doc_id long, text string, gone long, node string")
+    assert sorted((r.doc_id or 0, r.gone) for r in overlap.drop_near_copies(frame).collect()) == [(0, 4), (1, 2), (3, 3)]

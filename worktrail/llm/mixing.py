@@ -61,10 +61,14 @@ class Mixture:
 
     def taken(self) -> DataFrame:
         """(id, own, size, source_size, target, taken) of every row."""
+        return self.taken_by_place().select("id", "own", "size", "source_size", "target", "taken")
+
+    def taken_by_place(self) -> DataFrame:
+        """The same with `source` and the row's place in it, `off`, which tells repeated rows apart."""
         sums = self.pieces().groupBy("source_no", "off").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
         rows = self.rows.where("size > 0").join(sums, ["source_no", "off"], "left").unionByName(self.rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-        return rows.join(self.sources.select("source_no", "source_size", "target"), "source_no").select(
-            "id", "own", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        return rows.join(self.sources.select("source_no", "source", "source_size", "target"), "source_no").select(
+            "id", "own", "source", "off", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
         )
 
 
@@ -158,21 +162,32 @@ def mix(
     return Mixture(sources, rows, _slots(sources, n_slots, block_words), block_words)
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, source_col: str = "source", **options) -> DataFrame:
     """The rows of `df` as often as the mix takes them.
 
     The one document of a source where the mix stops is cut to its first
-    words, joined by one space; `length_col` then gets its new length.
+    words, joined by one space; `length_col` then gets its new length. Rows
+    that share id, text and source each get the count of one of their places,
+    in order of a hash of all their columns. Rows without words are not taken.
+    Columns may have any names.
     """
-    taken = mix(df, id_col, text_col, **options).taken().groupBy("id", "own", "size").agg(F.max("taken").alias("taken"))
-    rows = df.withColumn("own hash", F.xxhash64(text_col)).join(
-        taken.where("taken > 0"), F.col(id_col).eqNullSafe(F.col("id")) & (F.col("own hash") == F.col("own"))
+    names = {c: f"own {i}" for i, c in enumerate(df.columns)}
+    own = df.select(*[F.col(c).alias(n) for c, n in names.items()])
+    id_, text_, source = names[id_col], names[text_col], names[source_col]
+    places = mix(own, id_, text_, source, **options).taken_by_place()
+    turn = F.row_number().over(Window.partitionBy("id", "own", "source").orderBy("off"))
+    taken = places.where("size > 0").select("id", "own", "source", "size", "taken", turn.alias("nth")).where("taken > 0")
+    marked = own.withColumn("hash", F.xxhash64(text_)).withColumn(
+        "place", F.row_number().over(Window.partitionBy(id_, "hash", source).orderBy(F.xxhash64(*names.values())))
     )
-    words = F.least("size", F.col("taken") - F.col("size") * F.col("copy"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))))).withColumn("words", words)
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD_PATTERN), F.lit(0)), 1, F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col(text_col))
-    out = rows.withColumn(text_col, text)
+    same = F.col(id_).eqNullSafe(F.col("id")) & (F.col("hash") == F.col("own")) & F.col(source).eqNullSafe(F.col("source")) & (F.col("place") == F.col("nth"))
+    rows = marked.join(taken, same)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
+    rows = rows.withColumn("words", F.least("size", F.col("taken") - F.col("size") * F.col("copy")))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_, F.lit(WORD_PATTERN), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    is_cut = F.col("words") < F.col("size")
+    out = rows.withColumn(text_, F.when(is_cut, cut).otherwise(F.col(text_)))
     if length_col:
-        out = out.withColumn(length_col, F.when(F.col("words") < F.col("size"), F.char_length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*df.columns)
+        length = names[length_col]
+        out = out.withColumn(length, F.when(is_cut, F.char_length(text_).cast(df.schema[length_col].dataType)).otherwise(F.col(length)))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
