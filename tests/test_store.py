@@ -155,7 +155,7 @@ def test_ranges_hidden_names_and_cut_tails(spark, tmp_path):
 
 def test_facet_files(spark, tmp_path):
     rows = [
-        {"session_id": "a", "brief_summary": "x", "outcome": "done", "goal_categories": {"fix": 2}, "friction_counts": {"Wrong Approach": 1, "approach_wrong": 2, "fully_achieved": 3, "none": 0}},
+        {"session_id": "a", "brief_summary": "x", "outcome": "done", "goal_categories": {"fix": 2}, "friction_counts": {"Wrong Approach": 1, "approach_wrong": 2, "bug_fixed": 3, "none": 0}},
         {"session_id": "b", "brief_summary": "", "outcome": "done"}, {"session_id": "c", "brief_summary": "y", "outcome": 5}, ["a"], "text",
     ]
     (tmp_path / "f.jsonl").write_text("\n".join(json.dumps(r) for r in rows) + '\n\n{"session_id": "d", "brief')

@@ -14,6 +14,7 @@ from worktrail.catalog.session_queries import (
 from worktrail.functions import numeric
 from worktrail.operators import corpus, facts, filters, labels, pairing, tools, trends, turns, usage
 from worktrail.session import materialise
+from worktrail.sources import facets as facet_files
 
 # --- session rows -------------------------------------------------------------------
 
@@ -86,6 +87,31 @@ query("f9_near_duplicate_names", "name:s n:l",
         table(s, d, "part").select(F.expr("concat(lower(p_type), ' plating skill')").alias("existing")).union(table(s, d, "part").select(F.expr("lower(p_type)"))),
     ).groupBy("name").agg(F.count("*").alias("n")))
 
+# Suggestions of four users, some naming features that the user has switched off or skills that are there.
+SUGGESTED = {
+    "usr": "p_size % 4", "name": "CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' Skill') ELSE p_name END",
+    "text": m.pick("p_partkey % 6", ["use the Learn tool", "try manage_skill", "please recall it", "see memory (learn)", "retained", "plain words"]),
+}
+SUGGESTIONS = "sug AS (SELECT p_partkey, " + ", ".join(f"{e} AS {n}" for n, e in SUGGESTED.items()) + " FROM part), inst AS (SELECT DISTINCT p_size % 4 AS usr, lower(p_type) AS skill FROM part WHERE p_partkey % 7 = 0)"
+CLOSE = (
+    "contains(replace(lower(c.name), '_', ' '), x.skill) OR len(list_intersect(list_distinct(" + NAME_TOKENS.format(x="c.name") + "), list_distinct(" + NAME_TOKENS.format(x="x.skill")
+    + "))) >= 0.5 * nullif(least(len(list_distinct(" + NAME_TOKENS.format(x="c.name") + ")), len(list_distinct(" + NAME_TOKENS.format(x="x.skill") + "))), 0)"
+)
+
+
+def suggestions_kept(spark, d):
+    part = table(spark, d, "part")
+    rows = part.select("p_partkey", *[F.expr(e).alias(n) for n, e in SUGGESTED.items()])
+    installed = part.where("p_partkey % 7 = 0").select(F.expr("p_size % 4").alias("usr"), F.lower("p_type").alias("skill"))
+    settings = rows.select("usr").distinct().where("usr < 3").select(
+        "usr", (F.col("usr") != 1).alias("autolearn"), F.expr(m.pick("usr", ["hindsight", "off", "local"])).alias("backend"))
+    return filters.filter_suggestions(rows, installed, settings, ["usr"])
+
+
+query("f9_suggestions", "p_partkey:l usr:l",
+      "SELECT p_partkey, usr FROM sug c WHERE NOT (contains(lower(name), 'skill') AND EXISTS (SELECT 1 FROM inst x WHERE x.usr = c.usr AND (" + CLOSE + "))) "
+      "AND NOT (usr IN (1, 3) AND p_partkey % 6 IN (0, 1, 3)) AND NOT (usr <> 0 AND p_partkey % 6 = 2)", [], [SUGGESTIONS])(suggestions_kept)
+
 # --- totals and top lists ------------------------------------------------------------
 
 TOTALS = ["user_message_count", "input_tokens", "output_tokens", "tool_errors", "steering_messages", "aborted_generations", "error_generations", "aborted_at_session_end", "cache_read_tokens", "cache_write_tokens"]
@@ -228,6 +254,22 @@ query("a35_top_flags", "session_id:s flag:s model_cost:d rank:l",
 
 # --- labels ---------------------------------------------------------------------------
 
+# Label files: whole, without an outcome, cut off, no object, with friction keys of several spellings.
+def facet_lines(spark, d):
+    doc = table(spark, d, "documents")
+    name = F.concat(F.lit("s"), "doc_id")
+    whole = F.to_json(F.struct(name.alias("session_id"), F.concat(F.lit("did "), "lang").alias("brief_summary"), F.when(F.col("doc_id") % 5 != 1, "done").alias("outcome"),
+                               F.when(F.col("doc_id") % 5 == 4, F.create_map(F.lit("Wrong Approach"), F.col("doc_id") % 3, F.lit("approach-wrong"), F.lit(2), F.lit("bug_fixed"), F.lit(9))).alias("friction_counts")))
+    kind = F.col("doc_id") % 5
+    return doc.select(F.when(kind == 2, F.substr(whole, F.lit(1), F.length(whole) - 4)).when(kind == 3, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole).alias("value"))
+
+
+query("s10_facet_status", "status:s n:l",
+      "SELECT s.status, count(d.status) AS n FROM (VALUES ('valid'), ('incomplete'), ('broken')) s(status) LEFT JOIN (SELECT CASE WHEN doc_id % 5 IN (2, 3) THEN 'broken' WHEN doc_id % 5 = 1 OR lang IS NULL THEN 'incomplete' ELSE 'valid' END AS status FROM documents) d USING (status) GROUP BY 1")(
+    lambda s, d: facet_files.facet_status(facet_files.parse_facets(facet_lines(s, d))))
+query("s10_facet_counts", "session_id:s dim:s key:s n:d",
+      "SELECT concat('s', doc_id) AS session_id, 'friction' AS dim, 'wrong_approach' AS key, doc_id % 3 + 2 AS n FROM documents WHERE doc_id % 5 = 4 AND lang IS NOT NULL")(
+    lambda s, d: facet_files.facet_counts(facet_files.parse_facets(facet_lines(s, d))))
 query("s10_valid_facets", "session_id:s outcome:s", "SELECT * FROM facets WHERE brief_summary <> ''", ["facets"])(lambda s, d: labels.valid_facets(m.facets(s, d)))
 query("j08_sessions_with_facets", "session_id:s user_message_count:l outcome:s has_facets:l",
       "SELECT s.session_id, s.user_message_count, f.outcome, CASE WHEN f.session_id IS NULL THEN 0 ELSE 1 END AS has_facets FROM sessions s LEFT JOIN (SELECT * FROM facets WHERE brief_summary <> '') f USING (session_id)",
