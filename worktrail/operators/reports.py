@@ -165,11 +165,10 @@ def flatten_config(configs: DataFrame, keys: Sequence[str], column: str = "confi
     level = configs.select(*keys, F.lit("").alias("path"), F.try_parse_json(column).alias("node")).where("node is not null")
     found = None
     while True:
-        level.createOrReplaceTempView("_config_level")
         cols = ", ".join(keys)
         rows = spark.sql(
             f"SELECT {cols}, concat_ws('.', nullif(path, ''), v.key) AS path, v.value AS node, schema_of_variant(v.value) AS kind "
-            "FROM _config_level, LATERAL variant_explode(node) AS v WHERE v.key IS NOT NULL"
+            "FROM {level}, LATERAL variant_explode(node) AS v WHERE v.key IS NOT NULL", level=level,
         )
         rows = materialise(rows)
         leaves = rows.where("kind not like 'OBJECT%' and kind not like 'ARRAY%' and kind <> 'VOID'").select(
