@@ -97,7 +97,22 @@ def busy_calls(spark, d):
 query("t5_busy_by_tool", "session_id:s tool:s busy_sec:d", f"SELECT session_id, tool, {dec('busy_sec')} AS busy_sec FROM tcalls GROUP BY ALL",
       ["tool_starts", "results", "tool_calls"], [TIMED])(
     lambda s, d: timesplit.busy_by(tool_intervals(s, d), "tool"))
-query("t5_busy_after_jobs", "family:s busy_sec:d")(
+# The first shell job that comes before its call is closed takes the call's place.
+# Code that ran as a shell job reads as a command.
+CODE_AS_COMMAND = m.pick("dk % 5", ["import os", "await browser.goto(1)", 'subprocess.run("npm test")', "polling: review", "console.log(1)"])
+AFTER_JOBS = (
+    "owner_rows AS (SELECT session_id, job_id, arg_max(call_id, seq) AS call_id, max(seq) AS seq FROM moved WHERE job_id IS NOT NULL GROUP BY ALL), "
+    "job_rows AS (SELECT j.session_id, j.seq, j.job_type, j.duration_ms / 1000.0 AS busy_sec, j.label, o.call_id, CASE WHEN t.job_id = '' THEN t.seq END AS closed_seq, c.dtool, c.dk, c.dfamily, c.dkind "
+    "FROM async_jobs j LEFT JOIN owner_rows o USING (session_id, job_id) LEFT JOIN tcalls t ON t.session_id = o.session_id AND t.call_id = o.call_id AND t.seq = o.seq "
+    "LEFT JOIN det2 c ON c.session_id = j.session_id AND c.call_id = o.call_id), "
+    "replaced AS (SELECT DISTINCT session_id, call_id FROM job_rows WHERE job_type = 'bash' AND call_id IS NOT NULL AND (closed_seq IS NULL OR seq < closed_seq)), "
+    # A shell or code call whose latest details are another tool's has no text.
+    f"after_jobs AS (SELECT coalesce(family, CASE t.tool WHEN 'bash' THEN CASE dtool WHEN 'eval' THEN {CODE_AS_COMMAND} ELSE 'bash' END WHEN 'eval' THEN CASE dk % 3 WHEN 0 THEN 'eval: python' ELSE 'eval: js' END END) AS family, busy_sec "
+    "FROM tcalls t JOIN det2 USING (session_id, call_id) WHERE bucket = 'tools' AND (session_id, call_id) NOT IN (SELECT (session_id, call_id) FROM replaced) "
+    f"UNION ALL SELECT CASE dtool WHEN 'bash' THEN dfamily WHEN 'eval' THEN {CODE_AS_COMMAND} ELSE label END, busy_sec FROM job_rows WHERE job_type = 'bash' AND NOT (coalesce(dtool, '') IN ('bash', 'eval') AND coalesce(dkind, '') IN ('ci', 'review', 'agents')))"
+)
+query("t5_busy_after_jobs", "family:s busy_sec:d", f"SELECT family, {dec('busy_sec')} AS busy_sec FROM after_jobs WHERE family IS NOT NULL GROUP BY 1",
+      ["async_jobs", "tool_starts", "results", "tool_calls"], [TIMED, JOB_OWNERS, AFTER_JOBS])(
     lambda s, d: timesplit.busy_by(busy_calls(s, d), "family", ()))
 
 # --- T3, T4, T6: the partition ------------------------------------------------------
