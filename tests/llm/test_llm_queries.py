@@ -27,6 +27,9 @@ COLUMNS = {
     "op8_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op9_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op10_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op11_conversation_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op12_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op13_nearest_neighbours": ["query_id", "rank", "vec_id", "score"],
 }
 
 
@@ -48,7 +51,7 @@ def test_like_sql(spark, name):
 
 def test_all_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
@@ -79,13 +82,26 @@ def test_held_out_accuracy(spark, name, labels, answer, predicted):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("languages", [2, 12])
+def test_language_stage_keeps_clean_texts(spark, languages):
+    """Whatever the number of languages, texts of a known one stay, short ones too."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n, i: "".join(letters[(2 * n + i * k) % 26] for k in range(4))
+    rows = [(n * 100 + i, " ".join(word(n, i + j) for j in range(1 + i % 12)), f"l{n:02d}", "s", 0) for n in range(languages) for i in range(40)]
+    docs = spark.createDataFrame(rows + [(9001, "12 34", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()}
+    assert 9001 not in kept and len(kept) >= 0.97 * len(rows)
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents").limit(150)
     docs = stored(docs.union(spark.createDataFrame([(9001, "123 456", None, "s", 7), (9002, None, None, None, None)], docs.schema)).union(docs.limit(3).selectExpr("doc_id + 5000", "upper(text)", "lang", "source", "length(upper(text))")))
     columns, (names, stages) = docs.columns, zip(*corpus_pipeline.STAGES)
     kept = stored(stages[0](spark, docs, SF))
-    judged = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
-    want = {i for i, r in judged.items() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
+    model = langid.fit(docs)
+    judged = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    least = corpus_pipeline.LEAST_OVER_CHANCE / len(model.languages)
+    want = {i for i, r in judged.items() if r.lang_pred != "und" and r.score >= least}
     assert {r.doc_id for r in kept.collect()} == want and want.isdisjoint({9001, 9002}) and kept.columns == columns
 
     rows = [(r.doc_id, r.text) for r in kept.collect()]
