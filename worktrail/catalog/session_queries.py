@@ -9,6 +9,7 @@ from worktrail.catalog.mapping import dec, table
 from worktrail.catalog.registry import query
 from worktrail.functions import numeric
 from worktrail.operators import activity, pairing, tools, turns, usage
+from worktrail.operators.scan import SEQ_CHUNK, by_width
 
 # --- pairing -------------------------------------------------------------------
 
@@ -362,14 +363,19 @@ def team_messages(spark, d):
     return m.messages(spark, d).withColumn("team", F.expr(TEAM))
 
 
+def team_interleavings(spark, d):
+    """In order of arrival: event ids count the messages of all sessions."""
+    return activity.interleavings(team_messages(spark, d), ["team"], WINDOW, order=["seq"], chunk=by_width("seq", SEQ_CHUNK))
+
+
 query("j12_interleavings", "team:l session_id:s from_ms:l to_ms:l other_id:s other_ms:l", "SELECT * FROM hit", ["messages"], [OVERLAPS])(
-    lambda s, d: activity.interleavings(team_messages(s, d), ["team"], WINDOW))
+    lambda s, d: team_interleavings(s, d))
 query("j12_overlap_summary", "team:l overlap_events:l sessions_involved:l user_messages_during:l",
       "SELECT team, count(DISTINCT CASE WHEN k = 0 THEN v END) AS overlap_events, count(DISTINCT CASE WHEN k = 1 THEN v END) AS sessions_involved, "
       "count(DISTINCT CASE WHEN k = 2 THEN v END) AS user_messages_during FROM (SELECT team, 0 AS k, concat(least(session_id, other_id), ':', greatest(session_id, other_id)) AS v FROM hit "
       "UNION ALL SELECT team, 1, session_id FROM hit UNION ALL SELECT team, 1, other_id FROM hit UNION ALL SELECT team, 2, concat(from_ms, ':', session_id) FROM hit "
       "UNION ALL SELECT team, 2, concat(to_ms, ':', session_id) FROM hit UNION ALL SELECT team, 2, concat(other_ms, ':', other_id) FROM hit) GROUP BY 1", ["messages"], [OVERLAPS])(
-    lambda s, d: activity.overlap_summary(activity.interleavings(team_messages(s, d), ["team"], WINDOW), ["team"]))
+    lambda s, d: activity.overlap_summary(team_interleavings(s, d), ["team"]))
 query("a37_hour_histogram", "user_id:l hour:l n:l",
       "SELECT u.user_id, h.hour, count(x.h) AS n FROM (SELECT DISTINCT user_id FROM messages WHERE is_human) u CROSS JOIN (SELECT unnest(range(24)) AS hour) h "
       "LEFT JOIN (SELECT user_id, (ts_ms // 3600000) % 24 AS h FROM messages WHERE is_human) x ON x.user_id = u.user_id AND x.h = h.hour GROUP BY ALL", ["messages"])(

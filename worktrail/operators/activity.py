@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.operators.scan import DAY_MS, HOUR_MS, by_width, covered_length, ordered_scan
@@ -59,30 +59,31 @@ def active_hours_by_day(runs: DataFrame, by: Sequence[str] = (), zone: str = "UT
     return covered.select(*by, "local_day", (F.col("covered_ms") / float(HOUR_MS)).alias("hours"))
 
 
-def _message_order(messages: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Human messages with their neighbours: next of all, next of the session."""
-    points = messages.where("is_human and ts_ms is not null").select(*by, "session_id", "seq", "ts_ms")
-    order = ["ts_ms", "session_id", "seq"]
-    keys = list(by) or ["_all"]
-    rows = points if by else points.withColumn("_all", F.lit(1))
-    here = F.struct(F.col("session_id").alias("sid"), F.col("ts_ms").alias("ts"))
-    every = materialise(ordered_scan(rows, keys, order, by_width("ts_ms", CORPUS_CHUNK_MS), next_={"n": here}))
-    own = F.struct(F.col("ts_ms").alias("ts"))
-    return ordered_scan(
-        every, [*keys, "session_id"], ["ts_ms", "seq"], by_width("ts_ms", HOUR_MS), next_={"own": own}
-    )
-
-
-def interleavings(messages: DataFrame, by: Sequence[str] = (), window_ms: int = OVERLAP_MS) -> DataFrame:
+def interleavings(
+    messages: DataFrame, by: Sequence[str] = (), window_ms: int = OVERLAP_MS, *,
+    order: Sequence[str] = ("ts_ms", "seq", "session_id"), chunk: Column | None = None,
+) -> DataFrame:
     """Consecutive messages of one session with another session in between.
 
-    The first message between is the very next one in time, so no join is
-    needed: compare the next message overall with the next of the session.
+    "In between" is by `order`: by time, equal times by seq. Where seq counts the
+    messages of all sessions, order=["seq"] is the order of arrival. In that
+    order each run of one session's messages ends where another session's
+    begins; that message is the first between, if the session's own next one
+    comes after it, so no join is needed.
     """
-    rows = _message_order(messages, by)
-    hit = rows.where(
-        (F.col("own.ts") - F.col("ts_ms") <= window_ms) & (F.col("n.sid") != F.col("session_id"))
-    )
+    order = list(order)
+    chunk = by_width("ts_ms", CORPUS_CHUNK_MS) if chunk is None else chunk
+    points = messages.where("is_human and ts_ms is not null").select(*by, "session_id", "seq", "ts_ms")
+    keys = list(by) or ["_all"]
+    rows = points if by else points.withColumn("_all", F.lit(1))
+    place = F.struct(*[F.col(c) for c in order])
+    here = F.struct(F.col("session_id").alias("sid"), F.col("ts_ms").alias("ts"), place.alias("at"))
+    prior = materialise(ordered_scan(rows, keys, order, chunk, last={"p": F.col("session_id")}))
+    begins = F.when(F.col("p").isNull() | (F.col("p") != F.col("session_id")), here)
+    every = materialise(ordered_scan(prior, keys, order, chunk, next_={"n": begins}))
+    own = F.struct(F.col("ts_ms").alias("ts"), place.alias("at"))
+    found = ordered_scan(every, [*keys, "session_id"], ["ts_ms", "seq"], by_width("ts_ms", HOUR_MS), next_={"own": own})
+    hit = found.where((F.col("own.ts") - F.col("ts_ms") <= window_ms) & (F.col("n.at") < F.col("own.at")))
     return hit.select(
         *by, "session_id", F.col("ts_ms").alias("from_ms"), F.col("own.ts").alias("to_ms"),
         F.col("n.sid").alias("other_id"), F.col("n.ts").alias("other_ms"),
