@@ -39,3 +39,10 @@ def agrees(spark, folder, name, rows):
 def test_equal_times_interleave_in_order_of_arrival(spark, tmp_path, name, rows):
     ok, message = agrees(spark, tmp_path, name, rows)
     assert ok, message
+
+
+def test_requests_of_equal_time_rank_by_the_sum_that_sql_sees(spark, tmp_path):
+    # 0.3 s of waiting, then 0.1 s of model and 0.2 s of tools: 0.30000000000000004.
+    rows = [(0, 1, "signup", 0, 1), (300, 1, "signup", 0, 1), (400, 1, "view", 100.01 / 60000, 1), (600, 1, "click", 200.01 / 60000, 1), (600, 1, "signup", 0, 1), (650, 1, "signup", 0, 1)]
+    ok, message = agrees(spark, tmp_path, "t6_slowest_requests", rows)
+    assert ok, message

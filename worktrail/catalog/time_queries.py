@@ -177,7 +177,7 @@ query("t3_priority_partition", "session_id:s owner:s ms:l",
 query("t4_gap_split", SPLIT_SPEC, "SELECT * FROM split", ["messages"], [SPLIT])(lambda s, d: timesplit.session_time(*split(s, d)))
 query("t6_slowest_requests", "session_id:s request_no:l wall_sec:d active_sec:d dominant:s rank:l",
       "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY active_sec DESC, request_no) AS rank FROM rtimes QUALIFY rank <= 5", ["messages"], [SPLIT])(
-    lambda s, d: timesplit.slowest_requests(timesplit.request_times(*split(s, d))))
+    lambda s, d: timesplit.slowest_requests(timesplit.request_times(*split(s, d)), by=timesplit.active_sum()))  # unrounded, as in the SQL
 YG = (
     ", yseg AS (SELECT session_id, t AS s, t2 AS e FROM own WHERE owner = 'you' UNION ALL SELECT session_id, s, least(e, s + 900000) FROM gaps), "
     "y0 AS (SELECT *, max(e) OVER (PARTITION BY session_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM yseg), "

@@ -308,7 +308,12 @@ def with_prompts(requests: DataFrame, humans: DataFrame) -> DataFrame:
     return requests.join(said, ["session_id", "seq"])
 
 
-def slowest_requests(requests: DataFrame, k: int = 5, by: str = "active_sec") -> DataFrame:
+def active_sum() -> Column:
+    """Active seconds as the plain sum of the buckets, before rounding."""
+    return sum((F.col(b) for b in ACTIVE if b != "elsewhere"), F.lit(0.0))
+
+
+def slowest_requests(requests: DataFrame, k: int = 5, by: str | Column = "active_sec") -> DataFrame:
     return top_rows(requests, ["session_id"], [F.desc(by), F.asc("request_no")], k)
 
 
