@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrail.session import ensure_checkpoint_dir, ship_package
+from worktrail.session import ensure_checkpoint_dir, ship_package, spread
 from worktrail.sources.scan import open_store
 
 
@@ -28,19 +28,23 @@ def write_logs(lines: DataFrame, root: str) -> None:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, out, n = None, None, 0
+        system, base = open_store(root)
+        made = set()
         for batch in batches:
             for name, line in zip(batch["path"], batch["line"]):
                 if name != path:
                     if out:
                         out.close()
-                    system, plain = open_store(f"{root}/{name}")
-                    system.create_dir(plain.rsplit("/", 1)[0], recursive=True)
-                    path, out = name, system.open_output_stream(plain)
+                    folder = name.rpartition("/")[0]
+                    if folder not in made:
+                        system.create_dir(f"{base}/{folder}", recursive=True)
+                        made.add(folder)
+                    path, out = name, system.open_output_stream(f"{base}/{name}")
                     n += 1
                 out.write(line.encode() + b"\n")
         if out:
             out.close()
         yield pd.DataFrame({"files": [n]})
 
-    ordered = lines.select("path", "seq", "line").repartition("path").sortWithinPartitions("path", "seq")
+    ordered = lines.select("path", "seq", "line").repartition(spread(lines.sparkSession), "path").sortWithinPartitions("path", "seq")
     ordered.mapInPandas(write, "files bigint").agg(F.sum("files")).collect()

@@ -11,16 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from worktrail.session import ensure_checkpoint_dir, materialise, ship_package
-from worktrail.sources.scan import OWNER, SCHEMA, LogSource, open_store
+from worktrail.session import ensure_checkpoint_dir, materialise, ship_package, spread
+from worktrail.sources.scan import OPEN_COST, OWNER, SCHEMA, LogSource, open_store
 
 ADVISOR_FILE = "__advisor.jsonl"  # fixed value: file name of an advisor sidecar
 PATH_SCHEMA = "path string, size bigint, mtime_ms bigint"
 
 
-def _jsonl(infos) -> pd.DataFrame:
-    rows = [(i.path, i.size, i.mtime_ns // 1_000_000) for i in infos if i.is_file and i.base_name.endswith(".jsonl")]
-    return pd.DataFrame(rows, columns=["path", "size", "mtime_ms"])
+LISTED_ROWS = 10_000
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -40,20 +38,28 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
     def below(recursive: bool):
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = []
+            frame = lambda: pd.DataFrame(rows, columns=["path", "size", "mtime_ms", "is_folder"])
             for batch in batches:
                 for folder in batch["folder"]:
                     system, plain = open_store(scheme + folder)
-                    infos = system.get_file_info(fs.FileSelector(plain, recursive=recursive, allow_not_found=True))
-                    found = _jsonl(infos).assign(is_folder=False)
-                    folders = [] if recursive else [i.path for i in infos if i.type == fs.FileType.Directory]
-                    yield pd.concat([found, pd.DataFrame({"path": folders, "size": 0, "mtime_ms": 0, "is_folder": True})], ignore_index=True)
+                    for i in system.get_file_info(fs.FileSelector(plain, recursive=recursive, allow_not_found=True)):
+                        if i.is_file and i.base_name.endswith(".jsonl"):
+                            rows.append((i.path, i.size, i.mtime_ns // 1_000_000, False))
+                        elif not recursive and i.type == fs.FileType.Directory:
+                            rows.append((i.path, 0, 0, True))
+                        if len(rows) >= LISTED_ROWS:
+                            yield frame()
+                            rows = []
+            if rows:
+                yield frame()
 
         return look
 
     schema = PATH_SCHEMA + ", is_folder boolean"
-    asked = spark.createDataFrame([(p,) for p in projects], "folder string").repartition("folder")
+    asked = spark.createDataFrame([(p,) for p in projects], "folder string").repartition(spread(spark), "folder")
     seen = materialise(asked.mapInPandas(below(False), schema))
-    deeper = seen.where("is_folder").select(F.col("path").alias("folder")).repartition("folder").mapInPandas(below(True), schema)
+    deeper = seen.where("is_folder").select(F.col("path").alias("folder")).repartition(spread(spark), "folder").mapInPandas(below(True), schema)
     files = seen.where("not is_folder").unionByName(deeper)
     return materialise(files.select(F.concat(F.lit(scheme), "path").alias("path"), "size", "mtime_ms"))
 
@@ -134,7 +140,7 @@ def records_of_lines(lines: DataFrame) -> DataFrame:
     return lines.where(is_record(F.col("line")))
 
 
-def read_logs(owned: DataFrame, width: int = 64 << 20, open_cost: int = 1 << 20) -> DataFrame:
+def read_logs(owned: DataFrame, width: int = 64 << 20, open_cost: int = OPEN_COST) -> DataFrame:
     """Record lines of the given logs: source, session_id, kind, sidecar_name, seq, line.
 
     `owned` has a log per row: path, size and the owner columns. Logs are cut

@@ -30,6 +30,7 @@ SCHEMA = "source string, session_id string, kind string, sidecar_name string, se
 OWNER = ["source", "session_id", "kind", "sidecar_name"]
 BATCH_LINES, BATCH_BYTES = 20_000, 16 << 20
 BLOCK = 64 << 10
+OPEN_COST = 64 << 10  # what opening a log weighs, in bytes read
 
 
 def open_store(path: str):
@@ -73,23 +74,25 @@ def lines_ending_in(path: str, start: int, stop: int) -> Iterator[tuple[int, byt
             at += len(line)
 
 
-def batches_of(lines: Iterator[tuple[int, bytes]], owner: tuple) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of bounded rows and bytes; only lines that may be records."""
+def batches_of(lines: Iterator[tuple[tuple, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (owner, offset, line), bounded in rows and bytes, over
+    as many logs as fit; only lines that may be records."""
 
     def batch() -> pa.RecordBatch:
-        same = [pa.array([x] * len(at), pa.string()) for x in owner]
-        return pa.RecordBatch.from_arrays([*same, pa.array(at, pa.int64()), pa.array(texts, pa.string())], names=[*OWNER, "seq", "line"])
+        whose = [pa.array(x, pa.string()) for x in zip(*owners)]
+        return pa.RecordBatch.from_arrays([*whose, pa.array(at, pa.int64()), pa.array(texts, pa.string())], names=[*OWNER, "seq", "line"])
 
-    at, texts, size = [], [], 0
-    for offset, line in lines:
+    owners, at, texts, size = [], [], [], 0
+    for owner, offset, line in lines:
         if not line.startswith(b"{"):
             continue
+        owners.append(owner)
         at.append(offset)
         texts.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
         size += len(line)
         if len(at) >= BATCH_LINES or size >= BATCH_BYTES:
             yield batch()
-            at, texts, size = [], [], 0
+            owners, at, texts, size = [], [], [], 0
     if at:
         yield batch()
 
@@ -113,16 +116,16 @@ class PackReader(DataSourceReader):
         import pyarrow.parquet as pq
 
         system, plain = open_store(f"{self.plan}/group={partition.group}")
-        for row in pq.read_table(plain, filesystem=system, partitioning=None, filters=[("pack", "=", partition.pack)]).to_pylist():
-            yield from batches_of(lines_starting_in(row["path"], row["start"], row["stop"]), tuple(row[c] for c in OWNER))
+        rows = pq.read_table(plain, filesystem=system, partitioning=None, filters=[("pack", "=", partition.pack)]).to_pylist()
+        owned = ((tuple(row[c] for c in OWNER), lines_starting_in(row["path"], row["start"], row["stop"])) for row in rows)
+        yield from batches_of((owner, at, line) for owner, lines in owned for at, line in lines)
 
 
 @dataclass
 class Growth(InputPartition):
-    path: str
-    start: int
-    stop: int
-    owner: tuple
+    """A file that lists ranges (path, start, stop) of logs that grew."""
+
+    ranges: str
 
 
 class TailReader(DataSourceStreamReader):
@@ -132,6 +135,7 @@ class TailReader(DataSourceStreamReader):
         self.root, self.listings = options["path"], options["listings"]
         self.source, self.flat = options.get("source", "a"), options.get("flat", "false") == "true"
         self.range_bytes = int(options.get("rangeBytes", str(64 << 20)))
+        self.inside = None  # where paths below the root begin
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"listing": 0}
@@ -150,23 +154,47 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Growth]:
         before, after = self._read(start["listing"]), self._read(end["listing"])
-        out = []
+        ranges = []
         for path, size in after.items():
-            owner = self.owner(path)
             seen = before.get(path, 0)
             # A log that shrank was written anew.
-            out += [Growth(path, at, min(at + self.range_bytes, size), owner) for at in range(seen if seen <= size else 0, size, self.range_bytes)]
-        return out
+            ranges += [(path, at, min(at + self.range_bytes, size)) for at in range(seen if seen <= size else 0, size, self.range_bytes)]
+        # Very many small logs are few tasks; 64 tasks where there is work for them.
+        total = sum(stop - at + OPEN_COST for _, at, stop in ranges)
+        room = max(16 * OPEN_COST, min(self.range_bytes, total // 64))
+        system, plain = open_store(self.listings)
+        folder = f"{plain}/ranges/{start['listing']}-{end['listing']}"
+        system.create_dir(folder, recursive=True)
+        packs, filled = [], room
+        for item in ranges:
+            if filled >= room:
+                packs.append([])
+                filled = 0
+            packs[-1].append(item)
+            filled += item[2] - item[1] + OPEN_COST
+        for number, pack in enumerate(packs):
+            with system.open_output_stream(f"{folder}/{number}.json") as out:
+                out.write(json.dumps(pack).encode())
+        name = self.listings.rstrip("/") + folder[len(plain):]
+        return [Growth(f"{name}/{number}.json") for number in range(len(packs))]
 
     def read(self, partition: Growth) -> Iterator[pa.RecordBatch]:
-        yield from batches_of(lines_ending_in(partition.path, partition.start, partition.stop), partition.owner)
+        system, plain = open_store(partition.ranges)
+        with system.open_input_stream(plain) as stream:
+            ranges = json.loads(stream.read())
+        yield from batches_of((owner, at, line) for path, start, stop in ranges for owner in (self.owner(path),) for at, line in lines_ending_in(path, start, stop))
 
     def commit(self, end: dict) -> None:
-        """Listings before the one that is done are not needed again."""
+        """Listings before the one that is done, and its ranges, are not needed again."""
+        from pyarrow import fs
+
         system, plain = open_store(self.listings)
         for number in self._numbers():
             if number < end["listing"]:
                 system.delete_file(f"{plain}/{number:012d}.json")
+        for info in system.get_file_info(fs.FileSelector(f"{plain}/ranges", allow_not_found=True)):
+            if int(info.base_name.split("-")[1]) <= end["listing"]:
+                system.delete_dir(info.path)
 
     def owner(self, path: str) -> tuple:
         """Source, session, kind and sidecar name by the place in the tree."""
@@ -179,7 +207,9 @@ class TailReader(DataSourceStreamReader):
         return self.source, session, kind, "/".join(parts[2:]).removesuffix(".jsonl")
 
     def _inside(self, path: str) -> str:
-        return path[len(open_store(self.root)[1].rstrip("/")) + 1:]
+        if self.inside is None:
+            self.inside = len(open_store(self.root)[1].rstrip("/")) + 1
+        return path[self.inside:]
 
     def _sizes(self) -> dict[str, int]:
         from pyarrow import fs
