@@ -3,8 +3,8 @@
 Each stage takes what the one before it kept. Language ID learns from the
 stage's own labelled rows and drops texts without letters and those it can't
 place; exact dedup keeps one row of equal texts; near-dedup one document of
-each group of similar ones (Jaccard similarity of five-word shingles 0.8 and
-more); the mix repeats or cuts sources to their targets; the last stage encodes
+each group of similar ones (candidates by SimHash and by min-hash bands, Jaccard
+similarity of five-word shingles verified at 0.8 and more); the mix repeats or cuts sources to their targets; the last stage encodes
 and decodes. Without rows every stage returns none.
 """
 

@@ -23,3 +23,30 @@ def test_near_stage_keeps_one_of_each_component(spark):
     kept = stage(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in force.components_by_force(rows)})
+
+
+def test_near_stage_takes_candidates_from_simhash(spark, monkeypatch):
+    """SimHash groups of five-word fingerprints are proposed first, each node with the least of its group."""
+    from worktrail.llm import overlap, simhash
+
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(1500)]
+    texts = [" ".join(base[:-1] + [f"x{i}"]) for i in range(12)] + [" ".join(f"y{rng.randrange(10**9)}" for _ in range(40)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, t in enumerate(texts)], table(spark, SF, "documents").schema)
+    node, print_ = [overlap.node_of(overlap.shingle_set(t)) for t in texts], [simhash.fingerprint(t, overlap.SHINGLE) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (print_[a] ^ print_[b]).bit_count() <= 3:
+                group = [group[b] if g == group[a] else g for g in group]
+    want = set()
+    for i, g in enumerate(group):
+        least = min(n for n, h in zip(node, group) if h == g)
+        if node[i] != least:
+            want.add((least, node[i]))
+    assert want
+    seen, pairs = [], overlap.simhash_pairs
+    monkeypatch.setattr(overlap, "simhash_pairs", lambda nodes: seen.append(pairs(nodes)) or seen[-1])
+    kept = corpus_pipeline.STAGES[2][1](spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(12, 32)]
+    assert {(bytes(r.a), bytes(r.b)) for r in seen[0].collect()} == want

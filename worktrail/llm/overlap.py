@@ -1,14 +1,17 @@
-"""Near-duplicates by shingle overlap: Jaccard similarity of 4/5 and more.
+"""Near-duplicates by SimHash and shingle overlap: Jaccard similarity of 4/5 and more.
 
-Texts are sets of word shingles; equal sets are one node. Candidates share one
+Texts are sets of word shingles; equal sets are one node. First the nodes are
+grouped by SimHash (`simhash.links`: at most three differing bits, multi-index
+hashing), and each is verified against the least node of its group. SimHash
+reaches the closest copies only, so more candidates are those that share one
 of 48 bands of four min-hashes: of two sets that just reach the similarity, one
 pair in 10^11 shares none. Each node also has the parities of its shingles in
 1,024 cells: every odd cell of two nodes holds a shingle that only one has, so
 pairs with too many can't be similar. Those that are left are verified on
 their complete sets before they count as links.
 
-Groups are components of the links. Large groups are not paired up: two rounds
-first compare each node with one node of its band's bucket, and only nodes
+Groups are components of the links of both. Large groups are not paired up: two
+more rounds compare each node with one node of its band's bucket, and only nodes
 that are then in different components of a bucket are compared in pairs.
 
 Wordless texts are equal to each other; a text of up to five words is one
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worktrail.llm.common import stored
-from worktrail.llm.simhash import connected
+from worktrail.llm.simhash import connected, fingerprint
+from worktrail.llm.simhash import links as simhash_links
 
 SHINGLE = 5
 SEED = 42
@@ -80,10 +84,10 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, text_hash, node, n shingles, band keys, parities) of every row."""
+    """(id, text_hash, node, fingerprint, n shingles, band keys, parities) of every row."""
     schema = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("node", T.BinaryType()),
-        T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), *[T.StructField(p, T.LongType()) for p in PARITIES],
+        T.StructField("fingerprint", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), *[T.StructField(p, T.LongType()) for p in PARITIES],
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,17 +95,18 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                nodes, sizes, keys, odd = [], [], [], []
+                nodes, prints, sizes, keys, odd = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     found = shingle_set(text, shingle)
                     nodes.append(node_of(found))
+                    prints.append(fingerprint(text, shingle))
                     sizes.append(len(found))
                     keys.append(band_keys(found, a, b))
                     odd.append(parities(found))
                 offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS)
                 bands = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))
                 columns = [pa.array(c) for c in np.array(odd).T.copy()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), bands, *columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), bands, *columns], names=schema.names)
 
     return df.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, schema)
 
@@ -141,6 +146,12 @@ def _alike(a: str, b: str) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (n + m >= 9 * odd)
 
 
+def _possible(pairs: DataFrame, light: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parities don't rule out."""
+    x, y = light.alias("x"), light.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & _alike("x", "y")).select("a", "b")
+
+
 def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
     """Postings with the root of their node's component."""
     roots = connected(links)
@@ -148,27 +159,35 @@ def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
     return stored(rooted)
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node and the least one of its SimHash group."""
+    roots = connected(simhash_links(nodes.select("fingerprint").distinct()))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("node", F.coalesce("root", "fingerprint").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a != last").select("root", "a")
+    return rooted.join(least, "root").where("node != a").select("a", F.col("node").alias("b"))
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, node, component_id: the smallest id reachable) of every row."""
     rows = stored(signatures(df, id_col, text_col, shingle))
-    nodes = stored(rows.groupBy("node").agg(F.min(id_col).alias("least_id"), *[F.first(c).alias(c) for c in ("n", "bands", *PARITIES)]))
+    nodes = stored(rows.groupBy("node").agg(F.min(id_col).alias("least_id"), F.min("fingerprint").alias("fingerprint"), *[F.first(c).alias(c) for c in ("n", "bands", *PARITIES)]))
     every = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     crowded = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     postings = stored(every.join(crowded, ["band", "key"], "left_semi").select("band", "key", "node"))
-    few = stored(nodes.drop("least_id").join(postings.select("node").distinct(), "node", "left_semi"))
+    proposed = stored(simhash_pairs(nodes.select("node", "fingerprint")))
+    wanted = postings.select("node").union(proposed.select(F.explode(F.array("a", "b")))).distinct()
+    few = stored(nodes.drop("least_id", "fingerprint").join(wanted, "node", "left_semi"))
     hashes = rows.join(few.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
     texts = df.select(text_col, F.xxhash64(text_col).alias("text_hash")).join(hashes.distinct(), "text_hash", "left_semi").select(text_col)
     sets = stored(shingle_sets(texts, shingle).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     light = few.select("node", "n", *PARITIES)
-    links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    links = stored(verified(_possible(proposed, light), sets))
     for spread in (F.lit(0), F.xxhash64("node", "band")):
         labelled = _labelled(postings, links)
         hubs = labelled.groupBy("band", "key").agg(F.min_by(F.struct("node", "root"), F.struct(spread, "node")).alias("hub"), (F.min("root") != F.max("root")).alias("several")).where("several")
         pairs = labelled.join(hubs, ["band", "key"]).where("root != hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        x, y = light.alias("x"), light.alias("y")
-        pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & _alike("x", "y")).select("a", "b")
-        links = stored(links.union(verified(pairs, sets)))
+        links = stored(links.union(verified(_possible(pairs, light), sets)))
 
     labelled = _labelled(postings, links)
     several = labelled.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
