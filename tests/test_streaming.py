@@ -92,6 +92,19 @@ def test_alerts_do_not_depend_on_arrow_batches(spark, stream, rows_per_batch):
     assert sorted((r.fired_ms - r.start_ms) // 60_000 for r in got) == [30] * 5
 
 
+def test_alerts_of_many_sessions_run_by_the_bucket(spark, stream, monkeypatch):
+    """Sessions share a call and its state; a request started earlier, late rows and timers stay apart per session."""
+    monkeypatch.setattr(live, "SESSION_BUCKETS", 3)
+    schema = "session_id string, seq bigint, ts timestamp, is_human boolean, is_aborted boolean, is_correction boolean, tool_calls int"
+    first = [(f"s{i}", 1, at(i % 5), True, False, False, 0) for i in range(40)]
+    # Older than the held request: a correction of s7 that must not count; s8 corrects in time.
+    second = [("s7", 0, at(1), True, False, True, 0), ("s8", 2, at(4), False, False, True, 1)]
+    rows = stream(schema, first, second, [("z", 1, at(300), True, False, False, 0)], [("z", 2, at(301), False, False, False, 500)])
+    query = live.long_requests(rows.withColumn("ts_ms", F.unix_millis("ts")))
+    got = {r.session_id: (r.reason, (r.fired_ms - r.start_ms) // 60_000) for r in live.run_once(query).collect()}
+    assert got == {f"s{i}": ("correction", 1) if i == 8 else ("minutes", 30) for i in range(40)} | {"z": ("tool_calls", 1)}
+
+
 def test_latest_delivery_wins(spark, stream):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = "k string, v int, cost double, word string, ts timestamp"

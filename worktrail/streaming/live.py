@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from worktrail.session import ensure_checkpoint_dir, ship_package
 from worktrail.sources import dialect_a
@@ -161,88 +162,77 @@ def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), F.col(order)).alias("x"), F.count("*").alias("versions")).select(*keys, "x.*", "versions")
 
 
-class LongRequest(StatefulProcessor):
+SESSION_BUCKETS = 1024  # fixed value: sessions are handed to Python by the bucket, as most have few rows
+OPEN = "sessions array<string>, starts array<bigint>, calls array<bigint>, fired array<boolean>"
+ALERT = "session_id string, start_ms bigint, fired_ms bigint, calls bigint, reason string"
+
+
+def long_request_alerts(min_minutes: float = MIN_MINUTES, min_calls: int = MIN_TOOL_CALLS):
     """Fire once per request: 30 minutes, 100 tool calls or a correction.
 
-    State per session is one row: request start, calls, fired. A human message
-    starts a new request. The records of a micro-batch are sorted together, in
-    six narrow columns, so Arrow's batch size does not matter; records older
+    State per bucket of sessions is one row a session: request start, calls,
+    fired. A human message starts a new request. The records of a micro-batch
+    are sorted together, so Arrow's batch size does not matter; records older
     than a request that an earlier micro-batch started are skipped. An aborted
-    answer holds a pending alert back until the next record.
+    answer holds a pending alert back until the next record. A request that
+    fired is forgotten once the watermark is past its start: older records are
+    late then, and newer ones need a new request to fire again.
     """
+    min_ms = int(min_minutes * 60_000)
 
-    STATE = "start_ms bigint, calls bigint, fired boolean"
+    def records(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["session_id", "ts_ms", "seq"], ignore_index=True)
+        for at in range(0, len(rows), 100_000):
+            part = rows.iloc[at:at + 100_000]
+            yield from zip(part["session_id"].tolist(), part["ts_ms"].tolist(), part["flags"].tolist(), part["tool_calls"].tolist())
 
-    def __init__(self, min_minutes: float = MIN_MINUTES, min_calls: int = MIN_TOOL_CALLS) -> None:
-        self.min_ms = int(min_minutes * 60_000)
-        self.min_calls = min_calls
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("request", self.STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.state.get() if self.state.exists() else (None, 0, False)
-        start, calls, fired = held[0], held[1], held[2]
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {s: r for s, *r in zip(*state.get)} if state.exists else {}
+        before = {s: r[0] for s, r in held.items()}
         out = []
-        columns = ["ts_ms", "seq", "is_human", "is_aborted", "is_correction", "tool_calls"]
-        frame = pd.concat([f[columns] for f in rows]).sort_values(["ts_ms", "seq"], ignore_index=True)
-        if start is not None:
-            frame = frame[frame["ts_ms"] >= start]
-        # One pass per request: from each human message to the next.
-        for number, part in frame.groupby(frame["is_human"].cumsum()):
-            if number:
-                start, calls, fired = int(part["ts_ms"].iloc[0]), 0, False
-            if start is None:
+        for session, at, flags, made in () if state.hasTimedOut else records(frames):
+            if at < before.get(session, at):
                 continue
-            so_far = calls + part["tool_calls"].cumsum()
-            minutes = part["ts_ms"] - start >= self.min_ms
-            due = (part["is_correction"] | (so_far >= self.min_calls) | minutes) & ~part["is_aborted"]
-            if not fired and due.any():
-                at = due.idxmax()
-                reason = "correction" if part["is_correction"][at] else "tool_calls" if so_far[at] >= self.min_calls else "minutes"
-                out.append((key[0], int(start), int(part["ts_ms"][at]), int(so_far[at]), reason))
-                fired = True
-            calls = int(so_far.iloc[-1])
-        if start is not None:
-            self.state.update((int(start), int(calls), bool(fired)))
-            if not fired:
-                self.handle.registerTimer(int(start) + self.min_ms)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        if self.state.exists():
-            start, calls, fired = self.state.get()
-            # A timer of an earlier request has another due time.
-            if not fired and start + self.min_ms == due:
-                out.append((key[0], start, due, calls, "minutes"))
-                self.state.update((start, calls, True))
-        yield self._frame(out)
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _frame(rows) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["session_id", "start_ms", "fired_ms", "calls", "reason"])
-
-
-ALERT = "session_id string, start_ms bigint, fired_ms bigint, calls bigint, reason string"
+            if flags & 1:
+                held[session] = [at, 0, False]
+            if session not in held:
+                continue
+            request = held[session]
+            request[1] += made
+            corrected = flags & 4
+            if not request[2] and not flags & 2 and (corrected or request[1] >= min_calls or at - request[0] >= min_ms):
+                request[2] = True
+                out.append((session, request[0], at, request[1], "correction" if corrected else "tool_calls" if request[1] >= min_calls else "minutes"))
+        now = state.getCurrentWatermarkMs()
+        for session, request in held.items():
+            if not request[2] and request[0] + min_ms <= now:
+                request[2] = True
+                out.append((session, request[0], request[0] + min_ms, request[1], "minutes"))
+        kept = {s: r for s, r in held.items() if not r[2] or r[0] > now}
+        if kept:
+            state.update((list(kept), *map(list, zip(*kept.values()))))
+            # The next request is due, or can be forgotten, once the watermark is there.
+            state.setTimeoutTimestamp(min(r[0] if r[2] else r[0] + min_ms for r in kept.values()) - 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["session_id", "start_ms", "fired_ms", "calls", "reason"])
+
+    return step
 
 
 def long_requests(messages: DataFrame, late: str = "10 minutes", **kw) -> DataFrame:
     """Alerts of a message stream.
 
     Columns: session_id, seq, ts, ts_ms, is_human, is_aborted, is_correction,
-    tool_calls. Needs the RocksDB state store.
+    tool_calls; records without a time are left out.
     """
     ship_package(messages.sparkSession)
-    return (
-        messages.withWatermark("ts", late).groupBy("session_id")
-        .transformWithStateInPandas(LongRequest(**kw), ALERT, "Append", "EventTime")
-    )
+    flag = lambda c, bit: F.when(F.col(c), bit).otherwise(0)
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(SESSION_BUCKETS))
+    rows = messages.withWatermark("ts", late).where("ts_ms is not null").select(
+        bucket.alias("bucket"), "session_id", "ts", "ts_ms", "seq", F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"),
+        (flag("is_human", 1) + flag("is_aborted", 2) + flag("is_correction", 4)).alias("flags"))
+    return rows.groupBy("bucket").applyInPandasWithState(long_request_alerts(**kw), ALERT, OPEN, "append", "EventTimeTimeout")
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
