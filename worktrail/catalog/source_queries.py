@@ -193,7 +193,13 @@ query("j16_superseding_cost", "session_id:s input:d output:d cost:d cost_recorde
       "SELECT s.session_id, CASE WHEN l.k % 2 = 0 THEN l.k + 5 ELSE coalesce(c.i, 0) END AS input, CASE WHEN l.k % 2 = 0 THEN 0 ELSE coalesce(c.o, 0) END AS output, CASE WHEN l.k % 4 <> 0 THEN l.value ELSE 0 END AS cost, CASE WHEN l.k % 4 <> 0 THEN 1 ELSE 0 END AS cost_recorded, "
       "CASE WHEN l.k > 50 THEN l.k - 50 END AS state_lines_added FROM (SELECT DISTINCT session_id FROM ev) s LEFT JOIN (SELECT session_id, k, value FROM ev WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) = 1) l USING (session_id) "
       "LEFT JOIN (SELECT session_id, sum(CASE WHEN event_type = 'view' THEN k ELSE 0 END) AS i, sum(CASE WHEN event_type = 'view' THEN 2 * k ELSE 0 END) AS o FROM cnt GROUP BY 1) c USING (session_id)", ["ev"], [COUNTED])(
-    lambda s, d: dialect_b.session_usage(b_tables(s, d).messages, b_tables(s, d).cost_states))
+    lambda s, d: b_usage(b_tables(s, d)))
+
+
+def b_usage(tables):
+    return dialect_b.session_usage(tables.messages, tables.cost_states)
+
+
 def flat_tables(spark, d):
     return dialect_b.log_tables(b_lines(spark, d))
 
