@@ -234,7 +234,8 @@ WEEK = "CAST(split_part(session_id, '-w', 2) AS BIGINT)"
 
 
 def fork_header(spark, d):
-    own = m.events(spark, d).select("session_id", "user_id").distinct().withColumn("w", F.expr(WEEK))
+    # Stored: filters on the parent would move below the distinct and run their patterns for each event.
+    own = materialise(m.events(spark, d).select("session_id", "user_id").distinct()).withColumn("w", F.expr(WEEK))
     parent = F.concat(F.lit("u"), "user_id", F.lit("-w"), F.col("w") - 1)
     path = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("/logs/p/2024_"), parent, F.lit(".jsonl"))).otherwise(parent)
     return own.withColumn("parent_session", F.when(F.col("w") % 3 != 0, path))
