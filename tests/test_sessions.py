@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from worktrail.functions import waits
 from worktrail.functions.numeric import exact_sum
 from worktrail.operators import activity, pairing, timesplit, trends, turns
+from worktrail.session import WHOLE_STAGE
 from worktrail.sources import dialect_a, dialect_b
 
 SEC = 1000
@@ -63,6 +64,31 @@ def test_text_starting_with_bracket(spark):
     assert [(r.text.startswith("[{"), r.is_human) for r in t.messages.orderBy("seq").collect()] == [(True, True), (False, False), (False, False)]
 
 
+def test_lists_and_texts_that_look_like_lists(spark):
+    # An escaped bracket starts a text as well; a list may hold a text that starts with one.
+    records = [
+        '{"type":"message","message":{"role":"user","content":"\\u005b{\\"type\\":\\"text\\",\\"text\\":\\"no\\"}]"}}',
+        '{"type":"message","message":{"role":"user","content":[{"type":"text","text":"[yes"}]}}',
+        '{"type":"message","message":{"role":"user","content":[{"type":"text","text":"yes"}]}}',
+        '{"type":"message","message":{"role":"user","content":[]}}', '{"type":"message","message":{"role":"user"}}',
+    ]
+    rows = spark.createDataFrame([("b", i, r) for i, r in enumerate(records)], "session_id string, seq bigint, line string")
+    flat = rows.withColumn("line", F.replace("line", F.lit('"type":"message"'), F.lit('"type":"user"')))
+    want = ['[{"type":"text","text":"no"}]', "[yes", "yes", "", ""]
+    assert [r.text for r in dialect_b.normalise(flat).messages.orderBy("seq").collect()] == want
+    own = rows.selectExpr("'a' AS source", "session_id", "'primary' AS kind", "'' AS sidecar_name", "seq", "line")
+    assert [r.text for r in dialect_a.normalise(own).messages.orderBy("seq").collect()] == want
+
+
+def test_wide_rows_are_written_by_operator_and_the_setting_comes_back(spark, monkeypatch):
+    seen = []
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda w, path: (seen.append(spark.conf.get(WHOLE_STAGE)), write(w, path))[1])
+    dialect_a.normalise(lines(spark, [human("a", T0, "x")]))
+    dialect_b.log_tables(spark.createDataFrame([("b", 0, "{}")], "session_id string, seq bigint, line string"))
+    assert seen[:2] == ["false", "false"] and spark.conf.get(WHOLE_STAGE) == "true"
+
+
 def test_latest_outcome_and_unseen_ids(spark):
     records = [
         answer("a", T0, call("c1", "read", path="x"), call("c9", "eval", code="browser.click()")),

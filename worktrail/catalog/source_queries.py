@@ -122,7 +122,7 @@ def a_lines(spark, d) -> DataFrame:
         usage_.alias("usage"), F.col("text").alias("content"))
     line = F.to_json(F.struct(F.lit("message").alias("type"), F.concat(F.lit("r"), "seq").alias("id"), F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), message.alias("message")))
     # Content as a list of blocks on every third line, as text starting with a bracket on others.
-    blocks = F.when(F.col("seq") % 3 == 0, F.regexp_replace(line, r'"content":"((?:[^"\\]|\\.)*)"', '"content":[{"type":"text","text":"$1"}]')).otherwise(line)
+    blocks = F.when(F.col("seq") % 3 == 0, F.regexp_replace(line, r'"content":"((?:[^"\\]++|\\.)*+)"', '"content":[{"type":"text","text":"$1"}]')).otherwise(line)
     # A number given as text reads as zero.
     bad = F.when(F.col("seq") % 5 == 0, F.regexp_replace(blocks, r'"usage":\{"input":(\d+)', '"usage":{"input":"$1"')).otherwise(blocks)
     owner = [F.lit("a").alias("source"), F.col("session_id"), F.lit("primary").alias("kind"), F.lit("").alias("sidecar_name")]
@@ -134,7 +134,7 @@ def a_lines(spark, d) -> DataFrame:
 
 
 def a_tables(spark, d):
-    return dialect_a.normalise(materialise(a_lines(spark, d)))
+    return dialect_a.normalise(a_lines(spark, d))
 
 
 query("s07_dialect_a_messages", "session_id:s seq:l ts_ms:l role:s text:s is_human:l steering:l model:s input:d cost:d completed_ms:l tool:s call_id:s is_error:l",

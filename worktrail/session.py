@@ -18,6 +18,7 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+WHOLE_STAGE = "spark.sql.codegen.wholeStage"
 
 
 def build_session(app_name: str = "worktrail", master: str | None = None, **conf: str) -> SparkSession:
@@ -72,17 +73,27 @@ def spread(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *, wide: bool = False) -> DataFrame:
     """Write `df` as Parquet into the checkpoint folder and read it back.
 
     For results that a plan reads more than once: without it each reader would
     run the whole plan below again, doubling at every further scan. Readers
     prune columns and see real sizes, and no executor's loss replays the plan.
+
+    `wide` is for very many expressions on one row. Whole-stage code would put
+    them all into one method, too long for the JVM to compile; by operator they
+    are split into methods of their own.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(WHOLE_STAGE)
+    if wide:
+        spark.conf.set(WHOLE_STAGE, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(WHOLE_STAGE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

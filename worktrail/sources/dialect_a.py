@@ -64,6 +64,18 @@ def usage_columns(usage: Column) -> list[Column]:
     ]
 
 
+def content_is_list(content: Column) -> Column:
+    """Whether `content` of the record in `line` is a list of blocks, not a text that starts with a bracket.
+
+    Such a text is written `"[` or with an escape; only lines that hold one of
+    the two are parsed once more, for the variant's type.
+    """
+    line = F.col("line")
+    whole = F.try_variant_get(F.try_parse_json(line), "$.message.content", "variant")
+    unsure = line.contains('"[') | line.contains('"\\u005')
+    return F.when(~content.startswith("["), False).when(unsure, F.schema_of_variant(whole).startswith("ARRAY")).otherwise(content.isNotNull())
+
+
 def parse_records(lines: DataFrame) -> DataFrame:
     """Add the typed record `r`, `entry_ms`, content blocks and text.
 
@@ -72,10 +84,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     """
     parsed = lines.withColumn("r", F.from_json("line", RECORD))
     content = F.col("r.message.content")
-    whole = F.try_variant_get(F.try_parse_json("line"), "$.message.content", "variant")
-    is_list = F.when(content.startswith("["), F.schema_of_variant(whole).startswith("ARRAY")).otherwise(
-        F.lit(False)
-    )
+    is_list = content_is_list(content)
     typed = parsed.withColumn("entry_ms", millis(F.col("r.timestamp"))).withColumn(
         "blocks", F.when(is_list, F.from_json(content, BLOCKS))
     )
@@ -90,7 +99,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
 def normalise(lines: DataFrame) -> LogTables:
     """Typed tables from record lines."""
     # Some ten selects read the records: parse each line once.
-    return tables_of(materialise(parse_records(lines).drop("line")))
+    return tables_of(materialise(parse_records(lines).drop("line"), wide=True))
 
 
 def tables_of(records: DataFrame) -> LogTables:

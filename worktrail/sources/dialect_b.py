@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from worktrail.operators.scan import SEQ_CHUNK, by_width, ordered_scan
 from worktrail.operators.tools import language_of
 from worktrail.session import materialise
-from worktrail.sources.dialect_a import OWNER, LogTables, millis
+from worktrail.sources.dialect_a import OWNER, LogTables, content_is_list, millis
 
 RECORD = (
     "type string, sessionId string, cwd string, timestamp string, requestId string, uuid string, "
@@ -42,10 +42,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
         "ts_ms", millis(F.col("r.timestamp"))
     )
     content = F.col("r.message.content")
-    whole = F.try_variant_get(F.try_parse_json("line"), "$.message.content", "variant")
-    is_list = F.when(content.startswith("["), F.schema_of_variant(whole).startswith("ARRAY")).otherwise(
-        F.lit(False)
-    )
+    is_list = content_is_list(content)
     typed = parsed.withColumn("blocks", F.when(is_list, F.from_json(content, BLOCKS)))
     texts = F.filter("blocks", lambda b: (b["type"] == "text") & b["text"].isNotNull())
     joined = F.array_join(F.transform(texts, lambda b: b["text"]), " ")
@@ -57,7 +54,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
 
 def normalise(lines: DataFrame) -> FlatTables:
     # Some ten selects read the records: parse each line once.
-    return flat_tables(materialise(parse_records(lines).drop("line")))
+    return flat_tables(materialise(parse_records(lines).drop("line"), wide=True))
 
 
 def flat_tables(records: DataFrame) -> FlatTables:
@@ -177,7 +174,7 @@ def model_intervals(messages: DataFrame) -> DataFrame:
 
 
 def log_tables(lines: DataFrame, source: str = "b") -> LogTables:
-    return tables_of(materialise(parse_records(lines).drop("line")), source)
+    return tables_of(materialise(parse_records(lines).drop("line"), wide=True), source)
 
 
 def tables_of(records: DataFrame, source: str = "b") -> LogTables:
