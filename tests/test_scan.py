@@ -1,6 +1,7 @@
 """Ordered scans against plain loops, with hot keys and many chunks."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,14 @@ def test_ordered_scan(spark, width):
         assert r["all"] == sum(d[2] for d in mine)
 
 
+def test_look_ahead_shares_the_forward_sort_and_is_linear(spark):
+    rows = spark.range(300_000).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+    got = scan.ordered_scan(
+        rows, ["k"], ["t"], scan.by_width("t", 1_000_000), sums={"n": F.lit(1)}, next_={"end": F.when(F.col("t") == 299_999, F.col("t"))})
+    assert not re.search(r"\bt#\d+L? DESC", got._jdf.queryExecution().optimizedPlan().toString())
+    assert got.agg(F.count("end"), F.min("end"), F.max("n")).first()[:] == (299_999, 299_999, 300_000)
+
+
 def test_framed_crosses_chunks(spark):
     df = spark.range(1, 101).select(F.lit("a").alias("k"), F.col("id").alias("pos"), F.col("id").cast("double").alias("v"))
     got = scan.framed(df, ["k"], "pos", {"m": (F.avg("v"), -10, -1), "n": (F.count("v"), 0, 9)}, width=16).collect()

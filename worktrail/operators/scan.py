@@ -70,16 +70,15 @@ def ordered_scan(
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
-    # A frame of all later rows is evaluated afresh for each row; the same rows
-    # in reverse order are a growing frame, one step each.
-    reverse = W.partitionBy(*keys, "_chunk").orderBy(*[F.desc(c) for c in order])
-    after = reverse.rowsBetween(W.unboundedPreceding, -1)
-    local = chunked.select(
+    # Look-ahead shares the forward order, so rows are sorted once.
+    spec = ", ".join(f"`{c}`" for c in [*keys, "_chunk"]), ", ".join(f"`{c}`" for c in order)
+    ahead = lambda c: F.expr(f"lead(`{c}`) IGNORE NULLS OVER (PARTITION BY {spec[0]} ORDER BY {spec[1]})")
+    local = chunked.select("*", *[e.alias(f"_e_{n}") for n, e in next_.items()]).select(
         "*",
         *[F.coalesce(F.sum(e).over(upto), F.lit(0)).alias(f"_s_{n}") for n, e in sums.items()],
         *[F.max(e).over(before).alias(f"_m_{n}") for n, e in maxs.items()],
         *[F.last(e, ignorenulls=True).over(before).alias(f"_l_{n}") for n, e in last.items()],
-        *[F.last(e, ignorenulls=True).over(after).alias(f"_n_{n}") for n, e in next_.items()],
+        *[ahead(f"_e_{n}").alias(f"_n_{n}") for n in next_],
     )
 
     summary = chunked.groupBy(*keys, "_chunk").agg(
@@ -185,7 +184,7 @@ def merged_intervals(
         .groupBy(*keys, F.col("p.t").alias("t"))
         .agg(F.sum("p.d").alias("d"))
     )
-    chunk = by_width("t", HOUR_MS)
+    chunk = by_width("t", DAY_MS)
     swept = ordered_scan(points, keys, ["t"], chunk, sums={"depth": F.col("d")})
     turns = materialise(swept.where("depth = 0 or depth = d"))
     closed = ordered_scan(turns, keys, ["t"], chunk, next_={"stop": F.when(F.col("depth") == 0, F.col("t"))})

@@ -18,7 +18,7 @@ from worktrail.functions.numeric import exact_sum, round_half_up
 from worktrail.functions.text import names_review, trimmed
 from worktrail.functions.waits import bucket_of_wait, command_family, wait_kind
 from worktrail.operators.pairing import CALL, delivered_calls
-from worktrail.operators.scan import HOUR_MS, by_width, merged_intervals, ordered_scan
+from worktrail.operators.scan import DAY_MS, by_width, merged_intervals, ordered_scan
 from worktrail.operators.usage import top_rows
 from worktrail.session import materialise
 
@@ -208,7 +208,7 @@ def time_segments(intervals: DataFrame, ranges: DataFrame, humans: DataFrame) ->
     """
     points = materialise(_points(intervals, ranges, humans))
     rows = ordered_scan(
-        points, ["session_id"], ["t"], by_width("t", HOUR_MS),
+        points, ["session_id"], ["t"], by_width("t", DAY_MS),
         sums={
             "inside": F.col("d_open"), "request_no": F.col("mark").isNotNull().cast("int"),
             **{c: F.col(f"d_{c}") for c in COUNTERS},
@@ -236,7 +236,7 @@ def gap_pieces(segments: DataFrame) -> DataFrame:
     ).withColumn("cuts", gap & F.col("mark").isNotNull())
     turns = rows.where("opens or closes or cuts")
     found = ordered_scan(
-        turns, ["session_id"], ["t"], by_width("t", HOUR_MS),
+        turns, ["session_id"], ["t"], by_width("t", DAY_MS),
         next_={
             "stop": F.when(F.col("closes"), F.col("t")),
             "cut": F.when(F.col("closes") | F.col("cuts"), F.col("t")),
