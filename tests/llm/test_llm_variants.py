@@ -81,6 +81,15 @@ def test_one_symbol_still_finds_all(spark):
         assert got == {(a, b) for a in words for b in words if near_by_force(a, b)}
 
 
+def test_neighbourhoods_are_not_broadcast(spark):
+    """They are many times what Spark takes them for, and must not go to the driver."""
+    df = spark.createDataFrame([("maison", 9), ("maisn", 4)], "word string, n long")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    near = variants.near_pairs(df)
+    assert len(near.collect()) == 2
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_half_neighbourhood_is_half_of_all():
     letters = np.frombuffer(b"aabcc", dtype=np.uint8).reshape(1, 5)
     found = [bytes(row.tobytes()).decode() for of, rows in variants.half_neighbourhood(letters, "abc") for row in rows]

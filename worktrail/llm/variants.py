@@ -105,8 +105,9 @@ def near_pairs(words: DataFrame, symbols: str = SYMBOLS) -> DataFrame:
     # The second word is as long as the first or one shorter.
     first = vocabulary.select("r", "word", "n", F.explode(F.concat(_halves(size), _halves(size - 1))).alias("key"))
     second = vocabulary.select(F.col("r").alias("r2"), F.col("word").alias("near"), F.col("n").alias("near_n"), _halves(size).alias("keys"))
-    met = around.join(second, "r2").select("r", "r2", "near", "near_n", F.posexplode("keys").alias("side", "key"))
-    pairs = first.join(met, ["r", "key"])
+    # Spark sizes neighbourhoods and exploded keys as if each row gave one; by that it would broadcast them.
+    met = around.join(second.hint("merge"), "r2").select("r", "r2", "near", "near_n", F.posexplode("keys").alias("side", "key"))
+    pairs = first.join(met.hint("merge"), ["r", "key"])
     half = F.floor(F.char_length("near") / 2).cast("int")
     once = (F.col("side") == 0) | (F.substring("word", F.lit(1), half) != F.substring("near", F.lit(1), half))
     found = pairs.where(once & ((F.col("r") != F.col("r2")) | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1))
@@ -129,16 +130,17 @@ def with_roots(table: DataFrame) -> DataFrame:
     """Add `root`: the end of the chain of forms, the word itself without one.
 
     A form is more frequent than its word, so chains end; distances double
-    with each round.
+    with each round. Stored words are several times their files' size in memory:
+    they are merged, not broadcast.
     """
     hops = stored(table.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         on = hops.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        longer = stored(hops.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        longer = stored(hops.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         hops = longer.select("word", "root")
         if longer.where("moved").isEmpty():
             break
-    return table.join(hops, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return table.join(hops.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alter: Callable[[Column, Column], Column] | None = None) -> DataFrame:
