@@ -64,7 +64,17 @@ query("c6_display_labels", "label:s n:l",
     lambda s, d: table(s, d, "part").groupBy(tx.display_label(F.expr(KEYS), LABELS).alias("label")).agg(F.count("*").alias("n")))
 query("c8_word_budget", "doc_id:l words:l fits:l hard:s",
       "SELECT doc_id, len(w) AS words, CASE WHEN len(w) <= 40 THEN 1 ELSE 0 END AS fits, CASE WHEN len(w) <= 10 THEN text ELSE array_to_string(w[1:10], ' ') END AS hard FROM (SELECT doc_id, text, regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') AS w FROM documents)")(
-    lambda s, d: table(s, d, "documents").select("doc_id", tx.word_count(F.col("text")).alias("words"), (tx.word_count(F.col("text")) <= 40).alias("fits"), tx.fit_words(F.col("text"), 10, False).alias("hard")))
+    lambda s, d: budgets(s, d))
+
+
+def budgets(spark, d):
+    """As in the SQL: a vertical tab parts no words, blank text is one (empty) word, no text does not fit."""
+    blanks = tx.BLANKS.replace("\x0b", "")
+    words = tx.word_count(F.col("text"), blanks)
+    return table(spark, d, "documents").select(
+        "doc_id", F.when(words == 0, 1).otherwise(words).alias("words"), F.coalesce(words <= 40, F.lit(False)).alias("fits"), tx.fit_words(F.col("text"), 10, False, blanks).alias("hard"))
+
+
 query("c8_sentence_budget", "doc_id:l cut:s",
       "SELECT doc_id, CASE WHEN total <= 40 THEN text WHEN whole IS NOT NULL THEN whole ELSE concat(hard, '…') END AS cut FROM (SELECT doc_id, any_value(text) AS text, sum(n) AS total, string_agg(s, ' ' ORDER BY i) FILTER (cum <= 40) AS whole, "
       "array_to_string(regexp_split_to_array(regexp_replace(any_value(text), '^\\s+|\\s+$', '', 'g'), '\\s+')[1:40], ' ') AS hard FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS cum FROM (SELECT doc_id, text, i, s, len(regexp_split_to_array(s, '\\s+')) AS n FROM "

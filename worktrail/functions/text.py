@@ -45,6 +45,7 @@ WORD_BUDGETS = [
 ]
 
 WORDS = r"[A-Za-z0-9_]+"
+BLANKS = " \t\n\x0b\f\r"  # fixed value: white space that parts words
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,9 +59,9 @@ def matches_any(text: Column, patterns: Sequence[str], ignore_case: bool = True)
     return F.coalesce(text.rlike(("(?i)" if ignore_case else "") + joined), F.lit(False))
 
 
-def trimmed(text: Column) -> Column:
+def trimmed(text: Column, blanks: str = BLANKS) -> Column:
     """Trim all white space, not only blanks."""
-    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.btrim(text, F.lit(blanks))
 
 
 def is_human_message(role: Column, attribution: Column, text: Column) -> Column:
@@ -120,17 +121,17 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def word_count(text: Column) -> Column:
-    body = trimmed(text)
-    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, r"\s+")))
+def word_count(text: Column, blanks: str = BLANKS) -> Column:
+    body = trimmed(text, blanks)
+    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, f"[{blanks}]+")))
 
 
-def first_words(text: Column, limit: Column | int) -> Column:
+def first_words(text: Column, limit: Column | int, blanks: str = BLANKS) -> Column:
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    return F.array_join(F.slice(F.split(trimmed(text), r"\s+"), F.lit(1), limit), " ")
+    return F.array_join(F.slice(F.split(trimmed(text, blanks), f"[{blanks}]+"), F.lit(1), limit), " ")
 
 
-def fit_words(text: Column, limit: Column | int, ellipsis: Column | bool = True) -> Column:
+def fit_words(text: Column, limit: Column | int, ellipsis: Column | bool = True, blanks: str = BLANKS) -> Column:
     """Cut to whole sentences within the budget, else to the first words.
 
     A sentence ends at . ! or ? followed by white space, so a decimal point
@@ -138,8 +139,8 @@ def fit_words(text: Column, limit: Column | int, ellipsis: Column | bool = True)
     """
     limit = F.lit(limit) if isinstance(limit, int) else limit
     ellipsis = F.lit(ellipsis) if isinstance(ellipsis, bool) else ellipsis
-    return let(trimmed(text), lambda body: F.when(word_count(body) <= limit, text).otherwise(
-        F.when(ellipsis, _whole_sentences(body, limit)).otherwise(first_words(body, limit))
+    return let(trimmed(text, blanks), lambda body: F.when(word_count(body, blanks) <= limit, text).otherwise(
+        F.when(ellipsis, _whole_sentences(body, limit, blanks)).otherwise(first_words(body, limit, blanks))
     ))
 
 
@@ -154,10 +155,10 @@ def fit_report_fields(fields: DataFrame) -> DataFrame:
     return fields.withColumn("text", fitted)
 
 
-def _whole_sentences(body: Column, limit: Column) -> Column:
+def _whole_sentences(body: Column, limit: Column, blanks: str = BLANKS) -> Column:
     """The longest run of leading sentences that fits, else the first words."""
-    marked = F.regexp_replace(body, r"([.!?])\s+", "$1\u0001")
-    sentences = F.filter(F.transform(F.split(marked, "\u0001"), trimmed), lambda s: s != "")
+    marked = F.regexp_replace(body, f"([.!?])[{blanks}]+", "$1\u0001")
+    sentences = F.filter(F.transform(F.split(marked, "\u0001"), lambda s: trimmed(s, blanks)), lambda s: s != "")
 
     def fitting(parts: Column) -> Column:
         # Running word count and number of sentences taken; NULL words: closed.
@@ -166,9 +167,9 @@ def _whole_sentences(body: Column, limit: Column) -> Column:
             F.when(acc["words"] + n <= limit, acc["words"] + n).alias("words"),
             F.when(acc["words"] + n <= limit, acc["taken"] + 1).otherwise(acc["taken"]).alias("taken"),
         )
-        taken = F.aggregate(F.transform(parts, word_count), start, step)["taken"]
+        taken = F.aggregate(F.transform(parts, lambda s: word_count(s, blanks)), start, step)["taken"]
         return let(taken, lambda k: F.when(k > 0, F.array_join(F.slice(parts, F.lit(1), k), " ")).otherwise(
-            F.concat(first_words(body, limit), F.lit("…"))
+            F.concat(first_words(body, limit, blanks), F.lit("…"))
         ))
 
     return let(sentences, fitting)
