@@ -46,5 +46,7 @@ def write_logs(lines: DataFrame, root: str) -> None:
             out.close()
         yield pd.DataFrame({"files": [n]})
 
-    ordered = lines.select("path", "seq", "line").repartition(spread(lines.sparkSession), "path").sortWithinPartitions("path", "seq")
+    # By a hash of the path, not by the path: Spark leaves out a repartition by the key of
+    # a join before it, and then may deal that join's rows out by another plan.
+    ordered = lines.select("path", "seq", "line").repartition(spread(lines.sparkSession), F.xxhash64("path")).sortWithinPartitions("path", "seq")
     ordered.mapInPandas(write, "files bigint").agg(F.sum("files")).collect()
