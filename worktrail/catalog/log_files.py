@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def written_logs(lines: DataFrame) -> Iterator[str]:
+    """The folder of the written lines, gone at the end: logs are many times their tables' size."""
+    root = new_folder(lines.sparkSession, "logs")
+    try:
+        write_logs(lines, root)
+        yield root
+    finally:
+        drop_folder(root)
+
+
+def drop_folder(root: str) -> None:
+    system, base = open_store(root)
+    system.delete_dir(base)
+
+
 def write_logs(lines: DataFrame, root: str) -> None:
     """Write (path, seq, line) below `root`, a file per path, as lines stream past.
 

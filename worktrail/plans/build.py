@@ -118,11 +118,21 @@ def build_tables(spark: SparkSession, root: str, dialect: LogDialect | None = No
     Sessions whose ids name no safe file, and those a report wrote about
     itself, stay in the files with a `dropped` reason and leave the tables.
     """
+    return tables_of_records(*parsed_logs(spark, root, dialect), dialect)
+
+
+def parsed_logs(spark: SparkSession, root: str, dialect: LogDialect | None = None) -> tuple[DataFrame, DataFrame]:
+    """(log files, records) of a folder, both stored: the logs are not opened again."""
     dialect = dialect or DialectA()
     ship_package(spark)
     files, lines = logs.read_corpus(spark, root, dialect.name, dialect.flat)
     # Each line is parsed once, forks or not.
-    records = materialise(dialect.parse(lines))
+    return files, materialise(dialect.parse(lines))
+
+
+def tables_of_records(files: DataFrame, records: DataFrame, dialect: LogDialect | None = None) -> tuple[DataFrame, LogTables]:
+    """`build_tables` of stored records, of one folder or of several that share no session."""
+    dialect = dialect or DialectA()
     first = dialect.tables(records)
     # Markers stand in a session's first messages, which a fork may have copied.
     marked = mark_dropped(files, first)
